@@ -167,3 +167,29 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
         base_failed.alias("base_failed"),
         (~base_failed & (F.size(failed_rules(q)) == 0)).alias("kept"),
     )
+
+
+def oracle_sql(docs: str = "documents", rules: tuple[Rule, ...] = RULES) -> str:
+    """The measurements and the verdict of ``rules`` in plain SQL, windows and lines unnested."""
+    broken = " OR ".join(f"{r.metric} < {r.low}" if side == "low" else f"{r.metric} > {r.high}" for r in rules for side in ("low", "high") if getattr(r, side) is not None)
+    stops = ", ".join(f"'{w}'" for w in sorted(set(STOP_WORDS)))
+    return rf"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM {docs}),
+w AS (SELECT doc_id, text, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS ws, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls FROM d),
+starts AS (SELECT doc_id, ws, unnest(range(1, len(ws) - {WINDOW} + 2)) AS i FROM w WHERE len(ws) >= {WINDOW}),
+keyed AS (SELECT doc_id, i, array_to_string(ws[i:i + {WINDOW} - 1], ' ') AS k FROM starts),
+again AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, k) AS n FROM keyed) WHERE n > 1),
+covered AS (SELECT doc_id, count(DISTINCT i + j) AS n FROM again, range({WINDOW}) AS r(j) GROUP BY doc_id),
+m AS (SELECT w.doc_id, len(ws)::BIGINT AS n_words, len(ls) AS n_lines, length(array_to_string(ws, ''))::BIGINT AS word_chars,
+    len(regexp_extract_all(text, '{SYMBOLS}'))::BIGINT AS n_symbols, len(regexp_extract_all(text, '[!?]')) AS n_marks,
+    len(regexp_extract_all(text, '{NOT_TEXT}')) AS n_other, (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines,
+    coalesce(c.n, 0)::BIGINT AS n_repeat_words, len(list_intersect(list_transform(list_distinct(ws), lambda x: lower(x)), [{stops}])) AS n_stop_words,
+    len(list_filter(ls, lambda x: regexp_matches(x, '^ *[-*•]'))) AS n_bullets, len(list_filter(ls, lambda x: regexp_matches(x, '(\.\.\.|…) *$'))) AS n_ellipses
+  FROM w LEFT JOIN covered c ON w.doc_id = c.doc_id),
+q AS (SELECT *, coalesce(word_chars / nullif(n_words, 0), 0) AS mean_word_chars, coalesce(n_symbols / nullif(n_words, 0), 0) AS symbol_ratio,
+    coalesce(n_marks / nullif(n_words, 0), 0) AS mark_ratio, coalesce(1.0::DOUBLE - n_other / nullif(word_chars, 0), 0) AS letter_ratio,
+    coalesce(n_dup_lines / nullif(n_lines, 0), 0) AS dup_line_ratio, coalesce(n_repeat_words / nullif(n_words, 0), 0) AS repeat_ratio,
+    coalesce(n_bullets / nullif(n_lines, 0), 0) AS bullet_ratio, coalesce(n_ellipses / nullif(n_lines, 0), 0) AS ellipsis_ratio FROM m),
+f AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM q)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT ({broken}) AS kept FROM f
+"""
