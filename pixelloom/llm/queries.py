@@ -6,14 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, quality_rules
+from . import decontaminate, mixing, quality_rules
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_decontaminate": decontaminate.op2_decontaminate,
     "op7_quality_rules": quality_rules.op7_quality_rules,
     "op9_mix_sources": mixing.op9_mix_sources,
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op2_decontaminate": decontaminate.oracle_sql(),
     "op7_quality_rules": quality_rules.oracle_sql(),
     "op9_mix_sources": mixing.oracle_sql(),
 }
