@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, mixing, quality_rules
+from . import decontaminate, mixing, quality_rules, simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_decontaminate": decontaminate.op2_decontaminate,
+    "op5_simhash": simhash.op5_simhash,
     "op7_quality_rules": quality_rules.op7_quality_rules,
     "op9_mix_sources": mixing.op9_mix_sources,
 }
