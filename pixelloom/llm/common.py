@@ -53,3 +53,13 @@ def hash_uniform(seed: str, *keys: Column) -> Column:
     """A number in (0, 1) that depends on the keys only: 52 bits of an MD5 digest, plus half a step."""
     digest = F.md5(F.concat_ws(":", F.lit(seed), *[k.cast("string") for k in keys]))
     return (F.conv(F.substring(digest, 1, 13), 16, 10).cast("double") + 0.5) / float(1 << 52)
+
+
+def joined(spans: str | Column) -> Column:
+    """``kind:start:end`` of each span, comma-joined."""
+    return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+
+
+def count_of(spans: str | Column, kind: str) -> Column:
+    """How many of the spans are of ``kind``."""
+    return F.size(F.filter(spans, lambda s: s["kind"] == kind)).cast("long")
