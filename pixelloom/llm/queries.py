@@ -6,12 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, mixing, quality_rules, simhash
+from . import decontaminate, license_scan, mixing, pii, quality_rules, secret_scan, simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_pii": pii.op1_pii,
     "op2_decontaminate": decontaminate.op2_decontaminate,
     "op5_simhash": simhash.op5_simhash,
+    "op6_secrets": secret_scan.op6_secrets,
     "op7_quality_rules": quality_rules.op7_quality_rules,
+    "op8_licenses": license_scan.op8_licenses,
     "op9_mix_sources": mixing.op9_mix_sources,
 }
 
