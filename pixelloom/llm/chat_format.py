@@ -79,7 +79,7 @@ def visit(parts: Column, first: Column) -> tuple[Column, Column]:
     # A part's number: attachments before it in the turn. Turns have few parts.
     numbered = F.transform(parts, lambda p, i: F.struct(p.alias("p"), (first + F.size(F.filter(F.slice(parts, 1, i), attached))).cast("long").alias("k")))
     placeholder = lambda x: F.concat(F.lit("<attach:"), x["p"]["type"], F.lit(":"), x["k"].cast("string"), F.lit(">"))
-    text = F.array_join(F.transform(numbered, lambda x: F.when(attached(x["p"]), placeholder(x)).otherwise(escaped(F.coalesce(x["p"]["text"], F.lit(""))))), "")
+    text = F.array_join(F.transform(numbered, lambda x: F.when(attached(x["p"]), placeholder(x)).otherwise(escaped(F.coalesce(x["p"]["text"], F.lit(""))))), "\n")
 
     def tokens(p: Column) -> Column:
         return F.coalesce(*[F.when(p["type"] == kind, count(p).cast("long")) for kind, count in VISITOR.items()])
