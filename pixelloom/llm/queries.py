@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat_format, decontaminate, license_scan, mixing, pii, quality_rules, secret_scan, simhash
+from . import chat_format, decontaminate, license_scan, line_dedup, mixing, pii, quality_rules, secret_scan, simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii": pii.op1_pii,
     "op2_decontaminate": decontaminate.op2_decontaminate,
     "op3_chat_format": chat_format.op3_chat_format,
+    "op4_line_dedup": line_dedup.op4_line_dedup,
     "op5_simhash": simhash.op5_simhash,
     "op6_secrets": secret_scan.op6_secrets,
     "op7_quality_rules": quality_rules.op7_quality_rules,
@@ -22,6 +23,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 ORACLE_SQL: dict[str, str] = {
     "op2_decontaminate": decontaminate.oracle_sql(),
     "op3_chat_format": chat_format.oracle_sql(),
+    "op4_line_dedup": line_dedup.oracle_sql(),
     "op7_quality_rules": quality_rules.oracle_sql(),
     "op9_mix_sources": mixing.oracle_sql(),
 }
