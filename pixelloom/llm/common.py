@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,13 +17,26 @@ SPACE_RUN = r"[\x20\x09-\x0D]+"
 #: Rows per Arrow batch. Texts can be long, so a batch of Spark's default 10,000 rows may not fit a worker.
 ARROW_ROWS = 1000
 
+#: The application that has this package's archive.
+_SENT: dict[str, str] = {}
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def small_batches(spark: SparkSession) -> None:
+def for_python(spark: SparkSession) -> None:
+    """Make a session ready for Python code on executors: small Arrow batches, and this package where it isn't installed."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+    context = spark.sparkContext
+    if _SENT.get("to") != context.applicationId:
+        root = Path(__file__).resolve().parents[2]
+        archive = Path(tempfile.mkdtemp(prefix="pixelloom-")) / "pixelloom.zip"
+        with zipfile.ZipFile(archive, "w") as out:
+            for f in sorted((root / "pixelloom").rglob("*.py")):
+                out.write(f, f.relative_to(root))
+        context.addPyFile(str(archive))
+        _SENT["to"] = context.applicationId
 
 
 def shared_dir(spark: SparkSession) -> str:

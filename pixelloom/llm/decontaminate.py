@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import small_batches, table
+from .common import for_python, table
 
 WINDOW = 10
 #: A document with more than this share of hit words goes; up to it, only its hit words go.
@@ -230,7 +230,7 @@ def _scanner(shared, keep_row: bool):
 def hits(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", bench_id: str = "item_id", bench_text: str = "text", window: int = WINDOW, shard_words: int = SHARD_WORDS, keep_text: bool = False) -> DataFrame:
     """``docs`` with n_words, starts, ends (disjoint hit ranges of words) and items, ``text_col`` last or gone."""
     spark = docs.sparkSession
-    small_batches(spark)
+    for_python(spark)
     cols = [c for c in docs.columns if c != text_col]
     lean = docs.select(*cols, text_col)
     schema = "n_words long, starts array<int>, ends array<int>, items array<string>"

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import small_batches, table
+from .common import for_python, table
 from .decontaminate import folded_words
 
 RAREST, AGREE, SLACK = 12, 4, 6
@@ -165,7 +165,7 @@ def word_idf(docs: DataFrame, text_col: str, index: Index) -> dict[bytes, float]
 def find(docs: DataFrame, text_col: str = "text", templates: dict | None = None, phrases: dict | None = None) -> DataFrame:
     """``docs`` with the text replaced by n_words, n_base, first_word, last_word, base_labels, labels (arrays) and score."""
     spark = docs.sparkSession
-    small_batches(spark)
+    for_python(spark)
     index = Index(templates or TEMPLATES, phrases or PHRASES)
     shared = spark.sparkContext.broadcast((index, word_idf(docs, text_col, index)))
     cols = [c for c in docs.columns if c != text_col]

@@ -38,7 +38,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import small_batches, table, written
+from .common import for_python, table, written
 
 MIN_WORDS = 2
 FUZZY_WORDS = 8
@@ -197,7 +197,7 @@ def near_copies(docs: DataFrame, distinct: DataFrame, fuzzy_words: int = FUZZY_W
 
 def repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS, fuzzy_words: int = FUZZY_WORDS) -> DataFrame:
     """(id, pos, near) of the lines of ``docs`` (id, text) that go: copies, and near copies where ``near``."""
-    small_batches(docs.sparkSession)
+    for_python(docs.sparkSession)
     lines = written(hashed_lines(docs).where(F.col("n") >= min_words), "lines-hashed")
     first = F.min(F.struct("id", "pos")).alias("first")
     distinct = written(lines.groupBy("h1", "h2").agg(first, F.first("n").alias("n"), F.first("halves").alias("halves")), "lines-distinct")

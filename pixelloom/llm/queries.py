@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat_format, decontaminate, license_scan, line_dedup, mixing, pii, quality_rules, secret_scan, simhash
+from . import chat_format, decontaminate, license_scan, line_dedup, mixing, pii, quality_rules, secret_scan, simhash, weak_quality
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii": pii.op1_pii,
@@ -18,6 +18,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_quality_rules": quality_rules.op7_quality_rules,
     "op8_licenses": license_scan.op8_licenses,
     "op9_mix_sources": mixing.op9_mix_sources,
+    "op10_quality_classifier": weak_quality.op10_quality_classifier,
 }
 
 ORACLE_SQL: dict[str, str] = {

@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import count_of, joined, small_batches, table, written
+from .common import count_of, for_python, joined, table, written
 
 KINDS = ("assign", "access", "hex")
 ADDED = "random"
@@ -188,7 +188,7 @@ def thresholds(tested: DataFrame, rate: float = RATE) -> DataFrame:
 
 def find(docs: DataFrame, text_col: str = "text", rate: float = RATE) -> DataFrame:
     """``docs`` with the text replaced by ``base`` and ``spans``, arrays of (kind, start, end) in code points."""
-    small_batches(docs.sparkSession)
+    for_python(docs.sparkSession)
     cols = [c for c in docs.columns if c != text_col]
     lean = docs.select(F.struct(*cols).alias("row"), F.col(text_col).alias("text"))
     span = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))

@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import small_batches, table, written
+from .common import for_python, table, written
 from .components import components
 
 SHINGLE = 3
@@ -67,7 +67,7 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
 
 def fingerprints(docs: DataFrame, text_col: str, shingle: int = SHINGLE) -> DataFrame:
     """``docs`` with the text replaced by a column ``fp``."""
-    small_batches(docs.sparkSession)
+    for_python(docs.sparkSession)
     cols = [c for c in docs.columns if c != text_col]
     lean = docs.select(*cols, text_col)
 
