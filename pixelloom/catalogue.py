@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from .plans import data_queries
+
+QUERIES = {**data_queries.Q}
+ORACLE_SQL = {**data_queries.SQL}
