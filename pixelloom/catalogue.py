@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .plans import data_queries
+from .plans import data_queries, training_queries  # noqa: F401  (registers its queries)
 
 QUERIES = {**data_queries.Q}
 ORACLE_SQL = {**data_queries.SQL}

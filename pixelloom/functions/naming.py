@@ -51,9 +51,13 @@ def cached_name(url: Column) -> Column:
 
 
 def human_size(n: Column) -> Column:
-    """1.2B, 3.4M, 5.6K, or the number itself below a thousand."""
-    short = lambda by, unit: F.format_string(f"%.1f{unit}", n / by)
-    return F.when(n >= 1_000_000_000, short(1e9, "B")).when(n >= 1_000_000, short(1e6, "M")).when(n >= 1_000, short(1e3, "K")).otherwise(n.cast("string"))
+    """1.2B, 3.4M, 5.6K, or the number itself below a thousand; the digit is rounded half up, in whole numbers."""
+
+    def short(by: int, unit: str) -> Column:
+        tenths = F.floor((n + by // 20) / (by // 10))
+        return F.concat(F.floor(tenths / 10).cast("string"), F.lit("."), (tenths % 10).cast("string"), F.lit(unit))
+
+    return F.when(n >= 1_000_000_000, short(10**9, "B")).when(n >= 1_000_000, short(10**6, "M")).when(n >= 1_000, short(10**3, "K")).otherwise(n.cast("string"))
 
 
 # Names by which number types are asked for.
