@@ -162,9 +162,14 @@ def _latents(spark, sf_dir):
     return docs(spark, sf_dir, "embeddings").select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("x"))
 
 
+def _round(x):
+    """To 6 places, without a negative zero."""
+    return F.round(x, 6) + F.lit(0.0)
+
+
 def _long(df, values, name="value"):
     """One row per cell, rounded."""
-    return df.select("vec_id", F.posexplode(values).alias("cell", "v")).select("vec_id", F.col("cell").cast("long").alias("cell"), F.round("v", 6).alias(name))
+    return df.select("vec_id", F.posexplode(values).alias("cell", "v")).select("vec_id", F.col("cell").cast("long").alias("cell"), _round(F.col("v")).alias(name))
 
 
 def _grid_sql(h: int, w: int, *keys: str) -> str:
@@ -181,7 +186,7 @@ def _up_sql(name: str, h: int, w: int) -> str:
     return f"((1 - {fy}) * ((1 - {fx}) * {at(y0, x0)} + {fx} * {at(y0, x1)}) + {fy} * ((1 - {fx}) * {at(y1, x0)} + {fx} * {at(y1, x1)}))"
 
 
-_FLAT = "SELECT vec_id, c AS cell, round({0}, 6) AS value FROM g, range(64) AS r(c)"
+_FLAT = "SELECT vec_id, c AS cell, round({0}, 6) + 0.0::DOUBLE AS value FROM g, range(64) AS r(c)"
 
 
 @query("pyramid_noise", f"WITH g AS (SELECT vec_id, {_grid_sql(8, 8, _t('level'), _t('0'))} AS a, {_grid_sql(4, 4, _t('level'), _t('1'))} AS b, {_grid_sql(2, 2, _t('level'), _t('2'))} AS z FROM embeddings) " + _FLAT.format(f"a[c + 1] + 0.4::DOUBLE * {_up_sql('b', 4, 4)} + {0.4**2}::DOUBLE * {_up_sql('z', 2, 2)}"))
@@ -210,7 +215,7 @@ a AS (SELECT vec_id, c, sum(v) OVER (PARTITION BY vec_id, c % 8 ORDER BY c) AS v
 b AS (SELECT vec_id, c, sum(v) OVER (PARTITION BY vec_id, floor(c / 8) ORDER BY c) AS v FROM a),
 m AS (SELECT vec_id, c, v - avg(v) OVER (PARTITION BY vec_id) AS v FROM b),
 s AS (SELECT vec_id, c, v, stddev_samp(v) OVER (PARTITION BY vec_id) AS d FROM m)
-SELECT vec_id, c AS cell, round(v / CASE WHEN d = 0 THEN 1 ELSE d END, 6) AS value FROM s""",
+SELECT vec_id, c AS cell, round(v / CASE WHEN d = 0 THEN 1 ELSE d END, 6) + 0.0::DOUBLE AS value FROM s""",
 )
 def brownian_noise(spark, sf_dir):
     return _long(_latents(spark, sf_dir), noise.brownian(F.col("x"), 8, 8))
@@ -236,10 +241,10 @@ def velocity_target(spark, sf_dir):
     return _long(_noised(spark, sf_dir), noise.target("v_prediction", F.col("x"), F.col("e"), F.col("a")))
 
 
-@query("latent_scale", "SELECT vec_id, c AS cell, round(embedding[c + 1]::DOUBLE * 0.18215::DOUBLE, 6) AS value, round(embedding[c + 1]::DOUBLE / 0.18215::DOUBLE, 6) AS inverse FROM embeddings, range(64) AS r(c)")
+@query("latent_scale", "SELECT vec_id, c AS cell, round(embedding[c + 1]::DOUBLE * 0.18215::DOUBLE, 6) + 0.0::DOUBLE AS value, round(embedding[c + 1]::DOUBLE / 0.18215::DOUBLE, 6) + 0.0::DOUBLE AS inverse FROM embeddings, range(64) AS r(c)")
 def latent_scale(spark, sf_dir):
     cells = _latents(spark, sf_dir).select("vec_id", F.posexplode("x").alias("cell", "v"))
-    return cells.select("vec_id", F.col("cell").cast("long").alias("cell"), F.round(F.col("v") * 0.18215, 6).alias("value"), F.round(F.col("v") / 0.18215, 6).alias("inverse"))
+    return cells.select("vec_id", F.col("cell").cast("long").alias("cell"), _round(F.col("v") * 0.18215).alias("value"), _round(F.col("v") / 0.18215).alias("inverse"))
 
 
 _SPOILT = "CASE c WHEN 0 THEN 'NaN'::DOUBLE WHEN 1 THEN 'Infinity'::DOUBLE WHEN 2 THEN '-Infinity'::DOUBLE ELSE embedding[c + 1]::DOUBLE * 400 END"
@@ -252,7 +257,7 @@ def pixel_sanitise(spark, sf_dir):
     return _latents(spark, sf_dir).select("vec_id", F.posexplode(noise.to_pixels(spoilt)).alias("cell", "value")).withColumn("cell", F.col("cell").cast("long"))
 
 
-@query("pixel_normalise", "SELECT vec_id, c AS cell, round((((vec_id * 31 + c * 7) % 256) / 255.0::DOUBLE - 0.5::DOUBLE) / 0.5::DOUBLE, 6) AS value FROM embeddings, range(64) AS r(c)")
+@query("pixel_normalise", "SELECT vec_id, c AS cell, round((((vec_id * 31 + c * 7) % 256) / 255.0::DOUBLE - 0.5::DOUBLE) / 0.5::DOUBLE, 6) + 0.0::DOUBLE AS value FROM embeddings, range(64) AS r(c)")
 def pixel_normalise(spark, sf_dir):
     pixels = F.transform(F.sequence(F.lit(0), F.lit(63)), lambda c: (F.col("vec_id") * 31 + c * 7) % 256)
     return _long(_latents(spark, sf_dir), noise.normalised(pixels))
