@@ -14,24 +14,28 @@ meets its key's earliest line only, and that pair's edit distance is verified
 on the texts.
 
 Less to emit. Lines one edit apart have a half in common, so a line whose
-halves occur in no other line needs no variants. Halves are counted first; that
-leaves out most of a corpus of prose and loses nothing.
+halves occur in no other line needs no variants. The halves that two different
+lines share are put in a Bloom filter of at most 2**MAX_BITS bits, sized by
+their count, and a second pass over the texts emits the lines that hit it. A
+false hit, even a full filter, costs time and loses nothing.
 
-At scale: one pass hashes words and halves; equal lines become one row before
-anything else; keys are aggregated with partial sums before they are joined
-back, so a line that a third of the documents repeat is never gathered. Texts
-are shuffled twice by document id: for the candidates' variants, and to apply
-the decisions.
+At scale: the first pass gives a narrow row per line (ids and hashes, no text);
+copies are found by the smallest id per line hash and shared halves by the
+smallest and largest line hash per half, both with partial sums, so a line that
+a third of the documents repeat is never gathered. Texts are shuffled once, by
+document id, to apply the decisions.
 
 Defined results
 * null text: stays null. Lines without a word, and lines under ``MIN_WORDS`` words: always stay.
 * a document that loses all its lines with words goes; one that had none stays.
-* equal doc_ids are one document: repeated rows stay alike. Null doc_id: the first of all ids.
+* equal doc_ids are one document: repeated rows stay alike. Null doc_ids are one document after all others.
 * very long text: whole. Empty table: empty result. Extra columns: kept, whatever their names; n_chars is renewed.
 """
 
 from __future__ import annotations
 
+from itertools import chain
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -42,6 +46,7 @@ from .common import for_python, table, written
 
 MIN_WORDS = 2
 FUZZY_WORDS = 8
+MAX_BITS = 30
 
 # Two odd multipliers: a line's hash is the sum of its words' hashes times their powers, modulo 2**64.
 _BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
@@ -64,9 +69,10 @@ class Hashed:
     """Hashes of many lines at once: of whole lines, of their halves, and of their variants."""
 
     def __init__(self, lines: list[list[bytes]]):
-        digest = xxhash.xxh64_intdigest
         self.n = np.array([len(ws) for ws in lines], np.int64)
-        words = np.array([digest(w) for ws in lines for w in ws], np.uint64)
+        said = list(chain.from_iterable(lines))
+        digest = {w: xxhash.xxh64_intdigest(w) for w in set(said)}
+        words = np.fromiter(map(digest.__getitem__, said), np.uint64, len(said))
         self.start = np.concatenate([[0], np.cumsum(self.n)]).astype(np.int64)
         at = np.arange(len(words)) - np.repeat(self.start[:-1], self.n)
         longest = int(self.n.max(initial=0))
@@ -94,17 +100,18 @@ class Hashed:
             out.append(_mixed(self._part(b - size, b, n - size), 2 * size + 1))
         return np.stack(out, axis=1)
 
-    def variants(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(line, kind, key) of every variant: 0 whole, 1 without one word, 2 the same with the place it stood at."""
+    def whole(self) -> np.ndarray:
+        """The variant that leaves out nothing."""
+        return _mixed(self._part(self.start[:-1], self.start[1:], np.zeros_like(self.n)), 4 * self.n)
+
+    def variants(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(line, place, key, key with the place) of every line without one of its words."""
         a, b, n = self.start[:-1], self.start[1:], self.n
-        none = np.zeros_like(a)
-        whole = _mixed(self._part(a, b, none), 4 * n)
         line = np.repeat(np.arange(len(n)), n)
         word = np.arange(len(line))
-        one = np.ones_like(word)
-        less = self._part(a[line], word, np.zeros_like(word)) + self._part(word + 1, b[line], one)
-        without, placed = _mixed(less, 4 * (n[line] - 1)), _mixed(less, 4 * ((n[line] << 20) + word - a[line]) + 1)
-        return np.concatenate([np.arange(len(n)), line, line]), np.concatenate([none, one, 2 * one]), np.concatenate([whole, without, placed])
+        place = word - a[line]
+        less = self._part(a[line], word, np.zeros_like(word)) + self._part(word + 1, b[line], np.ones_like(word))
+        return line, place, _mixed(less, 4 * (n[line] - 1)), _mixed(less, 4 * ((n[line] << 20) + place) + 1)
 
 
 def _mixed(hashes: np.ndarray, salt: np.ndarray) -> np.ndarray:
@@ -125,85 +132,163 @@ def one_edit(a: list[bytes], b: list[bytes]) -> bool:
     return a[k + 1 :] == b[k + 1 :] if len(a) == len(b) else a[k:] == b[k + 1 :] if len(a) < len(b) else a[k + 1 :] == b[k:]
 
 
-def hashed_lines(docs: DataFrame) -> DataFrame:
-    """(id, pos, n, h1, h2, halves) of every line with words of ``docs`` (id, text)."""
+def _lines(texts: list[str | None], least: int) -> tuple[list[int], list[int], list[list[bytes]], list[str]]:
+    """Row, position, words and text of every line of ``least`` or more words."""
+    rows, places, words, lines = [], [], [], []
+    for row, text in enumerate(texts):
+        for pos, line in enumerate((text or "").split("\n")):
+            if len(ws := line_words(line)) >= least:
+                rows.append(row)
+                places.append(pos)
+                words.append(ws)
+                lines.append(line)
+    return rows, places, words, lines
+
+
+def _again(rows: list[int], h1: np.ndarray, h2: np.ndarray) -> np.ndarray:
+    """Whether the same line stands earlier in the same row; lines come by row and position."""
+    again = np.ones(len(rows), bool)
+    again[np.unique(_mixed(h1 ^ (h2 << np.uint64(1)), np.array(rows, np.int64)), return_index=True)[1]] = False
+    return again
+
+
+def hashed_lines(docs: DataFrame, min_words: int, fuzzy_words: int) -> DataFrame:
+    """(id, pos, h1, h2, again, halves) of the lines of ``docs`` (id, text); halves only of first and long enough ones."""
 
     def run(batches):
         for batch in batches:
-            ids, rows, places, lines = batch.column(0), [], [], []
-            for row, text in enumerate(batch.column(1).to_pylist()):
-                for pos, line in enumerate((text or "").split("\n")):
-                    if words := line_words(line):
-                        rows.append(row)
-                        places.append(pos)
-                        lines.append(words)
-            hashed = Hashed(lines)
+            rows, places, words, _ = _lines(batch.column(1).to_pylist(), min_words)
+            hashed = Hashed(words)
             h1, h2 = hashed.lines()
-            halves = pa.FixedSizeListArray.from_arrays(_longs(hashed.halves().ravel()), 4).cast(pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([ids.take(pa.array(rows, pa.int64())), pa.array(places, pa.int32()), pa.array(hashed.n, pa.int32()), _longs(h1), _longs(h2), halves], ["id", "pos", "n", "h1", "h2", "halves"])
+            again = _again(rows, h1, h2)
+            fuzzy = (hashed.n >= fuzzy_words) & ~again
+            sizes = np.concatenate([[0], np.cumsum(4 * fuzzy)]).astype(np.int32)
+            halves = pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), _longs(hashed.halves()[fuzzy].ravel()))
+            ids = batch.column(0).take(pa.array(rows, pa.int64()))
+            yield pa.RecordBatch.from_arrays([ids, pa.array(places, pa.int32()), _longs(h1), _longs(h2), pa.array(again), halves], ["id", "pos", "h1", "h2", "again", "halves"])
 
     from pyspark.sql.types import StructType, _parse_datatype_string
 
-    return docs.mapInArrow(run, StructType([docs.schema["id"], *_parse_datatype_string("pos int, n int, h1 long, h2 long, halves array<long>").fields]))
+    return docs.mapInArrow(run, StructType([docs.schema["id"], *_parse_datatype_string("pos int, h1 long, h2 long, again boolean, halves array<long>").fields]))
 
 
-def _line_texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """``wanted`` (id, pos, ...) with the words of each line, looked up in ``docs`` (id, text)."""
-    others = [c for c in wanted.columns if c != "id"]
-    by_doc = wanted.groupBy("id").agg(F.collect_list(F.struct(*others)).alias("lines"))
-    met = docs.alias("d").join(by_doc.alias("w"), F.col("d.id").eqNullSafe(F.col("w.id"))).select("d.id", F.split("d.text", "\n").alias("all"), F.explode("w.lines").alias("w"))
-    return met.select("id", "w.*", F.get("all", F.col("w.pos")).alias("line")).dropDuplicates(["h1", "h2"])
+_CHUNK = 1 << 17
 
 
-def near_copies(docs: DataFrame, distinct: DataFrame, fuzzy_words: int = FUZZY_WORDS) -> DataFrame:
-    """(id, pos) of distinct lines that are one edit away from an earlier distinct line."""
-    long = distinct.where(F.col("n") >= fuzzy_words)
-    halves = long.select("h1", "h2", F.explode(F.array_distinct("halves")).alias("half"))
-    shared = halves.groupBy("half").agg(F.count(F.lit(1)).alias("lines")).where("lines > 1").select("half")
-    some = halves.join(shared, "half", "left_semi").select("h1", "h2").distinct()
-    wanted = long.join(some, ["h1", "h2"], "left_semi").select("first.id", "first.pos", "h1", "h2")
-    texts = written(_line_texts(docs, wanted), "lines-texts")
+def _places(halves: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Two bit positions of each half."""
+    x = halves.view(np.uint64)
+    mask = np.uint64((1 << bits) - 1)
+    return (x & mask).astype(np.int64), ((x * np.uint64(_BASES[0])) >> np.uint64(64 - bits)).astype(np.int64)
 
-    def emit(batches):
+
+def bloom(shared: DataFrame, max_bits: int) -> tuple[int, np.ndarray]:
+    """A Bloom filter of ``shared.half``: log2 of its size, and its bits in bytes. Chunks are filled on executors."""
+    bits = min(max_bits, max(17, (16 * shared.count()).bit_length()))
+
+    def positions(batches):
         for batch in batches:
-            hashed = Hashed([line_words(t) for t in batch.column("line").to_pylist()])
-            line, kind, key = hashed.variants()
-            row = pa.array(line, pa.int64())
-            kept = [batch.column(c).take(row) for c in ("id", "pos", "h1", "h2")]
-            yield pa.RecordBatch.from_arrays([*kept, pa.array(kind, pa.int32()), _longs(key)], ["id", "pos", "h1", "h2", "kind", "key"])
+            at = np.unique(np.concatenate(_places(batch.column(0).to_numpy(), bits)))
+            yield pa.RecordBatch.from_arrays([pa.array((at // _CHUNK).astype(np.int32)), pa.array((at % _CHUNK).astype(np.int32))], ["chunk", "at"])
+
+    def filled(batches):
+        held: dict[int, np.ndarray] = {}
+        for batch in batches:
+            chunk, at = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            for k in np.unique(chunk):
+                held.setdefault(int(k), np.zeros(_CHUNK, bool))[at[chunk == k]] = True
+        yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int32()), pa.array([np.packbits(b).tobytes() for b in held.values()], pa.binary())], ["chunk", "bits"])
+
+    chunks = shared.select("half").mapInArrow(positions, "chunk int, at int").repartition("chunk").mapInArrow(filled, "chunk int, bits binary")
+    out = np.zeros((1 << bits) // 8, np.uint8)
+    for row in chunks.toLocalIterator():
+        out[row["chunk"] * _CHUNK // 8 : (row["chunk"] + 1) * _CHUNK // 8] = np.frombuffer(row["bits"], np.uint8)
+    return bits, out
 
+
+def _holds(shared: tuple[int, np.ndarray], halves: np.ndarray) -> np.ndarray:
+    bits, held = shared
+    out = np.ones(halves.shape, bool)
+    for at in _places(np.ascontiguousarray(halves), bits):
+        out &= (held[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 == 1
+    return out
+
+
+def near_copies(docs: DataFrame, lines: DataFrame, fuzzy_words: int, max_bits: int) -> DataFrame:
+    """(id, pos) of the first places of lines that are one edit away from an earlier line."""
     from pyspark.sql.types import StructType, _parse_datatype_string
 
-    schema = StructType([texts.schema["id"], *_parse_datatype_string("pos int, h1 long, h2 long, kind int, key long").fields])
-    order = F.struct("id", "pos", "h1", "h2").alias("me")
-    variants = texts.mapInArrow(emit, schema).select("kind", "key", order)
-    least = [F.min(F.when(F.col("kind") == k, F.col("me"))).alias(f"least{k}") for k in range(3)]
+    halves = lines.select("h1", F.explode("halves").alias("half"))
+    shared = halves.groupBy("half").agg(F.min("h1").alias("least"), F.max("h1").alias("most")).where("least <> most").select("half")
+    filter_ = docs.sparkSession.sparkContext.broadcast(bloom(written(shared, "lines-halves"), max_bits))
+
+    def candidates(batches):
+        for batch in batches:
+            rows, places, words, texts = _lines(batch.column(1).to_pylist(), fuzzy_words)
+            hashed = Hashed(words)
+            h1, h2 = hashed.lines()
+            shares = _holds(filter_.value, hashed.halves()) @ (1 << np.arange(4))
+            hit = np.flatnonzero((shares > 0) & ~_again(rows, h1, h2))
+            ids = batch.column(0).take(pa.array([rows[k] for k in hit], pa.int64()))
+            arrays = [ids, pa.array([places[k] for k in hit], pa.int32()), _longs(h1[hit]), _longs(h2[hit]), pa.array(shares[hit].astype(np.int32)), pa.array([texts[k] for k in hit], pa.string())]
+            yield pa.RecordBatch.from_arrays(arrays, ["id", "pos", "h1", "h2", "shares", "line"])
+
+    schema = StructType([docs.schema["id"], *_parse_datatype_string("pos int, h1 long, h2 long, shares int, line string").fields])
+    every = written(docs.mapInArrow(candidates, schema), "lines-candidates")
+    first = every.groupBy("h1", "h2").agg(F.min("id").alias("first"))
+    texts = every.join(first, ["h1", "h2"]).where(F.col("id").eqNullSafe(F.col("first"))).dropDuplicates(["h1", "h2"])
+    # Sorted over all partitions, so that the numbers of rows are in the order of lines.
+    ordered = texts.select("id", "pos", "shares", "line").orderBy(F.col("id").asc_nulls_last(), "pos", "line").withColumn("ord", F.monotonically_increasing_id())
+    texts = written(ordered, "lines-texts")
+
+    def whole(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([_longs(Hashed([line_words(t) for t in batch.column(0).to_pylist()]).whole())], ["half"])
+
+    lines_held = docs.sparkSession.sparkContext.broadcast(bloom(texts.select("line").mapInArrow(whole, "half long"), max_bits))
+
+    def emit(batches):
+        for batch in batches:
+            hashed, shares, ord_ = Hashed([line_words(t) for t in batch.column("line").to_pylist()]), batch.column("shares").to_numpy(), batch.column("ord").to_numpy()
+            line, place, without, placed = hashed.variants()
+            n, bit = hashed.n[line], lambda k: (shares[line] >> k) & 1 == 1
+            # The word that differs is in the half that isn't shared; a line that lacks a word must be one of the candidates.
+            swapped = np.where(place >= n // 2, bit(0), bit(2))
+            longer = np.where(place >= (n - 1) // 2, bit(1), bit(3)) & _holds(lines_held.value, without)
+            keys = np.concatenate([hashed.whole(), without[longer], placed[swapped]])
+            kinds = np.repeat([0, 1, 2], [len(hashed.n), longer.sum(), swapped.sum()]).astype(np.int32)
+            ords = np.concatenate([ord_, ord_[line[longer]], ord_[line[swapped]]])
+            yield pa.RecordBatch.from_arrays([_longs(keys), pa.array(kinds), pa.array(ords, pa.int64())], ["key", "kind", "ord"])
+
+    variants = texts.select("line", "shares", "ord").mapInArrow(emit, "key long, kind int, ord long")
+    least = [F.min(F.when(F.col("kind") == k, F.col("ord"))).alias(f"least{k}") for k in range(3)]
     groups = variants.groupBy("key").agg(*least, F.count(F.lit(1)).alias("members")).where("members > 1").drop("members")
     # A line meets the earliest line that lacks one of its words, that has one more, or that differs at the same place.
     met = variants.join(groups, "key").withColumn("earlier", F.when(F.col("kind") == 0, F.col("least1")).when(F.col("kind") == 1, F.col("least0")).otherwise(F.col("least2")))
-    pairs = met.where(F.col("earlier") < F.col("me")).select("me", "earlier").distinct()
-    ours = texts.select("h1", "h2", F.col("line").alias("mine"))
-    said = pairs.join(ours, (F.col("me.h1") == F.col("h1")) & (F.col("me.h2") == F.col("h2"))).drop("h1", "h2")
-    theirs = texts.select("h1", "h2", F.col("line").alias("theirs"))
-    both = said.join(theirs, (F.col("earlier.h1") == F.col("h1")) & (F.col("earlier.h2") == F.col("h2"))).select("me.id", "me.pos", "mine", "theirs")
+    pairs = met.where(F.col("earlier") < F.col("ord")).select("ord", "earlier").distinct()
+    ours = texts.select("ord", "id", "pos", F.col("line").alias("mine"))
+    theirs = texts.select(F.col("ord").alias("earlier"), F.col("line").alias("theirs"))
+    both = pairs.join(ours, "ord").join(theirs, "earlier").select("id", "pos", "mine", "theirs")
 
     def verify(batches):
         for batch in batches:
             good = [one_edit(line_words(a), line_words(b)) for a, b in zip(batch.column("mine").to_pylist(), batch.column("theirs").to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("pos")], ["id", "pos"]).filter(pa.array(good, pa.bool_()))
 
-    return both.mapInArrow(verify, StructType([texts.schema["id"], schema["pos"]])).distinct()
+    return both.mapInArrow(verify, StructType([schema["id"], schema["pos"]])).distinct()
 
 
-def repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS, fuzzy_words: int = FUZZY_WORDS) -> DataFrame:
+def repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS, fuzzy_words: int = FUZZY_WORDS, max_bits: int = MAX_BITS) -> DataFrame:
     """(id, pos, near) of the lines of ``docs`` (id, text) that go: copies, and near copies where ``near``."""
     for_python(docs.sparkSession)
-    lines = written(hashed_lines(docs).where(F.col("n") >= min_words), "lines-hashed")
-    first = F.min(F.struct("id", "pos")).alias("first")
-    distinct = written(lines.groupBy("h1", "h2").agg(first, F.first("n").alias("n"), F.first("halves").alias("halves")), "lines-distinct")
-    copies = lines.join(distinct.select("h1", "h2", "first"), ["h1", "h2"]).where(F.struct("id", "pos") != F.col("first")).select("id", "pos", F.lit(False).alias("near"))
-    near = near_copies(docs, distinct, fuzzy_words).withColumn("near", F.lit(True))
-    return copies.unionByName(near)
+    lines = written(hashed_lines(docs, min_words, fuzzy_words), "lines-hashed")
+    once = lines.where(~F.col("again"))
+    first = once.groupBy("h1", "h2").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("places")).where("places > 1 AND first IS NOT NULL").drop("places")
+    # Written, so that both sides of the join are plain shuffles, whose hot partitions Spark splits.
+    first = written(first, "lines-first")
+    copies = once.select("id", "pos", "h1", "h2").join(first, ["h1", "h2"]).where(~F.col("id").eqNullSafe(F.col("first"))).select("id", "pos")
+    copies = copies.unionByName(lines.where("again").select("id", "pos")).withColumn("near", F.lit(False))
+    return copies.unionByName(near_copies(docs, lines, fuzzy_words, max_bits).withColumn("near", F.lit(True)))
 
 
 def _kept_text(text: Column, gone: Column) -> Column:
@@ -217,7 +302,8 @@ def _decided(docs: DataFrame, id_col: str, text_col: str, **options) -> DataFram
     """row, text, left (the text without its repeated lines), n_copies and n_near of every row."""
     lean = docs.select(F.struct(*docs.columns).alias("row"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     gone = repeated_lines(lean.select("id", "text"), **options)
-    by_doc = gone.groupBy(F.col("id").alias("of")).agg(F.collect_set("pos").alias("gone"), F.count_distinct(F.when(~F.col("near"), F.col("pos"))).alias("n_copies"), F.count_distinct(F.when(F.col("near"), F.col("pos"))).alias("n_near"))
+    by_doc = gone.groupBy(F.col("id").alias("of")).agg(F.collect_set(F.struct("pos", "near")).alias("g"))
+    by_doc = by_doc.select("of", F.col("g.pos").alias("gone"), F.size(F.filter("g", lambda x: ~x["near"])).cast("long").alias("n_copies"), F.size(F.filter("g", lambda x: x["near"])).cast("long").alias("n_near"))
     met = lean.join(by_doc, F.col("id").eqNullSafe(F.col("of")), "left")
     left = F.when(F.col("gone").isNull(), F.col("text")).otherwise(_kept_text(F.col("text"), F.col("gone")))
     return met.withColumn("left", left).withColumns({c: F.coalesce(c, F.lit(0)) for c in ("n_copies", "n_near")})
