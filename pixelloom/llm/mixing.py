@@ -19,7 +19,7 @@ and only the rows of the one bin of a source in which the prefix ends are
 ordered. A source with most of the rows is thus never in one task.
 
 Defined results
-* null or empty text: size 0, taken 0. Null source: a source of its own, ranked last.
+* null or empty text: size 0, taken 0, never sampled beyond its certain copies. Null source: a source of its own, ranked last.
 * repeated doc_ids: each row is sampled; equal ids tie on u and go by size.
 * a source without words: target 0. Empty table: empty result.
 * extra columns: not carried; names with ``__`` are internal.
@@ -38,7 +38,7 @@ SHARE = 1.5
 MAX_REPEATS = 2
 SEED = "mix-1"
 BINS = 4096
-ROUNDS = 4
+ROUNDS = 6
 
 
 def source_targets(sizes: DataFrame, weights: tuple[int, ...], share: float, max_repeats: int) -> DataFrame:
@@ -89,13 +89,13 @@ def mix_sizes(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float
     cols = state.columns
     in_order = W.partitionBy("source").orderBy("at", "doc_id", "size").rowsBetween(W.unboundedPreceding, 0)
     for _ in range(rounds):
-        fits = _with_source(state, room).where(~F.col("took") & (F.col("size") <= F.col("room")))
+        fits = _with_source(state, room).where(~F.col("took") & (F.col("size") > 0) & (F.col("size") <= F.col("room")))
         by_bin = fits.groupBy("source", "bin").agg(F.sum("size").alias("words"), F.first("room").alias("room"))
         upto = by_bin.withColumn("upto", F.sum("words").over(W.partitionBy("source").orderBy("bin").rowsBetween(W.unboundedPreceding, 0)))
         within = F.col("upto") <= F.col("room")
         cut = upto.groupBy("source").agg(F.first("room").alias("room"), F.coalesce(F.min(F.when(~within, F.col("bin"))), F.lit(bins)).alias("cut"), F.coalesce(F.max(F.when(within, F.col("upto"))), F.lit(0)).alias("before"))
         marked = _with_source(state, written(cut, "mix-cut"))
-        fit = ~F.col("took") & F.coalesce(F.col("size") <= F.col("room"), F.lit(False))
+        fit = ~F.col("took") & (F.col("size") > 0) & F.coalesce(F.col("size") <= F.col("room"), F.lit(False))
         at_edge = fit & (F.col("bin") == F.col("cut"))
         edge = marked.where(at_edge).withColumn("took", F.sum("size").over(in_order) + F.col("before") <= F.col("room"))
         clear = marked.where(~at_edge).withColumn("took", F.col("took") | (fit & (F.col("bin") < F.col("cut"))))
@@ -130,7 +130,7 @@ def oracle_sql(weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, max_rep
         steps += f""",
 r{k} AS (SELECT o.doc_id, o.source, o.size, o.source_size, o.target, o.copies, o.p, o.pos, o.room,
     o.took OR coalesce(o.run <= o.room, false) AS took
-  FROM (SELECT *, CASE WHEN NOT took AND size <= room THEN sum(CASE WHEN NOT took AND size <= room THEN size ELSE 0 END)
+  FROM (SELECT *, CASE WHEN NOT took AND size > 0 AND size <= room THEN sum(CASE WHEN NOT took AND size > 0 AND size <= room THEN size ELSE 0 END)
       OVER (PARTITION BY source ORDER BY pos, doc_id, size ROWS UNBOUNDED PRECEDING) END AS run FROM s{k - 1}) o),
 s{k} AS (SELECT doc_id, source, size, source_size, target, copies, p, pos, took,
     CAST(first_room - sum(CASE WHEN took THEN size ELSE 0 END) OVER (PARTITION BY source) AS BIGINT) AS room, first_room
