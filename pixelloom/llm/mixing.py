@@ -10,8 +10,8 @@ are ranked by their random odds divided by their inclusion odds,
 
 The sample is fixed in words, not in rows: a round takes the longest prefix of
 the order that fits; documents larger than what is left can't fit any more, so
-the next round goes on with the smaller ones behind them. ``ROUNDS`` rounds
-leave less than a small document.
+the next round goes on with the smaller ones behind them. What ``ROUNDS`` rounds
+leave is made up by one smallest document if that comes nearer.
 
 At scale: texts are read once, their sizes are written to the shared folder;
 each round sums sizes by (source, bin of the order) with map-side partial sums,
@@ -102,6 +102,13 @@ def mix_sizes(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float
         state = written(clear.select(*cols).unionByName(edge.select(*cols)), "mix-rows")
         used = state.groupBy("source").agg(F.sum(F.when(F.col("took"), F.col("size")).otherwise(0)).alias("used"))
         room = _with_source(targets.select("source", "room"), used).select("source", (F.col("room") - F.col("used")).alias("room"))
+    # What is left is smaller than any document; the smallest one is taken if that comes nearer to the target.
+    near = _with_source(state, room)
+    could = ~F.col("took") & (F.col("size") > 0) & F.coalesce(F.col("size") < 2 * F.col("room"), F.lit(False))
+    marked = _with_source(near, written(near.where(could).groupBy("source").agg(F.min("size").alias("least")), "mix-least"))
+    at_edge = could & (F.col("size") == F.col("least"))
+    last = F.row_number().over(W.partitionBy("source").orderBy("at", "doc_id")) == 1
+    state = marked.where(~F.coalesce(at_edge, F.lit(False))).select(*cols).unionByName(marked.where(at_edge).withColumn("took", last).select(*cols))
     return state.withColumn("copies", F.col("copies") + F.col("took").cast("long")).drop("took", "bin", "at")
 
 
@@ -135,6 +142,7 @@ r{k} AS (SELECT o.doc_id, o.source, o.size, o.source_size, o.target, o.copies, o
 s{k} AS (SELECT doc_id, source, size, source_size, target, copies, p, pos, took,
     CAST(first_room - sum(CASE WHEN took THEN size ELSE 0 END) OVER (PARTITION BY source) AS BIGINT) AS room, first_room
   FROM (SELECT r.*, t.room AS first_room FROM r{k} r JOIN t ON r.source IS NOT DISTINCT FROM t.source))"""
+    could = "NOT took AND size > 0 AND size < 2 * room"
     return rf"""
 WITH d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^ 	-
 ]+')) AS BIGINT) AS size FROM {docs}),
@@ -154,5 +162,6 @@ u AS (SELECT d.doc_id, d.source, d.size, t.source_size, t.target, t.copies, t.p,
   FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
 s0 AS (SELECT *, CASE WHEN p <= 0 THEN 1.0 ELSE ((u / (1 - u)) * ((1 - p) / p)) / (1 + (u / (1 - u)) * ((1 - p) / p)) END AS pos,
     false AS took, room AS first_room FROM u){steps}
-SELECT doc_id, size, source_size, target, CAST(size * (copies + took::INT) AS BIGINT) AS taken, CAST(copies + took::INT AS BIGINT) AS copies FROM s{rounds}
+, e AS (SELECT * EXCLUDE (took), took OR ({could} AND row_number() OVER (PARTITION BY source, {could} ORDER BY size, pos, doc_id) = 1) AS took FROM s{rounds})
+SELECT doc_id, size, source_size, target, CAST(size * (copies + took::INT) AS BIGINT) AS taken, CAST(copies + took::INT AS BIGINT) AS copies FROM e
 """
