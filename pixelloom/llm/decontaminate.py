@@ -287,8 +287,9 @@ def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", max_cov
 
     def cut(batches):
         for batch in batches:
-            texts = []
+            texts, changed = [], []
             for text, starts, ends in zip(*(batch.column(c).to_pylist() for c in ("text", "starts", "ends")), strict=True):
+                changed.append(bool(starts))
                 if starts:
                     spans, parts, at = _word_spans(text), [], 0
                     for a, b in zip(starts, ends, strict=True):
@@ -296,19 +297,16 @@ def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", max_cov
                         at = spans[b - 1][1]
                     text = "".join([*parts, text[at:]])
                 texts.append(text)
-            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(texts, pa.string())], ["row", "text"])
+            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(texts, pa.string()), pa.array(changed)], ["row", "text", "changed"])
 
-    dirty = kept.where(F.size("starts") > 0).select("row", "text", "starts", "ends").mapInArrow(cut, lean.schema)
-    same = kept.where(F.size("starts") == 0).select("row", "text")
-    both = same.select("row.*").unionByName(_with_text(dirty, names, text_col))
-    return both.select(*names)
+    from pyspark.sql.types import BooleanType, StructType
 
-
-def _with_text(rows: DataFrame, names: list[str], text_col: str) -> DataFrame:
-    """``row.*`` of ``rows`` with the text replaced by ``text``, and n_chars by its length."""
-    types = {f.name: f.dataType for f in rows.schema["row"].dataType.fields}
-    new = {text_col: F.col("text")} | ({"n_chars": F.length("text").cast(types["n_chars"])} if "n_chars" in types else {})
-    return rows.select(*[new.get(c, F.col("row").getField(c)).alias(c) for c in names])
+    cleaned = kept.select("row", "text", "starts", "ends").mapInArrow(cut, StructType([*lean.schema.fields]).add("changed", BooleanType()))
+    types = {f.name: f.dataType for f in docs.schema.fields}
+    new = {text_col: F.col("text")}
+    if "n_chars" in types:
+        new["n_chars"] = F.when(F.col("changed"), F.length("text").cast(types["n_chars"])).otherwise(F.col("row.n_chars"))
+    return cleaned.select(*[new.get(c, F.col("row").getField(c)).alias(c) for c in names])
 
 
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
