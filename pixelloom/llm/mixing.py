@@ -84,7 +84,8 @@ def mix_sizes(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float
     targets = written(source_targets(sizes, weights, share, max_repeats), "mix-targets")
     u, order = hash_uniform(seed, F.col("doc_id")), pareto_order(F.col("u"), F.col("p"))
     state = _with_source(sizes, targets).withColumn("u", u).withColumn("at", order).withColumn("took", F.lit(False))
-    state = state.withColumn("bin", F.least(F.floor(F.col("at") * bins), F.lit(bins - 1)).cast("int")).drop("u", "p", "room")
+    # All documents of a source have one p, so their order is that of u, whose bins are even.
+    state = state.withColumn("bin", F.floor(F.col("u") * bins).cast("int")).drop("u", "p", "room")
     state, room = written(state, "mix-rows"), targets.select("source", "room")
     cols = state.columns
     in_order = W.partitionBy("source").orderBy("at", "doc_id", "size").rowsBetween(W.unboundedPreceding, 0)
@@ -105,9 +106,9 @@ def mix_sizes(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float
     # What is left is smaller than any document; the smallest one is taken if that comes nearer to the target.
     near = _with_source(state, room)
     could = ~F.col("took") & (F.col("size") > 0) & F.coalesce(F.col("size") < 2 * F.col("room"), F.lit(False))
-    marked = _with_source(near, written(near.where(could).groupBy("source").agg(F.min("size").alias("least")), "mix-least"))
-    at_edge = could & (F.col("size") == F.col("least"))
-    last = F.row_number().over(W.partitionBy("source").orderBy("at", "doc_id")) == 1
+    marked = _with_source(near, written(near.where(could).groupBy("source").agg(F.min(F.struct("size", "at")).alias("least")), "mix-least"))
+    at_edge = could & (F.struct("size", "at") == F.col("least"))
+    last = F.row_number().over(W.partitionBy("source").orderBy("doc_id")) == 1
     state = marked.where(~F.coalesce(at_edge, F.lit(False))).select(*cols).unionByName(marked.where(at_edge).withColumn("took", last).select(*cols))
     return state.withColumn("copies", F.col("copies") + F.col("took").cast("long")).drop("took", "bin", "at")
 
