@@ -136,3 +136,24 @@ def decayed_restarts(step: Column, cycle: int = 50, warmup: int = 5, start: floa
     rising = (peak - floor) * (at + 1) / warmup + floor
     falling = floor + (start - floor) * (1 + F.cos(math.pi * at / cycle)) / 2
     return F.when(at < warmup, rising).otherwise(falling)
+
+
+def zero_terminal_snr(table: DataFrame) -> DataFrame:
+    """The schedule rescaled so that the last timestep has no signal and the first is unchanged (published definition)."""
+    every = W.orderBy("t").rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
+    root = F.sqrt("alpha_bar")
+    first, last = F.first(root).over(every), F.last(root).over(every)
+    scaled = (root - last) * first / (first - last)
+    out = table.withColumn("alpha_bar", scaled * scaled)
+    return out.withColumn("snr", F.col("alpha_bar") / (1 - F.col("alpha_bar")))
+
+
+def scheduler_settings(config: dict) -> dict:
+    """A scheduler's settings: a prediction type asks for trailing timesteps, zero terminal SNR for rescaling too."""
+    out = dict(config)
+    if out.get("prediction_type"):
+        out["timestep_spacing"] = "trailing"
+    if out.pop("zero_terminal_snr", False):
+        out["rescale_betas_zero_snr"] = True
+        out.setdefault("timestep_spacing", "trailing")
+    return out

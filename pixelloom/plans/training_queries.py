@@ -509,3 +509,33 @@ def options_hash(spark, sf_dir):
     prompt = F.get(F.array(*map(F.lit, CAPTIONS)), (F.col("doc_id") % len(CAPTIONS)).cast("int"))
     said = F.concat(F.lit("{'prompt': '"), prompt, F.lit("', 'negative_prompt': '', 'steps': "), (20 + F.col("doc_id") % 30).cast("string"), F.lit(", 'seed': "), F.col("doc_id").cast("string"), F.lit(", 'width': None, 'height': None, 'clip_skip': 2}"))
     return ids(spark, sf_dir).select("doc_id", F.substring(F.sha2(said, 256), 1, 8).alias("fingerprint"))
+
+
+@query(
+    "zero_terminal_snr",
+    f"""WITH {SNR}, r AS (SELECT t, sqrt(alpha_bar) AS x, first(sqrt(alpha_bar)) OVER o AS a, last(sqrt(alpha_bar)) OVER o AS z FROM s WINDOW o AS (ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)),
+n AS (SELECT t, ((x - z) * a / (a - z)) * ((x - z) * a / (a - z)) AS b FROM r) SELECT t, round(b, 6) AS alpha_bar, round(b / (1 - b), 6) AS snr FROM n""",
+)
+def zero_terminal_snr(spark, sf_dir):
+    table = schedule.zero_terminal_snr(schedule.snr_table(spark))
+    return table.select("t", F.round("alpha_bar", 6).alias("alpha_bar"), F.round("snr", 6).alias("snr"))
+
+
+@query(
+    "state_union",
+    """WITH a AS (SELECT 'w' || p_partkey AS name, p_size AS n, 0 AS side FROM part WHERE p_partkey % 3 <> 0 UNION ALL SELECT 'w' || p_partkey, p_size + 100, 1 FROM part WHERE p_partkey % 2 = 0)
+SELECT name, arg_max(n, side) AS n FROM a GROUP BY name""",
+)
+def state_union(spark, sf_dir):
+    """Two state tables as one; where both have a name, the right one's entry stays."""
+    name = F.concat(F.lit("w"), F.col("p_partkey").cast("string")).alias("name")
+    left = docs(spark, sf_dir, "part").where("p_partkey % 3 <> 0").select(name, F.col("p_size").alias("n"), F.lit(0).alias("side"))
+    right = docs(spark, sf_dir, "part").where("p_partkey % 2 = 0").select(name, (F.col("p_size") + 100).alias("n"), F.lit(1).alias("side"))
+    return left.unionByName(right).groupBy("name").agg(F.max_by("n", "side").alias("n"))
+
+
+@query("models_to_freeze", "SELECT DISTINCT p_brand AS model FROM part EXCEPT SELECT p_brand FROM part WHERE p_size > 45")
+def models_to_freeze(spark, sf_dir):
+    """Models that aren't trained: all but those in the training set."""
+    models = docs(spark, sf_dir, "part").select(F.col("p_brand").alias("model"), "p_size")
+    return models.select("model").distinct().join(models.where("p_size > 45").select("model").distinct(), "model", "left_anti")

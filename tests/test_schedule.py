@@ -116,3 +116,10 @@ def test_moving_average_over_blocks(spark):
 def test_nan_loss_is_an_error(spark):
     with pytest.raises(Exception, match="loss is NaN"):
         spark.createDataFrame([(float("nan"),)], "v double").select(steps.guarded(F.col("v")).alias("v")).collect()
+
+
+def test_zero_terminal_snr(spark):
+    table = schedule.zero_terminal_snr(schedule.snr_table(spark)).orderBy("t").toPandas()
+    assert table.snr.iloc[-1] == 0 and table.alpha_bar.iloc[0] == pytest.approx(1 - schedule.BETA_START) and (np.diff(table.snr) < 0).all()
+    assert schedule.scheduler_settings({"prediction_type": "epsilon"})["timestep_spacing"] == "trailing"
+    assert schedule.scheduler_settings({"zero_terminal_snr": True}) == {"rescale_betas_zero_snr": True, "timestep_spacing": "trailing"}
