@@ -534,8 +534,8 @@ def state_union(spark, sf_dir):
     return left.unionByName(right).groupBy("name").agg(F.max_by("n", "side").alias("n"))
 
 
-@query("models_to_freeze", "SELECT DISTINCT p_brand AS model FROM part EXCEPT SELECT p_brand FROM part WHERE p_size > 45")
+@query("models_to_freeze", "SELECT DISTINCT p_brand || '/' || p_size AS model FROM part EXCEPT SELECT p_brand || '/' || p_size FROM part WHERE p_partkey % 3 = 0")
 def models_to_freeze(spark, sf_dir):
     """Models that aren't trained: all but those in the training set."""
-    models = docs(spark, sf_dir, "part").select(F.col("p_brand").alias("model"), "p_size")
-    return models.select("model").distinct().join(models.where("p_size > 45").select("model").distinct(), "model", "left_anti")
+    models = docs(spark, sf_dir, "part").select(F.concat("p_brand", F.lit("/"), F.col("p_size").cast("string")).alias("model"), "p_partkey")
+    return models.select("model").distinct().join(models.where("p_partkey % 3 = 0").select("model").distinct(), "model", "left_anti")
