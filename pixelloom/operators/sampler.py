@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.rng import digest
-from .numbering import numbered
+from .numbering import numbered, numbered_in_order
 
 SEED = 47
 
@@ -32,8 +32,8 @@ def plan_in_order(items: DataFrame, key: str = "key", position: str = "position"
     first = items.groupBy("w", "h").agg(F.min(position).alias("first"), F.count(F.lit(1)).alias("n"))
     before = F.coalesce(F.sum(F.ceil(F.col("n") / batch_size)).over(W.orderBy("first").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     starts = first.withColumn("batches_before", before).drop("n", "first")
-    rn = F.row_number().over(W.partitionBy("w", "h").orderBy(position)) - 1
-    return items.withColumn("rn", rn).join(starts, ["w", "h"]).select(key, "w", "h", (F.floor(F.col("rn") / batch_size) + F.col("batches_before")).cast("long").alias("batch_ord"), (F.col("rn") % batch_size).cast("long").alias("slot"))
+    placed = numbered_in_order(items, ["w", "h"], [position], "rn").withColumn("rn", F.col("rn") - 1)
+    return placed.join(starts, ["w", "h"]).select(key, "w", "h", (F.floor(F.col("rn") / batch_size) + F.col("batches_before")).cast("long").alias("batch_ord"), (F.col("rn") % batch_size).cast("long").alias("slot"))
 
 
 def batch_rows(plan: DataFrame, key: str = "key") -> DataFrame:

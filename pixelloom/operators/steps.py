@@ -6,14 +6,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .numbering import numbered_in_order
+
 #: Batches per block when a moving average is folded.
-BLOCK = 256
+BLOCK = 4096
 
 
 def accumulate(batches: DataFrame, process: str, order: list[str], loss: str, accumulation: int) -> DataFrame:
     """One row per process and global step: the mean loss of its ``accumulation`` batches, the last one short."""
-    ordinal = F.row_number().over(W.partitionBy(process).orderBy(*order))
-    steps = batches.withColumn("global_step", F.ceil(ordinal / accumulation).cast("long"))
+    placed = numbered_in_order(batches, [process], order, "ordinal")
+    steps = placed.withColumn("global_step", F.ceil(F.col("ordinal") / accumulation).cast("long"))
     return steps.groupBy(process, "global_step").agg(F.avg(loss).alias("train_loss"), F.count(F.lit(1)).alias("n_batches"))
 
 
@@ -30,17 +32,16 @@ def cadence(steps: DataFrame, step: str = "global_step", *, save_every: int, che
     return steps.withColumn("epoch", epoch).withColumns({"save": every(save_every) & (F.col(step) != 0), "checkpoint": every(checkpoint_every), "preview": every(preview_every), "save_epoch": at_end})
 
 
-def moving_averages(batches: DataFrame, process: str, order: list[str], value: str, decays: dict[str, float], start: int = 0) -> DataFrame:
+def moving_averages(batches: DataFrame, process: str, order: list[str], value: str, decays: dict[str, float], start: int = 0, block: int = BLOCK) -> DataFrame:
     """The last exponential moving averages of each process, one column per decay.
 
     The average starts as the first value and follows it from step ``start`` on.
     Steps are summed in blocks - a block of n multiplies the average by
-    decay ** n and adds a weighted sum - so only one row per BLOCK steps is folded in order.
+    decay ** n and adds a weighted sum - so only one row per ``block`` steps is folded in order.
     """
-    at = F.row_number().over(W.partitionBy(process).orderBy(*order)) - 1
-    rows = batches.select(process, *order, F.col(value).alias("x")).withColumn("at", at)
+    rows = numbered_in_order(batches.select(process, *order, F.col(value).alias("x")), [process], order, "at").withColumn("at", F.col("at") - 1)
     live = rows.withColumn("x0", F.when(F.col("at") == 0, F.col("x"))).withColumn("on", (F.col("at") > 0) & (F.col("at") >= start))
-    blocked = live.withColumn("block", F.floor(F.col("at") / BLOCK)).withColumn("inside", F.col("at") % BLOCK)
+    blocked = live.withColumn("block", F.floor(F.col("at") / block)).withColumn("inside", F.col("at") % block)
     # Weights fall from the block's last step, whose place is known when the block is complete.
     ends = blocked.withColumn("end", F.max("inside").over(W.partitionBy(process, "block")))
     sums = []

@@ -104,7 +104,7 @@ def test_cadence(spark):
 def test_moving_average_over_blocks(spark):
     values = np.random.default_rng(1).standard_normal(700)
     df = spark.createDataFrame([(1, k, float(v)) for k, v in enumerate(values)] + [(2, 0, 5.0)], "p long, k long, v double")
-    got = {r.p: r for r in steps.moving_averages(df, "p", ["k"], "v", {"a": 0.999, "b": 0.5}, start=10).collect()}
+    got = {r.p: r for r in steps.moving_averages(df, "p", ["k"], "v", {"a": 0.999, "b": 0.5}, start=10, block=256).collect()}
     for name, d in (("a", 0.999), ("b", 0.5)):
         ema = values[0]
         for k, v in enumerate(values):
