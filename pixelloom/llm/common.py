@@ -17,7 +17,7 @@ SPACE_RUN = r"[\x20\x09-\x0D]+"
 #: Rows per Arrow batch. Texts can be long, so a batch of Spark's default 10,000 rows may not fit a worker.
 ARROW_ROWS = 1000
 
-#: The application that has this package's archive.
+#: The application that has this package's archive, and the folder that goes when it ends.
 _SENT: dict[str, str] = {}
 
 
@@ -54,7 +54,16 @@ def written(df: DataFrame, what: str) -> DataFrame:
     Later steps start from files that every executor can read, so a lost
     executor costs a re-read and not the whole lineage.
     """
-    path = f"{shared_dir(df.sparkSession)}/{what}-{uuid.uuid4().hex}"
+    spark = df.sparkSession
+    folder = f"{shared_dir(spark)}/pixelloom-{spark.sparkContext.applicationId}"
+    if _SENT.get("cleans") != folder:
+        # The application's intermediate tables go when it ends.
+        target = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        files = target.getFileSystem(spark._jsc.hadoopConfiguration())
+        files.mkdirs(target)
+        files.deleteOnExit(target)
+        _SENT["cleans"] = folder
+    path = f"{folder}/{what}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
