@@ -102,7 +102,9 @@ def mix_sizes(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float
         clear = marked.where(~at_edge).withColumn("took", F.col("took") | (fit & (F.col("bin") < F.col("cut"))))
         state = written(clear.select(*cols).unionByName(edge.select(*cols)), "mix-rows")
         used = state.groupBy("source").agg(F.sum(F.when(F.col("took"), F.col("size")).otherwise(0)).alias("used"))
-        room = _with_source(targets.select("source", "room"), used).select("source", (F.col("room") - F.col("used")).alias("room"))
+        left = _with_source(targets.select("source", "room"), used)
+        # Written, so that its size is known and the rows needn't be shuffled by source to meet it.
+        room = written(left.select("source", (F.col("room") - F.col("used")).alias("room")), "mix-room")
     # What is left is smaller than any document; the smallest one is taken if that comes nearer to the target.
     near = _with_source(state, room)
     could = ~F.col("took") & (F.col("size") > 0) & F.coalesce(F.col("size") < 2 * F.col("room"), F.lit(False))

@@ -30,3 +30,53 @@ def test_odd_rows(spark):
         for docs in (odd(spark), empty(spark), clashing(odd(spark)).drop("id")):
             stage(spark, docs, DATA).count()
     assert SCHEMA
+
+
+def test_against_brute_force(spark, duck):
+    """The first four stages, each by a plain version over all documents."""
+    import re
+
+    from pixelloom.llm import line_dedup
+    from test_decontaminate import brute as hits
+    from test_line_dedup import brute as repeated
+    from test_simhash import slow_print
+
+    kept = {r[0] for r in duck.sql(f"SELECT doc_id FROM ({quality_rules.oracle_sql()}) WHERE kept").fetchall()}
+    rows = sorted((r.doc_id, r.text) for r in spark.read.parquet(f"{DATA}/documents.parquet").collect() if r.doc_id in kept)
+
+    gone, left = repeated([t for _, t in rows]), []
+    for k, (doc, text) in enumerate(rows):
+        lines = [x for p, x in enumerate(text.split("\n")) if (k, p) not in gone]
+        if any(line_dedup.line_words(x) for x in lines):
+            left.append((doc, "\n".join(lines)))
+
+    prints, first = [(doc, slow_print(text)) for doc, text in left], {}
+    for doc, _ in prints:
+        first[doc] = doc
+    changed = True
+    while changed:
+        changed = False
+        for a, x in prints:
+            for b, y in prints:
+                if bin(x ^ y).count("1") <= 2 and first[b] > first[a]:
+                    first[b], changed = first[a], True
+    left = [(doc, text) for doc, text in left if first[doc] == doc]
+
+    items = [(str(i), decontaminate.folded_words(t)) for i, t in duck.sql("SELECT item_id, text FROM benchmark").fetchall()]
+    word, expected = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"), []
+    for doc, text in left:
+        words = decontaminate.folded_words(text)
+        hit, _ = hits(words, items, decontaminate.WINDOW)
+        if len(hit) <= decontaminate.MAX_COVERAGE * len(words):
+            spans, out, at = [m.span() for m in word.finditer(text)], "", 0
+            for k in sorted(hit):
+                if k - 1 not in hit:
+                    out += text[at : spans[k][0]]
+                if k + 1 not in hit:
+                    at = spans[k][1]
+            expected.append((doc, out + text[at:]))
+
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    for _, stage in p.STAGES[:4]:
+        docs = written(stage(spark, docs, DATA), "t")
+    assert sorted((r.doc_id, r.text) for r in docs.collect()) == expected
