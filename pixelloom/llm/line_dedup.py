@@ -50,7 +50,6 @@ MAX_BITS = 30
 
 # Two odd multipliers: a line's hash is the sum of its words' hashes times their powers, modulo 2**64.
 _BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
-_WRAP = (1 << 64) - 1
 
 
 def line_words(line: str) -> list[bytes]:
