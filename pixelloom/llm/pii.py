@@ -4,8 +4,8 @@ The patterns find e-mail addresses, IPv4 addresses, card numbers (Luhn) and
 phone numbers. A character-level bidirectional LSTM with CRF transitions,
 trained here from generated texts with labelled spans, adds forms that the
 patterns don't cover, such as phone numbers without a country code. It reads
-the surroundings (``MARGIN`` characters) of every digit and at sign - no kind can be without
-one - in overlapping windows; each character takes its scores from the window
+the surroundings (``MARGIN`` characters, and on to the ends of the words there) of every
+digit and at sign, written-out ones too - no kind can be without one - in overlapping windows; each character takes its scores from the window
 in whose middle it lies, and one decoding over the whole region settles the
 labels. An added span must meet its kind's own checks and must not touch a
 pattern's span.
@@ -41,10 +41,11 @@ Span = tuple[str, int, int]
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
+_DOMAIN_REST = re.compile(r"[A-Za-z0-9-]*(?:\.[A-Za-z0-9-]+)*")
 _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
-_TRIGGER = re.compile(r"[0-9@]+")
+_TRIGGER = re.compile(r"[0-9@]+|\[at\]|\(at\)")
 _ADDED_EMAIL = re.compile(r"[^\s@]+ ?(?:@|\[at\]|\(at\)) ?[^\s@]+\.[^\s@]+")
 
 
@@ -159,15 +160,20 @@ def trained(texts: int = TRAIN_TEXTS, steps: int = TRAIN_STEPS, seed: int = TRAI
 
 
 def regions(text: str) -> list[tuple[int, int]]:
-    """Stretches of ``text`` within MARGIN characters of a digit or an at sign, in order.
+    """Stretches of ``text`` within MARGIN characters of a digit or an at sign, widened to whole words, in order.
 
     They are disjoint, but for stretches of more than REGION characters: these
     are cut into pieces that overlap by two windows.
     """
     out: list[list[int]] = []
     for m in _TRIGGER.finditer(text):
-        start, end = max(0, m.start() - MARGIN), min(len(text), m.end() + MARGIN)
-        if out and start <= out[-1][1]:
+        before = out[-1][1] if out else 0
+        start, end = max(0, m.start() - MARGIN), max(before, min(len(text), m.end() + MARGIN))
+        while start > before and not text[start - 1].isspace():
+            start -= 1
+        while 0 < end < len(text) and not text[end - 1].isspace() and not text[end].isspace():
+            end += 1
+        if out and start <= before:
             out[-1][1] = end
         else:
             out.append([start, end])
@@ -221,6 +227,12 @@ def _trimmed(text: str, span: Span) -> Span:
         start += 1
     while end > start and not text[end - 1].isalnum():
         end -= 1
+    if kind == "email" and start < end:
+        # Parts longer than those of the training texts may be labelled in part: up to the ends of local part and domain.
+        while start > 0 and text[start - 1] in _LOCAL:
+            start -= 1
+        if m := _DOMAIN_REST.match(text, end):
+            end = m.end()
     return kind, start, end
 
 

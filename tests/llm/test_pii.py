@@ -86,3 +86,26 @@ def test_rows(spark):
     assert pii.find(empty(spark)).count() == 0
     held = clashing(odd(spark)).drop("base", "spans")
     assert pii.find(held).columns == [c for c in held.columns if c != "text"] + ["base", "spans"]
+
+
+def added(text):
+    return pii.all_spans(text, pii.base_spans(text), pii.tag(pii.trained(), [text])[0])
+
+
+def test_addresses_without_a_digit_or_an_at_sign():
+    for said in ("tian[at]oule.com", "stor[at]inal.com"):
+        text = f"the letters go to {said} and nowhere else"
+        assert ("email", 18, 18 + len(said)) in added(text), (text, added(text))
+
+
+def test_addresses_with_long_parts():
+    for said in ("antheroutilereschenionalstor @ inal.com", "tian @ antheroutilereschenionalstor.com"):
+        text = f"the letters go to {said} and nowhere else"
+        assert ("email", 18, 18 + len(said)) in added(text), (text, added(text))
+
+
+def test_regions_hold_whole_words():
+    for text in ("ab " * 30 + "x" * 40 + " @ " + "y" * 50 + " cd" * 30, "some " * 20 + "x" * 30 + "[at]" + "y" * 30 + " end" * 9):
+        (start, end), *more = pii.regions(text)
+        assert not more and text[start:end].split()[0] in text.split() and "x" * 30 in text[start:end] and "y" * 30 in text[start:end]
+        assert (start == 0 or text[start - 1] == " ") and (end == len(text) or text[end] == " " or text[end - 1] == " ")
