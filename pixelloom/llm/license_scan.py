@@ -2,9 +2,9 @@
 
 Phrases such as "mit license" give labels wherever their words stand together.
 Licence texts that don't name themselves that way are found by position: the
-index has the postings (template, position) of every template word. Of a
-document's licence words the ``RAREST`` with the highest inverse document
-frequency are looked up; each of their places votes for the offset at which the
+index has the postings (template, position) of every template word. Of each
+template's words that a document holds, the ``RAREST`` with the highest inverse
+document frequency are looked up, so that no template takes another's places; each of their places votes for the offset at which the
 template would begin, and an offset with ``AGREE`` different words in agreement
 (within ``SLACK`` words) is a candidate. It becomes a label if one of the
 template's mandatory key phrases stands inside the stretch it would cover.
@@ -116,12 +116,14 @@ def aligned(words: list[bytes], index: Index, idf: dict[bytes, float]) -> dict[s
     held = index.vocabulary.intersection(words)
     if len(held) < AGREE:
         return {}
-    rare = sorted(held, key=lambda w: (-idf.get(w, 0.0), w))[:RAREST]
-    looked = frozenset(rare)
+    looked: dict[bytes, list[tuple[str, int]]] = defaultdict(list)
+    for label, template in index.words.items():
+        for word in sorted(held.intersection(template), key=lambda w: (-idf.get(w, 0.0), w))[:RAREST]:
+            looked[word] += [posting for posting in index.postings[word] if posting[0] == label]
     votes: dict[tuple[str, int], set[bytes]] = defaultdict(set)
     for at, word in enumerate(words):
         if word in looked:
-            for label, place in index.postings[word]:
+            for label, place in looked[word]:
                 cell = (at - place) // SLACK
                 votes[label, cell].add(word)
                 votes[label, cell + 1].add(word)

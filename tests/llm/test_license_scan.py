@@ -44,3 +44,20 @@ def test_rows(spark):
     rows = s.find(clashing(odd(spark)).drop("n_words", "labels", "score")).collect()
     assert len(rows) == 8 and all(r.labels == [] and r.first_word is None and r.score == 0 for r in rows)
     assert s.find(empty(spark)).count() == 0
+
+
+def test_two_notices_under_skewed_frequencies():
+    """The words of the one notice are all rarer than those of the other."""
+    index = s.Index()
+    for rare in s.TEMPLATES:
+        for other in s.TEMPLATES:
+            idf = {w: 5.0 if w in index.words[rare] and w not in index.words[other] else 0.1 for w in index.vocabulary}
+            text = WORDS + s.TEMPLATES[rare][0] + " " + WORDS * 3 + s.TEMPLATES[other][0]
+            assert {rare, other} <= set(s.scan(text, index, idf)[5]), (rare, other)
+
+
+def test_chance_words_take_no_places():
+    index = s.Index()
+    idf = {w: 0.1 if w in index.words["bsd"] else 5.0 for w in index.vocabulary}
+    chance = " ".join(w.decode() for w in sorted(index.vocabulary) if w not in index.words["bsd"])
+    assert "bsd" in s.scan(chance + " " + WORDS * 5 + s.TEMPLATES["bsd"][0], index, idf)[5]
