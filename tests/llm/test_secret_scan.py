@@ -61,3 +61,13 @@ def test_rows(spark):
     rows = s.find(odd(spark)).collect()
     assert len(rows) == 8 and all(r.spans == [] for r in rows)
     assert s.find(empty(spark)).count() == 0
+
+
+def test_real_keys_are_kept_whatever_else_is_there(spark):
+    rng = random.Random(3)
+    slugs = [f"see AbstractSingletonProxyFactoryBean{k} x" for k in range(1500)]
+    for size in (20, 24, 32, 48):
+        keys = ["".join(rng.choice(string.ascii_letters + string.digits) for _ in range(size)) for _ in range(1500)]
+        rows = {r.doc_id: r.spans for r in s.find(docs(spark, [f"see {k} x" for k in keys] + slugs)).collect()}
+        assert sum(bool(rows[k]) for k in range(1500)) >= 0.95 * 1500, size
+        assert not any(rows[k] for k in range(1500, 3000))
