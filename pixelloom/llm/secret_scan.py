@@ -41,6 +41,8 @@ KINDS = ("assign", "access", "hex")
 ADDED = "random"
 SHORTEST = 20
 CUT, READ = 0.005, 3.2
+#: A token without digits is text where fewer than this share of random tokens of its length and alphabet have none.
+SELDOM = 0.001
 RATE = 0.05
 BINS = 400
 #: Length classes: from 20, 24, 32, 48 and 64 characters on, with the factor on RATE in each.
@@ -59,11 +61,14 @@ _ALPHABETS = {
     "HEX": "0123456789ABCDEF",
     "base32": "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567",
     "upper": "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789",
+    "lower32": "abcdefghijklmnopqrstuvwxyz234567",
+    "lower": "abcdefghijklmnopqrstuvwxyz0123456789",
     "alphanumeric": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789",
     "base64": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/",
     "base64url": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-_",
 }
 _SETS = {name: frozenset(chars) for name, chars in _ALPHABETS.items()}
+_WITHOUT_DIGITS = {name: 1 - sum(c.isdigit() for c in chars) / len(chars) for name, chars in _ALPHABETS.items()}
 _PLACES = {name: {c: k for k, c in enumerate(chars)} for name, chars in _ALPHABETS.items()}
 
 
@@ -165,15 +170,16 @@ def serial(places: np.ndarray) -> float:
 def randomness(token: str) -> float | None:
     """Fisher's combination of the three tests; None where no encoding fits or a kind of character is missing.
 
-    Mixed-case encodings of this length hold digits and both cases all but
-    surely, so a token without one of them is text, not a key.
+    Base64 of this length holds both cases all but surely, and tokens without
+    digits are seldom from some length on, which depends on the alphabet: a
+    token that lacks them then is text, not a key.
     """
     token = token.rstrip("=")
     name = encoding(token)
     if name is None or len(token) < SHORTEST:
         return None
     digits = sum("0" <= c <= "9" for c in token)
-    if digits in (0, len(token)) or digits == 0 and name != "base32":
+    if digits == len(token) or digits == 0 and _WITHOUT_DIGITS[name] ** len(token) < SELDOM:
         return None
     if name.startswith(("alpha", "base64")) and (token.lower() == token or token.upper() == token):
         return None

@@ -71,3 +71,14 @@ def test_real_keys_are_kept_whatever_else_is_there(spark):
         rows = {r.doc_id: r.spans for r in s.find(docs(spark, [f"see {k} x" for k in keys] + slugs)).collect()}
         assert sum(bool(rows[k]) for k in range(1500)) >= 0.95 * 1500, size
         assert not any(rows[k] for k in range(1500, 3000))
+
+
+def test_keys_of_one_case_and_without_digits_are_tested():
+    rng = random.Random(5)
+    for alphabet in (string.ascii_lowercase + string.digits, string.ascii_lowercase + "234567", string.ascii_uppercase + "234567", string.ascii_letters + string.digits):
+        for size in (20, 32):
+            ps = [s.randomness("".join(rng.choice(alphabet) for _ in range(size))) for _ in range(2000)]
+            assert sum(p is not None and p >= s.CUT for p in ps) >= 0.98 * len(ps), (alphabet, size)
+    for token in ("donaudampfschifffahrtsgesellschaft", "abstractsingletonproxyfactorybean", "InternationalizationConfiguration", "DistributionDocumentation"):
+        p = s.randomness(token)
+        assert p is None or p < s.CUT, token
