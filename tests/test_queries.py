@@ -1,8 +1,8 @@
 """Every query against its SQL, on the smallest tables."""
 
 import pytest
-from conftest import same
 from pixelloom import catalogue
+from support import same
 
 
 @pytest.mark.parametrize("name", sorted(catalogue.ORACLE_SQL))
