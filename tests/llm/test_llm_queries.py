@@ -1,6 +1,5 @@
 """Queries against their SQL on the smallest tables, and the registry."""
 
-import importlib.util
 import re
 import sys
 from pathlib import Path
@@ -8,16 +7,14 @@ from pathlib import Path
 import pytest
 
 sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
-_spec = importlib.util.spec_from_file_location("main_conftest", Path(__file__).resolve().parents[1] / "conftest.py")
-main = importlib.util.module_from_spec(_spec)
-_spec.loader.exec_module(main)
 
 from pixelloom.llm import queries  # noqa: E402
+from support import same  # noqa: E402
 
 
 @pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
 def test_query_equals_sql(spark, duck, name):
-    main.same(spark, duck, queries.QUERIES[name], queries.ORACLE_SQL[name])
+    same(spark, duck, queries.QUERIES[name], queries.ORACLE_SQL[name])
 
 
 def test_all_are_registered():
