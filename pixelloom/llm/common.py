@@ -15,7 +15,7 @@ SPACES = " \t\n\x0b\x0c\r"
 SPACE_RUN = r"[\x20\x09-\x0D]+"
 
 #: Rows per Arrow batch. Texts can be long, so a batch of Spark's default 10,000 rows may not fit a worker.
-ARROW_ROWS = 1000
+ARROW_ROWS, ARROW_BYTES = 1000, 16 << 20
 
 #: The application that has this package's archive, and the folder that goes when it ends.
 _SENT: dict[str, str] = {}
@@ -28,6 +28,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def for_python(spark: SparkSession) -> None:
     """Make a session ready for Python code on executors: small Arrow batches, and this package where it isn't installed."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
     context = spark.sparkContext
     if _SENT.get("to") != context.applicationId:
         root = Path(__file__).resolve().parents[2]
@@ -43,6 +44,8 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where it is unset (tests)."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         path = f"file://{tempfile.mkdtemp(prefix='spark-shared-')}"
         spark.conf.set("spark.checkpoint.dir", path)
     return path
@@ -73,6 +76,28 @@ def words_of(text: Column) -> Column:
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), SPACE_RUN), "")
 
 
+def row_keys(df: DataFrame) -> tuple[Column, Column]:
+    """Two 64-bit numbers that stand for all columns of a row; what Spark can't hash (maps) counts by its JSON text."""
+
+    def hashable(field) -> Column:
+        one = F.col(f"`{field.name}`")
+        kind = field.dataType.simpleString()
+        return F.to_json(F.struct(one.alias("x"))) if "map<" in kind or "variant" in kind else one
+
+    columns = [hashable(f) for f in df.schema.fields]
+    return F.xxhash64(F.lit("k1"), *columns), F.xxhash64(F.lit("k2"), *columns)
+
+
+def row_of(df: DataFrame) -> Column:
+    """A whole row as one struct, so that its names can't clash with an operator's own."""
+    return F.struct(*[F.col(f"`{c}`") for c in df.columns])
+
+
+def null_last(name: str) -> tuple[Column, Column]:
+    """What sorts by ``name`` with nulls behind all others, in structs and minima too."""
+    return F.col(name).isNull().alias("none"), F.col(name)
+
+
 def hash_uniform(seed: str, *keys: Column) -> Column:
     """A number in (0, 1) that depends on the keys only: 52 bits of an MD5 digest, plus half a step."""
     digest = F.md5(F.concat_ws(":", F.lit(seed), *[k.cast("string") for k in keys]))

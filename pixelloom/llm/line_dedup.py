@@ -13,112 +13,57 @@ aggregate, so lines that share a key are never paired with each other; each
 meets its key's earliest line only, and that pair's edit distance is verified
 on the texts.
 
-Less to emit. Lines one edit apart have a half in common, so a line whose
-halves occur in no other line needs no variants. The halves that two different
-lines share are put in a Bloom filter of at most 2**MAX_BITS bits, sized by
-their count, and a second pass over the texts emits the lines that hit it. A
-false hit, even a full filter, costs time and loses nothing.
-
-At scale: the first pass gives a narrow row per line (ids and hashes, no text);
-copies are found by the smallest id per line hash and shared halves by the
-smallest and largest line hash per half, both with partial sums, so a line that
-a third of the documents repeat is never gathered. Texts are shuffled once, by
-document id, to apply the decisions.
+Less to emit. Lines one edit apart have a half in common, so a line emits only
+the variants that differ in the half which it doesn't share with another line,
+and those of another length only where such a line is of that length. Shared
+halves are found by an aggregate and joined; a Bloom filter of at most
+2**MAX_BITS bits spares most other lines that join. A false hit, even a full
+filter, sends more lines through the join and changes nothing.
+
+At scale: a pass over the texts gives a narrow row per line (keys and hashes, no
+text); copies are found by the first row per line hash and shared halves by the
+smallest and largest line hash per half, all with partial sums, so a line that
+a third of the documents repeat is never gathered. A second pass cuts out the
+lines whose halves are shared. Words are hashed a batch at a time
+(``wordhash``). Texts are shuffled once, to apply the decisions.
+
+Rows. A row is known by two 64-bit hashes of all its columns, not by its id:
+rows of one id, or of none, are deduplicated like any others, first by id
+(null last), then by these hashes.
 
 Defined results
 * null text: stays null. Lines without a word, and lines under ``MIN_WORDS`` words: always stay.
 * a document that loses all its lines with words goes; one that had none stays.
-* equal doc_ids are one document: repeated rows stay alike. Null doc_ids are one document after all others.
+* rows equal in all columns: the first stays as it is decided, the others lose all lines of ``MIN_WORDS`` words.
+* equal or null ids over different texts: each row keeps its own unique lines.
 * very long text: whole. Empty table: empty result. Extra columns: kept, whatever their names; n_chars is renewed.
 """
 
 from __future__ import annotations
 
-from itertools import chain
-
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType, _parse_datatype_string
 
-from .common import for_python, table, written
+from .common import SPACE_RUN, for_python, null_last, row_keys, row_of, table, written
+from .wordhash import LineHashes, Words, mixed
 
 MIN_WORDS = 2
 FUZZY_WORDS = 8
 MAX_BITS = 30
 
-# Two odd multipliers: a line's hash is the sum of its words' hashes times their powers, modulo 2**64.
-_BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
+#: What a row is known by.
+KEY = ("k1", "k2")
+_CHUNK = 1 << 17
 
 
 def line_words(line: str) -> list[bytes]:
     return line.encode("utf-8", "surrogatepass").lower().split()
 
 
-def _powers(base: int, n: int, inverse: bool = False) -> np.ndarray:
-    step = pow(base, -1, 1 << 64) if inverse else base
-    out = np.full(n + 1, step, np.uint64)
-    out[0] = 1
-    with np.errstate(over="ignore"):
-        return np.multiply.accumulate(out)
-
-
-class Hashed:
-    """Hashes of many lines at once: of whole lines, of their halves, and of their variants."""
-
-    def __init__(self, lines: list[list[bytes]]):
-        self.n = np.array([len(ws) for ws in lines], np.int64)
-        said = list(chain.from_iterable(lines))
-        digest = {w: xxhash.xxh64_intdigest(w) for w in set(said)}
-        words = np.fromiter(map(digest.__getitem__, said), np.uint64, len(said))
-        self.start = np.concatenate([[0], np.cumsum(self.n)]).astype(np.int64)
-        at = np.arange(len(words)) - np.repeat(self.start[:-1], self.n)
-        longest = int(self.n.max(initial=0))
-        self.sums, self.back = [], []
-        for base in _BASES:
-            power = _powers(base, longest)
-            self.sums.append(np.concatenate([np.zeros(1, np.uint64), np.cumsum(words * power[at], dtype=np.uint64)]))
-            self.back.append(_powers(base, longest, inverse=True))
-
-    def _part(self, first: np.ndarray, last: np.ndarray, drop: np.ndarray, which: int = 0) -> np.ndarray:
-        """Hash of words [first, last), as if ``drop`` words of the line before them weren't there."""
-        return (self.sums[which][last] - self.sums[which][first]) * self.back[which][drop]
-
-    def lines(self) -> tuple[np.ndarray, np.ndarray]:
-        a, b = self.start[:-1], self.start[1:]
-        return tuple(self._part(a, b, np.zeros_like(a), k) + self.n.astype(np.uint64) for k in (0, 1))
-
-    def halves(self) -> np.ndarray:
-        """Four keys a line: beginnings of n // 2 and (n - 1) // 2 words, ends of the same, rounded up."""
-        a, b, n = self.start[:-1], self.start[1:], self.n
-        out = []
-        for size in (n // 2, np.maximum(n - 1, 0) // 2):
-            out.append(_mixed(self._part(a, a + size, np.zeros_like(a)), 2 * size))
-        for size in ((n + 1) // 2, n // 2):
-            out.append(_mixed(self._part(b - size, b, n - size), 2 * size + 1))
-        return np.stack(out, axis=1)
-
-    def whole(self) -> np.ndarray:
-        """The variant that leaves out nothing."""
-        return _mixed(self._part(self.start[:-1], self.start[1:], np.zeros_like(self.n)), 4 * self.n)
-
-    def variants(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """(line, place, key, key with the place) of every line without one of its words."""
-        a, b, n = self.start[:-1], self.start[1:], self.n
-        line = np.repeat(np.arange(len(n)), n)
-        word = np.arange(len(line))
-        place = word - a[line]
-        less = self._part(a[line], word, np.zeros_like(word)) + self._part(word + 1, b[line], np.ones_like(word))
-        return line, place, _mixed(less, 4 * (n[line] - 1)), _mixed(less, 4 * ((n[line] << 20) + place) + 1)
-
-
-def _mixed(hashes: np.ndarray, salt: np.ndarray) -> np.ndarray:
-    x = hashes ^ (salt.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
-    x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
-    return x ^ (x >> np.uint64(29))
-
-
 def _longs(x: np.ndarray) -> pa.Array:
     return pa.array(np.ascontiguousarray(x).view(np.int64), pa.int64())
 
@@ -131,54 +76,46 @@ def one_edit(a: list[bytes], b: list[bytes]) -> bool:
     return a[k + 1 :] == b[k + 1 :] if len(a) == len(b) else a[k:] == b[k + 1 :] if len(a) < len(b) else a[k + 1 :] == b[k:]
 
 
-def _lines(texts: list[str | None], least: int) -> tuple[list[int], list[int], list[list[bytes]], list[str]]:
-    """Row, position, words and text of every line of ``least`` or more words."""
-    rows, places, words, lines = [], [], [], []
-    for row, text in enumerate(texts):
-        for pos, line in enumerate((text or "").split("\n")):
-            if len(ws := line_words(line)) >= least:
-                rows.append(row)
-                places.append(pos)
-                words.append(ws)
-                lines.append(line)
-    return rows, places, words, lines
-
-
-def _again(rows: list[int], h1: np.ndarray, h2: np.ndarray) -> np.ndarray:
+def _again(rows: np.ndarray, h1: np.ndarray, h2: np.ndarray) -> np.ndarray:
     """Whether the same line stands earlier in the same row; lines come by row and position."""
     again = np.ones(len(rows), bool)
-    again[np.unique(_mixed(h1 ^ (h2 << np.uint64(1)), np.array(rows, np.int64)), return_index=True)[1]] = False
+    again[np.unique(mixed(h1 + mixed(h2 + rows.astype(np.uint64))), return_index=True)[1]] = False
     return again
 
 
+def _fields(docs: DataFrame, more: str) -> StructType:
+    """A schema that begins with the id and the keys of ``docs``."""
+    return StructType([docs.schema["id"], docs.schema["k1"], docs.schema["k2"], *_parse_datatype_string(more).fields])
+
+
 def hashed_lines(docs: DataFrame, min_words: int, fuzzy_words: int) -> DataFrame:
-    """(id, pos, h1, h2, again, halves) of the lines of ``docs`` (id, text); halves only of first and long enough ones."""
+    """The lines of ``docs`` (id, k1, k2, text) by hashes; halves only of first and long enough ones, ``head`` for one line of each row."""
+    schema = _fields(docs, "pos int, n int, h1 long, h2 long, again boolean, head boolean, halves array<long>")
 
     def run(batches):
         for batch in batches:
-            rows, places, words, _ = _lines(batch.column(1).to_pylist(), min_words)
-            hashed = Hashed(words)
-            h1, h2 = hashed.lines()
+            words = Words(batch.column(3))
+            hashed = LineHashes(words)
+            some = np.flatnonzero(words.n >= min_words)
+            h1, h2 = (h[some] for h in hashed.lines())
+            rows, n = words.row[some], words.n[some]
             again = _again(rows, h1, h2)
-            fuzzy = (hashed.n >= fuzzy_words) & ~again
+            fuzzy = (n >= fuzzy_words) & ~again
             sizes = np.concatenate([[0], np.cumsum(4 * fuzzy)]).astype(np.int32)
-            halves = pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), _longs(hashed.halves()[fuzzy].ravel()))
-            ids = batch.column(0).take(pa.array(rows, pa.int64()))
-            yield pa.RecordBatch.from_arrays([ids, pa.array(places, pa.int32()), _longs(h1), _longs(h2), pa.array(again), halves], ["id", "pos", "h1", "h2", "again", "halves"])
-
-    from pyspark.sql.types import StructType, _parse_datatype_string
-
-    return docs.mapInArrow(run, StructType([docs.schema["id"], *_parse_datatype_string("pos int, h1 long, h2 long, again boolean, halves array<long>").fields]))
+            halves = pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), _longs(hashed.halves()[some[fuzzy]].ravel()))
+            head = np.append(True, rows[1:] != rows[:-1])[: len(rows)]
+            at = pa.array(rows, pa.int64())
+            arrays = [*(batch.column(k).take(at) for k in range(3)), pa.array(words.pos[some].astype(np.int32)), pa.array(n.astype(np.int32)), _longs(h1), _longs(h2), pa.array(again), pa.array(head), halves]
+            yield pa.RecordBatch.from_arrays(arrays, schema.names)
 
-
-_CHUNK = 1 << 17
+    return docs.mapInArrow(run, schema)
 
 
 def _places(halves: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
     """Two bit positions of each half."""
     x = halves.view(np.uint64)
     mask = np.uint64((1 << bits) - 1)
-    return (x & mask).astype(np.int64), ((x * np.uint64(_BASES[0])) >> np.uint64(64 - bits)).astype(np.int64)
+    return (x & mask).astype(np.int64), (mixed(x) & mask).astype(np.int64)
 
 
 def bloom(shared: DataFrame, max_bits: int) -> tuple[int, np.ndarray]:
@@ -213,81 +150,96 @@ def _holds(shared: tuple[int, np.ndarray], halves: np.ndarray) -> np.ndarray:
     return out
 
 
-def near_copies(docs: DataFrame, lines: DataFrame, fuzzy_words: int, max_bits: int) -> DataFrame:
-    """(id, pos) of the first places of lines that are one edit away from an earlier line."""
-    from pyspark.sql.types import StructType, _parse_datatype_string
+def candidate_lines(docs: DataFrame, shared: DataFrame, fuzzy_words: int, max_bits: int) -> DataFrame:
+    """One row for each different line that may share a half, at its first place: id, k1, k2, pos, line, n, halves."""
+    filter_ = docs.sparkSession.sparkContext.broadcast(bloom(shared, max_bits))
+    schema = _fields(docs, "pos int, n int, h1 long, h2 long, halves array<long>, line string")
 
-    halves = lines.select("h1", F.explode("halves").alias("half"))
-    shared = halves.groupBy("half").agg(F.min("h1").alias("least"), F.max("h1").alias("most")).where("least <> most").select("half")
-    filter_ = docs.sparkSession.sparkContext.broadcast(bloom(written(shared, "lines-halves"), max_bits))
-
-    def candidates(batches):
+    def run(batches):
         for batch in batches:
-            rows, places, words, texts = _lines(batch.column(1).to_pylist(), fuzzy_words)
-            hashed = Hashed(words)
-            h1, h2 = hashed.lines()
-            shares = _holds(filter_.value, hashed.halves()) @ (1 << np.arange(4))
-            hit = np.flatnonzero((shares > 0) & ~_again(rows, h1, h2))
-            ids = batch.column(0).take(pa.array([rows[k] for k in hit], pa.int64()))
-            arrays = [ids, pa.array([places[k] for k in hit], pa.int32()), _longs(h1[hit]), _longs(h2[hit]), pa.array(shares[hit].astype(np.int32)), pa.array([texts[k] for k in hit], pa.string())]
-            yield pa.RecordBatch.from_arrays(arrays, ["id", "pos", "h1", "h2", "shares", "line"])
-
-    schema = StructType([docs.schema["id"], *_parse_datatype_string("pos int, h1 long, h2 long, shares int, line string").fields])
-    every = written(docs.mapInArrow(candidates, schema), "lines-candidates")
-    first = every.groupBy("h1", "h2").agg(F.min("id").alias("first"))
-    texts = every.join(first, ["h1", "h2"]).where(F.col("id").eqNullSafe(F.col("first"))).dropDuplicates(["h1", "h2"])
-    # Sorted over all partitions, so that the numbers of rows are in the order of lines.
-    ordered = texts.select("id", "pos", "shares", "line").orderBy(F.col("id").asc_nulls_last(), "pos", "line").withColumn("ord", F.monotonically_increasing_id())
-    texts = written(ordered, "lines-texts")
+            words = Words(batch.column(3))
+            hashed = LineHashes(words)
+            some = np.flatnonzero(words.n >= fuzzy_words)
+            halves = hashed.halves()[some]
+            hit = _holds(filter_.value, halves).any(axis=1)
+            some, halves = some[hit], halves[hit]
+            h1, h2 = (h[some] for h in hashed.lines())
+            first = ~_again(words.row[some], h1, h2)
+            some, halves, h1, h2 = some[first], halves[first], h1[first], h2[first]
+            at = pa.array(words.row[some], pa.int64())
+            listed = pa.ListArray.from_arrays(pa.array(4 * np.arange(len(some) + 1), pa.int32()), _longs(halves.ravel()))
+            lines = pa.array([words.line(k) for k in some], pa.string())
+            arrays = [*(batch.column(k).take(at) for k in range(3)), pa.array(words.pos[some].astype(np.int32)), pa.array(words.n[some].astype(np.int32)), _longs(h1), _longs(h2), listed, lines]
+            yield pa.RecordBatch.from_arrays(arrays, schema.names)
+
+    every = docs.mapInArrow(run, schema)
+    first = F.min(F.struct(*null_last("id"), *KEY, "pos", "n", "halves", "line")).alias("f")
+    return every.groupBy("h1", "h2").agg(first).select("f.id", *[f"f.{k}" for k in KEY], "f.pos", "f.n", "f.halves", "f.line")
 
-    def whole(batches):
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([_longs(Hashed([line_words(t) for t in batch.column(0).to_pylist()]).whole())], ["half"])
 
-    lines_held = docs.sparkSession.sparkContext.broadcast(bloom(texts.select("line").mapInArrow(whole, "half long"), max_bits))
+def near_copies(docs: DataFrame, lines: DataFrame, fuzzy_words: int, max_bits: int) -> DataFrame:
+    """(k1, k2, pos) of the first places of lines that are one edit away from an earlier line."""
+    halves = lines.select("h1", "n", F.explode("halves").alias("half"))
+    spread = [F.min("h1").alias("low"), F.max("h1").alias("high"), F.min("n").alias("least"), F.max("n").alias("most")]
+    shared = written(halves.groupBy("half").agg(*spread).where("low <> high").select("half", "least", "most"), "lines-halves")
+    every = written(candidate_lines(docs, shared, fuzzy_words, max_bits), "lines-candidates")
+    # Sorted over all partitions, so that the numbers of rows are in the order of lines.
+    ordered = every.orderBy(F.col("id").asc_nulls_last(), *KEY, "pos").withColumn("ord", F.monotonically_increasing_id())
+    texts = written(ordered.select(*KEY, "pos", "line", "halves", "n", "ord"), "lines-texts")
+
+    # Which variants a line needs, as bits. The word that differs is in the half that isn't shared (1, 4); where a word is
+    # left out (2, 8), another line is one word shorter, and as a whole (16) a line counts if another is one word longer.
+    longer = F.when(F.col("most") > F.col("n"), 16).otherwise(0)
+    shorter = F.col("least") < F.col("n")
+    needs = F.when(F.col("j") == 0, longer + 1).when(F.col("j") == 2, longer + 4).when((F.col("j") == 1) & shorter, 2).when((F.col("j") == 3) & shorter, 8).otherwise(0)
+    needed = texts.select("ord", "n", F.posexplode("halves").alias("j", "half")).join(shared, "half").groupBy("ord").agg(F.bit_or(needs).alias("needs")).where("needs <> 0")
+    wanted = texts.select("ord", "line").join(needed, "ord")
 
     def emit(batches):
         for batch in batches:
-            hashed, shares, ord_ = Hashed([line_words(t) for t in batch.column("line").to_pylist()]), batch.column("shares").to_numpy(), batch.column("ord").to_numpy()
+            hashed, needs, ord_ = LineHashes(Words(batch.column("line"), lines=False)), batch.column("needs").to_numpy(), batch.column("ord").to_numpy()
             line, place, without, placed = hashed.variants()
-            n, bit = hashed.n[line], lambda k: (shares[line] >> k) & 1 == 1
-            # The word that differs is in the half that isn't shared; a line that lacks a word must be one of the candidates.
+            n, bit = hashed.n[line], lambda k: (needs[line] >> k) & 1 == 1
             swapped = np.where(place >= n // 2, bit(0), bit(2))
-            longer = np.where(place >= (n - 1) // 2, bit(1), bit(3)) & _holds(lines_held.value, without)
-            keys = np.concatenate([hashed.whole(), without[longer], placed[swapped]])
-            kinds = np.repeat([0, 1, 2], [len(hashed.n), longer.sum(), swapped.sum()]).astype(np.int32)
-            ords = np.concatenate([ord_, ord_[line[longer]], ord_[line[swapped]]])
+            fewer = np.where(place >= (n - 1) // 2, bit(1), bit(3))
+            whole = (needs >> 4) & 1 == 1
+            keys = np.concatenate([hashed.whole()[whole], without[fewer], placed[swapped]])
+            kinds = np.repeat([0, 1, 2], [whole.sum(), fewer.sum(), swapped.sum()]).astype(np.int32)
+            ords = np.concatenate([ord_[whole], ord_[line[fewer]], ord_[line[swapped]]])
             yield pa.RecordBatch.from_arrays([_longs(keys), pa.array(kinds), pa.array(ords, pa.int64())], ["key", "kind", "ord"])
 
-    variants = texts.select("line", "shares", "ord").mapInArrow(emit, "key long, kind int, ord long")
+    variants = wanted.select("line", "needs", "ord").mapInArrow(emit, "key long, kind int, ord long")
     least = [F.min(F.when(F.col("kind") == k, F.col("ord"))).alias(f"least{k}") for k in range(3)]
     groups = variants.groupBy("key").agg(*least, F.count(F.lit(1)).alias("members")).where("members > 1").drop("members")
     # A line meets the earliest line that lacks one of its words, that has one more, or that differs at the same place.
     met = variants.join(groups, "key").withColumn("earlier", F.when(F.col("kind") == 0, F.col("least1")).when(F.col("kind") == 1, F.col("least0")).otherwise(F.col("least2")))
     pairs = met.where(F.col("earlier") < F.col("ord")).select("ord", "earlier").distinct()
-    ours = texts.select("ord", "id", "pos", F.col("line").alias("mine"))
+    ours = texts.select("ord", *KEY, "pos", F.col("line").alias("mine"))
     theirs = texts.select(F.col("ord").alias("earlier"), F.col("line").alias("theirs"))
-    both = pairs.join(ours, "ord").join(theirs, "earlier").select("id", "pos", "mine", "theirs")
+    both = pairs.join(ours, "ord").join(theirs, "earlier").select(*KEY, "pos", "mine", "theirs")
 
     def verify(batches):
         for batch in batches:
             good = [one_edit(line_words(a), line_words(b)) for a, b in zip(batch.column("mine").to_pylist(), batch.column("theirs").to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("pos")], ["id", "pos"]).filter(pa.array(good, pa.bool_()))
+            yield pa.RecordBatch.from_arrays([batch.column(c) for c in (*KEY, "pos")], [*KEY, "pos"]).filter(pa.array(good, pa.bool_()))
 
-    return both.mapInArrow(verify, StructType([schema["id"], schema["pos"]])).distinct()
+    return both.mapInArrow(verify, "k1 long, k2 long, pos int").distinct()
 
 
-def repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS, fuzzy_words: int = FUZZY_WORDS, max_bits: int = MAX_BITS) -> DataFrame:
-    """(id, pos, near) of the lines of ``docs`` (id, text) that go: copies, and near copies where ``near``."""
+def repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS, fuzzy_words: int = FUZZY_WORDS, max_bits: int = MAX_BITS) -> tuple[DataFrame, DataFrame]:
+    """The lines of ``docs`` (id, k1, k2, text) that go, (k1, k2, pos, near): copies, and near copies where ``near``; and the keys of repeated rows."""
     for_python(docs.sparkSession)
     lines = written(hashed_lines(docs, min_words, fuzzy_words), "lines-hashed")
     once = lines.where(~F.col("again"))
-    first = once.groupBy("h1", "h2").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("places")).where("places > 1 AND first IS NOT NULL").drop("places")
+    first = F.min(F.struct(*null_last("id"), *KEY)).alias("first")
+    first = once.groupBy("h1", "h2").agg(first, F.count(F.lit(1)).alias("places")).where("places > 1").select("h1", "h2", *[F.col(f"first.{k}").alias(f"first_{k}") for k in KEY])
     # Written, so that both sides of the join are plain shuffles, whose hot partitions Spark splits.
     first = written(first, "lines-first")
-    copies = once.select("id", "pos", "h1", "h2").join(first, ["h1", "h2"]).where(~F.col("id").eqNullSafe(F.col("first"))).select("id", "pos")
-    copies = copies.unionByName(lines.where("again").select("id", "pos")).withColumn("near", F.lit(False))
-    return copies.unionByName(near_copies(docs, lines, fuzzy_words, max_bits).withColumn("near", F.lit(True)))
+    copies = once.select(*KEY, "pos", "h1", "h2").join(first, ["h1", "h2"]).where("k1 <> first_k1 OR k2 <> first_k2").select(*KEY, "pos")
+    copies = copies.unionByName(lines.where("again").select(*KEY, "pos")).withColumn("near", F.lit(False))
+    near = near_copies(docs, lines, fuzzy_words, max_bits).withColumn("near", F.lit(True))
+    repeated = lines.where("head").groupBy(*KEY).agg(F.count(F.lit(1)).alias("rows")).where("rows > 1").select(*KEY)
+    return copies.unionByName(near), written(repeated, "lines-rows")
 
 
 def _kept_text(text: Column, gone: Column) -> Column:
@@ -297,15 +249,29 @@ def _kept_text(text: Column, gone: Column) -> Column:
     return F.array_join(F.transform(F.array(lines), lambda ls: F.transform(left, lambda k: F.get(ls, k)))[0], "\n")
 
 
-def _decided(docs: DataFrame, id_col: str, text_col: str, **options) -> DataFrame:
-    """row, text, left (the text without its repeated lines), n_copies and n_near of every row."""
-    lean = docs.select(F.struct(*docs.columns).alias("row"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    gone = repeated_lines(lean.select("id", "text"), **options)
-    by_doc = gone.groupBy(F.col("id").alias("of")).agg(F.collect_set(F.struct("pos", "near")).alias("g"))
-    by_doc = by_doc.select("of", F.col("g.pos").alias("gone"), F.size(F.filter("g", lambda x: ~x["near"])).cast("long").alias("n_copies"), F.size(F.filter("g", lambda x: x["near"])).cast("long").alias("n_near"))
-    met = lean.join(by_doc, F.col("id").eqNullSafe(F.col("of")), "left")
+def _without_later_rows(decided: DataFrame, repeated: DataFrame, min_words: int) -> DataFrame:
+    """``decided`` where rows that are equal to an earlier one lose all their lines of ``min_words`` words or more."""
+    if repeated.isEmpty():
+        return decided
+    rest, rows = decided.join(repeated, list(KEY), "left_anti"), decided.join(repeated, list(KEY), "left_semi")
+    words = lambda x: F.size(F.filter(F.split(x, SPACE_RUN), lambda w: w != ""))
+    said = F.filter(F.transform(F.split("text", "\n"), lambda x, k: F.when(words(x) >= min_words, k)), lambda k: k.isNotNull())
+    later = F.row_number().over(W.partitionBy(*KEY).orderBy("n_copies")) > 1
+    numbered = rows.withColumn("later", later).withColumn("gone", F.when(F.col("later"), said).otherwise(F.col("gone")))
+    counts = {"n_copies": F.when(F.col("later"), F.size("gone").cast("long")).otherwise(F.col("n_copies")), "n_near": F.when(F.col("later"), F.lit(0).cast("long")).otherwise(F.col("n_near"))}
+    return rest.unionByName(numbered.withColumns(counts).drop("later"))
+
+
+def _decided(docs: DataFrame, id_col: str, text_col: str, min_words: int = MIN_WORDS, **options) -> DataFrame:
+    """row, text, gone, left (the text without its repeated lines), n_copies and n_near of every row."""
+    k1, k2 = row_keys(docs)
+    lean = docs.select(row_of(docs).alias("row"), F.col(id_col).alias("id"), k1.alias("k1"), k2.alias("k2"), F.col(text_col).alias("text"))
+    gone, repeated = repeated_lines(lean.select("id", *KEY, "text"), min_words, **options)
+    by_row = gone.groupBy(*KEY).agg(F.collect_set(F.struct("pos", "near")).alias("g"))
+    by_row = by_row.select(*KEY, F.col("g.pos").alias("gone"), F.size(F.filter("g", lambda x: ~x["near"])).cast("long").alias("n_copies"), F.size(F.filter("g", lambda x: x["near"])).cast("long").alias("n_near"))
+    met = lean.join(by_row, list(KEY), "left").withColumns({c: F.coalesce(c, F.lit(0)) for c in ("n_copies", "n_near")})
     left = F.when(F.col("gone").isNull(), F.col("text")).otherwise(_kept_text(F.col("text"), F.col("gone")))
-    return met.withColumn("left", left).withColumns({c: F.coalesce(c, F.lit(0)) for c in ("n_copies", "n_near")})
+    return _without_later_rows(met, repeated, min_words).withColumn("left", left)
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
