@@ -2,25 +2,30 @@
 
 Every source gets a target of words: a share of all words by weight, stopped at
 ``max_repeats`` times the source's size, the excess reshared by weight. Within a
-source each document is expected ``target / source_size`` times: its whole part
-is allocated as certain copies, its fraction is an inclusion probability p.
+source, documents are expected as often as their length class weighs
+(``2 ** (TILT * b)`` for texts of 2**b words or more), scaled to the source's target and
+stopped at ``max_repeats``. The whole part of that number is allocated as
+certain copies, its fraction is a document's inclusion probability p.
 The rest of the target is then a sample of fixed size in Pareto order: documents
 are ranked by their random odds divided by their inclusion odds,
 ``(u / (1 - u)) / (p / (1 - p))``, and taken from the smallest on.
 
-The sample is fixed in words, not in rows: a round takes the longest prefix of
-the order that fits; documents larger than what is left can't fit any more, so
-the next round goes on with the smaller ones behind them. What ``ROUNDS`` rounds
-leave is made up by one smallest document if that comes nearer.
+The sample is fixed in words, not in rows: going through the order, a document
+is taken if it still fits. So what is left of a target is less than any document
+that isn't taken.
 
-At scale: texts are read once, their sizes are written to the shared folder;
-each round sums sizes by (source, bin of the order) with map-side partial sums,
-and only the rows of the one bin of a source in which the prefix ends are
-ordered. A source with most of the rows is thus never in one task.
+At scale: texts are read once and their sizes written to the shared folder.
+The order is cut into 2**24 bins. Sums of words by (source, bin) give the bin in
+which a source's words run out, 64 sums a step (``narrowed``), so that no task gets
+the bins of a hot source. All before that bin is taken. Behind it, of the documents
+of one size only the first few can still fit, as many as the words left hold:
+R words are left for at most R / n documents of n words. That bin and these
+documents (R log R at most, where R is no more than one bin's words) are gone
+through one by one.
 
 Defined results
-* null or empty text: size 0, taken 0, never sampled beyond its certain copies. Null source: a source of its own, ranked last.
-* repeated doc_ids: each row is sampled; equal ids tie on u and go by size.
+* null or empty text: size 0, never taken. Null source: a source of its own, ranked last.
+* equal or null doc_ids: u depends on the text too, so each row is sampled by itself; rows equal in id and text tie, which doesn't show.
 * a source without words: target 0. Empty table: empty result.
 * extra columns: not carried; names with ``__`` are internal.
 """
@@ -31,24 +36,29 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import hash_uniform, table, words_of, written
+from .common import for_python, hash_uniform, table, words_of, written
 
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
 MAX_REPEATS = 2
 SEED = "mix-1"
-BINS = 4096
-ROUNDS = 6
+TILT = 0.25
+#: Bins of the order: LEVELS times DIGIT bits.
+DIGIT, LEVELS = 6, 4
 
 
-def source_targets(sizes: DataFrame, weights: tuple[int, ...], share: float, max_repeats: int) -> DataFrame:
-    """One row per source: source, source_size, target, whole copies, and words left to sample.
+def class_weights(tilt: float) -> list[int]:
+    """The weight of each length class, in whole numbers."""
+    return [round(16 * 2 ** (tilt * b)) for b in range(63)]
+
+
+def source_targets(per: DataFrame, weights: tuple[int, ...], share: float, max_repeats: int) -> DataFrame:
+    """One row per source (source, source_size) with its target.
 
     Runs over one row per source. Water filling in closed form: with sources by
     ``cap / weight``, a source is stopped at its cap where the level that the
     sources from it on would share reaches that cap.
     """
-    per = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
     ranked = W.orderBy(F.col("source").asc_nulls_last())
     everything = W.partitionBy(F.lit(0))
     by_cap = W.partitionBy(F.lit(0)).orderBy(F.col("cap") / F.col("weight"), F.col("source").asc_nulls_last())
@@ -63,14 +73,22 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...], share: float, max
     )
     shared = F.min(F.when(~F.col("stopped"), F.struct(F.col("cap") / F.col("weight"), "source", "__level"))).over(everything)["__level"]
     target = F.round(F.when(F.col("stopped"), F.col("cap").cast("double")).otherwise(F.col("weight") * shared), 6)
-    copies = F.coalesce(F.try_divide(F.col("target"), F.col("source_size")), F.lit(0.0))
-    return (
-        level.withColumn("target", target)
-        .withColumn("copies", F.floor(copies + 1e-9).cast("long"))
-        .withColumn("p", F.greatest(copies - F.col("copies"), F.lit(0.0)))
-        .withColumn("room", F.greatest(F.floor(F.col("target") - F.col("copies") * F.col("source_size") + 1e-6), F.lit(0)).cast("long"))
-        .select("source", "source_size", "target", "copies", "p", "room")
-    )
+    return level.withColumn("target", target).select("source", "source_size", "target")
+
+
+def class_copies(classes: DataFrame, targets: DataFrame, max_repeats: int, tilt: float) -> DataFrame:
+    """``classes`` (source, b, words) with target, source_size, certain copies, p and room (words to sample) - at most 63 rows a source."""
+    met = _with_source(classes, targets).withColumn("g", F.get(F.array(*map(F.lit, class_weights(tilt))), F.col("b")).cast("long"))
+    heavier = W.partitionBy("source").orderBy(F.desc("b")).rowsBetween(W.unboundedPreceding, -1)
+    lighter = W.partitionBy("source").orderBy("b").rowsBetween(W.unboundedPreceding, 0)
+    source = W.partitionBy("source")
+    met = met.withColumn("__level", (F.col("target") - max_repeats * F.coalesce(F.sum("words").over(heavier), F.lit(0))) / F.sum(F.col("words") * F.col("g")).over(lighter))
+    met = met.withColumn("stopped", F.col("g") * F.col("__level") >= max_repeats)
+    shared = F.max(F.when(~F.col("stopped"), F.struct("b", "__level"))).over(source)["__level"]
+    expected = F.when(F.col("stopped"), F.lit(float(max_repeats))).otherwise(F.col("g") * shared)
+    met = met.withColumn("__expected", expected).withColumn("copies", F.floor(F.col("__expected") + 1e-9).cast("long"))
+    room = F.floor(F.col("target") - F.sum(F.col("copies") * F.col("words")).over(source) + 1e-6)
+    return met.withColumn("p", F.greatest(F.col("__expected") - F.col("copies"), F.lit(0.0))).withColumn("room", F.greatest(room, F.lit(0)).cast("long")).select("source", "b", "copies", "p", "room")
 
 
 def pareto_order(u: Column, p: Column) -> Column:
@@ -79,40 +97,72 @@ def pareto_order(u: Column, p: Column) -> Column:
     return F.when(p <= 0, F.lit(1.0)).otherwise(odds / (1 + odds))
 
 
-def mix_sizes(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, max_repeats: int = MAX_REPEATS, seed: str = SEED, bins: int = BINS, rounds: int = ROUNDS) -> DataFrame:
-    """``sizes`` (doc_id, source, size) with source_size, target and copies of each row."""
-    targets = written(source_targets(sizes, weights, share, max_repeats), "mix-targets")
-    u, order = hash_uniform(seed, F.col("doc_id")), pareto_order(F.col("u"), F.col("p"))
-    state = _with_source(sizes, targets).withColumn("u", u).withColumn("at", order).withColumn("took", F.lit(False))
-    # All documents of a source have one p, so their order is that of u, whose bins are even.
-    state = state.withColumn("bin", F.floor(F.col("u") * bins).cast("int")).drop("u", "p", "room")
-    state, room = written(state, "mix-rows"), targets.select("source", "room")
-    cols = state.columns
-    in_order = W.partitionBy("source").orderBy("at", "doc_id", "size").rowsBetween(W.unboundedPreceding, 0)
-    for _ in range(rounds):
-        fits = _with_source(state, room).where(~F.col("took") & (F.col("size") > 0) & (F.col("size") <= F.col("room")))
-        by_bin = fits.groupBy("source", "bin").agg(F.sum("size").alias("words"), F.first("room").alias("room"))
-        upto = by_bin.withColumn("upto", F.sum("words").over(W.partitionBy("source").orderBy("bin").rowsBetween(W.unboundedPreceding, 0)))
-        within = F.col("upto") <= F.col("room")
-        cut = upto.groupBy("source").agg(F.first("room").alias("room"), F.coalesce(F.min(F.when(~within, F.col("bin"))), F.lit(bins)).alias("cut"), F.coalesce(F.max(F.when(within, F.col("upto"))), F.lit(0)).alias("before"))
-        marked = _with_source(state, written(cut, "mix-cut"))
-        fit = ~F.col("took") & (F.col("size") > 0) & F.coalesce(F.col("size") <= F.col("room"), F.lit(False))
-        at_edge = fit & (F.col("bin") == F.col("cut"))
-        edge = marked.where(at_edge).withColumn("took", F.sum("size").over(in_order) + F.col("before") <= F.col("room"))
-        clear = marked.where(~at_edge).withColumn("took", F.col("took") | (fit & (F.col("bin") < F.col("cut"))))
-        state = written(clear.select(*cols).unionByName(edge.select(*cols)), "mix-rows")
-        used = state.groupBy("source").agg(F.sum(F.when(F.col("took"), F.col("size")).otherwise(0)).alias("used"))
-        left = _with_source(targets.select("source", "room"), used)
-        # Written, so that its size is known and the rows needn't be shuffled by source to meet it.
-        room = written(left.select("source", (F.col("room") - F.col("used")).alias("room")), "mix-room")
-    # What is left is smaller than any document; the smallest one is taken if that comes nearer to the target.
-    near = _with_source(state, room)
-    could = ~F.col("took") & (F.col("size") > 0) & F.coalesce(F.col("size") < 2 * F.col("room"), F.lit(False))
-    marked = _with_source(near, written(near.where(could).groupBy("source").agg(F.min(F.struct("size", "at")).alias("least")), "mix-least"))
-    at_edge = could & (F.struct("size", "at") == F.col("least"))
-    last = F.row_number().over(W.partitionBy("source").orderBy("doc_id")) == 1
-    state = marked.where(~F.coalesce(at_edge, F.lit(False))).select(*cols).unionByName(marked.where(at_edge).withColumn("took", last).select(*cols))
-    return state.withColumn("copies", F.col("copies") + F.col("took").cast("long")).drop("took", "bin", "at")
+def narrowed(bins: DataFrame, keys: list[str]) -> DataFrame:
+    """For each key the first bin x at which the running sum of ``value`` goes over ``limit``, and the sum before it.
+
+    ``bins`` has keys, x, value and limit; keys whose sum stays within their
+    limit have no row. Goes down LEVELS times, over 2**DIGIT sums a key.
+    """
+    found = None
+    for level in range(LEVELS - 1, -1, -1):
+        some = bins if found is None else bins.join(found.select(*[F.col(k).alias(f"__{k}") for k in keys], "__x", "before"), _same(keys) & (F.shiftright("x", DIGIT * (level + 1)) == F.col("__x")))
+        before = F.lit(0).cast("long") if found is None else F.col("before")
+        sums = some.groupBy(*keys, F.shiftright("x", DIGIT * level).alias("__x")).agg(F.sum("value").alias("value"), F.first("limit").alias("limit"), F.first(before).alias("before"))
+        upto = sums.withColumn("upto", F.col("before") + F.sum("value").over(W.partitionBy(*keys).orderBy("__x").rowsBetween(W.unboundedPreceding, 0)))
+        over = upto.where(F.col("upto") > F.col("limit"))
+        found = over.groupBy(*keys).agg(F.min(F.struct("__x", (F.col("upto") - F.col("value")).alias("before"))).alias("f")).select(*keys, "f.__x", "f.before")
+    return found.withColumnRenamed("__x", "x")
+
+
+def _same(keys: list[str]) -> Column:
+    out = F.lit(True)
+    for k in keys:
+        out = out & F.col(k).eqNullSafe(F.col(f"__{k}"))
+    return out
+
+
+def mix_sizes(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, max_repeats: int = MAX_REPEATS, seed: str = SEED, tilt: float = TILT) -> DataFrame:
+    """``sizes`` (doc_id, source, size and perhaps tag, a digest of the text) with source_size, target and copies of each row."""
+    for_python(sizes.sparkSession)
+    if "tag" not in sizes.columns:
+        sizes = sizes.withColumn("tag", F.lit(""))
+    # The length class of a text of 2**b words or more is b.
+    length = F.when(F.col("size") > 0, F.length(F.bin("size")) - 1)
+    rows = written(sizes.select(F.monotonically_increasing_id().alias("rid"), "doc_id", "tag", "source", "size", length.alias("b")), "mix-sizes")
+    words = written(rows.groupBy("source", "b").agg(F.sum("size").alias("words")), "mix-words")
+    targets = written(source_targets(words.groupBy("source").agg(F.sum("words").alias("source_size")), weights, share, max_repeats), "mix-targets")
+    classes = written(class_copies(words.where("b IS NOT NULL"), targets, max_repeats, tilt), "mix-classes")
+
+    order = pareto_order(hash_uniform(seed, F.col("doc_id"), F.col("tag")), F.col("p"))
+    x = F.least(F.floor(F.col("at") * (1 << DIGIT * LEVELS)), F.lit((1 << DIGIT * LEVELS) - 1)).cast("int")
+    met = rows.join(classes.select(F.col("source").alias("__source"), F.col("b").alias("__b"), "copies", "p", "room"), _same(["source", "b"]), "left")
+    placed = met.withColumn("at", order).withColumn("x", F.when((F.col("p") > 0) & (F.col("room") > 0), x))
+    placed = written(placed.select(*rows.columns, F.coalesce("copies", F.lit(0)).cast("long").alias("copies"), "room", "at", "x"), "mix-placed")
+
+    sampled = placed.where("x IS NOT NULL")
+    by_bin = sampled.groupBy("source", "x").agg(F.sum("size").alias("value"), F.first("room").alias("limit"))
+    cut = narrowed(written(by_bin, "mix-bins"), ["source"])
+    rooms = classes.select("source", "room").distinct()
+    cut = written(_with_source(cut, rooms).select("source", F.col("x").alias("cut"), (F.col("room") - F.col("before")).alias("left")), "mix-cut")
+    tail = written(_with_source(sampled, cut).where("x >= cut AND size <= left").select("source", "size", "x", "cut", "left", "rid", "doc_id", "tag", "at"), "mix-tail")
+    # Behind the bin in which the words run out, ``left`` words hold so many documents of one size at most.
+    behind = tail.where("x > cut").groupBy("source", "size", "x").agg(F.count(F.lit(1)).alias("value"), F.first(F.expr("left div size")).alias("limit"))
+    last = written(narrowed(written(behind, "mix-behind"), ["source", "size"]).withColumnRenamed("x", "last"), "mix-last")
+    tail = tail.join(last.select(F.col("source").alias("__source"), F.col("size").alias("__size"), "last"), _same(["source", "size"]), "left").where("last IS NULL OR x <= last")
+
+    def fill(rows):
+        rows = rows.sort_values(["at", "doc_id", "tag", "size"], na_position="last")
+        left, took = int(rows["left"].iloc[0]) if len(rows) else 0, []
+        for size in rows["size"]:
+            took.append(size <= left)
+            left -= size if took[-1] else 0
+        return rows.loc[took, ["rid"]]
+
+    took = written(tail.select("source", "rid", "doc_id", "tag", "size", "at", "left").groupBy("source").applyInPandas(fill, "rid long"), "mix-took")
+    marked = _with_source(placed, cut).join(took.select("rid", F.lit(True).alias("took")), "rid", "left")
+    # A source whose words don't run out has no cut: all that is sampled is taken.
+    taken = F.col("x").isNotNull() & (F.col("cut").isNull() | (F.col("x") < F.col("cut")) | F.col("took").isNotNull())
+    return _with_source(marked, targets).select("doc_id", "source", "size", "source_size", "target", (F.col("copies") + taken.cast("long")).alias("copies"))
 
 
 def _with_source(rows: DataFrame, per_source: DataFrame) -> DataFrame:
@@ -123,8 +173,8 @@ def _with_source(rows: DataFrame, per_source: DataFrame) -> DataFrame:
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
     """Word counts of ``docs`` mixed as by ``mix_sizes``: doc_id, source, size, source_size, target, copies."""
-    counted = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), F.size(words_of(F.col(text_col))).cast("long").alias("size"))
-    return mix_sizes(written(counted, "mix-sizes"), **options)
+    counted = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), F.size(words_of(F.col(text_col))).cast("long").alias("size"), F.md5(F.coalesce(F.col(text_col), F.lit(""))).alias("tag"))
+    return mix_sizes(counted, **options)
 
 
 def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -132,23 +182,13 @@ def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies")
 
 
-def oracle_sql(weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, max_repeats: int = MAX_REPEATS, seed: str = SEED, rounds: int = ROUNDS, docs: str = "documents") -> str:
-    """The same mix in plain SQL: water filling in closed form, and one window over each source per round."""
+def oracle_sql(weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, max_repeats: int = MAX_REPEATS, seed: str = SEED, tilt: float = TILT, docs: str = "documents") -> str:
+    """The same mix in plain SQL: water filling in closed form, and a walk through each source's order, one document a step."""
     weight = " ".join(f"WHEN {k} THEN {w}" for k, w in enumerate(weights))
-    steps = ""
-    for k in range(1, rounds + 1):
-        steps += f""",
-r{k} AS (SELECT o.doc_id, o.source, o.size, o.source_size, o.target, o.copies, o.p, o.pos, o.room,
-    o.took OR coalesce(o.run <= o.room, false) AS took
-  FROM (SELECT *, CASE WHEN NOT took AND size > 0 AND size <= room THEN sum(CASE WHEN NOT took AND size > 0 AND size <= room THEN size ELSE 0 END)
-      OVER (PARTITION BY source ORDER BY pos, doc_id, size ROWS UNBOUNDED PRECEDING) END AS run FROM s{k - 1}) o),
-s{k} AS (SELECT doc_id, source, size, source_size, target, copies, p, pos, took,
-    CAST(first_room - sum(CASE WHEN took THEN size ELSE 0 END) OVER (PARTITION BY source) AS BIGINT) AS room, first_room
-  FROM (SELECT r.*, t.room AS first_room FROM r{k} r JOIN t ON r.source IS NOT DISTINCT FROM t.source))"""
-    could = "NOT took AND size > 0 AND size < 2 * room"
+    heavy = ", ".join(map(str, class_weights(tilt)))
     return rf"""
-WITH d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^ 	-
-]+')) AS BIGINT) AS size FROM {docs}),
+WITH RECURSIVE d AS (SELECT doc_id, source, md5(coalesce(text, '')) AS tag, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size FROM {docs}),
+e AS (SELECT *, CASE WHEN size > 0 THEN length(bin(size)) - 1 END AS b, row_number() OVER () AS rid FROM d),
 per AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
 w AS (SELECT *, source_size * {max_repeats} AS cap,
     CASE (row_number() OVER (ORDER BY source NULLS LAST) - 1) % {len(weights)} {weight} END AS weight FROM per),
@@ -156,15 +196,22 @@ l AS (SELECT *, (sum(source_size) OVER () * {share}::DOUBLE
       - coalesce(sum(cap) OVER (ORDER BY cap::DOUBLE / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
     / (sum(weight) OVER () - coalesce(sum(weight) OVER (ORDER BY cap::DOUBLE / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) AS level FROM w),
 c AS (SELECT *, cap <= weight * level AS stopped FROM l),
-g AS (SELECT *, round(CASE WHEN stopped THEN cap::DOUBLE ELSE weight * (SELECT arg_min(level, cap::DOUBLE / weight) FROM c WHERE NOT stopped) END, 6) AS target FROM c),
-h AS (SELECT *, CAST(floor(coalesce(target / nullif(source_size, 0), 0) + 1e-9) AS BIGINT) AS copies FROM g),
-t AS (SELECT source, source_size, target, copies, greatest(coalesce(target / nullif(source_size, 0), 0) - copies, 0) AS p,
-    CAST(greatest(floor(target - copies * source_size + 1e-6), 0) AS BIGINT) AS room FROM h),
-u AS (SELECT d.doc_id, d.source, d.size, t.source_size, t.target, t.copies, t.p, t.room,
-    (('0x' || substring(md5('{seed}:' || d.doc_id), 1, 13))::BIGINT::DOUBLE + 0.5) / {1 << 52}::DOUBLE AS u
-  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
-s0 AS (SELECT *, CASE WHEN p <= 0 THEN 1.0 ELSE ((u / (1 - u)) * ((1 - p) / p)) / (1 + (u / (1 - u)) * ((1 - p) / p)) END AS pos,
-    false AS took, room AS first_room FROM u){steps}
-, e AS (SELECT * EXCLUDE (took), took OR ({could} AND row_number() OVER (PARTITION BY source, {could} ORDER BY size, pos, doc_id) = 1) AS took FROM s{rounds})
-SELECT doc_id, size, source_size, target, CAST(size * (copies + took::INT) AS BIGINT) AS taken, CAST(copies + took::INT AS BIGINT) AS copies FROM e
+t AS (SELECT source, source_size, round(CASE WHEN stopped THEN cap::DOUBLE ELSE weight * (SELECT arg_min(level, cap::DOUBLE / weight) FROM c WHERE NOT stopped) END, 6) AS target FROM c),
+k AS (SELECT e.source, b, target, CAST(sum(size) AS BIGINT) AS words, ([{heavy}])[b + 1] AS g FROM e JOIN t ON e.source IS NOT DISTINCT FROM t.source WHERE size > 0 GROUP BY ALL),
+kl AS (SELECT k.*, (target - {max_repeats} * coalesce((SELECT sum(words) FROM k o WHERE o.source IS NOT DISTINCT FROM k.source AND o.b > k.b), 0))
+    / (SELECT CAST(sum(words * g) AS BIGINT) FROM k o WHERE o.source IS NOT DISTINCT FROM k.source AND o.b <= k.b)::DOUBLE AS level FROM k),
+kc AS (SELECT *, coalesce(g * (SELECT arg_max(o.level, o.b) FROM kl o WHERE o.source IS NOT DISTINCT FROM kl.source AND o.g * o.level < {max_repeats}), 0.0) AS free, g * level >= {max_repeats} AS stopped FROM kl),
+kx AS (SELECT *, CASE WHEN stopped THEN {max_repeats}::DOUBLE ELSE free END AS expected FROM kc),
+kp AS (SELECT *, CAST(floor(expected + 1e-9::DOUBLE) AS BIGINT) AS copies FROM kx),
+kr AS (SELECT source, b, copies, greatest(expected - copies, 0) AS p, CAST(greatest(floor(target - CAST(sum(copies * words) OVER (PARTITION BY source) AS BIGINT) + 1e-6::DOUBLE), 0) AS BIGINT) AS room FROM kp),
+u AS (SELECT e.rid, e.doc_id, e.tag, e.source, e.size, kr.p, kr.room,
+    (('0x' || substring(md5(concat_ws(':', '{seed}', e.doc_id, e.tag)), 1, 13))::BIGINT::DOUBLE + 0.5) / {1 << 52}::DOUBLE AS u
+  FROM e JOIN kr ON e.source IS NOT DISTINCT FROM kr.source AND e.b = kr.b WHERE kr.p > 0 AND kr.room > 0),
+o AS (SELECT *, dense_rank() OVER (ORDER BY source NULLS LAST) AS s, row_number() OVER (PARTITION BY source
+    ORDER BY ((u / (1 - u)) * ((1 - p) / p)) / (1 + (u / (1 - u)) * ((1 - p) / p)), doc_id NULLS LAST, tag, size) AS nth FROM u),
+walk AS (SELECT s, 0::BIGINT AS nth, max(room) AS room, NULL::BIGINT AS rid, false AS took FROM o GROUP BY s
+  UNION ALL SELECT walk.s, o.nth, walk.room - CASE WHEN o.size <= walk.room THEN o.size ELSE 0 END, o.rid, o.size <= walk.room FROM walk JOIN o ON o.s = walk.s AND o.nth = walk.nth + 1)
+SELECT e.doc_id, e.size, t.source_size, t.target, CAST(e.size * (coalesce(kr.copies, 0) + coalesce(walk.took, false)::INT) AS BIGINT) AS taken,
+  CAST(coalesce(kr.copies, 0) + coalesce(walk.took, false)::INT AS BIGINT) AS copies
+FROM e JOIN t ON e.source IS NOT DISTINCT FROM t.source LEFT JOIN kr ON e.source IS NOT DISTINCT FROM kr.source AND e.b = kr.b LEFT JOIN walk ON walk.rid = e.rid
 """
