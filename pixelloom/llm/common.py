@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 import zipfile
@@ -71,6 +72,12 @@ def written(df: DataFrame, what: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def tidy(spark: SparkSession) -> None:
+    """Let go of shuffle files of plans that nobody holds any more, before a step that needs disk itself."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def words_of(text: Column) -> Column:
     """Words ``[^\\x20\\x09-\\x0D]+`` of a text as an array; null has none."""
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), SPACE_RUN), "")
@@ -88,9 +95,21 @@ def row_keys(df: DataFrame) -> tuple[Column, Column]:
     return F.xxhash64(F.lit("k1"), *columns), F.xxhash64(F.lit("k2"), *columns)
 
 
-def row_of(df: DataFrame) -> Column:
-    """A whole row as one struct, so that its names can't clash with an operator's own."""
-    return F.struct(*[F.col(f"`{c}`") for c in df.columns])
+def row_of(df: DataFrame, but: str | None = None) -> Column:
+    """A whole row (``but`` one column) as one struct, so that its names can't clash with an operator's own."""
+    return F.struct(*[F.col(f"`{c}`") for c in df.columns if c != but] or [F.lit(None).alias("none")])
+
+
+def beside(found: DataFrame, names: list[str], own: list[str], row: str = "row") -> DataFrame:
+    """The fields ``names`` of the struct ``row`` and the columns ``own``; an own name that the row has, too, gets underscores behind it."""
+    taken, columns = set(names), [F.col(row).getField(c).alias(c) for c in names]
+    for name in own:
+        free = name
+        while free in taken:
+            free += "_"
+        taken.add(free)
+        columns.append(F.col(name).alias(free))
+    return found.select(*columns)
 
 
 def null_last(name: str) -> tuple[Column, Column]:

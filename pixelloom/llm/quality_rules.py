@@ -19,10 +19,12 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, words_of
+from .common import SPACES, row_of, table, words_of
 
 WINDOW = 8
-SYMBOLS = "[#*$%&|<>]"
+SYMBOLS, MARKS = "#*$%&|<>", "!?"
+#: Visible ASCII that is no letter, as characters and as a class.
+OTHERS = "".join(chr(c) for c in range(0x21, 0x7F) if not chr(c).isalpha())
 NOT_TEXT = "[\\x21-\\x40\\x5B-\\x60\\x7B-\\x7E]"
 HAS_WORD = r"[^\x20\x09-\x0D]"
 
@@ -59,9 +61,9 @@ RULES = (
 )
 
 
-def _found(text: Column, one: str) -> Column:
-    """How many code points of ``text`` match the character class ``one``."""
-    return (F.size(F.split(text, one)) - 1).cast("long")
+def _found(text: Column, some: str) -> Column:
+    """How many code points of ``text`` are in ``some``."""
+    return (F.length(text) - F.length(F.translate(text, some, ""))).cast("long")
 
 
 def _repeat_words(words: Column) -> Column:
@@ -91,44 +93,50 @@ def _repeat_words(words: Column) -> Column:
     return F.when(F.size(words) <= WINDOW, F.lit(0).cast("long")).otherwise(many)
 
 
-def measure(docs: DataFrame, text: str = "text", into: str = "q") -> DataFrame:
-    """``docs`` with a struct column ``into`` of all measurements of ``text``."""
+#: Ratios and the counts that they divide; ``letter_ratio`` is what is left of one.
+RATIOS = {
+    "mean_word_chars": ("word_chars", "n_words"),
+    "symbol_ratio": ("n_symbols", "n_words"),
+    "mark_ratio": ("n_marks", "n_words"),
+    "letter_ratio": ("n_other", "word_chars"),
+    "dup_line_ratio": ("n_dup_lines", "n_lines"),
+    "repeat_ratio": ("n_repeat_words", "n_words"),
+    "bullet_ratio": ("n_bullets", "n_lines"),
+    "ellipsis_ratio": ("n_ellipses", "n_lines"),
+}
+
+
+def measure(docs: DataFrame, text: str = "text", into: str = "q", metrics: tuple[str, ...] | None = None) -> DataFrame:
+    """``docs`` with a struct column ``into`` of measurements of ``text``: all, or the named ones and the counts behind them."""
     body = F.coalesce(F.col(text), F.lit(""))
     lines = F.filter(F.split(body, "\n"), lambda x: x.rlike(HAS_WORD))
     named = docs.withColumn("__words", words_of(F.col(text))).withColumn("__lines", lines)
     words, full = F.col("__words"), F.col("__lines")
     n_words, n_lines = F.size(words).cast("long"), F.size(full).cast("long")
-    word_chars = F.length(F.array_join(words, "")).cast("long")
-    counts = (
-        n_words.alias("n_words"),
-        n_lines.alias("n_lines"),
-        word_chars.alias("word_chars"),
-        _found(body, SYMBOLS).alias("n_symbols"),
-        _found(body, "[!?]").alias("n_marks"),
-        _found(body, NOT_TEXT).alias("n_other"),
-        (n_lines - F.size(F.array_distinct(full))).cast("long").alias("n_dup_lines"),
-        _repeat_words(words).alias("n_repeat_words"),
-        F.size(F.array_intersect(F.transform(F.array_distinct(words), F.lower), F.array(*map(F.lit, sorted(set(STOP_WORDS)))))).cast("long").alias("n_stop_words"),
-        F.size(F.filter(full, lambda x: F.ltrim(x).rlike("^[-*•]"))).cast("long").alias("n_bullets"),
-        F.size(F.filter(full, lambda x: F.rtrim(x).rlike("(\\.\\.\\.|…)$"))).cast("long").alias("n_ellipses"),
-    )
-    counted = named.withColumn("__m", F.struct(*counts))
+    counts = {
+        "n_words": n_words,
+        "n_lines": n_lines,
+        "word_chars": F.length(F.translate(body, SPACES, "")).cast("long"),
+        "n_symbols": _found(body, SYMBOLS),
+        "n_marks": _found(body, MARKS),
+        "n_other": _found(body, OTHERS),
+        "n_dup_lines": (n_lines - F.size(F.array_distinct(full))).cast("long"),
+        "n_repeat_words": _repeat_words(words),
+        "n_stop_words": F.size(F.array_intersect(F.transform(F.array_distinct(words), F.lower), F.array(*map(F.lit, sorted(set(STOP_WORDS)))))).cast("long"),
+        "n_bullets": F.size(F.filter(full, lambda x: F.ltrim(x).rlike("^[-*•]"))).cast("long"),
+        "n_ellipses": F.size(F.filter(full, lambda x: F.rtrim(x).rlike("(\\.\\.\\.|…)$"))).cast("long"),
+    }
+    asked = [*counts, *RATIOS] if metrics is None else list(metrics)
+    needed = {c for m in asked for c in RATIOS.get(m, (m,))}
+    counted = named.withColumn("__m", F.struct(*[c.alias(name) for name, c in counts.items() if name in needed]))
     m = F.col("__m")
 
-    def ratio(a: str, b: str) -> Column:
-        return F.coalesce(F.try_divide(m[a].cast("double"), m[b].cast("double")), F.lit(0.0))
-
-    measured = F.struct(
-        *[m[f].alias(f) for f in counted.schema["__m"].dataType.names],
-        ratio("word_chars", "n_words").alias("mean_word_chars"),
-        ratio("n_symbols", "n_words").alias("symbol_ratio"),
-        ratio("n_marks", "n_words").alias("mark_ratio"),
-        F.when(m["word_chars"] > 0, 1.0 - ratio("n_other", "word_chars")).otherwise(0.0).alias("letter_ratio"),
-        ratio("n_dup_lines", "n_lines").alias("dup_line_ratio"),
-        ratio("n_repeat_words", "n_words").alias("repeat_ratio"),
-        ratio("n_bullets", "n_lines").alias("bullet_ratio"),
-        ratio("n_ellipses", "n_lines").alias("ellipsis_ratio"),
-    )
+    def ratio(name: str) -> Column:
+        a, b = RATIOS[name]
+        out = F.coalesce(F.try_divide(m[a].cast("double"), m[b].cast("double")), F.lit(0.0))
+        return F.when(m[b] > 0, 1.0 - out).otherwise(0.0) if name == "letter_ratio" else out
+
+    measured = F.struct(*[m[name].alias(name) for name in counts if name in needed], *[ratio(name).alias(name) for name in RATIOS if name in asked])
     return counted.withColumn(into, measured).drop("__words", "__lines", "__m")
 
 
@@ -152,7 +160,7 @@ def keep_good(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RUL
     A row is generated where it is kept. As a filter, the verdict would be moved
     below the measurements, and each rule would measure the text again.
     """
-    lean = docs.select(F.struct(*docs.columns).alias("__row"), F.col(text).alias("__text"))
+    lean = docs.select(row_of(docs).alias("__row"), F.col(text).alias("__text"))
     good = F.size(failed_rules(F.col("__q"), rules)) == 0
     return measure(lean, "__text", "__q").select(F.inline(F.when(good, F.array("__row"))))
 
@@ -185,7 +193,7 @@ keyed AS (SELECT doc_id, i, array_to_string(ws[i:i + {WINDOW} - 1], ' ') AS k FR
 again AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, k) AS n FROM keyed) WHERE n > 1),
 covered AS (SELECT doc_id, count(DISTINCT i + j) AS n FROM again, range({WINDOW}) AS r(j) GROUP BY doc_id),
 m AS (SELECT w.doc_id, len(ws)::BIGINT AS n_words, len(ls) AS n_lines, length(array_to_string(ws, ''))::BIGINT AS word_chars,
-    len(regexp_extract_all(text, '{SYMBOLS}'))::BIGINT AS n_symbols, len(regexp_extract_all(text, '[!?]')) AS n_marks,
+    len(regexp_extract_all(text, '[{SYMBOLS}]'))::BIGINT AS n_symbols, len(regexp_extract_all(text, '[{MARKS}]')) AS n_marks,
     len(regexp_extract_all(text, '{NOT_TEXT}')) AS n_other, (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines,
     coalesce(c.n, 0)::BIGINT AS n_repeat_words, len(list_intersect(list_transform(list_distinct(ws), lambda x: lower(x)), [{stops}])) AS n_stop_words,
     len(list_filter(ls, lambda x: regexp_matches(x, '^ *[-*•]'))) AS n_bullets, len(list_filter(ls, lambda x: regexp_matches(x, '(\.\.\.|…) *$'))) AS n_ellipses

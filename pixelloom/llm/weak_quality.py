@@ -9,14 +9,14 @@ alone, so that it also decides where labellers are silent.
 
 At scale: votes are one native projection, and pattern counts one aggregation
 with partial sums: at most 3 ** len(LABELLERS) rows reach the driver. The
-training sample is ``TRAIN_ROWS`` documents at most in expectation, chosen by a
-hash of the id from all documents, and comes to the driver as hashed counts of
-``BUCKETS`` numbers. Scoring is one pass with the weights (some 16 KB) broadcast.
+training sample is ``TRAIN_ROWS`` documents at most, the first by a hash of all
+their columns from all documents, and comes to the driver as hashed counts of
+``BUCKETS`` numbers; a sampled row's votes and counts are made in one pass. Scoring is one pass with the weights (some 16 KB) broadcast.
 
 Defined results
 * null text, or no words: score 0, not kept. Very long text: hashed whole.
-* repeated rows: alike. Empty table: empty result. Null doc_id: scored, never in the sample.
-* extra columns: kept by ``score``, whatever their names.
+* repeated rows: scored alike, one of them in the sample at most. Equal or null doc_ids: rows of their own.
+* empty table: empty result. Extra columns: kept by ``score``; its own are score_ and kept_ where the input has such names.
 """
 
 from __future__ import annotations
@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import for_python, hash_uniform, table, written
+from .common import beside, for_python, hash_uniform, row_keys, row_of, table
 from .quality_rules import measure
 
 #: (name, metric, bad over, good under): a vote in between is silent; negative pairs are read the other way round.
@@ -119,27 +119,28 @@ def train(rows: np.ndarray, labels: np.ndarray, steps: int = 300, rate: float =
 
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", train_rows: int = TRAIN_ROWS, seed: str = "weak-1") -> np.ndarray:
-    """The scorer's weights, from the votes of all documents and the texts of a sample."""
+    """The scorer's weights, from the votes of all documents and the texts of at most ``train_rows`` different rows."""
     for_python(docs.sparkSession)
-    lean = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    voted = written(measure(lean, "text", "q").select("id", votes(F.col("q")).alias("votes")), "weak-votes")
-    counted = voted.groupBy("votes").agg(F.count(F.lit(1)).alias("n")).collect()
+    k1, k2 = row_keys(docs)
+    lean = docs.select(k1.alias("k1"), k2.alias("k2"), F.col(text_col).alias("text"))
+    metrics = tuple(metric for _, metric, _, _ in LABELLERS)
+    voted = lambda df: measure(df, "text", "q", metrics).withColumn("votes", votes(F.col("q"))).drop("q")
+    counted = voted(lean).groupBy("votes").agg(F.count(F.lit(1)).alias("n")).collect()
     patterns = np.array([r["votes"] for r in counted], np.int64).reshape(-1, len(LABELLERS))
     good, chance = fit_labels(patterns, np.array([r["n"] for r in counted], np.float64))
-    share = min(1.0, train_rows / max(1, sum(r["n"] for r in counted)))
-    # The same draw on both sides keeps the join to the sample's rows.
-    drawn = lambda df: df.where(F.col("id").isNotNull() & (hash_uniform(seed, F.col("id")) < share))
+    # Somewhat more than asked for, then the first by draw; equal rows share their draw and count once.
+    share = min(1.0, 1.25 * train_rows / max(1, sum(r["n"] for r in counted)))
+    drawn = lean.withColumn("draw", hash_uniform(seed, F.col("k1"), F.col("k2"))).where(F.col("draw") < share)
+    drawn = drawn.groupBy("k1", "k2", "draw").agg(F.first("text").alias("text")).where(F.col("text").isNotNull())
 
     def hashed(batches):
         for batch in batches:
             rows = [features(t) for t in batch.column("text").to_pylist()]
             packed = [None if r is None else r.astype("<f2").tobytes() for r in rows]
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(packed, pa.binary())], ["id", "x"])
+            yield pa.RecordBatch.from_arrays([batch.column("draw"), batch.column("votes"), pa.array(packed, pa.binary())], ["draw", "votes", "x"])
 
-    from pyspark.sql.types import BinaryType, StructType
-
-    sample = drawn(lean).mapInArrow(hashed, StructType([lean.schema["id"]]).add("x", BinaryType()))
-    rows = sample.join(drawn(voted), "id").where("x IS NOT NULL").orderBy("id", "x").select("x", "votes").collect()
+    sample = voted(drawn).select("draw", "votes", "text").mapInArrow(hashed, "draw double, votes array<int>, x binary").where("x IS NOT NULL")
+    rows = sample.orderBy("draw", "x").limit(train_rows).select("x", "votes").collect()
     x = np.array([np.frombuffer(r["x"], "<f2") for r in rows], np.float32).reshape(-1, BUCKETS)
     return train(x, posterior(np.array([r["votes"] for r in rows], np.int64).reshape(-1, len(LABELLERS)), good, chance))
 
@@ -148,20 +149,20 @@ def score(docs: DataFrame, weights: np.ndarray, text_col: str = "text", keep: fl
     """``docs`` with the text replaced by ``score`` (0 to 1) and ``kept``."""
     for_python(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(weights)
-    cols = [c for c in docs.columns if c != text_col]
-    lean = docs.select(*cols, text_col)
+    lean = docs.select(row_of(docs, text_col).alias("row"), F.col(text_col).alias("text"))
 
     def run(batches):
         for batch in batches:
             out = []
-            for text in batch.column(batch.num_columns - 1).to_pylist():
+            for text in batch.column(1).to_pylist():
                 x = features(text)
                 out.append(0.0 if x is None else round(float(1 / (1 + np.exp(-np.clip(x @ shared.value[:-1] + shared.value[-1], -500, 500)))), 6))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(out, pa.float64()), pa.array([s >= keep for s in out])], [*batch.schema.names[:-1], "score", "kept"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.float64()), pa.array([s >= keep for s in out], pa.bool_())], ["row", "score", "kept"])
 
     from pyspark.sql.types import BooleanType, DoubleType, StructType
 
-    return lean.mapInArrow(run, StructType([*lean.drop(text_col).schema.fields]).add("score", DoubleType()).add("kept", BooleanType()))
+    found = lean.mapInArrow(run, StructType([lean.schema["row"]]).add("score", DoubleType()).add("kept", BooleanType()))
+    return beside(found, [c for c in docs.columns if c != text_col], ["score", "kept"])
 
 
 def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
