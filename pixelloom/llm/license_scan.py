@@ -17,7 +17,7 @@ No text is shuffled.
 Defined results
 * null or empty text: no words, no places, first_word and last_word null, no labels, score 0.
 * very long text: searched whole, in linear time. Repeated rows: alike. Empty table: empty result.
-* null doc_id: passed through. Extra columns: ``find`` keeps them.
+* null doc_id: passed through. Extra columns: ``find`` keeps them; an own name that the input has, too, gets an underscore behind it.
 """
 
 from __future__ import annotations
@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import for_python, table
+from .common import beside, for_python, row_of, table
 from .decontaminate import folded_words
 
 RAREST, AGREE, SLACK = 12, 4, 6
@@ -170,22 +170,21 @@ def find(docs: DataFrame, text_col: str = "text", templates: dict | None = None,
     for_python(spark)
     index = Index(templates or TEMPLATES, phrases or PHRASES)
     shared = spark.sparkContext.broadcast((index, word_idf(docs, text_col, index)))
-    cols = [c for c in docs.columns if c != text_col]
-    lean = docs.select(*cols, text_col)
+    lean = docs.select(row_of(docs, text_col).alias("row"), F.col(text_col).alias("text"))
     types = [pa.int64()] * 4 + [pa.list_(pa.string())] * 2 + [pa.float64()]
     names = ["n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score"]
 
     def run(batches):
         for batch in batches:
             index, idf = shared.value
-            rows = [scan(t, index, idf) for t in batch.column(batch.num_columns - 1).to_pylist()]
+            rows = [scan(t, index, idf) for t in batch.column(1).to_pylist()]
             arrays = [pa.array([r[k] for r in rows], types[k]) for k in range(len(names))]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *arrays], [*batch.schema.names[:-1], *names])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *arrays], ["row", *names])
 
     from pyspark.sql.types import StructType, _parse_datatype_string
 
     more = _parse_datatype_string("n_words long, n_base long, first_word long, last_word long, base_labels array<string>, labels array<string>, score double")
-    return lean.mapInArrow(run, StructType([*lean.drop(text_col).schema.fields, *more.fields]))
+    return beside(lean.mapInArrow(run, StructType([lean.schema["row"], *more.fields])), [c for c in docs.columns if c != text_col], names)
 
 
 def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -17,7 +17,7 @@ independent, only the model (some 20 KB) is broadcast, and windows are tagged
 Defined results
 * null or empty text: no spans. Very long text: searched whole, in linear time.
 * repeated rows: alike. Empty table: empty result. Null doc_id: passed through.
-* extra columns: ``find`` keeps them; its own are spans and base.
+* extra columns: ``find`` keeps them; its own are base and spans (base_, spans_ where the input has such names).
 """
 
 from __future__ import annotations
@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import tagger
-from .common import count_of, for_python, joined, table
+from .common import beside, count_of, for_python, joined, row_of, table
 
 KINDS = ("email", "ip", "card", "phone")
 WINDOW, STRIDE, MARGIN, ROWS, REGION = 64, 32, 20, 256, 8192
@@ -274,24 +274,26 @@ def find(docs: DataFrame, text_col: str = "text", model: tagger.Model | None = N
     spark = docs.sparkSession
     for_python(spark)
     shared = spark.sparkContext.broadcast(model or trained())
-    cols = [c for c in docs.columns if c != text_col]
-    lean = docs.select(*cols, text_col)
+    lean = docs.select(row_of(docs, text_col).alias("row"), F.col(text_col).alias("text"))
     kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
 
     def run(batches):
         for batch in batches:
-            texts = batch.column(batch.num_columns - 1).to_pylist()
+            texts = batch.column(1).to_pylist()
             base = [base_spans(t) for t in texts]
             spans = [all_spans(t, b, more) for t, b, more in zip(texts, base, tag(shared.value, texts), strict=True)]
             arrays = [pa.array([[dict(zip(("kind", "start", "end"), s, strict=True)) for s in row] for row in rows], kind) for rows in (base, spans)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *arrays], [*batch.schema.names[:-1], "base", "spans"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *arrays], ["row", "base", "spans"])
 
     from pyspark.sql.types import StructType, _parse_datatype_string
 
     more = _parse_datatype_string("base array<struct<kind:string,start:long,end:long>>, spans array<struct<kind:string,start:long,end:long>>")
-    return lean.mapInArrow(run, StructType([*lean.drop(text_col).schema.fields, *more.fields]))
+    found = lean.mapInArrow(run, StructType([lean.schema["row"], *more.fields]))
+    return beside(found, [c for c in docs.columns if c != text_col], ["base", "spans"])
 
 
 def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = find(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return found.select("doc_id", *[count_of("base", k).alias(f"n_{k}") for k in KINDS], F.sha2(joined("base"), 256).alias("base_sha256"), joined("spans").alias("spans"))
+    counts = [count_of("base", k).alias(f"n_{k}") for k in KINDS]
+    every = F.size("spans").cast("long")
+    return found.select("doc_id", *counts, F.sha2(joined("base"), 256).alias("base_sha256"), joined("spans").alias("spans"), every.alias("n_spans"), (every > 0).alias("personal"))

@@ -21,7 +21,7 @@ At scale: one pass over the texts in Arrow batches; rows are independent, no shu
 Defined results
 * null or empty text: no spans. Very long text: searched whole; a candidate token is tested whole.
 * repeated rows: alike. Empty table: empty result. Null doc_id: passed through.
-* extra columns: ``find`` keeps them; its own are base and spans.
+* extra columns: ``find`` keeps them; its own are base and spans (base_, spans_ where the input has such names).
 """
 
 from __future__ import annotations
@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import count_of, for_python, joined, table
+from .common import beside, count_of, for_python, joined, row_of, table
 
 KINDS = ("assign", "access", "hex")
 ADDED = "random"
@@ -228,8 +228,7 @@ def thresholds(tested: DataFrame, rate: float = RATE) -> DataFrame:
 def find(docs: DataFrame, text_col: str = "text", cut: float = CUT) -> DataFrame:
     """``docs`` with the text replaced by ``base`` and ``spans``, arrays of (kind, start, end) in code points."""
     for_python(docs.sparkSession)
-    cols = [c for c in docs.columns if c != text_col]
-    lean = docs.select(F.struct(*cols).alias("row"), F.col(text_col).alias("text"))
+    lean = docs.select(row_of(docs, text_col).alias("row"), F.col(text_col).alias("text"))
     span = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
 
     def run(batches):
@@ -244,7 +243,7 @@ def find(docs: DataFrame, text_col: str = "text", cut: float = CUT) -> DataFrame
 
     more = _parse_datatype_string("base array<struct<kind:string,start:long,end:long>>, spans array<struct<kind:string,start:long,end:long>>")
     found = lean.mapInArrow(run, StructType([lean.schema["row"], *more.fields]))
-    return found.select("row.*", "base", "spans")
+    return beside(found, [c for c in docs.columns if c != text_col], ["base", "spans"])
 
 
 def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
