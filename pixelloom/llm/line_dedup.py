@@ -48,6 +48,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType, _parse_datatype_string
 
+from .bloom import bloom, holds
 from .common import SPACE_RUN, for_python, null_last, row_keys, row_of, table, written
 from .wordhash import LineHashes, Words, mixed
 
@@ -57,7 +58,6 @@ MAX_BITS = 30
 
 #: What a row is known by.
 KEY = ("k1", "k2")
-_CHUNK = 1 << 17
 
 
 def line_words(line: str) -> list[bytes]:
@@ -111,48 +111,9 @@ def hashed_lines(docs: DataFrame, min_words: int, fuzzy_words: int) -> DataFrame
     return docs.mapInArrow(run, schema)
 
 
-def _places(halves: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """Two bit positions of each half."""
-    x = halves.view(np.uint64)
-    mask = np.uint64((1 << bits) - 1)
-    return (x & mask).astype(np.int64), (mixed(x) & mask).astype(np.int64)
-
-
-def bloom(shared: DataFrame, max_bits: int) -> tuple[int, np.ndarray]:
-    """A Bloom filter of ``shared.half``: log2 of its size, and its bits in bytes. Chunks are filled on executors."""
-    bits = min(max_bits, max(17, (16 * shared.count()).bit_length()))
-
-    def positions(batches):
-        for batch in batches:
-            at = np.unique(np.concatenate(_places(batch.column(0).to_numpy(), bits)))
-            yield pa.RecordBatch.from_arrays([pa.array((at // _CHUNK).astype(np.int32)), pa.array((at % _CHUNK).astype(np.int32))], ["chunk", "at"])
-
-    def filled(batches):
-        held: dict[int, np.ndarray] = {}
-        for batch in batches:
-            chunk, at = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            for k in np.unique(chunk):
-                held.setdefault(int(k), np.zeros(_CHUNK, bool))[at[chunk == k]] = True
-        yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int32()), pa.array([np.packbits(b).tobytes() for b in held.values()], pa.binary())], ["chunk", "bits"])
-
-    chunks = shared.select("half").mapInArrow(positions, "chunk int, at int").repartition("chunk").mapInArrow(filled, "chunk int, bits binary")
-    out = np.zeros((1 << bits) // 8, np.uint8)
-    for row in chunks.toLocalIterator():
-        out[row["chunk"] * _CHUNK // 8 : (row["chunk"] + 1) * _CHUNK // 8] = np.frombuffer(row["bits"], np.uint8)
-    return bits, out
-
-
-def _holds(shared: tuple[int, np.ndarray], halves: np.ndarray) -> np.ndarray:
-    bits, held = shared
-    out = np.ones(halves.shape, bool)
-    for at in _places(np.ascontiguousarray(halves), bits):
-        out &= (held[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 == 1
-    return out
-
-
 def candidate_lines(docs: DataFrame, shared: DataFrame, fuzzy_words: int, max_bits: int) -> DataFrame:
     """One row for each different line that may share a half, at its first place: id, k1, k2, pos, line, n, halves."""
-    filter_ = docs.sparkSession.sparkContext.broadcast(bloom(shared, max_bits))
+    filter_ = docs.sparkSession.sparkContext.broadcast(bloom(shared, "half", max_bits))
     schema = _fields(docs, "pos int, n int, h1 long, h2 long, halves array<long>, line string")
 
     def run(batches):
@@ -161,7 +122,7 @@ def candidate_lines(docs: DataFrame, shared: DataFrame, fuzzy_words: int, max_bi
             hashed = LineHashes(words)
             some = np.flatnonzero(words.n >= fuzzy_words)
             halves = hashed.halves()[some]
-            hit = _holds(filter_.value, halves).any(axis=1)
+            hit = holds(filter_.value, halves).any(axis=1)
             some, halves = some[hit], halves[hit]
             h1, h2 = (h[some] for h in hashed.lines())
             first = ~_again(words.row[some], h1, h2)

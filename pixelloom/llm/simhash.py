@@ -33,9 +33,10 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import for_python, table, written
+from .common import beside, for_python, null_last, row_keys, row_of, table, written
 from .components import components
 
 SHINGLE = 3
@@ -66,19 +67,19 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
 
 
 def fingerprints(docs: DataFrame, text_col: str, shingle: int = SHINGLE) -> DataFrame:
-    """``docs`` with the text replaced by a column ``fp``."""
+    """``docs`` with the text replaced by a column ``fp`` (fp_ where the input has an fp)."""
     for_python(docs.sparkSession)
-    cols = [c for c in docs.columns if c != text_col]
-    lean = docs.select(*cols, text_col)
+    lean = docs.select(row_of(docs, text_col).alias("row"), F.col(text_col).alias("text"))
 
     def run(batches):
         for batch in batches:
-            fps = [fingerprint(t, shingle) for t in batch.column(batch.num_columns - 1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(fps, pa.int64())], [*batch.schema.names[:-1], "fp"])
+            fps = [fingerprint(t, shingle) for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps, pa.int64())], ["row", "fp"])
 
     from pyspark.sql.types import LongType, StructType
 
-    return lean.mapInArrow(run, StructType([*lean.drop(text_col).schema.fields]).add("fp", LongType()))
+    found = lean.mapInArrow(run, StructType([lean.schema["row"]]).add("fp", LongType()))
+    return beside(found, [c for c in docs.columns if c != text_col], ["fp"])
 
 
 def gray_rank(codes: np.ndarray) -> np.ndarray:
@@ -225,12 +226,12 @@ def links(fps: DataFrame, radius: int = RADIUS, hot: int = HOT, last_bits: int =
 
 
 def classes(prints: DataFrame, id_col: str = "doc_id", radius: int = RADIUS, **options) -> DataFrame:
-    """fp and component_id for each distinct fingerprint of ``prints`` (id_col, fp)."""
+    """fp, root (of the class) and component_id for each distinct fingerprint of ``prints`` (id_col, fp)."""
     distinct = written(prints.groupBy("fp").agg(F.min(id_col).alias("first")), "simhash-prints")
     roots = components(links(distinct, radius, **options)).withColumnRenamed("node", "fp")
     rooted = distinct.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    return rooted.join(least, "root").select("fp", "component_id")
+    return rooted.join(least, "root").select("fp", "root", "component_id")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, radius: int = RADIUS, **options) -> DataFrame:
@@ -240,14 +241,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """``docs`` without all but one row of each class: the first by id, then by content."""
-    from pyspark.sql import Window as W
-
-    found = near_duplicates(docs, id_col, text_col, **options)
-    first = found.where(F.col(id_col).isNull() | (F.col(id_col) == F.col("component_id"))).select(id_col).distinct()
-    kept = docs.join(first.withColumnRenamed(id_col, "__first"), F.col(id_col).eqNullSafe(F.col("__first")), "left_semi")
-    one = W.partitionBy(id_col).orderBy(F.xxhash64(*docs.columns))
-    return kept.withColumn("__one", F.row_number().over(one)).where(F.col(id_col).isNull() | (F.col("__one") == 1)).select(*docs.columns)
+    """``docs`` without all but one row of each class of fingerprints: the first by id (null last), then by content."""
+    k1, k2 = row_keys(docs)
+    keyed = docs.select(row_of(docs).alias("row"), F.col(id_col).alias("id"), k1.alias("k1"), k2.alias("k2"), F.col(text_col).alias("text"))
+    prints = written(fingerprints(keyed.select("id", "k1", "k2", "text"), "text", options.pop("shingle", SHINGLE)), "simhash-docs")
+    roots = written(classes(prints, "id", **options).select("fp", "root"), "simhash-roots")
+    first = F.min(F.struct(*null_last("id"), "k1", "k2", "copy")).alias("f")
+    # Rows that are equal in all columns are told apart by a number; there is one for most keys.
+    numbered = lambda df: df.withColumn("copy", F.row_number().over(W.partitionBy("k1", "k2").orderBy("k1")))
+    kept = numbered(prints).join(roots, "fp").groupBy("root").agg(first).select("f.k1", "f.k2", "f.copy")
+    return numbered(keyed).join(kept, ["k1", "k2", "copy"], "left_semi").select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
 
 
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -56,7 +56,7 @@ def test_against_brute_force(spark):
 
 def test_a_full_filter_loses_nothing(spark, monkeypatch):
     said = texts(9, 30)
-    monkeypatch.setattr(d, "_holds", lambda shared, halves: np.ones(halves.shape, bool))
+    monkeypatch.setattr(d, "holds", lambda filter_, numbers: np.ones(numbers.shape, bool))
     assert found(spark, said, max_bits=17) == brute(said)
 
 

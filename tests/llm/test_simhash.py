@@ -101,3 +101,10 @@ def test_keep_one(spark):
     assert sorted(r.doc_id for r in kept.collect()) == [0, 3, 4] and kept.first().fp == "mine fp"
     assert sorted(str(r.doc_id) for r in s.keep_one(odd(spark)).collect()) == ["1", "2", "6", "None"]
     assert s.keep_one(empty(spark)).count() == 0
+
+
+def test_keep_one_of_equal_and_null_ids(spark):
+    text = " ".join(f"w{k}" for k in range(40))
+    rows = [(None, text, {"a": 1})] * 4 + [(7, "an own text of this id", {"a": 2}), (7, "another text under the same id", {"a": 2}), (None, "only here", {})]
+    kept = s.keep_one(spark.createDataFrame(rows, "doc_id long, text string, m map<string,int>")).collect()
+    assert sorted(r.text[:9] for r in kept) == ["an own te", "another t", "only here", text[:9]]
