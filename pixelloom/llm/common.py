@@ -97,7 +97,7 @@ def row_keys(df: DataFrame) -> tuple[Column, Column]:
 
 def row_of(df: DataFrame, but: str | None = None) -> Column:
     """A whole row (``but`` one column) as one struct, so that its names can't clash with an operator's own."""
-    return F.struct(*[F.col(f"`{c}`") for c in df.columns if c != but] or [F.lit(None).alias("none")])
+    return F.struct(*[F.col(f"`{c}`") for c in df.columns if c != but] or [F.lit(None).cast("string").alias("none")])
 
 
 def beside(found: DataFrame, names: list[str], own: list[str], row: str = "row") -> DataFrame:

@@ -8,18 +8,19 @@ are hits; ``clean`` removes the hit words of a document up to a share of it and
 drops the document beyond.
 
 At scale: documents are read once and never shuffled; the automaton is built on
-the driver from the benchmark and broadcast. Its size is proven by a count
-first: benchmarks of more than ``shard_words`` words are dealt into shards of
-at most that many words (an item longer than a shard is cut into pieces that
-overlap by ``window - 1`` words), one automaton each, and the documents'
-hits of the shards are united by document.
+the driver from the benchmark and broadcast. It holds at most ``shard_words``
+words: larger benchmarks are dealt into shards of so many (an item longer than a
+shard is cut into pieces that overlap by ``window - 1`` words), one automaton
+after the other. Each shard's hits, of the few documents that have some, are
+written by row key, and united and joined to the documents at the end.
 
 Defined results
-* null text or a text without words: no words, no hits. Null item: no words, never hit.
-* very long text: streamed whole. Repeated rows: each is scanned; one row out for each row in
-  (where shards are united, equal ids are kept apart by the row's content hash and a sequence number).
+* null text or a text without words: no words, no hits. Null item text: no words, never hit.
+* items without an id: their words are hit; all of them count as one item, which no list of ids names.
+* very long text: streamed whole. Repeated rows: alike, one row out for each row in.
 * empty benchmark: no hits. Empty documents: empty result. Items with equal texts are each counted.
-* extra columns: ``clean`` keeps the input's columns, whatever their names.
+* extra columns: ``clean`` keeps the input's columns, whatever their names; ``hits`` too, and its own are
+  n_words_ and so on where the input has such names.
 """
 
 from __future__ import annotations
@@ -27,12 +28,14 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
+from itertools import chain
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import for_python, table
+from .common import beside, for_python, row_keys, row_of, table, written
 
 WINDOW = 10
 #: A document with more than this share of hit words goes; up to it, only its hit words go.
@@ -65,6 +68,11 @@ class Automaton:
     shortest: int
 
 
+def _by_id(item: str | None) -> tuple[bool, str]:
+    """Items by id, those without one last."""
+    return item is None, item or ""
+
+
 def build(items: list[tuple[str, list[bytes]]], window: int = WINDOW) -> Automaton:
     """The automaton of ``items`` (id, words)."""
     vocabulary: dict[bytes, int] = {}
@@ -128,11 +136,11 @@ def build(items: list[tuple[str, list[bytes]]], window: int = WINDOW) -> Automat
         for state in sorted(range(1, len(moves)), key=length.__getitem__):
             found = list(whole.get(link[state], []))
             if state in ends:
-                found.append((ends[state][0], tuple(sorted(ends[state][1]))))
+                found.append((ends[state][0], tuple(sorted(ends[state][1], key=_by_id))))
             if found:
                 whole[state] = found
     shortest = min((min(len(c), window) for _, c in coded), default=0)
-    return Automaton(vocabulary, moves, link, length, window, {k: tuple(sorted(v)) for k, v in holders.items()}, {k: tuple(v) for k, v in whole.items()}, shortest)
+    return Automaton(vocabulary, moves, link, length, window, {k: tuple(sorted(v, key=_by_id)) for k, v in holders.items()}, {k: tuple(v) for k, v in whole.items()}, shortest)
 
 
 def scan(words: list[bytes], automaton: Automaton) -> tuple[list[tuple[int, int]], set[str]]:
@@ -199,64 +207,75 @@ def shards(items: list[tuple[str, list[bytes]]], window: int, limit: int) -> Ite
 
 
 def benchmark_shards(benchmark: DataFrame, id_col: str, text_col: str, window: int, limit: int) -> Iterator[Automaton]:
-    """Automata of the benchmark, read item by item: the driver holds one shard at a time."""
+    """Automata of the benchmark, read item by item."""
     rows = benchmark.select(F.col(id_col).cast("string"), F.col(text_col)).orderBy(F.col(id_col)).toLocalIterator()
-    for group in shards(((r[0], folded_words(r[1])) for r in rows if r[0] is not None), window, limit):
+    for group in shards(((r[0], folded_words(r[1])) for r in rows), window, limit):
         yield build(group, window)
 
 
-def _scanner(shared, keep_row: bool):
+_FOUND = "n_words long, starts array<int>, ends array<int>, items array<string>"
+
+
+def _scanner(shared, keep: int, only_hits: bool = False):
+    """A scan of batches whose last column is the text; the first ``keep`` columns stay."""
+
     def run(batches):
         automaton = shared.value
         for batch in batches:
-            starts, ends, counts, items = [], [], [], []
-            for text in batch.column(batch.num_columns - 1).to_pylist():
+            starts, ends, counts, items, rows = [], [], [], [], []
+            for row, text in enumerate(batch.column(batch.num_columns - 1).to_pylist()):
                 words = folded_words(text)
                 ranges, found = scan(words, automaton)
+                if only_hits and not ranges:
+                    continue
+                rows.append(row)
                 counts.append(len(words))
                 starts.append([r[0] for r in ranges])
                 ends.append([r[1] for r in ranges])
-                items.append(sorted(found))
-            kept = [batch.column(k) for k in range(batch.num_columns - (0 if keep_row else 1))]
-            names = batch.schema.names[: len(kept)]
-            yield pa.RecordBatch.from_arrays(
-                [*kept, pa.array(counts, pa.int64()), pa.array(starts, pa.list_(pa.int32())), pa.array(ends, pa.list_(pa.int32())), pa.array(items, pa.list_(pa.string()))],
-                [*names, "n_words", "starts", "ends", "items"],
-            )
+                items.append(sorted(found, key=_by_id))
+            at = pa.array(rows, pa.int64())
+            kept = [batch.column(k).take(at) if only_hits else batch.column(k) for k in range(keep)]
+            arrays = [pa.array(counts, pa.int64()), pa.array(starts, pa.list_(pa.int32())), pa.array(ends, pa.list_(pa.int32())), pa.array(items, pa.list_(pa.string()))]
+            yield pa.RecordBatch.from_arrays([*kept, *arrays], [*batch.schema.names[:keep], "n_words", "starts", "ends", "items"])
 
     return run
 
 
-def hits(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", bench_id: str = "item_id", bench_text: str = "text", window: int = WINDOW, shard_words: int = SHARD_WORDS, keep_text: bool = False) -> DataFrame:
-    """``docs`` with n_words, starts, ends (disjoint hit ranges of words) and items, ``text_col`` last or gone."""
-    spark = docs.sparkSession
-    for_python(spark)
-    cols = [c for c in docs.columns if c != text_col]
-    lean = docs.select(*cols, text_col)
-    schema = "n_words long, starts array<int>, ends array<int>, items array<string>"
-    kept = lean.schema if keep_text else lean.drop(text_col).schema
+def _found(docs: DataFrame, text_col: str, benchmark: DataFrame, bench_id: str, bench_text: str, window: int, shard_words: int, keep_text: bool) -> DataFrame:
+    """row (with the text, if it is kept, else without), text (if it is kept), n_words, starts, ends and items."""
     from pyspark.sql.types import StructType, _parse_datatype_string
 
-    out = StructType([*kept.fields, *_parse_datatype_string(schema).fields])
-    scanned = [lean.mapInArrow(_scanner(spark.sparkContext.broadcast(a), keep_text), out) for a in benchmark_shards(benchmark, bench_id, bench_text, window, shard_words)]
-    if not scanned:
-        return lean.mapInArrow(_scanner(spark.sparkContext.broadcast(build([], window)), keep_text), out)
-    if len(scanned) == 1:
-        return scanned[0]
-    return _united(scanned, kept.names)
-
-
-def _united(scanned: list[DataFrame], keys: list[str]) -> DataFrame:
-    """One row per document row from the scans of several shards: ranges merged, items united."""
-    from functools import reduce
-    from pyspark.sql import Window as W
-
-    # Equal rows give equal scans, so numbering them within their content makes a key that is the same in each scan.
-    content = F.xxhash64(*keys)
-    numbered = [s.withColumn("__shard", F.lit(k)) for k, s in enumerate(scanned)]
-    every = reduce(DataFrame.unionByName, numbered)
-    copies = every.withColumn("__copy", F.row_number().over(W.partitionBy(*keys, "__shard").orderBy(content)))
-    grouped = copies.groupBy(*keys, "__copy").agg(F.first("n_words").alias("n_words"), F.flatten(F.collect_list(F.arrays_zip("starts", "ends"))).alias("__r"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+    spark = docs.sparkSession
+    for_python(spark)
+    k1, k2 = row_keys(docs)
+    lean = docs.select(row_of(docs, None if keep_text else text_col).alias("row"), F.col(text_col).alias("text"))
+    fields = _parse_datatype_string(_FOUND).fields
+    kept = ["row", "text"] if keep_text else ["row"]
+    out = StructType([*[lean.schema[c] for c in kept], *fields])
+    send = spark.sparkContext.broadcast
+    automata = benchmark_shards(benchmark, bench_id, bench_text, window, shard_words)
+    first = next(automata, None) or build([], window)
+    second = next(automata, None)
+    if second is None:
+        return lean.mapInArrow(_scanner(send(first), len(kept)), out)
+
+    keyed, parts = docs.select(k1.alias("k1"), k2.alias("k2"), F.col(text_col).alias("text")), []
+    for automaton in chain([first, second], automata):
+        shared = send(automaton)
+        hit = keyed.mapInArrow(_scanner(shared, 2, only_hits=True), f"k1 long, k2 long, {_FOUND}")
+        # Equal rows have equal hits: one of them speaks for all.
+        parts.append(written(hit.dropDuplicates(["k1", "k2"]), "decontaminate-hits"))
+        shared.destroy()
+    united = _united(reduce(DataFrame.unionByName, parts))
+    counted = docs.select(row_of(docs, None if keep_text else text_col).alias("row"), k1.alias("k1"), k2.alias("k2"), F.col(text_col).alias("text"))
+    bare = counted.withColumn("n_words", F.size(F.filter(F.split(F.coalesce("text", F.lit("")), r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"), lambda w: w != "")).cast("long"))
+    none = F.array().cast("array<int>")
+    return bare.join(united, ["k1", "k2"], "left").select(*kept, "n_words", F.coalesce("starts", none).alias("starts"), F.coalesce("ends", none).alias("ends"), F.coalesce("items", F.array().cast("array<string>")).alias("items"))
+
+
+def _united(hits: DataFrame) -> DataFrame:
+    """One row per key (k1, k2) from the hits of several shards: ranges merged, items united."""
+    grouped = hits.groupBy("k1", "k2").agg(F.sort_array(F.flatten(F.collect_list(F.arrays_zip("starts", "ends")))).alias("r"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
     empty = F.array().cast("array<struct<starts:int,ends:int>>")
 
     def merge(acc, x):
@@ -264,15 +283,21 @@ def _united(scanned: list[DataFrame], keys: list[str]) -> DataFrame:
         joined = F.struct(last["starts"].alias("starts"), F.greatest(last["ends"], x["ends"]).alias("ends"))
         return F.when((F.size(acc) > 0) & (last["ends"] >= x["starts"]), F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(joined))).otherwise(F.concat(acc, F.array(x)))
 
-    merged = grouped.withColumn("__r", F.aggregate(F.sort_array("__r"), empty, merge))
-    return merged.select(*keys, "n_words", F.col("__r.starts").alias("starts"), F.col("__r.ends").alias("ends"), "items")
+    merged = grouped.withColumn("r", F.aggregate("r", empty, merge))
+    return merged.select("k1", "k2", F.col("r.starts").alias("starts"), F.col("r.ends").alias("ends"), "items")
+
+
+def hits(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", bench_id: str = "item_id", bench_text: str = "text", window: int = WINDOW, shard_words: int = SHARD_WORDS) -> DataFrame:
+    """``docs`` with the text replaced by n_words, starts, ends (disjoint hit ranges of words) and items."""
+    found = _found(docs, text_col, benchmark, bench_id, bench_text, window, shard_words, keep_text=False)
+    return beside(found, [c for c in docs.columns if c != text_col], ["n_words", "starts", "ends", "items"])
 
 
 def _word_spans(text: str) -> list[tuple[int, int]]:
     return [m.span() for m in _WORD.finditer(text)]
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", max_coverage: float = MAX_COVERAGE, **options) -> DataFrame:
+def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", max_coverage: float = MAX_COVERAGE, bench_id: str = "item_id", bench_text: str = "text", window: int = WINDOW, shard_words: int = SHARD_WORDS) -> DataFrame:
     """``docs`` without benchmark passages.
 
     Hit ranges are cut out of the text from their first word to their last; a
@@ -280,8 +305,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", max_cov
     Columns stay; ``n_chars``, where there is one, is that of the new text.
     """
     names = docs.columns
-    lean = docs.select(F.struct(*names).alias("row"), F.col(text_col).alias("text"))
-    found = hits(lean, benchmark, "text", keep_text=True, **options)
+    found = _found(docs, text_col, benchmark, bench_id, bench_text, window, shard_words, keep_text=True)
     covered = F.aggregate(F.zip_with("starts", "ends", lambda a, b: b - a), F.lit(0), lambda x, y: x + y)
     kept = found.where(covered <= F.lit(max_coverage) * F.col("n_words"))
 
@@ -301,7 +325,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", max_cov
 
     from pyspark.sql.types import BooleanType, StructType
 
-    cleaned = kept.select("row", "text", "starts", "ends").mapInArrow(cut, StructType([*lean.schema.fields]).add("changed", BooleanType()))
+    cleaned = kept.select("row", "text", "starts", "ends").mapInArrow(cut, StructType([found.schema["row"], found.schema["text"]]).add("changed", BooleanType()))
     types = {f.name: f.dataType for f in docs.schema.fields}
     new = {text_col: F.col("text")}
     if "n_chars" in types:

@@ -49,6 +49,16 @@ def test_shards_give_the_same(spark):
         assert sorted(map(str, one.collect())) == sorted(map(str, more.select(one.columns).collect()))
 
 
+def test_shards_take_maps_null_ids_and_clashes(spark):
+    texts = [f"x {ITEM} y", "short words here", f"{ITEM} short words here", "nothing at all"]
+    items = spark.createDataFrame([(1, ITEM), (None, "short words here"), (None, ITEM + " more"), (3, "other words of an item")], "item_id long, text string")
+    rows = [(k, t, {"a": k}, "mine") for k, t in enumerate(texts)] + [(0, texts[0], {"a": 0}, "mine")]
+    held = spark.createDataFrame(rows, "doc_id long, text string, m map<string,int>, items string")
+    one = sorted((r.doc_id, r["items"], r.n_words, r.starts, r.ends, r.items_) for r in d.hits(held, items).collect())
+    assert one == sorted((r.doc_id, r["items"], r.n_words, r.starts, r.ends, r.items_) for r in d.hits(held, items, shard_words=12).collect())
+    assert one[0] == one[1] == (0, "mine", 14, [1], [13], ["1", None]) and one[2][5] == [None] and one[4][5] == []
+
+
 def test_clean(spark):
     long = " ".join(f"w{k}" for k in range(40))
     texts = [f"{long}. {ITEM.upper()}! end", ITEM, long, None, ""]
