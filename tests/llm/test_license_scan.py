@@ -41,8 +41,8 @@ def test_frequencies_are_of_all_documents(spark):
 
 
 def test_rows(spark):
-    rows = s.find(clashing(odd(spark)).drop("n_words", "labels", "score")).collect()
-    assert len(rows) == 8 and all(r.labels == [] and r.first_word is None and r.score == 0 for r in rows)
+    rows = s.find(clashing(odd(spark))).collect()
+    assert len(rows) == 8 and all(r.labels_ == [] and r.labels == "mine labels" and r.first_word is None and r.score_ == 0 for r in rows)
     assert s.find(empty(spark)).count() == 0
 
 

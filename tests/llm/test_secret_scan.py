@@ -51,10 +51,10 @@ def test_keys_are_added(spark):
     key = "".join(rng.choice(string.ascii_letters + string.digits) for _ in range(48))
     assert s.randomness(key) > 0.15
     said = [f"the key {key} here", 'token = "abcdefabcdef0123"', "plain words only"] + [f"class AbstractSingletonProxyFactoryBean{k} x" for k in range(30)]
-    rows = {r.doc_id: r for r in s.find(clashing(docs(spark, said)).drop("base", "spans")).collect()}
-    assert [(x.kind, x.start, x.end) for x in rows[0].spans] == [("random", 8, 56)] and rows[0].score == "mine score"
-    assert [x.kind for x in rows[1].spans] == [x.kind for x in rows[1].base] == ["assign", "hex"]
-    assert all(r.spans == [] for k, r in rows.items() if k > 1)
+    rows = {r.doc_id: r for r in s.find(clashing(docs(spark, said))).collect()}
+    assert [(x.kind, x.start, x.end) for x in rows[0].spans_] == [("random", 8, 56)] and rows[0].spans == "mine spans"
+    assert [x.kind for x in rows[1].spans_] == [x.kind for x in rows[1].base_] == ["assign", "hex"]
+    assert all(r.spans_ == [] for k, r in rows.items() if k > 1)
 
 
 def test_rows(spark):

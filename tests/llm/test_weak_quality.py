@@ -38,8 +38,8 @@ def test_held_out_accuracy(spark):
 
 def test_rows(spark):
     weights = w.fit(odd(spark))
-    rows = w.score(clashing(odd(spark)).drop("score", "kept"), weights).collect()
-    assert len(rows) == 8 and all(r.score == 0 and not r.kept for r in rows if r.doc_id in (2, 3, 5))
-    assert len({r.score for r in rows if r.doc_id in (1, 4)}) == 1
+    rows = w.score(clashing(odd(spark)), weights).collect()
+    assert len(rows) == 8 and all(r.score_ == 0 and not r.kept_ and r.kept == "mine kept" for r in rows if r.doc_id in (2, 3, 5))
+    assert len({r.score_ for r in rows if r.doc_id in (1, 4)}) == 1
     assert w.score(empty(spark), w.fit(empty(spark))).count() == 0
     assert w.score(docs(spark, ["a b"]), weights).count() == 1
