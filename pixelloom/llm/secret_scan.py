@@ -5,18 +5,23 @@ runs. Every other token of ``SHORTEST`` or more characters of the usual
 encodings is tested for randomness: its encoding is inferred (hex, base32,
 alphanumeric, base64), then a chi-squared test of the alphabet's uniformity, a
 runs test above and below the alphabet's middle, and a serial correlation test
-are combined by Fisher's method. Words and numbers fail these tests, keys don't.
-
-What is lost and what is reported. The hypothesis that is tested is "random", so
-a real key's p-value is uniform: a token is dropped below the fixed cut ``CUT``,
-whatever other tokens a table holds, and the cut is the share of real keys lost.
-Short words pass such a battery too often, so a token is dropped as well if
-its neighbouring letters follow each other as in natural words: the
-log-likelihood of its letter pairs under words against equal odds must stay
-within ``READ`` deviations of what random letters give. README has the measured
-shares of keys found and of words reported.
-
-At scale: one pass over the texts in Arrow batches; rows are independent, no shuffle.
+are combined by Fisher's method. A real key's p-value is uniform, so a token is
+no key below the cut ``CUT``, which is the share of real keys that this loses.
+
+False discoveries. What passes the battery is reported only if it isn't likely
+as text. Text is modelled as a chain of letters, digits and signs with the letter
+pairs of natural words, words in a row as in names and slugs, and digits that stay together. The
+chance that text is as far from this chain towards the token's random encoding is a
+p-value of the hypothesis "text" (1 for tokens that fail the battery), with a
+spread ``LOOSE`` times the chain's own, as real names vary more. Short
+tokens say less than long ones, so Benjamini and Hochberg's rule is applied in
+each class of lengths over all tokens of the table: of the tokens reported in
+a class a share of ``RATE`` is text at most, in expectation, as far as text is like the chain.
+Numbers, tokens of digits alone, can't be told from keys and aren't tested.
+
+At scale: one pass over the texts in Arrow batches; rows are independent. Counts
+by class and p-value give the limits: some 400 sums a class, and one number
+for each class comes to the driver. A native projection applies them.
 
 Defined results
 * null or empty text: no spans. Very long text: searched whole; a candidate token is tested whole.
@@ -35,18 +40,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import beside, count_of, for_python, joined, row_of, table
+from .common import beside, count_of, for_python, joined, row_of, table, written
 
 KINDS = ("assign", "access", "hex")
 ADDED = "random"
 SHORTEST = 20
-CUT, READ = 0.005, 3.2
-#: A token without digits is text where fewer than this share of random tokens of its length and alphabet have none.
-SELDOM = 0.001
-RATE = 0.05
+CUT, RATE, LOOSE = 0.005, 0.05, 1.5
+#: Length classes: from so many characters on. P-values are counted in BINS steps of a tenth of a power of ten.
+CLASSES = (20, 24, 32, 48, 64)
 BINS = 400
-#: Length classes: from 20, 24, 32, 48 and 64 characters on, with the factor on RATE in each.
-CLASSES = ((20, 8.0), (24, 6.0), (32, 3.0), (48, 2.0), (64, 1.0))
 
 Span = tuple[str, int, int]
 
@@ -68,7 +70,6 @@ _ALPHABETS = {
     "base64url": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-_",
 }
 _SETS = {name: frozenset(chars) for name, chars in _ALPHABETS.items()}
-_WITHOUT_DIGITS = {name: 1 - sum(c.isdigit() for c in chars) / len(chars) for name, chars in _ALPHABETS.items()}
 _PLACES = {name: {c: k for k, c in enumerate(chars)} for name, chars in _ALPHABETS.items()}
 
 
@@ -106,16 +107,6 @@ def _chi_tail(x: float, k: int) -> float:
     return 0.5 * math.erfc(z / math.sqrt(2))
 
 
-def _pair_odds() -> dict[str, float]:
-    """Log of how much likelier each pair of letters is within words than among random letters."""
-    counts = {a + b: 0.3 for a in _LETTERS for b in _LETTERS}
-    for word in _WORDS.split():
-        for k in range(len(word) - 1):
-            counts[word[k : k + 2]] += 1
-    first = {a: sum(counts[a + b] for b in _LETTERS) for a in _LETTERS}
-    return {pair: math.log(n / first[pair[0]] * len(_LETTERS)) for pair, n in counts.items()}
-
-
 _LETTERS = "abcdefghijklmnopqrstuvwxyz"
 # Common words of four languages and of identifiers, for the pairs of letters in natural words.
 _WORDS = """the and that have for not with you this but his from they say her she will one all would there their what out about who get which when make can like
@@ -126,16 +117,64 @@ software license permission copyright notice warranty distribution documentation
 der die und das nicht von sie ist des sich mit dem dass er es ein ich auf so eine auch als an nach wie im aber wenn nur werden noch gesellschaft donau dampf schiff fahrt haben wird einer zeit zum sind schule durch kinder
 le la les et des en un une du que est pour qui dans ce il pas sur plus par avec tout faire son mais comme nous vous bien sans peut cette entre aussi leur deux temps monde toujours encore
 el los las que por con para una su al lo como mas pero sus este entre cuando muy sin sobre ser tiene tambien hasta hay donde quien desde todo nos durante todos uno contra otros ese eso ante ellos cada tiempo nuevo"""
-_ODDS = _pair_odds()
-_MEAN = sum(_ODDS.values()) / len(_ODDS)
-_SPREAD = math.sqrt(sum((x - _MEAN) ** 2 for x in _ODDS.values()) / len(_ODDS))
-
-
-def readable(token: str) -> float:
-    """By how many deviations a token's letter pairs are likelier as words than random letters are."""
-    low = token.lower()
-    odds = [x for k in range(len(low) - 1) if (x := _ODDS.get(low[k : k + 2])) is not None]
-    return (sum(odds) - _MEAN * len(odds)) / (_SPREAD * math.sqrt(len(odds))) if odds else 0.0
+_DIGIT, _SIGN, _SYMBOLS = 26, 27, 28
+
+
+def _symbol(c: str) -> int:
+    c = c.lower()
+    return ord(c) - 97 if "a" <= c <= "z" else _DIGIT if "0" <= c <= "9" else _SIGN
+
+
+def _text_chain() -> np.ndarray:
+    """Probabilities of the next symbol in text: letter pairs of words, words joined to names, digits that stay together."""
+    counts, first, last = np.full((_SYMBOLS, _SYMBOLS), 0.3), np.zeros(_SYMBOLS), np.zeros(_SYMBOLS)
+    words = _WORDS.split()
+    for word in words:
+        at = [_symbol(c) for c in word]
+        np.add.at(counts, (at[:-1], at[1:]), 1)
+        first[at[0]] += 1
+        last[at[-1]] += 1
+    starts = first / len(words)
+    # After a word: another one, a sign, or digits.
+    counts += np.outer(last, 0.5 * starts)
+    counts[:, _SIGN] += 0.4 * last
+    counts[:, _DIGIT] += 0.1 * last
+    counts[_DIGIT] += 0.3 * len(words) * (0.15 * starts + 0.75 * (np.arange(_SYMBOLS) == _DIGIT) + 0.1 * (np.arange(_SYMBOLS) == _SIGN))
+    counts[_SIGN] += 0.4 * len(words) * (0.8 * starts + 0.18 * (np.arange(_SYMBOLS) == _DIGIT) + 0.02 * (np.arange(_SYMBOLS) == _SIGN))
+    return counts / counts.sum(axis=1, keepdims=True)
+
+
+def _against_text(chars: str) -> tuple[np.ndarray, float, float]:
+    """For an alphabet: log odds of each pair as random against text, and their mean and variance in text."""
+    shares = np.bincount([_symbol(c) for c in chars], minlength=_SYMBOLS) / len(chars)
+    there = shares > 0
+    chain = _text_chain() * there
+    chain = np.where(there[:, None], chain, 0) / np.maximum(chain.sum(axis=1, keepdims=True), 1e-12)
+    state = there / there.sum()
+    for _ in range(200):
+        state = state @ chain
+    odds = np.zeros((_SYMBOLS, _SYMBOLS))
+    at = np.ix_(there, there)
+    odds[at] = np.log(shares[there][None, :] / chain[at])
+    weight = state[:, None] * chain
+    mean = float((weight * odds).sum())
+    return odds, mean, float((weight * odds * odds).sum()) - mean * mean
+
+
+_AGAINST = {name: _against_text(chars) for name, chars in _ALPHABETS.items()}
+
+
+def evidence(token: str) -> float:
+    """The chance that text looks as random as ``token``; 1 for what fails the battery of tests."""
+    token = token.rstrip("=")
+    p = randomness(token)
+    if p is None or p < CUT:
+        return 1.0
+    odds, mean, variance = _AGAINST[encoding(token)]
+    at = np.array([_symbol(c) for c in token])
+    n = len(at) - 1
+    z = (float(odds[at[:-1], at[1:]].sum()) - n * mean) / (LOOSE * math.sqrt(n * variance))
+    return 0.5 * math.erfc(z / math.sqrt(2))
 
 
 def uniformity(places: np.ndarray, size: int) -> float:
@@ -168,25 +207,13 @@ def serial(places: np.ndarray) -> float:
 
 
 def randomness(token: str) -> float | None:
-    """Fisher's combination of the three tests; None where no encoding fits or a kind of character is missing.
-
-    Base64 of this length holds both cases all but surely, and tokens without
-    digits are seldom from some length on, which depends on the alphabet: a
-    token that lacks them then is text, not a key.
-    """
+    """Fisher's combination of the three tests; None for short tokens, numbers, and what no encoding holds."""
     token = token.rstrip("=")
     name = encoding(token)
-    if name is None or len(token) < SHORTEST:
-        return None
-    digits = sum("0" <= c <= "9" for c in token)
-    if digits == len(token) or digits == 0 and _WITHOUT_DIGITS[name] ** len(token) < SELDOM:
-        return None
-    if name.startswith(("alpha", "base64")) and (token.lower() == token or token.upper() == token):
+    if name is None or len(token) < SHORTEST or all("0" <= c <= "9" for c in token):
         return None
     at = _PLACES[name]
     places, size = np.array([at[c] for c in token]), len(at)
-    if not name.lower() == "hex" and readable(token) > READ:
-        return 0.0
     if len(set(token)) < min(size, len(token)) // 4:
         return 0.0
     log = sum(math.log(max(p, 1e-300)) for p in (uniformity(places, size), runs(places, size), serial(places)))
@@ -194,56 +221,64 @@ def randomness(token: str) -> float | None:
     return math.exp(-half) * (1 + half + half * half / 2)
 
 
-def candidates(text: str | None, base: list[Span]) -> list[tuple[int, int, float]]:
-    """(start, end, p) of tokens that touch no base span and can be tested."""
+def candidates(text: str | None, base: list[Span]) -> list[tuple[int, int, int, int]]:
+    """(start, end, length class, bin of the p-value) of tokens that touch no base span and can be tested."""
     if not text:
         return []
     taken, out = None, []
     for m in _TOKEN.finditer(text):
-        p = randomness(m[0])
-        if p is not None:
-            if taken is None:
-                taken = bytearray(len(text))
-                for _, start, end in base:
-                    taken[start:end] = b"\1" * (end - start)
-            if taken.find(1, *m.span()) < 0:
-                out.append((*m.span(), p))
+        token = m[0].rstrip("=")
+        if len(token) < SHORTEST or encoding(token) is None or token.isdigit():
+            continue
+        if taken is None:
+            taken = bytearray(len(text))
+            for _, start, end in base:
+                taken[start:end] = b"\1" * (end - start)
+        if taken.find(1, *m.span()) < 0:
+            group = sum(len(token) >= c for c in CLASSES) - 1
+            out.append((*m.span(), group, min(BINS, int(-10 * math.log10(max(evidence(token), 1e-300))))))
     return out
 
 
 def thresholds(tested: DataFrame, rate: float = RATE) -> DataFrame:
-    """``class`` and the largest ``bin`` of p-values that Benjamini-Hochberg rejects in it (-1: none), from rows (class, bin).
-
-    For looking at a table's tokens: it doesn't decide what ``find`` reports.
-    """
+    """``class`` and the least bin that Benjamini and Hochberg's rule reports in it, from rows (class, bin); none where nothing is."""
     counts = tested.groupBy("class", "bin").agg(F.count(F.lit(1)).alias("n"))
-    upto = F.sum("n").over(W.partitionBy("class").orderBy("bin").rowsBetween(W.unboundedPreceding, 0))
-    every = F.sum("n").over(W.partitionBy("class"))
-    factor = F.get(F.array(*[F.lit(f) for _, f in CLASSES]), F.col("class"))
-    ranked = counts.withColumn("upto", upto).withColumn("every", every)
-    rejected = (F.col("bin") + 1) / BINS <= F.least(F.lit(0.5), factor * rate) * F.col("upto") / F.col("every")
-    return ranked.groupBy("class").agg(F.coalesce(F.max(F.when(rejected, F.col("bin"))), F.lit(-1)).alias("up_to"))
+    reported = F.sum("n").over(W.partitionBy("class").orderBy(F.desc("bin")).rowsBetween(W.unboundedPreceding, 0))
+    ranked = counts.withColumn("reported", reported).withColumn("every", F.sum("n").over(W.partitionBy("class")))
+    good = F.pow(F.lit(10.0), -F.col("bin") / 10) * F.col("every") <= rate * F.col("reported")
+    return ranked.where(good).groupBy("class").agg(F.min("bin").alias("least"))
 
 
-def find(docs: DataFrame, text_col: str = "text", cut: float = CUT) -> DataFrame:
+def find(docs: DataFrame, text_col: str = "text", rate: float = RATE) -> DataFrame:
     """``docs`` with the text replaced by ``base`` and ``spans``, arrays of (kind, start, end) in code points."""
+    from pyspark.sql.types import StructType, _parse_datatype_string
+
     for_python(docs.sparkSession)
     lean = docs.select(row_of(docs, text_col).alias("row"), F.col(text_col).alias("text"))
     span = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
+    token = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("class", pa.int32()), ("bin", pa.int32())]))
 
     def run(batches):
         for batch in batches:
-            texts = batch.column("text").to_pylist()
+            texts = batch.column(1).to_pylist()
             base = [base_spans(t) for t in texts]
-            spans = [in_order([*b, *((ADDED, start, end) for start, end, p in candidates(t, b) if p >= cut)]) for t, b in zip(texts, base, strict=True)]
-            arrays = [pa.array([[dict(zip(("kind", "start", "end"), s, strict=True)) for s in row] for row in rows], span) for rows in (base, spans)]
-            yield pa.RecordBatch.from_arrays([batch.column("row"), *arrays], ["row", "base", "spans"])
-
-    from pyspark.sql.types import StructType, _parse_datatype_string
-
-    more = _parse_datatype_string("base array<struct<kind:string,start:long,end:long>>, spans array<struct<kind:string,start:long,end:long>>")
-    found = lean.mapInArrow(run, StructType([lean.schema["row"], *more.fields]))
-    return beside(found, [c for c in docs.columns if c != text_col], ["base", "spans"])
+            found = [candidates(t, b) for t, b in zip(texts, base, strict=True)]
+            arrays = [
+                pa.array([[dict(zip(("kind", "start", "end"), s, strict=True)) for s in row] for row in base], span),
+                pa.array([[dict(zip(("start", "end", "class", "bin"), c, strict=True)) for c in row] for row in found], token),
+            ]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *arrays], ["row", "base", "tested"])
+
+    more = _parse_datatype_string("base array<struct<kind:string,start:long,end:long>>, tested array<struct<start:long,end:long,class:int,bin:int>>")
+    found = written(lean.mapInArrow(run, StructType([lean.schema["row"], *more.fields])), "secrets-tested")
+    least = {r["class"]: r["least"] for r in thresholds(found.select(F.explode("tested").alias("t")).select("t.class", "t.bin"), rate).collect()}
+    limits = F.array(*[F.lit(least.get(k, BINS + 1)) for k in range(len(CLASSES))])
+    kinds = F.array(*map(F.lit, (*KINDS, ADDED)))
+    # Added spans touch no base span, so start, kind and end order them all.
+    added = F.transform(F.filter("tested", lambda t: t["bin"] >= F.get(limits, t["class"])), lambda t: F.struct(t["start"].alias("start"), F.lit(len(KINDS)).alias("k"), t["end"].alias("end")))
+    stated = F.transform("base", lambda s: F.struct(s["start"].alias("start"), (F.array_position(kinds, s["kind"]) - 1).cast("int").alias("k"), s["end"].alias("end")))
+    spans = F.transform(F.array_sort(F.concat(stated, added)), lambda s: F.struct(F.get(kinds, s["k"]).alias("kind"), s["start"].alias("start"), s["end"].alias("end")))
+    return beside(found.withColumn("spans", spans), [c for c in docs.columns if c != text_col], ["base", "spans"])
 
 
 def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
