@@ -96,6 +96,11 @@ def target(prediction: str, latents: Column, noise: Column, alpha_bar: Column) -
     return ways[prediction]()
 
 
+def prediction(kind: str, predicted: Column, noise: Column) -> Column:
+    """What is held against ``target``: a model that predicts latents gives them with the noise, which is taken off."""
+    return F.zip_with(predicted, noise, lambda p, e: p - e) if kind == "sample" else predicted
+
+
 def to_pixels(values: Column) -> Column:
     """Decoded values as bytes: NaN becomes 128, infinities 255 and 0, the rest is limited and cut."""
     one = lambda x: F.when(F.isnan(x), 128.0).otherwise(F.least(F.greatest(x, F.lit(0.0)), F.lit(255.0)))

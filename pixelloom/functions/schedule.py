@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .rng import normal, uniform
+
 STEPS, BETA_START, BETA_END = 1000, 0.00085, 0.012
 
 
@@ -76,6 +78,19 @@ def nearest_sigma(draws: DataFrame, table: DataFrame, value: str = "sigma") -> D
     return _lookup(draws, mids, value, cell, lambda v, upper: v <= upper)
 
 
+def sample_timesteps(draws: DataFrame, strategy: str, seed: str, key: str, mean: float = -0.5, spread: float = 1.2) -> DataFrame:
+    """``draws`` with t, drawn by key: uniform, by logit-normal weights, or the nearest to a log-normal noise level."""
+    spark = draws.sparkSession
+    if strategy == "uniform":
+        return draws.withColumn("t", F.floor(uniform(seed, F.col(key)) * STEPS).cast("long"))
+    if strategy == "logit":
+        return draw_by_cdf(draws.withColumn("__u", uniform(seed, F.col(key))), logit_weights(spark), "__u").drop("__u")
+    if strategy == "lognormal":
+        leveled = draws.withColumn("__sigma", F.exp(mean + spread * normal(seed, F.col(key))))
+        return nearest_sigma(leveled, snr_table(spark), "__sigma").drop("__sigma")
+    raise ValueError(f"unknown strategy: {strategy}")
+
+
 def min_snr(snr: Column, gamma: float = 5.0, smoothing: float = 0.1, mode: str = "sigmoid") -> Column:
     """SNR limited at gamma, hard or with a smooth transition."""
     if mode == "clip":

@@ -60,9 +60,6 @@ _AGAIN = {
     "cartoon girl": ("(cartoon )+girl", "girl"),
     "girl girl": ("girl( girl)+", "girl"),
 }
-#: "young " can only come back out of nested pieces of itself; this many passes are made.
-_NESTED = 3
-
 
 def _let(value: Column, body) -> Column:
     """``body(value)`` with ``value`` evaluated once."""
@@ -95,11 +92,24 @@ def clean_caption(caption: Column) -> Column:
         if what in _AGAIN:
             caption = F.regexp_replace(caption, *_AGAIN[what])
         else:
-            for _ in range(_NESTED if what == "young " else 1):
-                caption = F.replace(caption, F.lit(what), F.lit(by))
+            caption = F.replace(caption, F.lit(what), F.lit(by))
+            if not by:
+                caption = _without(caption, what)
     return caption
 
 
+def _without(text: Column, piece: str) -> Column:
+    """``text`` without ``piece``, also where it comes to stand anew, until none is left.
+
+    ``piece`` ends with its only space, so it can only be completed by a space:
+    the text is put together anew a word at a time, and each word that completes
+    the piece takes it away.
+    """
+    words = F.split(text, "(?<= )")
+    put = lambda done, word: _let(F.concat(done, word), lambda x: F.when(x.endswith(piece), F.substring(x, F.lit(1), F.length(x) - len(piece))).otherwise(x))
+    return F.when(text.contains(piece), F.aggregate(words, F.lit(""), put)).otherwise(text)
+
+
 _BLANK = " \t\n\r\x0b\x0c"
 
 

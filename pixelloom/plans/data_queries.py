@@ -221,10 +221,14 @@ def legacy_convert(spark, sf_dir):
 
 
 def _scratch(spark: SparkSession) -> str:
-    """A folder for round trips: in the shared one where the session names it."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='spark-shared-')}"
+    """A folder for round trips: in the shared one that the session names, or a temporary one on a single machine."""
     import uuid
 
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    root = root or f"file://{tempfile.mkdtemp(prefix='spark-shared-')}"
+
     return f"{root}/roundtrip-{uuid.uuid4().hex}"
 
 
@@ -344,7 +348,7 @@ def tags_clean(spark, sf_dir):
 
 
 def _caption_sql() -> str:
-    x = f"{CAPTION} || ' ' || left(text, 60)"
+    x = f"{CAPTION} || ' ' || text"
     again = {"anime anime": ("anime( anime)+", "anime"), "anime girl": ("(anime )+girl", "girl"), "cartoon girl": ("(cartoon )+girl", "girl"), "girl girl": ("girl( girl)+", "girl")}
     for what, by in text.CAPTION_RULES:
         if what in again:
@@ -357,7 +361,7 @@ def _caption_sql() -> str:
 
 @query("caption_clean", _caption_sql())
 def caption_clean(spark, sf_dir):
-    return docs(spark, sf_dir).select("doc_id", text.clean_caption(F.concat(caption(), F.lit(" "), F.substring("text", 1, 60))).alias("caption"))
+    return docs(spark, sf_dir).select("doc_id", text.clean_caption(F.concat(caption(), F.lit(" "), F.col("text"))).alias("caption"))
 
 
 @query("prompt_build", f"SELECT doc_id, concat_ws(', ', nullif({CAPTION}, ''), nullif(array_to_string({TAG_LIST}, ', '), '')) AS prompt FROM documents")

@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import naming, noise, rng, schedule
-from ..operators import steps
+from ..operators import states, steps
 from .data_queries import CAPTIONS, _u, docs, query
 
 # --- SQL pieces -----------------------------------------------------------------------------------------------------
@@ -147,12 +147,20 @@ def lr_restarts(spark, sf_dir):
     return spark.range(150).select(F.col("id").alias("step"), F.round(schedule.decayed_restarts(F.col("id")), 9).alias("lr"))
 
 
-@query("strategy_dispatch", f"WITH x AS (SELECT doc_id, ['uniform', 'logit', 'lognormal'][doc_id % 3 + 1] AS strategy, {_u(_t('dispatch'), 'doc_id')} AS u FROM documents) SELECT strategy, count(*) AS n, round(min(CASE strategy WHEN 'uniform' THEN u WHEN 'logit' THEN 1 - u ELSE u * u END), 9) AS low FROM x GROUP BY strategy")
+@query(
+    "strategy_dispatch",
+    f"""WITH {SNR}, {WEIGHTS}, x AS (SELECT doc_id, doc_id % 3 AS way FROM documents),
+r AS (SELECT t, coalesce(lag(cdf) OVER (ORDER BY t), -1) AS lo, CASE WHEN t = 999 THEN 2 ELSE cdf END AS hi FROM cd),
+l AS (SELECT t, sqrt((1 - alpha_bar) / alpha_bar) AS g FROM s),
+v AS (SELECT doc_id, exp(-0.5::DOUBLE + 1.2::DOUBLE * {_n(_t('run'), 'doc_id')}) AS v FROM x WHERE way = 2)
+SELECT doc_id, 'uniform' AS strategy, floor({_u(_t('run'), 'doc_id')} * 1000)::BIGINT AS t FROM x WHERE way = 0
+UNION ALL SELECT doc_id, 'logit', t FROM x JOIN r ON {_u(_t('run'), 'doc_id')} >= lo AND {_u(_t('run'), 'doc_id')} < hi WHERE way = 1
+UNION ALL SELECT doc_id, 'lognormal', arg_min(t, {{'e': abs(g - v), 't': t}}) FROM v, l GROUP BY doc_id""",
+)
 def strategy_dispatch(spark, sf_dir):
-    names = F.array(F.lit("uniform"), F.lit("logit"), F.lit("lognormal"))
-    drawn = ids(spark, sf_dir).select(F.get(names, (F.col("doc_id") % 3).cast("int")).alias("strategy"), rng.uniform("dispatch", F.col("doc_id")).alias("u"))
-    value = F.when(F.col("strategy") == "uniform", F.col("u")).when(F.col("strategy") == "logit", 1 - F.col("u")).when(F.col("strategy") == "lognormal", F.col("u") * F.col("u")).otherwise(F.raise_error(F.lit("unknown strategy")))
-    return drawn.groupBy("strategy").agg(F.count(F.lit(1)).alias("n"), F.round(F.min(value), 9).alias("low"))
+    """Timesteps of a third of the documents by each of the strategies that a run can name."""
+    found = [schedule.sample_timesteps(ids(spark, sf_dir).where(F.col("doc_id") % 3 == k), name, "run", "doc_id").select("doc_id", F.lit(name).alias("strategy"), F.col("t").cast("long").alias("t")) for k, name in enumerate(("uniform", "logit", "lognormal"))]
+    return found[0].unionByName(found[1]).unionByName(found[2])
 
 
 # --- noise on 8 x 8 latents -----------------------------------------------------------------------------------------
@@ -241,6 +249,11 @@ def velocity_target(spark, sf_dir):
     return _long(_noised(spark, sf_dir), noise.target("v_prediction", F.col("x"), F.col("e"), F.col("a")))
 
 
+@query("sample_prediction", _LE + _FLAT.format("x[c + 1]::DOUBLE - e[c + 1]"))
+def sample_prediction(spark, sf_dir):
+    return _long(_noised(spark, sf_dir), noise.prediction("sample", F.col("x"), F.col("e")))
+
+
 @query("latent_scale", "SELECT vec_id, c AS cell, round(embedding[c + 1]::DOUBLE * 0.18215::DOUBLE, 6) + 0.0::DOUBLE AS value, round(embedding[c + 1]::DOUBLE / 0.18215::DOUBLE, 6) + 0.0::DOUBLE AS inverse FROM embeddings, range(64) AS r(c)")
 def latent_scale(spark, sf_dir):
     cells = _latents(spark, sf_dir).select("vec_id", F.posexplode("x").alias("cell", "v"))
@@ -465,6 +478,35 @@ def fuse_attention_parts(spark, sf_dir):
     return fused.select(F.concat(F.lit("transformer.resblocks."), F.col("block").cast("string"), F.lit(".attn.in_proj_weight")).alias("name"), (F.col("q") + F.col("k") + F.col("v")).alias("n_rows"))
 
 
+@query(
+    "fuse_attention",
+    """SELECT 'transformer.resblocks.' || p_partkey || '.attn.in_proj_weight' AS name, array_to_string([p_size, 1] || [p_size + 1] || [p_partkey % 7, p_size], '|') AS values FROM part""",
+)
+def fuse_attention(spark, sf_dir):
+    """Query, key and value weights of every layer, one behind the other."""
+    key, size = F.col("p_partkey"), F.col("p_size").cast("long")
+    parts = F.array(*[F.struct(F.lit(p).alias("part"), F.array(*v).alias("values")) for p, v in (("v", (key % 7, size)), ("q", (size, F.lit(1).cast("long"))), ("k", (size + 1,)))])
+    rows = docs(spark, sf_dir, "part").select(F.concat(F.lit("transformer.resblocks."), key.cast("string"), F.lit(".attn.in_proj_weight")).alias("layer"), F.explode(parts).alias("p")).select("layer", "p.*")
+    return states.fuse_attention(rows).select(F.col("layer").alias("name"), F.array_join("values", "|").alias("values"))
+
+
+@query(
+    "single_file_merge",
+    """WITH x AS (SELECT p_partkey % 4 AS c, CASE WHEN p_partkey = 7 THEN 'text_projection.weight' ELSE 'w' || (p_partkey // 8) END AS name, p_size AS a, p_partkey AS b FROM part)
+SELECT CASE WHEN c = 3 AND name = 'text_projection.weight' THEN 'conditioner.embedders.1.model.text_projection'
+  ELSE ['model.diffusion_model.', 'first_stage_model.', 'conditioner.embedders.0.transformer.', 'conditioner.embedders.1.model.'][c + 1] || name END AS name,
+  CASE WHEN name = 'text_projection.weight' THEN max(b) || 'x' || max(a) ELSE arg_max(a, b) || 'x' || max(b) END AS shape FROM x GROUP BY c, x.name""",
+)
+def single_file_merge(spark, sf_dir):
+    """The state tables of four components as one, as a single file has them."""
+    key = F.col("p_partkey")
+    name = F.when(key == 7, F.lit("text_projection.weight")).otherwise(F.concat(F.lit("w"), F.floor(key / 8).cast("string")))
+    tables = docs(spark, sf_dir, "part").groupBy((key % 4).alias("c"), name.alias("name")).agg(F.max_by(F.array(F.col("p_size").cast("long"), key), key).alias("shape"))
+    prefixes = ("model.diffusion_model.", "first_stage_model.", "conditioner.embedders.0.transformer.", "conditioner.embedders.1.model.")
+    merged = states.merge_components({p: tables.where(F.col("c") == k) for k, p in enumerate(prefixes)}, {"conditioner.embedders.1.model.text_projection.weight": "conditioner.embedders.1.model.text_projection"})
+    return merged.select("name", F.array_join("shape", "x").alias("shape"))
+
+
 @query("key_rename_adapter", f"WITH {_named(_ADAPTER)}, s AS (SELECT *, string_split(replace(name, 'lycoris_', ''), '_') AS p FROM x) SELECT p_partkey, name, CASE WHEN starts_with(name, 'lycoris_') THEN array_to_string(p[1:6], '.') || CASE WHEN len(p) > 6 THEN '.' || array_to_string(p[7:], '_') ELSE '' END ELSE name END AS renamed, starts_with(name, 'text_encoder') AS is_text FROM s")
 def key_rename_adapter(spark, sf_dir):
     return _parts(spark, sf_dir, _ADAPTER).withColumn("renamed", naming.adapter_key(F.col("name"))).withColumn("is_text", F.col("name").startswith("text_encoder"))
@@ -493,6 +535,13 @@ def url_and_path_predicates(spark, sf_dir):
     return x.select("page_id", "path", naming.is_image(path).alias("is_image"), naming.is_hidden(path).alias("is_hidden"), naming.is_remote(url).alias("is_remote"), naming.direct_url(model, "://").alias("direct"), naming.cached_name(model).alias("cached"), F.regexp_replace("path", r"\.[^./]*$", "").alias("key"))
 
 
+@query("relative_keys", rf"SELECT page_id, regexp_replace(path, '([^/])\.[^./]*$', '\1') AS key FROM (SELECT page_id, {_PATH} AS path FROM pages)")
+def relative_keys(spark, sf_dir):
+    paths = F.array(*map(F.lit, ("a/b.JPG", ".hid/c.png", "ab/_e.png", "t.txt", "x/.y.gif", "n.avif")))
+    whole = F.concat(F.lit("/data/set/"), F.get(paths, (F.col("page_id") % 6).cast("int")))
+    return docs(spark, sf_dir, "pages").select("page_id", naming.relative_key(whole, F.lit("/data/set")).alias("key"))
+
+
 @query("clip_skip_index", "SELECT skip, layers, CASE WHEN skip = 0 THEN -1 ELSE greatest(-(skip + 1), -layers) END AS idx FROM (SELECT i % 5 AS skip, i // 5 + 1 AS layers FROM range(60) AS r(i))")
 def clip_skip_index(spark, sf_dir):
     grid = spark.range(60).select((F.col("id") % 5).alias("skip"), (F.floor(F.col("id") / 5) + 1).cast("long").alias("layers"))
