@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame
 from .wordhash import mixed
 
 _CHUNK = 1 << 17
+#: Chunks that reach the driver at once, 16 KiB each.
+_AT_ONCE = 256
 
 
 def _places(numbers: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
@@ -35,9 +37,11 @@ def bloom(held: DataFrame, column: str, max_bits: int) -> tuple[int, np.ndarray]
                 chunks.setdefault(int(k), np.zeros(_CHUNK, bool))[at[chunk == k]] = True
         yield pa.RecordBatch.from_arrays([pa.array(list(chunks), pa.int32()), pa.array([np.packbits(b).tobytes() for b in chunks.values()], pa.binary())], ["chunk", "bits"])
 
-    filled_chunks = held.select(column).mapInArrow(positions, "chunk int, at int").repartition("chunk").mapInArrow(filled, "chunk int, bits binary")
+    # Every partition that is fetched is a job of its own, so there are as few as the chunks at once allow.
+    parts = -(-(1 << bits) // (_CHUNK * _AT_ONCE))
+    spread = held.select(column).mapInArrow(positions, "chunk int, at int").repartition("chunk").coalesce(parts)
     out = np.zeros((1 << bits) // 8, np.uint8)
-    for row in filled_chunks.toLocalIterator():
+    for row in spread.mapInArrow(filled, "chunk int, bits binary").toLocalIterator(prefetchPartitions=True):
         out[row["chunk"] * _CHUNK // 8 : (row["chunk"] + 1) * _CHUNK // 8] = np.frombuffer(row["bits"], np.uint8)
     return bits, out
 
