@@ -12,7 +12,8 @@ pattern's span.
 
 Runs as one pass over the texts in Arrow batches: no shuffle, rows are
 independent, only the model (some 20 KB) is broadcast, and windows are tagged
-``ROWS`` at a time whatever a text's length.
+``ROWS`` at a time whatever a text's length. A region of more than ``REGION`` characters is
+decoded in pieces that are joined to the labels of a single decoding.
 
 Defined results
 * null or empty text: no spans. Very long text: searched whole, in linear time.
@@ -34,7 +35,7 @@ from . import tagger
 from .common import beside, count_of, for_python, joined, row_of, table
 
 KINDS = ("email", "ip", "card", "phone")
-WINDOW, STRIDE, MARGIN, ROWS, REGION = 64, 32, 20, 256, 8192
+WINDOW, STRIDE, MARGIN, ROWS, REGION, PIECE = 64, 32, 20, 256, 8192, 1024
 TRAIN_TEXTS, TRAIN_STEPS, TRAIN_SEED = 4000, 300, 11
 
 Span = tuple[str, int, int]
@@ -160,11 +161,7 @@ def trained(texts: int = TRAIN_TEXTS, steps: int = TRAIN_STEPS, seed: int = TRAI
 
 
 def regions(text: str) -> list[tuple[int, int]]:
-    """Stretches of ``text`` within MARGIN characters of a digit or an at sign, widened to whole words, in order.
-
-    They are disjoint, but for stretches of more than REGION characters: these
-    are cut into pieces that overlap by two windows.
-    """
+    """Disjoint stretches of ``text`` within MARGIN characters of a digit or an at sign, widened to whole words, in order."""
     out: list[list[int]] = []
     for m in _TRIGGER.finditer(text):
         before = out[-1][1] if out else 0
@@ -177,8 +174,7 @@ def regions(text: str) -> list[tuple[int, int]]:
             out[-1][1] = end
         else:
             out.append([start, end])
-    step = REGION - 2 * WINDOW
-    return [(a, min(a + REGION, end)) for start, end in out for a in range(start, max(start + 1, end - 2 * WINDOW), step)]
+    return [(start, end) for start, end in out]
 
 
 def _region_scores(model: tagger.Model, pieces: list[np.ndarray]) -> list[np.ndarray]:
@@ -204,20 +200,31 @@ def tag(model: tagger.Model, texts: list[str | None]) -> list[list[Span]]:
     where = [(t, start, end) for t, text in enumerate(texts) if text for start, end in regions(text)]
     found: list[list[Span]] = [[] for _ in texts]
     where.sort(key=lambda w: w[2] - w[1])
-    k = 0
-    while k < len(where):
+
+    def keep(t: int, start: int, path: np.ndarray) -> None:
+        kinds = (path + 1) // 2
+        cuts = [0, *(np.flatnonzero((kinds[1:] != kinds[:-1]) | (path[1:] % 2 == 1)) + 1), len(path)]
+        found[t].extend((KINDS[kinds[a] - 1], start + int(a), start + int(b)) for a, b in zip(cuts, cuts[1:], strict=False) if kinds[a])
+
+    k, short = 0, sum(end - start <= REGION for _, start, end in where)
+    while k < short:
         # As many as fit one padded block, whose width is that of its longest region.
-        rows = max(1, min(ROWS, ROWS * WINDOW * 8 // max(1, where[min(k + ROWS, len(where)) - 1][2] - where[min(k + ROWS, len(where)) - 1][1])))
-        some, k = where[k : k + rows], k + rows
+        rows = max(1, min(ROWS, ROWS * WINDOW * 8 // max(1, where[min(k + ROWS, short) - 1][2] - where[min(k + ROWS, short) - 1][1])))
+        some, k = where[k : min(k + rows, short)], k + rows
         scores = _region_scores(model, [tagger.encode(texts[t][start:end]) for t, start, end in some])
         lengths = np.array([len(s) for s in scores])
         padded = np.zeros((len(some), lengths.max(), 2 * len(KINDS) + 1), np.float32)
         for row, s in enumerate(scores):
             padded[row, : len(s)] = s
         for (t, start, _), path in zip(some, tagger.viterbi(model, padded, lengths), strict=True):
-            kinds = (path + 1) // 2
-            cuts = [0, *(np.flatnonzero((kinds[1:] != kinds[:-1]) | (path[1:] % 2 == 1)) + 1), len(path)]
-            found[t] += [(KINDS[kinds[a] - 1], start + int(a), start + int(b)) for a, b in zip(cuts, cuts[1:], strict=False) if kinds[a]]
+            keep(t, start, path)
+    for t, start, end in where[short:]:
+        # Windows stand at multiples of STRIDE, so a stretch with one more on either side has the region's own scores.
+        def scores_of(a: int, b: int, text: str = texts[t], start: int = start, end: int = end) -> np.ndarray:
+            low = max(0, a - STRIDE)
+            return _region_scores(model, [tagger.encode(text[start + low : min(end, start + b + STRIDE)])])[0][a - low : b - low]
+
+        keep(t, start, tagger.viterbi_in_pieces(model, scores_of, end - start, PIECE))
     return found
 
 

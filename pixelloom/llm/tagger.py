@@ -7,6 +7,8 @@ A trained model is a dict of arrays, so it can be broadcast as it is.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 
 Model = dict[str, np.ndarray]
@@ -127,10 +129,11 @@ def train(codes: np.ndarray, labels: np.ndarray, n_labels: int, steps: int, seed
     return model
 
 
-def viterbi(model: Model, scores: np.ndarray, lengths: np.ndarray) -> list[np.ndarray]:
-    """Best label sequence of each row of ``scores`` (rows, time, labels) over its length."""
+def viterbi(model: Model, scores: np.ndarray, lengths: np.ndarray, start: np.ndarray | None = None, last: np.ndarray | None = None) -> list[np.ndarray]:
+    """Best label sequence of each row of ``scores`` (rows, time, labels) over its length; ``start`` (rows, labels) and ``last`` (rows) bind its ends."""
     rows, steps, n = scores.shape
-    best = model["S"] + scores[:, 0]
+    # Sums of many steps in double precision, or labels of long rows turn on their rounding.
+    best = np.float64(model["S"] if start is None else start) + scores[:, 0]
     came = np.zeros((rows, steps, n), np.int8)
     ends = [best]
     for t in range(1, steps):
@@ -141,8 +144,46 @@ def viterbi(model: Model, scores: np.ndarray, lengths: np.ndarray) -> list[np.nd
     out = []
     for r, size in enumerate(lengths):
         path = np.empty(size, np.int64)
-        path[-1] = ends[size - 1][r].argmax()
+        path[-1] = ends[size - 1][r].argmax() if last is None else last[r]
         for t in range(size - 1, 0, -1):
             path[t - 1] = came[r, t, path[t]]
         out.append(path)
     return out
+
+
+def viterbi_in_pieces(model: Model, scores_of: Callable[[int, int], np.ndarray], size: int, piece: int, at_once: int = 128) -> np.ndarray:
+    """Best label sequence of one long row, whose scores (time, labels) ``scores_of(start, end)`` gives.
+
+    The sequence is that of a single decoding, at the memory of ``at_once`` pieces: first the best way through every
+    piece from each label before it to each label at its end, then the best way over all pieces, then the labels inside.
+    """
+    trans, whole = model["T"], size // piece
+    blocks = [(k * piece, min(at_once, whole - k), piece) for k in range(0, whole, at_once)]
+    blocks += [(whole * piece, 1, size % piece)] if size % piece else []
+
+    def begun(at: int, before: np.ndarray) -> np.ndarray:
+        start = trans[before]
+        if at == 0:
+            start[0] = model["S"]
+        return start
+
+    total, back = np.zeros(len(trans)), []
+    for at, n, steps in blocks:
+        scores = scores_of(at, at + n * steps).reshape(n, steps, -1)
+        best = np.float64(begun(at, np.tile(np.arange(len(trans)), (n, 1)))) + scores[:, :1]
+        for t in range(1, steps):
+            best = (best[..., None] + trans).max(axis=2) + scores[:, t, None]
+        for ways in best:
+            through = total[:, None] + ways
+            back.append(through.argmax(axis=0))
+            total = through.max(axis=0) - through.max()
+    last = np.full(len(back), total.argmax())
+    for k in range(len(back) - 1, 0, -1):
+        last[k - 1] = back[k][last[k]]
+    out, before, k = np.empty(size, np.int8), np.append(0, last), 0
+    for at, n, steps in blocks:
+        scores = scores_of(at, at + n * steps).reshape(n, steps, -1)
+        paths = viterbi(model, scores, np.full(n, steps), begun(at, before[k : k + n]), last[k : k + n])
+        out[at : at + n * steps] = np.concatenate(paths)
+        k += n
+    return out

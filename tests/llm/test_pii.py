@@ -75,11 +75,29 @@ def test_regions_cover_every_trigger():
     regions = pii.regions(text)
     held = np.zeros(len(text), bool)
     for a, b in regions:
-        assert b - a <= pii.REGION
+        assert not held[a:b].any()
         held[a:b] = True
     assert all(held[m.start()] for m in re.finditer("[0-9@]", text))
 
 
+def test_a_long_region_is_decoded_as_a_whole():
+    rng, model = np.random.default_rng(3), pii.trained()
+    said = ["4565410125667261", "(988) 555-2485", "12", "tian @ oule.com", "10.0.7.300", "at", "988 555 2485,"]
+    text = " ".join(said[k] for k in rng.integers(0, len(said), 11_000))
+    assert pii.regions(text) == [(0, len(text))] and len(text) > 100_000 and len(text) % pii.PIECE
+    scores = pii._region_scores(model, [tagger.encode(text)])[0]
+    once = tagger.viterbi(model, scores[None], np.array([len(text)]))[0]
+    got = tagger.viterbi_in_pieces(model, lambda a, b: scores[a:b], len(text), pii.PIECE, 7)
+    assert np.array_equal(got, once) and len(set(once.tolist())) > 3
+    short = pii.REGION
+    try:
+        pii.REGION = len(text)
+        expected = pii.tag(model, [text, None, "call 12"])
+    finally:
+        pii.REGION = short
+    assert pii.tag(model, [text, None, "call 12"]) == expected and len(expected[0]) > 3000
+
+
 def test_rows(spark):
     rows = pii.find(odd(spark)).collect()
     assert len(rows) == 8 and all(r.spans == [] for r in rows)
