@@ -39,7 +39,7 @@ def test_against_brute_force(spark, duck):
     from pixelloom.llm import line_dedup
     from test_decontaminate import brute as hits
     from test_line_dedup import brute as repeated
-    from test_simhash import slow_print
+    from test_similar import brute as similar
 
     kept = {r[0] for r in duck.sql(f"SELECT doc_id FROM ({quality_rules.oracle_sql()}) WHERE kept").fetchall()}
     rows = sorted((r.doc_id, r.text) for r in spark.read.parquet(f"{DATA}/documents.parquet").collect() if r.doc_id in kept)
@@ -50,17 +50,7 @@ def test_against_brute_force(spark, duck):
         if any(line_dedup.line_words(x) for x in lines):
             left.append((doc, "\n".join(lines)))
 
-    prints, first = [(doc, slow_print(text)) for doc, text in left], {}
-    for doc, _ in prints:
-        first[doc] = doc
-    changed = True
-    while changed:
-        changed = False
-        for a, x in prints:
-            for b, y in prints:
-                if bin(x ^ y).count("1") <= 2 and first[b] > first[a]:
-                    first[b], changed = first[a], True
-    left = [(doc, text) for doc, text in left if first[doc] == doc]
+    left = [left[k] for k in similar([t for _, t in left])]
 
     items = [(str(i), decontaminate.folded_words(t)) for i, t in duck.sql("SELECT item_id, text FROM benchmark").fetchall()]
     word, expected = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"), []
