@@ -97,6 +97,24 @@ def adapter_key(name: Column) -> Column:
     return F.when(name.startswith("lycoris_"), F.array_join(F.split(bare, "_", 7), ".")).otherwise(name)
 
 
+def options_fingerprint(options: dict[str, Column]) -> Column:
+    """Eight hex digits of the SHA-256 of options, written as a dictionary of plain values: texts in quotes, whole numbers, True, False and None.
+
+    A text with an apostrophe stands in double quotes unless it holds those, too.
+    """
+
+    def said(value: Column) -> Column:
+        text, kind = value.cast("string"), F.typeof(value)
+        for plain, escaped in (("\\", "\\\\"), ("\n", "\\n"), ("\r", "\\r"), ("\t", "\\t")):
+            text = F.replace(text, F.lit(plain), F.lit(escaped))
+        double = text.contains("'") & ~text.contains('"')
+        quoted = F.when(double, F.concat(F.lit('"'), text, F.lit('"'))).otherwise(F.concat(F.lit("'"), F.replace(text, F.lit("'"), F.lit("\\'")), F.lit("'")))
+        return F.coalesce(F.when(kind == "string", quoted).when(kind == "boolean", F.initcap(text)).otherwise(text), F.lit("None"))
+
+    parts = [F.concat(F.lit(f"'{name}': "), said(value)) for name, value in options.items()]
+    return F.substring(F.sha2(F.concat(F.lit("{"), F.concat_ws(", ", *parts), F.lit("}")), 256), 1, 8)
+
+
 def feed_forward_factor(factor: Column, ratio: Column) -> Column:
     return F.greatest(F.lit(1), (factor * ratio).cast("int"))
 

@@ -67,17 +67,35 @@ def with_offset(grid: Column, strength: float, probability: float, *keys) -> Col
     return F.transform(grid, lambda x: x + F.when(uniform(*keys, "use") < probability, strength * normal(*keys, "offset")).otherwise(0.0))
 
 
+def _running(values: Column, plus) -> Column:
+    """What ``plus`` makes of each element and the result before it; the first stays."""
+    following = lambda done, x: F.concat(done, F.array(F.when(F.size(done) == 0, x).otherwise(plus(F.get(done, F.size(done) - 1), x))))
+    return F.aggregate(F.slice(values, 2, F.size(values)), F.slice(values, 1, 1), following)
+
+
 def brownian(grid: Column, h: int, w: int, scale: float = 1.0) -> Column:
     """Running sums over rows, then columns; centred, divided by the sample deviation (0 counts as 1), scaled."""
-    cells = F.sequence(F.lit(0), F.lit(h * w - 1))
-    inside = lambda g, k: F.filter(g, lambda x, i: (F.floor(i / w) <= F.floor(k / w)) & (i % w <= k % w))
     total = lambda a: F.aggregate(a, F.lit(0.0), lambda s, x: s + x)
-    walked = _let(grid, lambda g: F.transform(cells, lambda k: total(inside(g, k))))
+    lines = _let(grid, lambda g: F.transform(F.sequence(F.lit(0), F.lit(h - 1)), lambda r: _running(F.slice(g, r * w + 1, w), lambda a, x: a + x)))
+    walked = F.flatten(_running(lines, lambda above, line: F.zip_with(above, line, lambda a, x: a + x)))
     centred = _let(walked, lambda a: _let(total(a) / (h * w), lambda m: F.transform(a, lambda x: x - m)))
     deviation = lambda a: F.sqrt(total(F.transform(a, lambda x: x * x)) / (h * w - 1))
     return _let(centred, lambda a: _let(deviation(a), lambda s: F.transform(a, lambda x: x / F.when(s == 0, 1.0).otherwise(s) * scale)))
 
 
+def drawn(h: int, w: int, *keys, brownian_scale: float | None = None, scales=None, weights=None, levels: int = 6, discount: float = 0.8, several: bool = True, offset: float = 0.0, offset_probability: float = 1.0) -> Column:
+    """The noise that settings ask for: a Brownian walk before stated scales, these before a pyramid, and plain draws if none; then the offset."""
+    if brownian_scale is not None:
+        grid = brownian(gaussian(h, w, *keys, "base"), h, w, brownian_scale)
+    elif several and scales is not None:
+        grid = multi_resolution(h, w, scales, weights, *keys)
+    elif several:
+        grid = pyramid(h, w, levels, discount, *keys)
+    else:
+        grid = gaussian(h, w, *keys, "base")
+    return with_offset(grid, offset, offset_probability, *keys) if offset > 0 else grid
+
+
 def add_noise(latents: Column, noise: Column, alpha_bar: Column) -> Column:
     """Forward noising (published definition)."""
     return F.zip_with(latents, noise, lambda x, e: F.sqrt(alpha_bar) * x + F.sqrt(1 - alpha_bar) * e)

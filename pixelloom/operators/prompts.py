@@ -30,3 +30,10 @@ def augmented(caption: Column, tags: Column, key: Column, *, caption_p: float, a
     kept = drop_tags(tags, key, all_tags_p, tag_p, seed)
     text = prompt(drop_caption(caption, key, caption_p, seed), shuffle_tags(kept, key, seed) if shuffle else kept)
     return text if condition_p <= 0 else F.when(uniform(seed, "condition", key) < condition_p, F.lit("")).otherwise(text)
+
+
+def paired(captions: Column, tags: Column) -> Column:
+    """Captions and tags of a batch by position, as structs (caption, tags); lists of different lengths are an error."""
+    broken = F.raise_error(F.concat(F.lit("captions and tags differ in number: "), F.size(captions).cast("string"), F.lit(" and "), F.size(tags).cast("string")))
+    same = F.zip_with(captions, tags, lambda c, t: F.struct(c.alias("caption"), t.alias("tags")))
+    return F.when(F.size(captions) == F.size(tags), same).otherwise(broken)

@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import naming, noise, rng, schedule
-from ..operators import states, steps
+from ..operators import prompts, states, steps
 from .data_queries import CAPTIONS, _u, docs, query
 
 # --- SQL pieces -----------------------------------------------------------------------------------------------------
@@ -229,6 +229,25 @@ def brownian_noise(spark, sf_dir):
     return _long(_latents(spark, sf_dir), noise.brownian(F.col("x"), 8, 8))
 
 
+@query(
+    "noise_choice",
+    f"""WITH g AS (SELECT vec_id, {_grid_sql(8, 8, _t('base'))} AS e, {_grid_sql(8, 8, _t('level'), _t('0'))} AS a, {_grid_sql(4, 4, _t('level'), _t('1'))} AS b, {_grid_sql(8, 8, _t('scale'), _t('0'))} AS p, {_grid_sql(2, 2, _t('scale'), _t('1'))} AS q FROM embeddings),
+x AS (SELECT vec_id, c, e[c + 1] AS e, a[c + 1] + 0.8::DOUBLE * {_up_sql('b', 4, 4)} AS levels, 0.5::DOUBLE * p[c + 1] + 0.5::DOUBLE * {_up_sql('q', 2, 2)} AS scales FROM g, range(64) AS r(c)),
+rows AS (SELECT *, sum(e) OVER (PARTITION BY vec_id, c % 8 ORDER BY c) AS v FROM x),
+walk AS (SELECT *, sum(v) OVER (PARTITION BY vec_id, floor(c / 8) ORDER BY c) AS u FROM rows),
+n AS (SELECT *, (u - avg(u) OVER w) / stddev_samp(u) OVER w * 2.0::DOUBLE AS brownian FROM walk WINDOW w AS (PARTITION BY vec_id))
+SELECT vec_id, c AS cell, round(CASE vec_id % 4 WHEN 0 THEN brownian WHEN 1 THEN scales WHEN 2 THEN levels ELSE e END, 6) + 0.0::DOUBLE AS value FROM n""",
+)
+def noise_choice(spark, sf_dir):
+    """Four settings, a quarter of the rows each; what comes first in precedence decides, whatever else is set."""
+    key, all_set = F.col("vec_id"), {"levels": 2, "discount": 0.8}
+    settings = (all_set | {"brownian_scale": 2.0, "scales": (1.0, 0.25)}, all_set | {"scales": (1.0, 0.25)}, all_set, all_set | {"scales": (1.0, 0.25), "several": False})
+    choice = F.lit(None)
+    for k, s in enumerate(settings):
+        choice = F.when(key % 4 == k, noise.drawn(8, 8, key, **s)).otherwise(choice)
+    return _long(docs(spark, sf_dir, "embeddings"), choice)
+
+
 _AB = "(vec_id % 997 + 1) / 1000.0::DOUBLE"
 
 
@@ -556,8 +575,21 @@ FROM (SELECT doc_id, [{', '.join(f"'{c}'" for c in CAPTIONS)}][doc_id % {len(CAP
 def options_hash(spark, sf_dir):
     """First digits of the digest of preview options, written as a dictionary of plain values."""
     prompt = F.get(F.array(*map(F.lit, CAPTIONS)), (F.col("doc_id") % len(CAPTIONS)).cast("int"))
-    said = F.concat(F.lit("{'prompt': '"), prompt, F.lit("', 'negative_prompt': '', 'steps': "), (20 + F.col("doc_id") % 30).cast("string"), F.lit(", 'seed': "), F.col("doc_id").cast("string"), F.lit(", 'width': None, 'height': None, 'clip_skip': 2}"))
-    return ids(spark, sf_dir).select("doc_id", F.substring(F.sha2(said, 256), 1, 8).alias("fingerprint"))
+    options = {"prompt": prompt, "negative_prompt": F.lit(""), "steps": 20 + F.col("doc_id") % 30, "seed": F.col("doc_id"), "width": F.lit(None), "height": F.lit(None), "clip_skip": F.lit(2)}
+    return ids(spark, sf_dir).select("doc_id", naming.options_fingerprint(options).alias("fingerprint"))
+
+
+@query(
+    "caption_tag_pairs",
+    """WITH b AS (SELECT event_id // 16 AS batch, list(event_type ORDER BY event_id) AS c, list(user_id % 7 ORDER BY event_id) AS t FROM events GROUP BY 1)
+SELECT batch, unnest(range(len(c))) AS place, unnest(c) AS caption, unnest(t) AS tag FROM b""",
+)
+def caption_tag_pairs(spark, sf_dir):
+    """Captions and tags of each batch, paired by position."""
+    lists = F.sort_array(F.collect_list(F.struct("event_id", "event_type", (F.col("user_id") % 7).alias("tag"))))
+    batches = docs(spark, sf_dir, "events").groupBy(F.floor(F.col("event_id") / 16).alias("batch")).agg(lists.alias("l"))
+    pairs = batches.select("batch", F.posexplode(prompts.paired(F.col("l.event_type"), F.col("l.tag"))).alias("place", "p"))
+    return pairs.select("batch", F.col("place").cast("long").alias("place"), F.col("p.caption").alias("caption"), F.col("p.tags").alias("tag"))
 
 
 @query(

@@ -7,7 +7,7 @@ import pytest
 from pixelloom.functions import naming
 from pixelloom.operators import manifest
 from pixelloom.sources import files, posts
-from pixelloom.streaming.prep import prepare
+from pixelloom.streaming.prep import Progress, prepare, set_broken_state_aside
 from pyspark.sql import functions as F
 
 
@@ -92,6 +92,30 @@ def test_preparation_restarts(spark, tmp_path):
     assert run() == 2 == run()
     spark.createDataFrame([("b",), ("c",)], "text string").write.mode("append").parquet(f"{tmp_path}/in")
     assert run() == 3
+    # A state that can't be read is kept under another name, and nothing is prepared twice.
+    (tmp_path / "state" / "offsets" / "0").write_text("broken")
+    spark.createDataFrame([("d",), ("a",)], "text string").write.mode("append").parquet(f"{tmp_path}/in")
+    assert run() == 4 and len(list(tmp_path.glob("state_corrupted_*"))) == 1
+    assert set_broken_state_aside(spark, f"{tmp_path}/state") is None and set_broken_state_aside(spark, f"{tmp_path}/none") is None
+
+
+def test_progress_counts_rows_and_tells_stalls(spark, tmp_path):
+    import time
+
+    spark.createDataFrame([("a",), ("b",), ("c",)], "text string").write.parquet(f"{tmp_path}/in")
+    progress = Progress(stall=0.05)
+    spark.streams.addListener(progress)
+    try:
+        schema = spark.read.parquet(f"{tmp_path}/in").schema
+        prepare(spark, f"{tmp_path}/in", schema, f"{tmp_path}/out", f"{tmp_path}/state", lambda b: b.withColumnRenamed("text", "key")).awaitTermination()
+        until = time.monotonic() + 10
+        while (progress.running or not progress.batches) and time.monotonic() < until:
+            time.sleep(0.05)
+    finally:
+        spark.streams.removeListener(progress)
+    assert progress.rows == 3 and not progress.stalled()
+    progress.running, progress.last = 1, progress.last - 1
+    assert progress.stalled()
 
 
 @pytest.mark.parametrize(("name", "renamed"), [("lycoris_a_b_c_d_e_f_g_h", "a.b.c.d.e.f.g_h"), ("lycoris_a_b_c_d_e_f_g", "a.b.c.d.e.f.g"), ("lycoris_a_b", "a.b"), ("a_b", "a_b")])

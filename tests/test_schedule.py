@@ -123,3 +123,23 @@ def test_zero_terminal_snr(spark):
     assert table.snr.iloc[-1] == 0 and table.alpha_bar.iloc[0] == pytest.approx(1 - schedule.BETA_START) and (np.diff(table.snr) < 0).all()
     assert schedule.scheduler_settings({"prediction_type": "epsilon"})["timestep_spacing"] == "trailing"
     assert schedule.scheduler_settings({"zero_terminal_snr": True}) == {"rescale_betas_zero_snr": True, "timestep_spacing": "trailing"}
+
+
+def test_options_fingerprint(spark):
+    import hashlib
+
+    from pixelloom.functions.naming import options_fingerprint
+
+    rows = [("a cat", 3, True), ("it's", None, False), ('say "it\'s"', -1, None), ("two\nlines \\ tab\t", 0, True), (None, 1, True)]
+    df = spark.createDataFrame(rows, "prompt string, steps long, on boolean")
+    got = df.select(options_fingerprint({c: F.col(c) for c in df.columns}).alias("f")).collect()
+    assert [r.f for r in got] == [hashlib.sha256(str(dict(zip(df.columns, r, strict=True))).encode()).hexdigest()[:8] for r in rows]
+
+
+def test_pairs_of_different_lengths_are_an_error(spark):
+    from pixelloom.operators.prompts import paired
+
+    df = spark.createDataFrame([(["a", "b"], [["x"], ["y"]]), ([], [])], "c array<string>, t array<array<string>>")
+    assert [[tuple(p) for p in r.p] for r in df.select(paired(F.col("c"), F.col("t")).alias("p")).collect()] == [[("a", ["x"]), ("b", ["y"])], []]
+    with pytest.raises(Exception, match="differ in number"):
+        df.select(paired(F.col("c"), F.slice("t", 1, 1)).alias("p")).collect()
