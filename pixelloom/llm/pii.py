@@ -36,13 +36,13 @@ from .common import beside, count_of, for_python, joined, row_of, table
 
 KINDS = ("email", "ip", "card", "phone")
 WINDOW, STRIDE, MARGIN, ROWS, REGION, PIECE = 64, 32, 20, 256, 8192, 1024
-TRAIN_TEXTS, TRAIN_STEPS, TRAIN_SEED = 4000, 300, 11
+TRAIN_TEXTS, TRAIN_STEPS, TRAIN_SEED = 6000, 600, 11
 
 Span = tuple[str, int, int]
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
-_DOMAIN_REST = re.compile(r"[A-Za-z0-9-]*(?:\.[A-Za-z0-9-]+)*")
+_SIGN = re.compile(r" ?(?:@|\[at\]|\(at\)) ?")
 _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
@@ -117,7 +117,7 @@ def _examples(n: int, seed: int):
 
     def email() -> str:
         name = word().encode("ascii", "ignore").decode() or "me"
-        return pick((f"{name}.{number(2)}@mail{number(1)}.example.com", f"{name}@{name}.org", f"{name}_{name}@post.{name}.net", f"{name} @ {name}.com", f"{name}[at]{name}.com", f"{name}+{number(1)}@{name}.de"))
+        return pick((f"{name}.{number(2)}@mail{number(1)}.example.com", f"{name}@{name}.org", f"{name}_{name}@post.{name}.net", f"{name} @ {word()}.com", f"{name}[at]{name}.com", f"{name}(at){word()}.org", f"{name}+{number(1)}@{name}.de"))
 
     def other() -> str:
         hexed = "".join(pick("0123456789abcdef") for _ in range(int(rng.integers(16, 40))))
@@ -127,7 +127,7 @@ def _examples(n: int, seed: int):
     for _ in range(n):
         text, spans = " ".join(word() for _ in range(int(rng.integers(0, 9)))), []
         for _ in range(int(rng.integers(1, 3))):
-            kind = pick(("email", "ip", "card", "phone", "phone", ""))
+            kind = pick(("email", "email", "ip", "card", "phone", "phone", ""))
             item = make[kind]()
             text += pick((" ", " ", ": ", "\n", " (")) if text else ""
             if kind:
@@ -234,12 +234,12 @@ def _trimmed(text: str, span: Span) -> Span:
         start += 1
     while end > start and not text[end - 1].isalnum():
         end -= 1
-    if kind == "email" and start < end:
-        # Parts longer than those of the training texts may be labelled in part: up to the ends of local part and domain.
+    sign = _SIGN.search(text, start, end) if kind == "email" else None
+    if sign and (m := _DOMAIN.match(text, sign.end())):
+        # Parts may be labelled in part, or with a word beside them: the address is the local part and the domain around its sign.
+        start, end = sign.start(), m.end()
         while start > 0 and text[start - 1] in _LOCAL:
             start -= 1
-        if m := _DOMAIN_REST.match(text, end):
-            end = m.end()
     return kind, start, end
 
 
