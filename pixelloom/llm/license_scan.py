@@ -117,6 +117,7 @@ class Index:
             for at, word in enumerate(words):
                 self.postings[word].append((label, at))
         self.vocabulary = frozenset(self.postings)
+        self.needs = {label: [self.vocabulary.intersection(folded_words(k)) for k in keys] for label, (_, keys) in templates.items()}
 
 
 def places(joined: bytes, phrase: bytes) -> tuple[int, int, int]:
@@ -156,6 +157,9 @@ def aligned(words: list[bytes], index: Index, idf: dict[bytes, float]) -> dict[s
         return {}
     looked: dict[bytes, list[tuple[str, int]]] = defaultdict(list)
     for label, template in index.words.items():
+        # No key phrase stands where one of its words is missing, so the template can't be verified.
+        if not any(need <= held for need in index.needs[label]):
+            continue
         for word in sorted(held.intersection(template), key=lambda w: (-idf.get(w, 0.0), w))[:RAREST]:
             looked[word] += [posting for posting in index.postings[word] if posting[0] == label]
     votes: dict[tuple[str, int], set[bytes]] = defaultdict(set)
