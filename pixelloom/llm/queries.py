@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat_format, decontaminate, license_scan, line_dedup, mixing, pii, quality_rules, secret_scan, simhash, weak_quality
+from . import chat_format, decontaminate, license_scan, line_dedup, mixing, pieces, pii, quality_rules, secret_scan, simhash, weak_quality
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii": pii.op1_pii,
@@ -19,6 +19,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_licenses": license_scan.op8_licenses,
     "op9_mix_sources": mixing.op9_mix_sources,
     "op10_quality_classifier": weak_quality.op10_quality_classifier,
+    "op13_pieces": pieces.op13_pieces,
 }
 
 ORACLE_SQL: dict[str, str] = {
