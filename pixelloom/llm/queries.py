@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat_format, decontaminate, hard_negatives, license_scan, line_dedup, mixing, pieces, pii, quality_rules, secret_scan, simhash, weak_quality
+from . import align_tokens, chat_format, decontaminate, hard_negatives, license_scan, line_dedup, mixing, pieces, pii, quality_rules, secret_scan, simhash, weak_quality
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii": pii.op1_pii,
@@ -19,6 +19,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_licenses": license_scan.op8_licenses,
     "op9_mix_sources": mixing.op9_mix_sources,
     "op10_quality_classifier": weak_quality.op10_quality_classifier,
+    "op11_align_tokens": align_tokens.op11_align_tokens,
     "op12_hard_negatives": hard_negatives.op12_hard_negatives,
     "op13_pieces": pieces.op13_pieces,
 }
@@ -29,5 +30,6 @@ ORACLE_SQL: dict[str, str] = {
     "op4_line_dedup": line_dedup.oracle_sql(),
     "op7_quality_rules": quality_rules.oracle_sql(),
     "op9_mix_sources": mixing.oracle_sql(),
+    "op11_align_tokens": align_tokens.op11_align_tokens,
     "op12_hard_negatives": hard_negatives.oracle_sql(),
 }
