@@ -330,27 +330,30 @@ def decode(encoded: DataFrame, ids_col: str = "ids", model: str | None = None) -
     for_python(spark)
     with open(model or model_path(), "rb") as f:
         sent = spark.sparkContext.broadcast(f.read())
-    lean = encoded.select(row_of(encoded).alias("row"), F.col(f"`{ids_col}`").alias("ids"))
+    lean = encoded.select(row_of(encoded, ids_col).alias("row"), F.col(f"`{ids_col}`").alias("ids"))
 
     def run(batches):
         pieces = pieces_of(sent.value)
         for batch in batches:
             ids = batch.column(1)
             texts = [pieces.decode(x.values.to_numpy(zero_copy_only=False).tolist() if x.is_valid else None) for x in ids]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], ["row", "decoded"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), ids, pa.array(texts, pa.string())], ["row", "ids", "decoded"])
 
-    schema = StructType([lean.schema["row"]]).add("decoded", StringType())
-    return beside(lean.mapInArrow(run, schema), encoded.columns, ["decoded"])
+    found = lean.mapInArrow(run, StructType([*lean.schema]).add("decoded", StringType()))
+    own = "decoded"
+    while own in encoded.columns:
+        own += "_"
+    return found.select(*[F.col("ids").alias(c) if c == ids_col else F.col("row").getField(c).alias(c) for c in encoded.columns], F.col("decoded").alias(own))
 
 
 def op13_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pieces of all documents: their digests, the digest of the decoded text, and the bytes that the spans cover."""
-    found = decode(encode(table(spark, sf_dir, "documents").select("doc_id", "text")))
     covered = F.aggregate(F.zip_with("begins", "ends", lambda b, e: e - b), F.lit(0).cast("long"), lambda s, x: s + x)
-    return found.select(
+    found = encode(table(spark, sf_dir, "documents").select("doc_id", "text")).select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join(F.transform("ids", lambda x: x.cast("string")), ","), 256).alias("ids_sha256"),
-        F.sha2("decoded", 256).alias("decoded_sha256"),
         covered.alias("n_span_bytes"),
+        "ids",
     )
+    return decode(found).select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"), "n_span_bytes")
