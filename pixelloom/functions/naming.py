@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column
@@ -174,46 +175,75 @@ TEXT_ENCODER = (
 )
 
 
-def unet_layers() -> list[tuple[str, str]]:
-    """Prefixes of down, up and middle blocks: three levels of two blocks down and three up, numbered through."""
-    out = []
-    for level in range(3):
-        down, up = ("down_blocks", level), ("up_blocks", level)
-        for k in range(2):
-            out += [(f"{down[0]}.{level}.{kind}.{k}.", f"input_blocks.{3 * level + k + 1}.{n}.") for n, kind in enumerate(("resnets", "attentions")) if n == 0 or level]
-        for k in range(4):
-            out += [(f"{up[0]}.{level}.{kind}.{k}.", f"output_blocks.{3 * level + k}.{n}.") for n, kind in enumerate(("resnets", "attentions")) if n == 0 or level < 2]
-        out.append((f"down_blocks.{level}.downsamplers.0.conv.", f"input_blocks.{3 * level + 3}.0.op."))
-        out.append((f"up_blocks.{level}.upsamplers.0.", f"output_blocks.{3 * level + 2}.{2 if level else 1}."))
-    out.append(("output_blocks.2.1.conv.", "output_blocks.2.2.conv."))
-    out.append(("mid_block.attentions.0.", "middle_block.1."))
-    return out + [(f"mid_block.resnets.{k}.", f"middle_block.{2 * k}.") for k in range(2)]
-
-
-def vae_layers() -> list[tuple[str, str]]:
-    """Prefixes of encoder and decoder blocks; decoder blocks are numbered from the other end."""
-    out = []
-    for level in range(4):
-        out += [(f"encoder.down_blocks.{level}.resnets.{k}.", f"encoder.down.{level}.block.{k}.") for k in range(2)]
-        if level < 3:
-            out += [(f"down_blocks.{level}.downsamplers.0.", f"down.{level}.downsample."), (f"up_blocks.{level}.upsamplers.0.", f"up.{3 - level}.upsample.")]
-        out += [(f"decoder.up_blocks.{level}.resnets.{k}.", f"decoder.up.{3 - level}.block.{k}.") for k in range(3)]
-    return out + [(f"mid_block.resnets.{k}.", f"mid.block_{k + 1}.") for k in range(2)]
+@dataclass(frozen=True)
+class Layout:
+    """How a network is built of levels: residual blocks in each, down and up, and the levels that have attention."""
+
+    levels: int
+    down: int
+    up: int
+    attended_down: tuple[int, ...] = ()
+    attended_up: tuple[int, ...] = ()
+
+
+UNET = Layout(levels=3, down=2, up=3, attended_down=(1, 2), attended_up=(0, 1))
+VAE = Layout(levels=4, down=2, up=3)
+_NUMBERED = r"(down|up)_blocks\.(\d+)\.(resnets|attentions|downsamplers|upsamplers)\.(\d+)\.(.*)$"
+_MIDDLE = r"mid_block\.(resnets|attentions)\.(\d+)\.(.*)$"
 
 
 def _rewritten(name: Column, rules) -> Column:
     return reduce(lambda c, r: F.replace(c, F.lit(r[0]), F.lit(r[1])), rules, name)
 
 
-def unet_key(name: Column) -> Column:
-    exact = F.create_map(*[F.lit(x) for rule in UNET_EXACT for x in rule])
-    first = F.coalesce(exact[name], name)
-    return _rewritten(F.when(name.contains("resnets"), _rewritten(first, UNET_RESNET)).otherwise(first), unet_layers())
+def _dotted(*parts: Column | str | int) -> Column:
+    return F.concat_ws(".", *[p.cast("string") if isinstance(p, Column) else F.lit(str(p)) for p in parts])
 
 
-def vae_key(name: Column) -> Column:
-    first = _rewritten(name, [*VAE_FIRST, *vae_layers()])
-    return F.when(name.contains("attentions"), _rewritten(first, VAE_ATTENTION)).otherwise(first)
+def unet_key(name: Column, layout: Layout = UNET) -> Column:
+    """A name is read as side, level, kind and number, and its place in the flat list of blocks is computed from the layout.
+
+    Input block 0 is the stem; every level has its blocks and then a block of its own that samples down. Output blocks
+    have no block for sampling up: that is the third module of a level's last one. Names that the layout hasn't stay.
+    """
+    exact = F.create_map(*[F.lit(x) for rule in UNET_EXACT for x in rule])
+    first = F.coalesce(exact[name], name)
+    first = F.when(name.contains("resnets"), _rewritten(first, UNET_RESNET)).otherwise(first)
+    part = lambda pattern, k: F.regexp_extract(first, "^" + pattern, k)
+    side, level, kind, number, rest = part(_NUMBERED, 1), part(_NUMBERED, 2).try_cast("int"), part(_NUMBERED, 3), part(_NUMBERED, 4).try_cast("int"), part(_NUMBERED, 5)
+    module = F.when(kind == "resnets", 0).when(kind == "attentions", 1)
+    down, up = (side == "down") & (level < layout.levels), (side == "up") & (level < layout.levels)
+    has = lambda levels: (kind == "resnets") | ((kind == "attentions") & level.isin(*levels))
+    middle, nth = part(_MIDDLE, 1), part(_MIDDLE, 2).try_cast("int")
+    return (
+        F.when(down & (number < layout.down) & has(layout.attended_down), _dotted("input_blocks", 1 + level * (layout.down + 1) + number, module, rest))
+        .when(down & (number == 0) & (kind == "downsamplers") & rest.startswith("conv."), _dotted("input_blocks", (level + 1) * (layout.down + 1), 0, F.regexp_replace(rest, "^conv", "op")))
+        .when(up & (number < layout.up) & has(layout.attended_up), _dotted("output_blocks", level * layout.up + number, module, rest))
+        .when(up & (number == 0) & (kind == "upsamplers"), _dotted("output_blocks", (level + 1) * layout.up - 1, 2, rest))
+        .when((middle == "resnets") & (nth < 2), _dotted("middle_block", 2 * nth, part(_MIDDLE, 3)))
+        .when((middle == "attentions") & (nth == 0), _dotted("middle_block", 1, part(_MIDDLE, 3)))
+        .otherwise(first)
+    )
+
+
+def vae_key(name: Column, layout: Layout = VAE) -> Column:
+    """As ``unet_key``, but levels stay; the decoder's count from the other end."""
+    first = _rewritten(name, VAE_FIRST)
+    part = lambda pattern, k: F.regexp_extract(first, r"^(?:encoder|decoder)\." + pattern, k)
+    coder = F.regexp_extract(first, r"^(encoder|decoder)\.", 1)
+    side, level, kind, number, rest = part(_NUMBERED, 1), part(_NUMBERED, 2).try_cast("int"), part(_NUMBERED, 3), part(_NUMBERED, 4).try_cast("int"), part(_NUMBERED, 5)
+    down, up = (coder == "encoder") & (side == "down") & (level < layout.levels), (coder == "decoder") & (side == "up") & (level < layout.levels)
+    sampled = (number == 0) & (level < layout.levels - 1)
+    middle, nth = part(_MIDDLE, 1), part(_MIDDLE, 2).try_cast("int")
+    placed = (
+        F.when(down & (kind == "resnets") & (number < layout.down), _dotted("encoder.down", level, "block", number, rest))
+        .when(down & (kind == "downsamplers") & sampled, _dotted("encoder.down", level, "downsample", rest))
+        .when(up & (kind == "resnets") & (number < layout.up), _dotted("decoder.up", layout.levels - 1 - level, "block", number, rest))
+        .when(up & (kind == "upsamplers") & sampled, _dotted("decoder.up", layout.levels - 1 - level, "upsample", rest))
+        .when((middle == "resnets") & (nth < 2), F.concat(coder, F.lit(".mid.block_"), _dotted(nth + 1, part(_MIDDLE, 3))))
+        .otherwise(first)
+    )
+    return F.when(name.contains("attentions"), _rewritten(placed, VAE_ATTENTION)).otherwise(placed)
 
 
 def vae_shape(key: Column, shape: Column) -> Column:

@@ -44,6 +44,11 @@ def logit_weights(spark: SparkSession, steps: int = STEPS, m: float = 0.0, s: fl
     return weighted.select("t", "weight", cdf.alias("cdf"))
 
 
+def uniform_weights(spark: SparkSession, steps: int = STEPS) -> DataFrame:
+    """t and weight where all timesteps weigh the same."""
+    return spark.range(0, steps, 1, 1).select(F.col("id").alias("t"), F.lit(1.0 / steps).alias("weight"))
+
+
 CELLS = 1024
 
 

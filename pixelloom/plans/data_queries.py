@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from ..functions import geometry, rng, text
 from ..functions.naming import storage_path
 from ..operators import buckets, manifest, prompts, sampler
+from ..sources import posts
 
 # Stand-ins for tags and captions.
 TAGS = (
@@ -394,10 +395,8 @@ FROM pages WHERE page_id % 4 <> 0 AND page_id > 10""",
 def http_flatten_filter(spark, sf_dir):
     """Posts as a paged service answers them: JSON with nested tags, a status, and a cursor from which to go on."""
     post = F.to_json(F.struct(F.col("page_id").alias("id"), F.concat(F.lit("post/"), F.col("page_id").cast("string")).alias("filePath"), F.when(F.col("page_id") % 3 > 0, F.concat(F.lit("Caption "), F.col("page_id").cast("string"))).alias("caption"), F.array(*[F.struct(F.struct(n.alias("name")).alias("tagInfo")) for n in (F.concat(F.lit("t"), (F.col("page_id") % 5).cast("string")), F.lit("u"))]).alias("tags")))
-    answers = docs(spark, sf_dir, "pages").select(F.when(F.col("page_id") % 4 == 0, 404).otherwise(200).alias("status"), post.alias("body"))
-    schema = "id long, filePath string, caption string, tags array<struct<tagInfo:struct<name:string>>>"
-    flat = answers.where("status = 200").select(F.from_json("body", schema).alias("p")).where("p.id > 10")
-    return flat.select(F.col("p.id").alias("page_id"), F.col("p.filePath").alias("file_path"), F.coalesce("p.caption", F.lit("")).alias("caption"), F.array_join(F.transform("p.tags", lambda t: t["tagInfo"]["name"]), "|").alias("tags"))
+    answers = docs(spark, sf_dir, "pages").select(F.col("page_id").alias("id"), F.when(F.col("page_id") % 4 == 0, 404).otherwise(200).alias("status"), post.alias("body"))
+    return posts.posts(answers).where("id > 10").select(F.col("id").alias("page_id"), "file_path", "caption", F.array_join("tags", "|").alias("tags"))
 
 
 @query("score_threshold", "SELECT event_id, value FROM events WHERE value / 100 >= CASE WHEN user_id % 2 = 0 THEN 0.35::DOUBLE ELSE 0.9::DOUBLE END")

@@ -32,27 +32,55 @@ def ids(spark, sf_dir):
     return docs(spark, sf_dir).select("doc_id")
 
 
+_EVENTS = f"e AS (SELECT event_id, user_id, value, floor({_u(_t('t'), 'event_id')} * 1000)::BIGINT AS t FROM events)"
+
+
+def _drawn(spark, sf_dir):
+    """Events with a timestep."""
+    return docs(spark, sf_dir, "events").select("event_id", "user_id", "value", F.floor(rng.uniform("t", F.col("event_id")) * 1000).cast("long").alias("t"))
+
+
+def _at_steps(spark, sf_dir, table):
+    """Events with the row of ``table`` for their timestep: an equal join with its STEPS rows."""
+    return _drawn(spark, sf_dir).join(F.broadcast(table), "t")
+
+
+def _events(spark, sf_dir):
+    """Events with a timestep and its SNR."""
+    return _at_steps(spark, sf_dir, schedule.snr_table(spark).select("t", "snr"))
+
+
+_ACC = """o AS (SELECT user_id, value, ceil(row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) / 4.0)::BIGINT AS global_step FROM events),
+a AS (SELECT user_id, global_step, avg(value) AS train_loss, count(*) AS n_batches FROM o GROUP BY 1, 2)"""
+
+
+def _accumulated(spark, sf_dir):
+    return steps.accumulate(docs(spark, sf_dir, "events"), "user_id", ["ts", "event_id"], "value", 4)
+
+
 # --- schedules and weights ------------------------------------------------------------------------------------------
 
 
-@query("snr_table", f"WITH {SNR} SELECT t, round(beta, 9) AS beta, round(alpha_bar, 6) AS alpha_bar, round(snr, 6) AS snr FROM s")
+@query("snr_table", f"WITH {SNR}, {_EVENTS} SELECT event_id, t, round(beta, 9) AS beta, round(alpha_bar, 6) AS alpha_bar, round(snr, 6) AS snr FROM e JOIN s USING (t)")
 def snr_table(spark, sf_dir):
-    return schedule.snr_table(spark).select("t", F.round("beta", 9).alias("beta"), F.round("alpha_bar", 6).alias("alpha_bar"), F.round("snr", 6).alias("snr"))
+    return _at_steps(spark, sf_dir, schedule.snr_table(spark)).select("event_id", "t", F.round("beta", 9).alias("beta"), F.round("alpha_bar", 6).alias("alpha_bar"), F.round("snr", 6).alias("snr"))
 
 
-@query("logit_weights", f"WITH {WEIGHTS} SELECT t, round(weight, 9) AS weight, cdf FROM cd")
+@query("logit_weights", f"WITH {WEIGHTS}, {_EVENTS} SELECT event_id, t, round(weight, 9) AS weight, cdf FROM e JOIN cd USING (t)")
 def logit_weights(spark, sf_dir):
-    return schedule.logit_weights(spark).select("t", F.round("weight", 9).alias("weight"), "cdf")
+    return _at_steps(spark, sf_dir, schedule.logit_weights(spark)).select("event_id", "t", F.round("weight", 9).alias("weight"), "cdf")
 
 
-@query("uniform_weights", "SELECT t, round(1.0::DOUBLE / 1000, 9) AS weight FROM range(1000) AS r(t)")
+@query("uniform_weights", f"WITH {_EVENTS} SELECT user_id, round(count(*) / 1000.0::DOUBLE, 6) AS weight, count(DISTINCT t) AS n_steps FROM e GROUP BY user_id")
 def uniform_weights(spark, sf_dir):
-    return spark.range(1000).select(F.col("id").alias("t"), F.round(F.lit(1.0) / 1000, 9).alias("weight"))
+    """The weight that each user's timesteps have together when all timesteps weigh the same."""
+    found = _at_steps(spark, sf_dir, schedule.uniform_weights(spark))
+    return found.groupBy("user_id").agg(F.round(F.sum("weight"), 6).alias("weight"), F.countDistinct("t").alias("n_steps"))
 
 
-@query("lognormal_sigma_table", f"WITH {SNR} SELECT t, round(sqrt((1 - greatest(alpha_bar, 1e-12::DOUBLE)) / greatest(alpha_bar, 1e-12::DOUBLE)), 6) AS sigma FROM s")
+@query("lognormal_sigma_table", f"WITH {SNR}, {_EVENTS} SELECT event_id, t, round(sqrt((1 - greatest(alpha_bar, 1e-12::DOUBLE)) / greatest(alpha_bar, 1e-12::DOUBLE)), 6) AS sigma FROM e JOIN s USING (t)")
 def lognormal_sigma_table(spark, sf_dir):
-    return schedule.snr_table(spark).select("t", F.round(schedule.sigma(F.col("alpha_bar")), 6).alias("sigma"))
+    return _at_steps(spark, sf_dir, schedule.snr_table(spark)).select("event_id", "t", F.round(schedule.sigma(F.col("alpha_bar")), 6).alias("sigma"))
 
 
 @query("timestep_histogram_uniform", f"SELECT floor({_u(_t('uniform'), 'doc_id')} * 1000)::BIGINT AS t, count(*) AS n FROM documents GROUP BY 1")
@@ -81,15 +109,6 @@ def timestep_histogram_lognormal(spark, sf_dir):
     return schedule.nearest_sigma(draws, schedule.snr_table(spark)).groupBy("t").agg(F.count(F.lit(1)).alias("n"))
 
 
-_EVENTS = f"e AS (SELECT event_id, user_id, value, floor({_u(_t('t'), 'event_id')} * 1000)::BIGINT AS t FROM events)"
-
-
-def _events(spark, sf_dir):
-    """Events with a timestep and its SNR: an equal join with one row per timestep."""
-    drawn = docs(spark, sf_dir, "events").select("event_id", "user_id", "value", F.floor(rng.uniform("t", F.col("event_id")) * 1000).cast("long").alias("t"))
-    return drawn.join(F.broadcast(schedule.snr_table(spark).select("t", "snr")), "t")
-
-
 _CLIP = "least(snr, 5.0::DOUBLE)"
 _SIG = "(snr * (1 / (1 + exp((snr - 5) / 0.15::DOUBLE))) + 5 * (1 - 1 / (1 + exp((snr - 5) / 0.15::DOUBLE))))"
 _TANH = "(snr * ((1 - tanh((snr - 5) / 0.15::DOUBLE)) / 2) + 5 * (1 - (1 - tanh((snr - 5) / 0.15::DOUBLE)) / 2))"
@@ -98,17 +117,17 @@ _DEBIAS = "(1 / sqrt(least(greatest(snr, 1e-8::DOUBLE), 1000)))"
 
 @query(
     "loss_weights",
-    f"""WITH {SNR} SELECT t, round({_CLIP}, 6) AS clip, round({_SIG}, 6) AS sigmoid, round({_TANH}, 6) AS tanh, round({_CLIP} / nullif(snr, 0), 6) AS epsilon, round({_CLIP} / (snr + 1), 6) AS v_prediction FROM s""",
+    f"""WITH {SNR}, {_EVENTS} SELECT event_id, t, round({_CLIP}, 6) AS clip, round({_SIG}, 6) AS sigmoid, round({_TANH}, 6) AS tanh, round({_CLIP} / nullif(snr, 0), 6) AS epsilon, round({_CLIP} / (snr + 1), 6) AS v_prediction FROM e JOIN s USING (t)""",
 )
 def loss_weights(spark, sf_dir):
     snr = F.col("snr")
     clip = schedule.min_snr(snr, mode="clip")
-    return schedule.snr_table(spark).select("t", F.round(clip, 6).alias("clip"), *[F.round(schedule.min_snr(snr, 5.0, 0.15, m), 6).alias(m) for m in ("sigmoid", "tanh")], *[F.round(schedule.loss_weight(clip, snr, p), 6).alias(p) for p in ("epsilon", "v_prediction")])
+    return _events(spark, sf_dir).select("event_id", "t", F.round(clip, 6).alias("clip"), *[F.round(schedule.min_snr(snr, 5.0, 0.15, m), 6).alias(m) for m in ("sigmoid", "tanh")], *[F.round(schedule.loss_weight(clip, snr, p), 6).alias(p) for p in ("epsilon", "v_prediction")])
 
 
-@query("debias", f"WITH {SNR} SELECT t, round({_DEBIAS}, 6) AS weight FROM s")
+@query("debias", f"WITH {SNR}, {_EVENTS} SELECT event_id, t, round({_DEBIAS}, 6) AS weight FROM e JOIN s USING (t)")
 def debias(spark, sf_dir):
-    return schedule.snr_table(spark).select("t", F.round(schedule.debias(F.col("snr")), 6).alias("weight"))
+    return _events(spark, sf_dir).select("event_id", "t", F.round(schedule.debias(F.col("snr")), 6).alias("weight"))
 
 
 @query("weighted_loss", f"WITH {SNR}, {_EVENTS} SELECT user_id, round(avg(value * {_DEBIAS} * ({_CLIP} / nullif(snr, 0))), 6) AS loss, count(*) AS n FROM e JOIN s USING (t) GROUP BY user_id")
@@ -117,34 +136,41 @@ def weighted_loss(spark, sf_dir):
     return _events(spark, sf_dir).groupBy("user_id").agg(F.round(F.avg(F.col("value") * weight), 6).alias("loss"), F.count(F.lit(1)).alias("n"))
 
 
-@query("perturbation_decay", "SELECT step, round(0.1::DOUBLE * greatest(0, 1 - step / 500.0::DOUBLE), 6) AS decaying, 0.1::DOUBLE AS constant FROM range(1000) AS r(step)")
+@query("perturbation_decay", "SELECT event_id, round(value * (0.1::DOUBLE * greatest(0, 1 - (event_id % 1000) / 500.0::DOUBLE)), 6) AS decaying, round(value * 0.1::DOUBLE, 6) AS constant FROM events")
 def perturbation_decay(spark, sf_dir):
-    step = F.col("id")
-    return spark.range(1000).select(step.alias("step"), F.round(schedule.perturbation(step, 0.1, 500), 6).alias("decaying"), schedule.perturbation(step, 0.1, 0).alias("constant"))
+    """Each event's value as second noise at step event_id % 1000."""
+    step = F.col("event_id") % 1000
+    return docs(spark, sf_dir, "events").select("event_id", F.round(F.col("value") * schedule.perturbation(step, 0.1, 500), 6).alias("decaying"), F.round(F.col("value") * schedule.perturbation(step, 0.1, 0), 6).alias("constant"))
 
 
-@query("adaptive_schedule", "SELECT t, round(1 - t / 1000.0::DOUBLE, 6) AS linear, round(0.5::DOUBLE * (1 + cos(pi() * t / 1000.0::DOUBLE)), 6) AS cosine, round(exp(-2.0::DOUBLE * t / 1000), 6) AS exponential FROM range(1000) AS r(t)")
+@query("adaptive_schedule", f"WITH {_EVENTS} SELECT event_id, t, round(1 - t / 1000.0::DOUBLE, 6) AS linear, round(0.5::DOUBLE * (1 + cos(pi() * t / 1000.0::DOUBLE)), 6) AS cosine, round(exp(-2.0::DOUBLE * t / 1000), 6) AS exponential FROM e")
 def adaptive_schedule(spark, sf_dir):
-    return spark.range(1000).select(F.col("id").alias("t"), *[F.round(schedule.noise_strength(F.col("id"), k), 6).alias(k) for k in ("linear", "cosine", "exponential")])
+    return _drawn(spark, sf_dir).select("event_id", "t", *[F.round(schedule.noise_strength(F.col("t"), k), 6).alias(k) for k in ("linear", "cosine", "exponential")])
 
 
 @query(
     "lr_schedule",
-    """SELECT step, round(0.001::DOUBLE * CASE WHEN step < 100 THEN step / 100.0::DOUBLE WHEN (step - 100) / 900.0::DOUBLE >= 1 THEN 0 ELSE greatest(0, 0.5::DOUBLE * (1 + cos(pi() * fmod(3 * ((step - 100) / 900.0::DOUBLE), 1.0::DOUBLE)))) END, 9) AS cosine,
-round(0.001::DOUBLE * least(1, step / 100.0::DOUBLE), 9) AS constant FROM range(1000) AS r(step)""",
+    f"""WITH {_ACC}, x AS (SELECT user_id, global_step * 10 AS step FROM a)
+SELECT user_id, step, round(0.001::DOUBLE * CASE WHEN step < 100 THEN step / 100.0::DOUBLE WHEN (step - 100) / 900.0::DOUBLE >= 1 THEN 0 ELSE greatest(0, 0.5::DOUBLE * (1 + cos(pi() * fmod(3 * ((step - 100) / 900.0::DOUBLE), 1.0::DOUBLE)))) END, 9) AS cosine,
+round(0.001::DOUBLE * least(1, step / 100.0::DOUBLE), 9) AS constant FROM x""",
 )
 def lr_schedule(spark, sf_dir):
-    step = F.col("id").cast("double")
-    return spark.range(1000).select(F.col("id").alias("step"), F.round(schedule.cosine_restarts(step, 100, 1000, 3, 0.001), 9).alias("cosine"), F.round(schedule.warmup_constant(step, 100, 0.001), 9).alias("constant"))
+    """Learning rates at every tenth step of each user's run."""
+    at = _accumulated(spark, sf_dir).select("user_id", (F.col("global_step") * 10).alias("step"))
+    step = F.col("step").cast("double")
+    return at.select("user_id", "step", F.round(schedule.cosine_restarts(step, 100, 1000, 3, 0.001), 9).alias("cosine"), F.round(schedule.warmup_constant(step, 100, 0.001), 9).alias("constant"))
 
 
 @query(
     "lr_restarts",
-    """SELECT step, round(CASE WHEN step % 50 < 5 THEN (0.1::DOUBLE * pow(0.5::DOUBLE, floor(step / 50)) - 0.05::DOUBLE) * (step % 50 + 1) / 5 + 0.05::DOUBLE
-  ELSE 0.05::DOUBLE + (0.1::DOUBLE - 0.05::DOUBLE) * (1 + cos(pi() * (step % 50) / 50)) / 2 END, 9) AS lr FROM range(150) AS r(step)""",
+    f"""WITH {_ACC}, x AS (SELECT user_id, global_step * 7 AS step FROM a)
+SELECT user_id, step, round(CASE WHEN step % 50 < 5 THEN (0.1::DOUBLE * pow(0.5::DOUBLE, floor(step / 50)) - 0.05::DOUBLE) * (step % 50 + 1) / 5 + 0.05::DOUBLE
+  ELSE 0.05::DOUBLE + (0.1::DOUBLE - 0.05::DOUBLE) * (1 + cos(pi() * (step % 50) / 50)) / 2 END, 9) AS lr FROM x""",
 )
 def lr_restarts(spark, sf_dir):
-    return spark.range(150).select(F.col("id").alias("step"), F.round(schedule.decayed_restarts(F.col("id")), 9).alias("lr"))
+    """Learning rates at every seventh step of each user's run."""
+    at = _accumulated(spark, sf_dir).select("user_id", (F.col("global_step") * 7).alias("step"))
+    return at.withColumn("lr", F.round(schedule.decayed_restarts(F.col("step")), 9))
 
 
 @query(
@@ -315,14 +341,6 @@ def parameter_count(spark, sf_dir):
 
 # --- steps ----------------------------------------------------------------------------------------------------------
 
-_ACC = """o AS (SELECT user_id, value, ceil(row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) / 4.0)::BIGINT AS global_step FROM events),
-a AS (SELECT user_id, global_step, avg(value) AS train_loss, count(*) AS n_batches FROM o GROUP BY 1, 2)"""
-
-
-def _accumulated(spark, sf_dir):
-    return steps.accumulate(docs(spark, sf_dir, "events"), "user_id", ["ts", "event_id"], "value", 4)
-
-
 @query("grad_accumulation", f"WITH {_ACC} SELECT user_id, global_step, round(train_loss, 6) AS train_loss, n_batches FROM a")
 def grad_accumulation(spark, sf_dir):
     return _accumulated(spark, sf_dir).withColumn("train_loss", F.round("train_loss", 6))
@@ -444,59 +462,45 @@ def _named(names: tuple[str, ...]) -> str:
     return f"x AS (SELECT p_partkey, [{', '.join(repr(n) for n in names)}][p_partkey % {len(names)} + 1] || CASE WHEN p_partkey % 5 = 0 THEN '.' || p_partkey ELSE '' END AS name FROM part)"
 
 
-def _chain(x: str, rules) -> str:
-    for what, by in rules:
-        x = f"replace({x}, '{what}', '{by}')"
-    return x
-
-
 def _parts(spark, sf_dir, names):
     name = F.concat(F.get(F.array(*map(F.lit, names)), (F.col("p_partkey") % len(names)).cast("int")), F.when(F.col("p_partkey") % 5 == 0, F.concat(F.lit("."), F.col("p_partkey").cast("string"))).otherwise(""))
     return docs(spark, sf_dir, "part").select("p_partkey", name.alias("name"))
 
 
-_EXACT = "CASE name " + " ".join(f"WHEN '{a}' THEN '{b}'" for a, b in naming.UNET_EXACT) + " ELSE name END"
+def _expected(names: tuple[str, ...], renamed: tuple[str, ...], longer: dict[str, str] | None = None) -> str:
+    """SQL of names with what each becomes, written out by hand; ``longer`` says what becomes of names with something behind them where that differs."""
+    behind = [(longer or {}).get(n, r) for n, r in zip(names, renamed, strict=True)]
+    pick = lambda words: f"[{', '.join(map(repr, words))}][p_partkey % {len(words)} + 1]"
+    return f"WITH {_named(names)} SELECT p_partkey, name, CASE WHEN p_partkey % 5 = 0 THEN {pick(behind)} || '.' || p_partkey ELSE {pick(renamed)} END AS renamed FROM x"
+
+
+_UNET_RENAMED = (
+    "time_embed.0.weight", "input_blocks.0.0.bias", "input_blocks.4.0.in_layers.0.weight", "input_blocks.8.1.proj_in.weight", "output_blocks.2.0.skip_connection.weight", "output_blocks.8.2.conv.weight",
+    "output_blocks.2.2.conv.bias", "middle_block.2.emb_layers.1.bias", "middle_block.1.norm.weight", "input_blocks.3.0.op.weight", "output_blocks.5.1.to_q.weight",
+)
+_VAE_RENAMED = (
+    "encoder.down.0.block.1.nin_shortcut.weight", "encoder.mid.attn_1.q.weight", "decoder.up.2.block.2.norm1.bias", "decoder.up.1.upsample.conv.weight", "decoder.mid.block_1.conv1.weight", "decoder.norm_out.weight",
+    "encoder.mid.attn_1.norm.bias", "decoder.mid.attn_1.proj_out.weight",
+)
+_TEXT_RENAMED = ("transformer.resblocks.3.ln_1.weight", "transformer.resblocks.0.mlp.c_fc.bias", "token_embedding.weight", "positional_embedding", "transformer.resblocks.5.attn.out_proj.weight", "ln_final.bias")
 
 
-@query("key_rename_unet", f"WITH {_named(_UNET)}, e AS (SELECT *, {_EXACT} AS k FROM x), r AS (SELECT *, CASE WHEN contains(name, 'resnets') THEN {_chain('k', naming.UNET_RESNET)} ELSE k END AS q FROM e) SELECT p_partkey, name, {_chain('q', naming.unet_layers())} AS renamed FROM r")
+@query("key_rename_unet", _expected(_UNET, _UNET_RENAMED, {n: n for n in _UNET[:2]}))
 def key_rename_unet(spark, sf_dir):
     return _parts(spark, sf_dir, _UNET).withColumn("renamed", naming.unet_key(F.col("name")))
 
 
-@query("key_rename_vae", f"WITH {_named(_VAE)}, e AS (SELECT *, {_chain('name', [*naming.VAE_FIRST, *naming.vae_layers()])} AS k FROM x), r AS (SELECT p_partkey, name, CASE WHEN contains(name, 'attentions') THEN {_chain('k', naming.VAE_ATTENTION)} ELSE k END AS renamed FROM e) SELECT *, CASE WHEN regexp_matches(renamed, 'mid\\.attn_1\\.(q|k|v|proj_out)\\.weight') THEN 4 ELSE 2 END AS n_dims FROM r")
+@query("key_rename_vae", f"SELECT *, CASE WHEN p_partkey % {len(_VAE)} IN (1, 7) THEN 4 ELSE 2 END AS n_dims FROM ({_expected(_VAE, _VAE_RENAMED)})")
 def key_rename_vae(spark, sf_dir):
     renamed = _parts(spark, sf_dir, _VAE).withColumn("renamed", naming.vae_key(F.col("name")))
     return renamed.withColumn("n_dims", F.size(naming.vae_shape(F.col("renamed"), F.array(F.lit(512), F.lit(512)))))
 
 
-def _text_sql() -> str:
-    x = "name"
-    for k, (what, _) in enumerate(naming.TEXT_ENCODER):
-        x = f"replace({x}, '{what}', '<<{k}>>')"
-    for k, (_, by) in enumerate(naming.TEXT_ENCODER):
-        x = f"replace({x}, '<<{k}>>', '{by}')"
-    return f"WITH {_named(_TEXT)} SELECT p_partkey, name, {x} AS renamed FROM x"
-
-
-@query("key_rename_text", _text_sql())
+@query("key_rename_text", _expected(_TEXT, _TEXT_RENAMED))
 def key_rename_text(spark, sf_dir):
     return _parts(spark, sf_dir, _TEXT).withColumn("renamed", naming.text_encoder_key(F.col("name")))
 
 
-@query(
-    "fuse_attention_parts",
-    """WITH x AS (SELECT p_partkey // 3 AS block, ['q', 'k', 'v'][p_partkey % 3 + 1] AS part, p_size AS n FROM part),
-f AS (SELECT block, max(n) FILTER (part = 'q') AS q, max(n) FILTER (part = 'k') AS k, max(n) FILTER (part = 'v') AS v FROM x GROUP BY block)
-SELECT 'transformer.resblocks.' || block || '.attn.in_proj_weight' AS name, q + k + v AS n_rows FROM f WHERE q IS NOT NULL AND k IS NOT NULL AND v IS NOT NULL""",
-)
-def fuse_attention_parts(spark, sf_dir):
-    """Query, key and value weights of a layer, joined into one; a layer that lacks one isn't fused."""
-    key = F.col("p_partkey")
-    parts = docs(spark, sf_dir, "part").select(F.floor(key / 3).alias("block"), F.get(F.array(F.lit("q"), F.lit("k"), F.lit("v")), (key % 3).cast("int")).alias("part"), "p_size")
-    fused = parts.groupBy("block").pivot("part", ["q", "k", "v"]).agg(F.max("p_size")).where("q IS NOT NULL AND k IS NOT NULL AND v IS NOT NULL")
-    return fused.select(F.concat(F.lit("transformer.resblocks."), F.col("block").cast("string"), F.lit(".attn.in_proj_weight")).alias("name"), (F.col("q") + F.col("k") + F.col("v")).alias("n_rows"))
-
-
 @query(
     "fuse_attention",
     """SELECT 'transformer.resblocks.' || p_partkey || '.attn.in_proj_weight' AS name, array_to_string([p_size, 1] || [p_size + 1] || [p_partkey % 7, p_size], '|') AS values FROM part""",
@@ -561,10 +565,10 @@ def relative_keys(spark, sf_dir):
     return docs(spark, sf_dir, "pages").select("page_id", naming.relative_key(whole, F.lit("/data/set")).alias("key"))
 
 
-@query("clip_skip_index", "SELECT skip, layers, CASE WHEN skip = 0 THEN -1 ELSE greatest(-(skip + 1), -layers) END AS idx FROM (SELECT i % 5 AS skip, i // 5 + 1 AS layers FROM range(60) AS r(i))")
+@query("clip_skip_index", "SELECT event_id, CASE WHEN event_id % 5 = 0 THEN -1 ELSE greatest(-(event_id % 5 + 1), -(user_id % 12 + 1)) END AS idx FROM events")
 def clip_skip_index(spark, sf_dir):
-    grid = spark.range(60).select((F.col("id") % 5).alias("skip"), (F.floor(F.col("id") / 5) + 1).cast("long").alias("layers"))
-    return grid.withColumn("idx", naming.clip_skip_index(F.col("skip"), F.col("layers")).cast("long"))
+    """The hidden layer that each event takes of an encoder with 1 to 12 layers."""
+    return docs(spark, sf_dir, "events").select("event_id", naming.clip_skip_index(F.col("event_id") % 5, F.col("user_id") % 12 + 1).cast("long").alias("idx"))
 
 
 @query(
@@ -594,12 +598,12 @@ def caption_tag_pairs(spark, sf_dir):
 
 @query(
     "zero_terminal_snr",
-    f"""WITH {SNR}, r AS (SELECT t, sqrt(alpha_bar) AS x, first(sqrt(alpha_bar)) OVER o AS a, last(sqrt(alpha_bar)) OVER o AS z FROM s WINDOW o AS (ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)),
-n AS (SELECT t, ((x - z) * a / (a - z)) * ((x - z) * a / (a - z)) AS b FROM r) SELECT t, round(b, 6) AS alpha_bar, round(b / (1 - b), 6) AS snr FROM n""",
+    f"""WITH {SNR}, {_EVENTS}, r AS (SELECT t, sqrt(alpha_bar) AS x, first(sqrt(alpha_bar)) OVER o AS a, last(sqrt(alpha_bar)) OVER o AS z FROM s WINDOW o AS (ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)),
+n AS (SELECT t, ((x - z) * a / (a - z)) * ((x - z) * a / (a - z)) AS b FROM r) SELECT event_id, t, round(b, 6) AS alpha_bar, round(b / (1 - b), 6) AS snr FROM e JOIN n USING (t)""",
 )
 def zero_terminal_snr(spark, sf_dir):
     table = schedule.zero_terminal_snr(schedule.snr_table(spark))
-    return table.select("t", F.round("alpha_bar", 6).alias("alpha_bar"), F.round("snr", 6).alias("snr"))
+    return _at_steps(spark, sf_dir, table).select("event_id", "t", F.round("alpha_bar", 6).alias("alpha_bar"), F.round("snr", 6).alias("snr"))
 
 
 @query(
