@@ -16,7 +16,7 @@ At scale: a B id that holds more than a quarter of a task's even share is dealt
 out over several salts, by document, and its counts go to each of them; how many is decided
 from the number of postings of each B id, a table bounded by B's vocabulary. Neither
 tokenizer carries anything over a space between two characters that aren't white
-space, so words are aligned by themselves and a worker remembers the latest ones.
+space, so words are aligned by themselves, many in one go, and a worker remembers the latest ones.
 Tokens are made once and written to the shared folder.
 
 Defined results
@@ -34,6 +34,7 @@ import json
 import re
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -42,12 +43,15 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructType
 
 from .common import beside, for_python, row_of, table, written
-from .pieces import MARK, Remembered, model_path, pieces_of
+from .pieces import LONGEST, model_path, pieces_of
 
 #: Tasks of the cogroup, at least, and the share of a task's even load above which a B id is salted.
 TASKS, SHARE = 64, 4
 #: White space at an edge or beside other white space.
 _UNEVEN = re.compile(r"\s\s|^\s|\s$")
+#: Words that a worker keeps, besides those of the batch it is at, and words that are aligned together.
+REMEMBERED, PIECE = 400_000, 20_000
+_NONE = np.zeros(0, np.int64)
 _TOKENS = ["n_a", "n_b", "n_groups", "groups_sha256", "pairs", "times"]
 
 
@@ -65,10 +69,11 @@ def _byte_letters() -> dict[str, int]:
 
 
 class Aligned:
-    """Both tokenizers' tables, and the alignment of remembered words."""
+    """Both tokenizers, and the alignment of words that a worker has seen lately."""
 
     def __init__(self, byte_pairs: bytes, model: bytes):
         import public_tokenizers
+        import sentencepiece
         import tiktoken
 
         spec, letters = json.loads(byte_pairs), _byte_letters()
@@ -77,36 +82,68 @@ class Aligned:
         steps = spec["pre_tokenizer"]
         if spec["normalizer"] or steps["type"] != "ByteLevel" or steps["add_prefix_space"] or not steps["use_regex"]:
             raise ValueError("only byte-level vocabularies that leave the text as it is are read")
-        self.a = tiktoken.Encoding("a", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-        self.a_bytes = {k: token for token, k in ranks.items()}
-        self.b = pieces_of(model)
-        if self.b.normalise.map.units or self.b.fold or not self.b.prefix:
+        pieces = pieces_of(model)
+        if pieces.normalise.map.units or pieces.fold or not pieces.prefix:
             raise ValueError("only models that put a mark in front and rewrite nothing are read")
-        self.words = Remembered(self.word)
-
-    def word(self, key: str) -> tuple[int, int, bytes, str] | None:
-        """Of space + ``key``: tokens of A and B, pairs (B id << 32 | A id, as bytes) and groups as text. None if it isn't spelt by both."""
-        whole = (" " + key).encode("utf-8", "replace")
-        a = self.a.encode_ordinary(" " + key)
-        b = np.frombuffer(self.b.stretches(MARK + key.replace(" ", MARK)), "<i4")[::2].tolist()
-        a_parts, b_parts = [self.a_bytes[k] for k in a], [self.b.texts[k] for k in b]
-        if b"".join(a_parts) != whole or b"".join(b_parts) != whole:
-            return None
-        a_ends, b_ends = np.cumsum([len(p) for p in a_parts]), np.cumsum([len(p) for p in b_parts])
-        _, at_a, at_b = np.intersect1d(a_ends, b_ends, assume_unique=True, return_indices=True)
-        pairs = np.array([(b[j] << 32) | a[i] for i, j in zip(at_a, at_b, strict=True)], "<i8")
-        groups, i, j = [], 0, 0
-        for x, y in zip((at_a + 1).tolist(), (at_b + 1).tolist(), strict=True):
-            groups.append(f"{','.join(map(str, a[i:x]))}|{','.join(map(str, b[j:y]))}")
-            i, j = x, y
-        return len(a), len(b), pairs.tobytes(), ";".join(groups)
-
-    def document(self, text: str | None) -> tuple[int, int, int, str, np.ndarray, np.ndarray]:
-        """n_a, n_b, n_groups, the digest of the groups, distinct pairs and how often each is linked."""
-        none = np.zeros(0, np.int64)
-        found = [self.words[k] for k in stretches(text)] if text else []
+        self.a = tiktoken.Encoding("a", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+        self.b = sentencepiece.SentencePieceProcessor(model_proto=model)
+        self.b_bytes = pieces.texts
+        a_bytes = [b""] * (max(ranks.values()) + 1)
+        for token, k in ranks.items():
+            a_bytes[k] = token
+        self.sizes = [np.array([len(t) for t in table], np.int64) for table in (a_bytes, self.b_bytes)]
+        # Ids as text, inside a run of a group's ids and at its end.
+        self.texts = [[np.array([f"{k}{sign}" for k in range(len(table))], object) for sign in signs] for table, signs in ((a_bytes, ",|"), (self.b_bytes, ",;"))]
+        self.words: dict[str, tuple[int, int, bytes, str] | None] = {}
+
+    def learn(self, words: list[str]) -> None:
+        """Of space + word, for each: tokens of A and B, pairs (B id << 32 | A id, as bytes) and groups as text; None if it isn't spelt by both."""
+        b_ids = self.b.encode(words, num_threads=1)
+        spelt = [(" " + w).encode("utf-8", "replace") for w in words]
+        if b"".join(map(self.b_bytes.__getitem__, chain.from_iterable(b_ids))) != b"".join(spelt):
+            good = [b"".join(map(self.b_bytes.__getitem__, ids)) == whole for ids, whole in zip(b_ids, spelt, strict=True)]
+            self.words.update((w, None) for w, fine in zip(words, good, strict=True) if not fine)
+            words, b_ids = [w for w, fine in zip(words, good, strict=True) if fine], [x for x, fine in zip(b_ids, good, strict=True) if fine]
+        if not words:
+            return
+        a_ids = [self.a.encode_ordinary(" " + w) for w in words]
+        n_a, n_b = [len(x) for x in a_ids], [len(x) for x in b_ids]
+        a, b = (np.fromiter(chain.from_iterable(x), np.int64) for x in (a_ids, b_ids))
+        # Both spell the same bytes, all words behind each other.
+        ends, at_a, at_b = np.intersect1d(np.cumsum(self.sizes[0][a]), np.cumsum(self.sizes[1][b]), assume_unique=True, return_indices=True)
+        pairs = ((b[at_b] << 32) | a[at_a]).astype("<i8").tobytes()
+        written = np.empty(len(a) + len(b), object)
+        for ids, last, here, others in ((a, at_a, 0, np.concatenate([[0], at_b[:-1] + 1])), (b, at_b, 1, at_a + 1)):
+            closing = np.zeros(len(ids), bool)
+            closing[last] = True
+            group = np.cumsum(closing) - closing
+            inner, outer = self.texts[here]
+            written[np.arange(len(ids)) + others[group]] = np.where(closing, outer[ids], inner[ids])
+        tokens, groups = written.tolist(), np.searchsorted(at_a, np.cumsum(n_a) - 1, side="right").tolist()
+        at = first = 0
+        for w, x, y, g in zip(words, n_a, n_b, groups, strict=True):
+            self.words[w] = x, y, pairs[8 * first : 8 * g], "".join(tokens[at : at + x + y])[:-1]
+            at, first = at + x + y, g
+
+    def documents(self, texts: list[str | None]) -> list[tuple[int, int, int, str, np.ndarray, np.ndarray]]:
+        """n_a, n_b, n_groups, the digest of the groups, distinct pairs and how often each is linked, of each text."""
+        cut = [stretches(t) if t else [] for t in texts]
+        used = set(chain.from_iterable(cut))
+        new = [w for w in used if w not in self.words]
+        if len(self.words) + len(new) > REMEMBERED:
+            self.words = {w: self.words[w] for w in used if w in self.words}
+        for at in range(0, len(new), PIECE):
+            self.learn(new[at : at + PIECE])
+        out = [self._document(keys) for keys in cut]
+        for w in new:
+            if len(w) > LONGEST:
+                del self.words[w]
+        return out
+
+    def _document(self, keys: list[str]) -> tuple[int, int, int, str, np.ndarray, np.ndarray]:
+        found = list(map(self.words.__getitem__, keys))
         if not found or None in found:
-            return 0, 0, 0, "", none, none
+            return 0, 0, 0, "", _NONE, _NONE
         n_a, n_b, pairs, groups = zip(*found, strict=True)
         linked = np.frombuffer(b"".join(pairs), "<i8")
         return sum(n_a), sum(n_b), len(linked), hashlib.sha256(";".join(groups).encode()).hexdigest(), *np.unique(linked, return_counts=True)
@@ -150,7 +187,7 @@ def tokens(docs: DataFrame, text_col: str = "text", byte_pairs: str | None = Non
     def run(batches):
         both = aligned_of(*files.value)
         for batch in batches:
-            found = [both.document(t) for t in batch.column(2).to_pylist()]
+            found = both.documents(batch.column(2).to_pylist())
             n_a, n_b, n_groups, digests, pairs, times = zip(*found, strict=True) if found else [[]] * 6
             columns = [*[pa.array(x, pa.int64()) for x in (n_a, n_b, n_groups)], pa.array(digests, pa.string()), _lists(pairs, pa.int64()), _lists(times, pa.int32())]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], ["n", "row", *_TOKENS])

@@ -100,6 +100,19 @@ def test_odd_rows(spark, libraries):
     assert m.align(empty(spark)).count() == 0
 
 
+def test_words_are_forgotten(spark, libraries, monkeypatch):
+    with open(m.bytes_path(), "rb") as f, open(m.model_path(), "rb") as g:
+        both = m.Aligned(f.read(), g.read())
+    texts = generated(11, 120)
+    expected = [x[:3] for x in brute(texts, libraries)]
+    monkeypatch.setattr(m, "REMEMBERED", 30)
+    monkeypatch.setattr(m, "LONGEST", 12)
+    monkeypatch.setattr(m, "PIECE", 7)
+    for at in range(0, 120, 8):
+        assert [x[:3] for x in both.documents(texts[at : at + 8])] == expected[at : at + 8]
+        assert not any(len(w) > 12 for w in both.words)
+
+
 def test_stretches():
     assert m.stretches("a b  c\n d") == ["a", "b  c\n d"] and m.stretches(" a b") == [" a", "b"] and m.stretches("a b ") == ["a", "b "]
 
