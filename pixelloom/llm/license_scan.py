@@ -3,11 +3,14 @@
 Phrases such as "mit license" give labels wherever their words stand together.
 Licence texts that don't name themselves that way are found by position: the
 index has the postings (template, position) of every template word. Of each
-template's words that a document holds, the ``RAREST`` with the highest inverse
-document frequency are looked up, so that no template takes another's places; each of their places votes for the offset at which the
+template's words that a document holds, those with the highest inverse
+document frequency are looked up first, ``RAREST`` at a time; each of their places votes for the offset at which the
 template would begin, and an offset with ``AGREE`` different words in agreement
 (within ``SLACK`` words) is a candidate. It becomes a label if one of the
-template's mandatory key phrases stands inside the stretch it would cover.
+template's mandatory key phrases stands inside the stretch it would cover. While
+none does, the next rarest words are looked up until all have been; so the labels are those
+of an exhaustive alignment, and rare words elsewhere in a text hide nothing. Templates none of whose
+key phrases stands in the text can't be verified and aren't looked up.
 
 At scale: document frequencies are counted over all documents, as sums per
 batch and word that Spark adds up; there are no more of them than template
@@ -153,35 +156,46 @@ def scan(text: str | None, index: Index, idf: dict[bytes, float]) -> tuple[int,
 def aligned(words: list[bytes], index: Index, idf: dict[bytes, float]) -> dict[str, float]:
     """Labels of templates that align with ``words``, with the share of the template's weight found in the stretch."""
     held = index.vocabulary.intersection(words)
-    if len(held) < AGREE:
+    # No key phrase stands where one of its words is missing, so the template can't be verified.
+    likely = [label for label in index.words if any(need <= held for need in index.needs[label])]
+    if not likely:
         return {}
-    looked: dict[bytes, list[tuple[str, int]]] = defaultdict(list)
-    for label, template in index.words.items():
-        # No key phrase stands where one of its words is missing, so the template can't be verified.
-        if not any(need <= held for need in index.needs[label]):
-            continue
-        for word in sorted(held.intersection(template), key=lambda w: (-idf.get(w, 0.0), w))[:RAREST]:
-            looked[word] += [posting for posting in index.postings[word] if posting[0] == label]
-    votes: dict[tuple[str, int], set[bytes]] = defaultdict(set)
-    for at, word in enumerate(words):
-        if word in looked:
-            for label, place in looked[word]:
-                cell = (at - place) // SLACK
-                votes[label, cell].add(word)
-                votes[label, cell + 1].add(word)
+    joined = b" %b " % b" ".join(words)
+    where: dict[bytes, list[int]] | None = None
     best: dict[str, float] = {}
-    for (label, cell), agreeing in votes.items():
-        if len(agreeing) < AGREE:
+    for label in likely:
+        if not any(key in joined for key in index.keys[label]):
             continue
-        template = index.words[label]
-        start = max(0, (cell - 2) * SLACK)
-        stretch = words[start : max(0, (cell + 2) * SLACK) + len(template)]
-        inside = b" %b " % b" ".join(stretch)
-        if any(key in inside for key in index.keys[label]):
-            # Floor weights above zero, so that words which every document has still count a little.
-            weight = {w: 0.01 + idf.get(w, 0.0) for w in template}
-            share = sum(weight[w] for w in set(template) & set(stretch)) / sum(weight.values())
-            best[label] = max(best.get(label, 0.0), share)
+        if where is None:
+            where = defaultdict(list)
+            for at, word in enumerate(words):
+                if word in held:
+                    where[word].append(at)
+        template, verified = index.words[label], None
+        ranked = sorted(held.intersection(template), key=lambda w: (-idf.get(w, 0.0), w))
+        votes: dict[int, set[bytes]] = defaultdict(set)
+        refused: set[int] = set()
+        for at in range(0, len(ranked), RAREST):
+            for word in ranked[at : at + RAREST]:
+                for _, place in (posting for posting in index.postings[word] if posting[0] == label):
+                    for k in where[word]:
+                        cell = (k - place) // SLACK
+                        votes[cell].add(word)
+                        votes[cell + 1].add(word)
+            for cell in [c for c, agreeing in votes.items() if len(agreeing) >= AGREE and c not in refused]:
+                start = max(0, (cell - 2) * SLACK)
+                stretch = words[start : max(0, (cell + 2) * SLACK) + len(template)]
+                inside = b" %b " % b" ".join(stretch)
+                if any(key in inside for key in index.keys[label]):
+                    # Floor weights above zero, so that words which every document has still count a little.
+                    weight = {w: 0.01 + idf.get(w, 0.0) for w in template}
+                    share = sum(weight[w] for w in set(template) & set(stretch)) / sum(weight.values())
+                    verified = max(verified or 0.0, share)
+                else:
+                    refused.add(cell)
+            if verified is not None:
+                best[label] = verified
+                break
     return best
 
 

@@ -61,3 +61,49 @@ def test_chance_words_take_no_places():
     idf = {w: 0.1 if w in index.words["bsd"] else 5.0 for w in index.vocabulary}
     chance = " ".join(w.decode() for w in sorted(index.vocabulary) if w not in index.words["bsd"])
     assert "bsd" in s.scan(chance + " " + WORDS * 5 + s.TEMPLATES["bsd"][0], index, idf)[5]
+
+
+def exhaustive(words, index):
+    """Labels by trying every offset with every word of every template."""
+    found = set()
+    for label, template in index.words.items():
+        cells = {}
+        for k, w in enumerate(words):
+            for place, t in enumerate(template):
+                if t == w:
+                    for c in ((k - place) // s.SLACK, (k - place) // s.SLACK + 1):
+                        cells.setdefault(c, set()).add(w)
+        for c, agreeing in cells.items():
+            stretch = words[max(0, (c - 2) * s.SLACK) : max(0, (c + 2) * s.SLACK) + len(template)]
+            inside = b" %b " % b" ".join(stretch)
+            if len(agreeing) >= s.AGREE and any(key in inside for key in index.keys[label]):
+                found.add(label)
+    return found
+
+
+def test_labels_are_those_of_an_exhaustive_alignment():
+    import random
+
+    rng, index = random.Random(3), s.Index()
+    pool = [w.decode() for w in sorted(index.vocabulary)]
+    for _ in range(150):
+        parts = []
+        for _ in range(rng.randint(1, 4)):
+            template = rng.choice(list(s.TEMPLATES.values()))
+            words = template[0].split()
+            at = rng.randrange(len(words))
+            parts += [" ".join(words[at : at + rng.randint(3, 60)]), rng.choice(template[1]), " ".join(rng.choices(pool, k=rng.randint(0, 30)))]
+        rng.shuffle(parts)
+        text, idf = " ".join(parts), {w: rng.choice([0.1, 2.0, 5.0]) for w in index.vocabulary}
+        assert set(s.aligned(s.folded_words(text), index, idf)) == exhaustive(s.folded_words(text), index)
+
+
+def test_rare_words_elsewhere_hide_nothing():
+    """A notice's beginning, and further down rarer words of the same licence than any in it."""
+    index = s.Index()
+    words = s.TEMPLATES["mit"][0].split()
+    begin, rest = set(s.folded_words(" ".join(words[:40]))), s.folded_words(" ".join(words[40:]))
+    elsewhere = [w for w in dict.fromkeys(rest) if w not in begin][:14]
+    idf = {w: 9.0 if w in elsewhere else 0.2 for w in index.vocabulary}
+    text = " ".join(words[:40]) + " " + WORDS * 20 + " ".join(f"{w.decode()} {WORDS}" for w in reversed(elsewhere))
+    assert len(elsewhere) == 14 and "mit" in s.scan(text, index, idf)[5]
