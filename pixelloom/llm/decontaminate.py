@@ -17,7 +17,7 @@ written by row key, and united and joined to the documents at the end.
 Defined results
 * null text or a text without words: no words, no hits. Null item text: no words, never hit.
 * items without an id: their words are hit; all of them count as one item, which no list of ids names.
-* very long text: streamed whole. Repeated rows: alike, one row out for each row in.
+* very long text: streamed whole, in linear time whatever repeats in it. Repeated rows: alike, one row out for each row in.
 * empty benchmark: no hits. Empty documents: empty result. Items with equal texts are each counted.
 * extra columns: ``clean`` keeps the input's columns, whatever their names; ``hits`` too, and its own are
   n_words_ and so on where the input has such names.
@@ -63,6 +63,8 @@ class Automaton:
     window: int
     #: state -> items that hold the state's suffix of ``window`` words
     holders: dict[int, tuple[str, ...]]
+    #: state -> the state of its suffix of ``window`` words (itself, if it is shorter)
+    anchor: list[int]
     #: state -> ((length, items), ...) of whole items shorter than a window that are suffixes of the state
     whole: dict[int, tuple[tuple[int, tuple[str, ...]], ...]]
     shortest: int
@@ -115,11 +117,11 @@ def build(items: list[tuple[str, list[bytes]]], window: int = WINDOW) -> Automat
             for c in codes:
                 last = extend(last, c)
 
-    def ancestor(state: int, size: int) -> int:
-        """The state of the suffix of ``size`` words of what ``state`` stands for."""
-        while length[link[state]] >= size:
-            state = link[state]
-        return state
+    # Links lead to shorter states, so each state's ancestor is known when its own turn comes.
+    anchor = list(range(len(moves)))
+    for state in sorted(range(1, len(moves)), key=length.__getitem__):
+        if length[link[state]] >= window:
+            anchor[state] = anchor[link[state]]
 
     holders: dict[int, set[str]] = {}
     ends: dict[int, tuple[int, list[str]]] = {}
@@ -128,9 +130,10 @@ def build(items: list[tuple[str, list[bytes]]], window: int = WINDOW) -> Automat
         for k, c in enumerate(codes, 1):
             state = moves[state][c]
             if k >= window:
-                holders.setdefault(ancestor(state, window), set()).add(item)
+                holders.setdefault(anchor[state], set()).add(item)
         if len(codes) < window:
-            ends.setdefault(ancestor(state, len(codes)), (len(codes), []))[1].append(item)
+            # A state that a string leads to from the start holds it: its link is shorter than the string.
+            ends.setdefault(state, (len(codes), []))[1].append(item)
     whole: dict[int, list] = {}
     if ends:
         for state in sorted(range(1, len(moves)), key=length.__getitem__):
@@ -140,7 +143,7 @@ def build(items: list[tuple[str, list[bytes]]], window: int = WINDOW) -> Automat
             if found:
                 whole[state] = found
     shortest = min((min(len(c), window) for _, c in coded), default=0)
-    return Automaton(vocabulary, moves, link, length, window, {k: tuple(sorted(v, key=_by_id)) for k, v in holders.items()}, {k: tuple(v) for k, v in whole.items()}, shortest)
+    return Automaton(vocabulary, moves, link, length, window, {k: tuple(sorted(v, key=_by_id)) for k, v in holders.items()}, anchor, {k: tuple(v) for k, v in whole.items()}, shortest)
 
 
 def scan(words: list[bytes], automaton: Automaton) -> tuple[list[tuple[int, int]], set[str]]:
@@ -150,7 +153,8 @@ def scan(words: list[bytes], automaton: Automaton) -> tuple[list[tuple[int, int]
     get = automaton.vocabulary.get
     codes = [get(w, -1) for w in words]
     n, at = len(codes), 0
-    moves, link, length, window, holders, whole = automaton.moves, automaton.link, automaton.length, automaton.window, automaton.holders, automaton.whole
+    moves, link, length, window, holders, whole, anchor = automaton.moves, automaton.link, automaton.length, automaton.window, automaton.holders, automaton.whole, automaton.anchor
+    seen: set[int] = set()
     if not automaton.shortest:
         return ranges, items
     while at < n:
@@ -173,10 +177,10 @@ def scan(words: list[bytes], automaton: Automaton) -> tuple[list[tuple[int, int]
                 state, size = moves[state][c], size + 1
             longest = 0
             if size >= window:
-                longest, holder = size, state
-                while length[link[holder]] >= window:
-                    holder = link[holder]
-                items.update(holders.get(holder, ()))
+                longest, holder = size, anchor[state]
+                if holder not in seen:
+                    seen.add(holder)
+                    items.update(holders.get(holder, ()))
             for short, ids in whole.get(state, ()):
                 if short <= size:
                     longest = max(longest, short)

@@ -72,3 +72,18 @@ def test_rows(spark):
     assert d.hits(odd(spark), bench(spark, [])).where("size(starts) > 0").count() == 0
     assert d.hits(empty(spark), bench(spark, [ITEM])).count() == 0
     assert sorted(map(str, d.clean(odd(spark), bench(spark, [ITEM])).collect())) == sorted(map(str, odd(spark).collect()))
+
+
+def test_repeated_words_take_linear_time():
+    import time
+
+    def seconds(n):
+        words = [b"junk"] * n
+        began = time.process_time()
+        automaton = d.build([("a", words), ("b", [b"junk"] * 3)], 10)
+        ranges, items = d.scan(words, automaton)
+        assert ranges == [(0, n)] and items == {"a", "b"}
+        return time.process_time() - began
+
+    seconds(1000)
+    assert seconds(100_000) < 40 * max(seconds(10_000), 0.02)
