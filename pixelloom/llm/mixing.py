@@ -25,7 +25,7 @@ through one by one.
 
 Defined results
 * null or empty text: size 0, never taken. Null source: a source of its own, ranked last.
-* equal or null doc_ids: u depends on the text too, so each row is sampled by itself; rows equal in id and text tie, which doesn't show.
+* equal or null doc_ids: u depends on the text too, and on the number of a copy among rows equal in all, so each row is sampled by itself.
 * a source without words: target 0. Empty table: empty result.
 * extra columns: not carried; names with ``__`` are internal.
 """
@@ -129,11 +129,12 @@ def mix_sizes(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float
     # The length class of a text of 2**b words or more is b.
     length = F.when(F.col("size") > 0, F.length(F.bin("size")) - 1)
     rows = written(sizes.select(F.monotonically_increasing_id().alias("rid"), "doc_id", "tag", "source", "size", length.alias("b")), "mix-sizes")
+    rows = written(_with_copies(rows), "mix-rows")
     words = written(rows.groupBy("source", "b").agg(F.sum("size").alias("words")), "mix-words")
     targets = written(source_targets(words.groupBy("source").agg(F.sum("words").alias("source_size")), weights, share, max_repeats), "mix-targets")
     classes = written(class_copies(words.where("b IS NOT NULL"), targets, max_repeats, tilt), "mix-classes")
 
-    order = pareto_order(hash_uniform(seed, F.col("doc_id"), F.col("tag")), F.col("p"))
+    order = pareto_order(hash_uniform(seed, F.col("doc_id"), F.col("tag"), F.nullif("copy", F.lit(0))), F.col("p"))
     x = F.least(F.floor(F.col("at") * (1 << DIGIT * LEVELS)), F.lit((1 << DIGIT * LEVELS) - 1)).cast("int")
     met = rows.join(classes.select(F.col("source").alias("__source"), F.col("b").alias("__b"), "copies", "p", "room"), _same(["source", "b"]), "left")
     placed = met.withColumn("at", order).withColumn("x", F.when((F.col("p") > 0) & (F.col("room") > 0), x))
@@ -144,27 +145,40 @@ def mix_sizes(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float
     cut = narrowed(written(by_bin, "mix-bins"), ["source"])
     rooms = classes.select("source", "room").distinct()
     cut = written(_with_source(cut, rooms).select("source", F.col("x").alias("cut"), (F.col("room") - F.col("before")).alias("left")), "mix-cut")
-    tail = written(_with_source(sampled, cut).where("x >= cut AND size <= left").select("source", "size", "x", "cut", "left", "rid", "doc_id", "tag", "at"), "mix-tail")
+    tail = written(_with_source(sampled, cut).where("x >= cut AND size <= left").select("source", "size", "x", "cut", "left", "rid", "doc_id", "tag", "copy", "at"), "mix-tail")
     # Behind the bin in which the words run out, ``left`` words hold so many documents of one size at most.
     behind = tail.where("x > cut").groupBy("source", "size", "x").agg(F.count(F.lit(1)).alias("value"), F.first(F.expr("left div size")).alias("limit"))
     last = written(narrowed(written(behind, "mix-behind"), ["source", "size"]).withColumnRenamed("x", "last"), "mix-last")
     tail = tail.join(last.select(F.col("source").alias("__source"), F.col("size").alias("__size"), "last"), _same(["source", "size"]), "left").where("last IS NULL OR x <= last")
+    tail = written(tail.select("source", "rid", "doc_id", "tag", "copy", "size", "at", "left"), "mix-walk")
 
     def fill(rows):
-        rows = rows.sort_values(["at", "doc_id", "tag", "size"], na_position="last")
+        rows = rows.sort_values(["at", "doc_id", "tag", "size", "copy"], na_position="last")
         left, took = int(rows["left"].iloc[0]) if len(rows) else 0, []
         for size in rows["size"]:
             took.append(size <= left)
             left -= size if took[-1] else 0
         return rows.loc[took, ["rid"]]
 
-    took = written(tail.select("source", "rid", "doc_id", "tag", "size", "at", "left").groupBy("source").applyInPandas(fill, "rid long"), "mix-took")
+    took = written(tail.groupBy("source").applyInPandas(fill, "rid long"), "mix-took")
     marked = _with_source(placed, cut).join(took.select("rid", F.lit(True).alias("took")), "rid", "left")
     # A source whose words don't run out has no cut: all that is sampled is taken.
     taken = F.col("x").isNotNull() & (F.col("cut").isNull() | (F.col("x") < F.col("cut")) | F.col("took").isNotNull())
     return _with_source(marked, targets).select("doc_id", "source", "size", "source_size", "target", (F.col("copies") + taken.cast("long")).alias("copies"))
 
 
+def _with_copies(rows: DataFrame, parts: int = 256) -> DataFrame:
+    """``rows`` with ``copy``: 0, 1, ... among rows equal in id, text, source and size, so that equal rows get draws of their own.
+
+    Equal rows are counted in ``parts`` parts, whose sizes give each part its first number; no task gets all copies of a row.
+    """
+    keyed = rows.withColumn("__k", F.xxhash64("doc_id", "tag", "source", "size")).withColumn("__part", F.pmod(F.xxhash64("rid"), F.lit(parts)).cast("int"))
+    sizes = keyed.groupBy("__k", "__part").agg(F.count(F.lit(1)).alias("__n"))
+    before = F.coalesce(F.sum("__n").over(W.partitionBy("__k").orderBy("__part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    inside = F.row_number().over(W.partitionBy("__k", "__part").orderBy("rid")) - 1
+    return keyed.withColumn("__in", inside).join(sizes.withColumn("__before", before).drop("__n"), ["__k", "__part"]).withColumn("copy", F.col("__in") + F.col("__before")).drop("__k", "__part", "__in", "__before")
+
+
 def _with_source(rows: DataFrame, per_source: DataFrame) -> DataFrame:
     """``rows`` with the columns of their source's row (null matches null); rows without one get nulls."""
     other = per_source.withColumnRenamed("source", "__source")

@@ -115,6 +115,24 @@ def test_null_ids_are_sampled_one_by_one(spark):
     assert len({(r.copies) for r in got if r.size == 6}) == 2
 
 
+def test_copies_of_one_row_are_spread(spark, monkeypatch):
+    """50,000 equal rows without an id among 60,000: few rows are left to walk through, and reruns agree."""
+    df = spark.range(60_000).select(F.when(F.col("id") >= 50_000, F.col("id")).alias("doc_id"), F.when(F.col("id") % 3 == 0, "a").otherwise("b").alias("source"), F.when(F.col("id") >= 50_000, F.col("id") % 90).otherwise(7).alias("size"))
+    walked, once = [], m.written
+
+    def seen(df, name):
+        out = once(df, name)
+        if name == "mix-walk":
+            walked.append(max([r["count"] for r in out.groupBy("source").count().collect()], default=0))
+        return out
+
+    monkeypatch.setattr(m, "written", seen)
+    counts = [sorted(map(tuple, m.mix_sizes(d).groupBy("doc_id", "source", "size", "copies").count().collect()), key=repr) for d in (df, df.repartition(5))]
+    assert counts[0] == counts[1] and max(walked) < 2000
+    copies = {(r[1], r[3]) for r in counts[0] if r[0] is None and r[1] == "b"}
+    assert len(copies) == 2
+
+
 def test_order_follows_odds(spark):
     r = spark.range(1).select(*[m.pareto_order(F.lit(u), F.lit(p)).alias(f"x{k}") for k, (u, p) in enumerate([(0.2, 0.5), (0.4, 0.5), (0.2, 0.9), (0.5, 0.0)])]).first()
     assert r.x2 < r.x0 < r.x1 < r.x3 == 1.0 and r.x0 == pytest.approx(0.2)
