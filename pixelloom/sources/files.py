@@ -12,28 +12,22 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.naming import IMAGE_SUFFIXES, is_hidden, is_sharded_output, storage_path
+from ..functions.naming import IMAGE_SUFFIXES, is_sharded_output, storage_path
+from . import json_object, tree
 
 LATENTS = "path string, latents array<float>, shape array<int>, crop_ltrb array<bigint>, original_size array<bigint>, train_resolution array<bigint>, error string"
-METADATA = "map<string, struct<tags:string, caption:string, train_resolution:array<bigint>>>"
+RECORD = "tags string, caption string, train_resolution array<bigint>"
 
 
-def _any_case(suffix: str) -> str:
-    return "".join(f"[{c.lower()}{c.upper()}]" if c.isalpha() else c for c in suffix)
-
-
-def scan(spark: SparkSession, root: str, suffixes: tuple[str, ...], *, recursive: bool = True, ignore_hidden: bool = True) -> DataFrame:
+def scan(spark: SparkSession, root: str, suffixes: tuple[str, ...], *, recursive: bool = True, ignore_hidden: bool = True, content: bool = True) -> DataFrame:
     """path, rel (path below root), length and content of files with one of ``suffixes``, in any case.
 
     Hidden means a dot before a component below ``root``; what lies above it
-    doesn't count. Spark itself leaves out names that begin with ``.`` or ``_``.
+    doesn't count. Names that begin with ``_`` aren't hidden. Without ``content`` no file is opened.
     """
-    reader = spark.read.format("binaryFile").option("pathGlobFilter", "*.{" + ",".join(map(_any_case, suffixes)) + "}")
-    files = reader.option("recursiveFileLookup", str(recursive).lower()).load(root)
-    base = "/" + root.split("://", 1)[-1].split(":", 1)[-1].strip("/") + "/"
-    rel = F.element_at(F.split(F.col("path"), F.lit("\\Q" + base + "\\E"), 2), -1)
-    found = files.select("path", rel.alias("rel"), "length", "content")
-    return found.where(~is_hidden(F.col("rel"))) if ignore_hidden else found
+    tree.register(spark)
+    options = {"path": root, "suffixes": ",".join(suffixes), "recursive": recursive, "hidden": not ignore_hidden, "content": content}
+    return spark.read.format("tree").options(**{k: str(v) if k in ("path", "suffixes") else str(v).lower() for k, v in options.items()}).load().select("path", "rel", "length", "content")
 
 
 def images(spark: SparkSession, root: str, **options) -> DataFrame:
@@ -86,15 +80,14 @@ def write_tags(items: DataFrame, path: str) -> None:
 
 
 def tag_files(spark: SparkSession, root: str) -> DataFrame:
-    """Whole texts of tag or caption files, with the file's stem as key."""
-    texts = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.txt").text(root)
-    return texts.select(F.regexp_extract("_metadata.file_path", r"([^/]+)\.txt$", 1).alias("key"), F.col("value").alias("text"))
+    """Whole texts of tag or caption files, with the file's stem as key; hidden ones, and suffixes in another case, as in ``scan``."""
+    return scan(spark, root, ("txt",)).select(F.regexp_extract("rel", r"([^/]+)\.[^./]+$", 1).alias("key"), F.col("content").cast("string").alias("text"))
 
 
-def metadata_json(spark: SparkSession, path: str) -> DataFrame:
-    """key, tags, caption, train_resolution and order of a metadata file: one JSON object from keys to records."""
-    whole = spark.read.option("wholetext", True).text(path)
-    return whole.select(F.explode(F.from_json("value", METADATA)).alias("key", "m")).select("key", "m.*")
+def metadata_json(spark: SparkSession, path: str, split: int = json_object.SPLIT) -> DataFrame:
+    """key, tags, caption and train_resolution of a metadata file: one JSON object from keys to records, read in ranges of ``split`` bytes."""
+    entries = json_object.read_object(spark, path, split)
+    return entries.select("key", F.from_json("value", RECORD).alias("m")).select("key", "m.*")
 
 
 def to_metadata_json(items: DataFrame) -> DataFrame:
