@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators import chunks, counters
 from ..operators.numbering import numbered_in_order
-from ..sources import json_object, npz, tree
+from ..sources import json_object, npz, pixels, tree
+from ..streaming import retries
 from .data_queries import CAPTION, ITEMS, TAG_TEXT, _scratch, caption, docs, items, query, tag_texts
 
 #: The first document of each content, with what its latent file holds.
@@ -85,3 +87,79 @@ def metadata_object(spark, sf_dir):
     back = json_object.read_object(spark, path, 64 << 10).withColumn("m", F.from_json("value", "tags string, caption string, whole string"))
     ordered = numbered_in_order(back.select("key", "m.*", "place"), [], ["place"], "rank")
     return ordered.select("key", "tags", "caption", F.col("whole").alias("text"), (F.col("rank") - 1).alias("place"))
+
+
+@query(
+    "picture_means",
+    """WITH p AS (SELECT vec_id, k, 16 * (k // 4) + 2 * (k % 4) AS c FROM embeddings, range(16) AS r(k)),
+v AS (SELECT vec_id, k, list_transform([c, c + 1, c + 8, c + 9], lambda i: (vec_id * 31 + i * 7) % 256) AS r, list_transform([c, c + 1, c + 8, c + 9], lambda i: i * 4) AS b FROM p)
+SELECT vec_id, k AS cell, floor(list_sum(r) / 4.0 + 0.5)::BIGINT AS red, floor(list_sum(list_transform(r, lambda x: 255 - x)) / 4.0 + 0.5)::BIGINT AS green, floor(list_sum(b) / 4.0 + 0.5)::BIGINT AS blue FROM v""",
+)
+def picture_means(spark, sf_dir):
+    """A picture of 8 x 8 pixels for each embedding, written as PNG, decoded again and resampled to 4 x 4."""
+    import numpy as np
+    import pyarrow as pa
+
+    root = _scratch(spark)
+
+    def drawn(batches):
+        for batch in batches:
+            ids, cell = batch.column(0).to_pylist(), np.arange(64)
+            red = [(k * 31 + cell * 7) % 256 for k in ids]
+            files = [pixels.png(np.stack([r, 255 - r, cell * 4], axis=1).astype(np.uint8).reshape(8, 8, 3)) for r in red]
+            yield pa.RecordBatch.from_arrays([pa.array([f"{k:08d}" for k in ids]), pa.array(files, pa.binary())], ["key", "content"])
+
+    tree.register(spark)
+    docs(spark, sf_dir, "embeddings").select("vec_id").mapInArrow(drawn, "key string, content binary").write.format("tree").mode("append").options(path=root, suffix="png").save()
+    four, zero = F.lit(4), F.lit(0)
+    small = pixels.shaped(pixels.pictures(spark, root), (four, four), (four, four), (zero, zero))
+    byte = lambda channel: F.conv(F.hex(F.expr(f"substring(pixels, cell * 3 + {channel + 1}, 1)")), 16, 10).cast("long")
+    cells = small.select(F.regexp_extract("path", r"(\d+)\.png$", 1).cast("long").alias("vec_id"), "pixels", F.explode(F.sequence(F.lit(0), F.lit(15))).alias("cell"))
+    return cells.select("vec_id", F.col("cell").cast("long").alias("cell"), byte(0).alias("red"), byte(1).alias("green"), byte(2).alias("blue"))
+
+
+@query(
+    "chunked_work",
+    """WITH n AS (SELECT doc_id, n_chars, row_number() OVER (ORDER BY doc_id) - 1 AS i FROM documents),
+s AS (SELECT i // 100 AS chunk, list(n_chars ORDER BY i) AS sizes FROM n GROUP BY 1),
+p AS (SELECT chunk, list_reduce([{'part': 0, 'held': 0::BIGINT, 'parts': []::INT[]}] || list_transform(sizes, lambda x: {'part': 0, 'held': x, 'parts': []::INT[]}),
+  lambda a, x: CASE WHEN a.held > 0 AND a.held + x.held > 20000 THEN {'part': a.part + 1, 'held': x.held, 'parts': a.parts || [a.part + 1]} ELSE {'part': a.part, 'held': a.held + x.held, 'parts': a.parts || [a.part]} END) AS r FROM s)
+SELECT doc_id, i // 100 AS chunk, (r.parts)[i % 100 + 1] AS part FROM n JOIN p ON p.chunk = i // 100""",
+)
+def chunked_work(spark, sf_dir):
+    """Documents in chunks of 100, each in parts of 20,000 characters."""
+    return chunks.chunked(docs(spark, sf_dir).select("doc_id", "n_chars"), ["doc_id"], 100, "n_chars", 20_000).select("doc_id", "chunk", "part")
+
+
+@query("write_counts", "SELECT count(*) AS rows, count(*) FILTER (l.doc_id IS NULL) AS processed, count(*) FILTER (l.doc_id IS NOT NULL AND quality <> 0) AS skipped, count(*) FILTER (quality = 0) AS failed FROM documents d LEFT JOIN labels l USING (doc_id)")
+def write_counts(spark, sf_dir):
+    """What a run has processed, skipped and failed, counted while its outcomes are written."""
+    known = docs(spark, sf_dir, "labels").select("doc_id", "quality", F.lit(True).alias("seen"))
+    met = docs(spark, sf_dir).select("doc_id").join(known, "doc_id", "left")
+    counted, seen = counters.counted(met, processed=F.col("seen").isNull(), skipped=F.col("seen").isNotNull() & (F.col("quality") != 0), failed=F.col("quality") == 0)
+    counted.write.parquet(_scratch(spark))
+    return spark.createDataFrame([tuple(seen.get[c] for c in ("rows", "processed", "skipped", "failed"))], "rows long, processed long, skipped long, failed long")
+
+
+@query(
+    "retry_outcomes",
+    """SELECT doc_id::VARCHAR AS key, CASE WHEN r < doc_id % 4 THEN 'failed' WHEN r = doc_id % 4 THEN 'done' ELSE 'skipped' END AS status, least(r, doc_id % 4)::INT + 1 AS tries FROM documents, range(3) AS x(r)""",
+)
+def retry_outcomes(spark, sf_dir):
+    """Three batches that list every document; work on it fails in the first doc_id % 4 of them."""
+    root = _scratch(spark)
+    for k in range(3):
+        docs(spark, sf_dir).select(F.col("doc_id").cast("string").alias("key"), (F.lit(k) < F.col("doc_id") % 4).alias("fails")).coalesce(1).write.mode("append").parquet(f"{root}/in")
+
+    def work(row):
+        if row["fails"]:
+            raise ValueError("not this time")
+        return "ok"
+
+    def run():
+        stream = spark.readStream.schema("key string, fails boolean").option("maxFilesPerTrigger", 1).parquet(f"{root}/in")
+        keep = lambda batch, n: batch.write.mode("overwrite").parquet(f"{root}/out/batch={n}")
+        retries.attempts(stream, work).writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", f"{root}/state").trigger(availableNow=True).start().awaitTermination()
+
+    run()
+    return spark.read.parquet(f"{root}/out").select("key", "status", "tries")
