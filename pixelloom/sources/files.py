@@ -9,11 +9,13 @@ from pathlib import Path
 
 import numpy as np
 import pandas as pd
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.naming import IMAGE_SUFFIXES, is_sharded_output, storage_path
 from . import json_object, tree
+from .storage import opened
 
 LATENTS = "path string, latents array<float>, shape array<int>, crop_ltrb array<bigint>, original_size array<bigint>, train_resolution array<bigint>, error string"
 RECORD = "tags string, caption string, train_resolution array<bigint>"
@@ -107,12 +109,41 @@ def output_path(root: str, key: Column, suffix: str) -> Column:
     return storage_path(F.lit(root), key, suffix)
 
 
+#: Preview options with what they are when they aren't given; null: they have to be.
+SAMPLE_OPTIONS = {"prompt": None, "negative_prompt": None, "steps": None, "seed": None, "width": ..., "height": ..., "clip_skip": 2}
+
+
+def sample_options(given: dict) -> dict:
+    """One preview's options, whole; a missing or an unknown one is an error. Width and height may stay open."""
+    unknown = set(given) - set(SAMPLE_OPTIONS)
+    lacking = {name for name, default in SAMPLE_OPTIONS.items() if default is None and name not in given}
+    if unknown or lacking:
+        raise ValueError(f"preview options: unknown {sorted(unknown)}, missing {sorted(lacking)}")
+    return {name: given.get(name, None if default is ... else default) for name, default in SAMPLE_OPTIONS.items()}
+
+
 def run_config(path: str | Path) -> dict:
-    """A run's settings from TOML: the save folder gets the model's name, and ``lora_rank`` is another name for ``lora_dim``."""
+    """A run's settings from TOML: the save folder gets the model's name, ``lora_rank`` is another name for ``lora_dim``, and previews get all their options."""
     with Path(path).open("rb") as f:
         config = tomllib.load(f)
     if "lora_rank" in config:
         config["lora_dim"] = config["lora_rank"]
     if "save_dir" in config and "model_name" in config:
         config["save_path"] = f"{config['save_dir']}/{config['model_name']}"
+    if "preview_sample_options" in config:
+        config["preview_sample_options"] = [sample_options(x) for x in config["preview_sample_options"]]
     return config
+
+
+def checked(address: str, folder: bool = True, thresholds: dict[str, float] | None = None) -> str:
+    """``address``, if it is there and a folder (or a file); ``thresholds`` have to lie between 0 and 1. Anything else is an error."""
+    system, place = opened(address)
+    kind = system.get_file_info(place).type
+    if kind == fs.FileType.NotFound:
+        raise FileNotFoundError(f"{address} does not exist")
+    if (kind == fs.FileType.Directory) != folder:
+        raise NotADirectoryError(f"{address} is not a folder") if folder else IsADirectoryError(f"{address} is a folder")
+    for name, value in (thresholds or {}).items():
+        if not 0 <= value <= 1:
+            raise ValueError(f"{name} must be between 0 and 1, not {value}")
+    return address

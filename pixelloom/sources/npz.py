@@ -127,8 +127,7 @@ def training_items(spark: SparkSession, root: str) -> DataFrame:
 
     Tags are parted at commas and not trimmed; without a file they are [], a caption is "". Files that can't be used have their error and nothing else.
     """
-    files = latents(spark, root)
-    seen = headers(files).join(files.select("path", "key"), "path")
+    seen = headers(latents(spark, root)).withColumn("key", F.regexp_extract("path", r"([^/]+)\.[^./]+$", 1))
     none = spark.createDataFrame([], "key string, text string")
 
     def beside(folder: str) -> DataFrame:
@@ -158,7 +157,8 @@ def convert_legacy(spark: SparkSession, metadata: DataFrame, latents_root: str,
     files = _tree(spark, latents_root, "npz", exact=True, hidden=True)
     kept = files.withColumn("key", F.regexp_replace("rel", r"\.npz$", "")).join(metadata, "key")
     register(spark)
-    kept.select("key", "content").write.format("tree").mode("append").options(path=f"{target}/latents", suffix="npz", sharded="false").save()
-    copied = _tree(spark, f"{target}/latents", "npz", content=False, hidden=True)
-    seen = headers(copied).where("error IS NULL").join(copied.select("path", F.regexp_replace("rel", r"\.npz$", "").alias("key")), "path")
+    kept.select("key", "content").write.format("tree").mode("append").options(path=f"{target.rstrip('/')}/latents", suffix="npz", sharded="false").save()
+    copied = _tree(spark, f"{target.rstrip('/')}/latents", "npz", content=False, hidden=True)
+    below = F.substring("path", len(target.rstrip("/")) + len("/latents/") + 1, 1 << 20)
+    seen = headers(copied).where("error IS NULL").withColumn("key", F.regexp_replace(below, r"\.npz$", ""))
     return seen.join(metadata, "key").select("key", listed_tags(F.col("tags")).alias("tags"), F.coalesce("caption", F.lit("")).alias("caption"), "train_resolution", "original_size", "crop_ltrb")

@@ -10,7 +10,7 @@ on the driver. Unlike Spark's own file sources it keeps names that begin with ``
     recursive   false reads the root's own files only
     content     false gives null contents, and opens no file
     depth       levels of folders that are dealt out (2: one piece of work per shard folder), default 2
-    tasks       tasks at most, default 1024
+    tasks       tasks at most, default 1024; a task has FOLDERS folders at least
 
 Writing. Rows (key, content) become one file each at ``ab/cd/abcd....suffix`` (or ``key.suffix``
 with ``sharded`` false). A task writes all its files under temporary names in a hidden folder of the
@@ -34,6 +34,9 @@ from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSource
 from .storage import exists, opened
 
 
+FOLDERS = 32
+
+
 @dataclass
 class _Folders(InputPartition):
     """Folders of a task, each with whether it is read to the bottom."""
@@ -94,7 +97,7 @@ class _TreeReader(DataSourceReader):
             found += [(folder, last) for folder in level]
             if not last:
                 level = [x.path for folder in level for x in system.get_file_info(fs.FileSelector(folder)) if x.type == fs.FileType.Directory and self._seen(x.base_name)]
-        n = min(len(found), self.tasks)
+        n = min(-(-len(found) // FOLDERS), self.tasks)
         return [_Folders(found[k::n]) for k in range(n)]
 
     def read(self, partition: _Folders) -> Iterator[tuple]:

@@ -59,6 +59,23 @@ def test_config(tmp_path):
     assert files.run_config(tmp_path / "c.toml") == {"save_dir": "out", "model_name": "m", "lora_rank": 8, "lora_dim": 8, "save_path": "out/m"}
 
 
+def test_previews_and_arguments(tmp_path):
+    (tmp_path / "c.toml").write_text('[[preview_sample_options]]\nprompt = "p"\nnegative_prompt = ""\nsteps = 20\nseed = 1\nwidth = 512\n')
+    assert files.run_config(tmp_path / "c.toml")["preview_sample_options"] == [{"prompt": "p", "negative_prompt": "", "steps": 20, "seed": 1, "width": 512, "height": None, "clip_skip": 2}]
+    for given in ({"prompt": "p"}, {"prompt": "", "negative_prompt": "", "steps": 1, "seed": 1, "other": 2}):
+        with pytest.raises(ValueError, match="preview options"):
+            files.sample_options(given)
+    assert files.checked(f"file://{tmp_path}", thresholds={"general": 0.35}) and files.checked(str(tmp_path / "c.toml"), folder=False)
+    with pytest.raises(FileNotFoundError):
+        files.checked(f"{tmp_path}/none")
+    with pytest.raises(NotADirectoryError):
+        files.checked(f"{tmp_path}/c.toml")
+    with pytest.raises(IsADirectoryError):
+        files.checked(str(tmp_path), folder=False)
+    with pytest.raises(ValueError, match="between 0 and 1"):
+        files.checked(str(tmp_path), thresholds={"general": 1.5})
+
+
 def test_manifest_edges(spark):
     latents = spark.createDataFrame([("a", [1, 2]), ("b", [3, 4])], "key string, train_resolution array<long>").withColumn("original_size", F.col("train_resolution")).withColumn("crop_ltrb", F.col("train_resolution"))
     tags = spark.createDataFrame([("a", " x , ,y\n"), ("z", "q")], "key string, text string")
