@@ -11,8 +11,8 @@ the text as it came.
 Encoding. Merging goes from the best-scored pair of neighbours on, the leftmost of
 equals first. Where no piece of the model holds a word mark behind another
 character - the tables say so when they are built, other models are refused - no
-merge crosses the beginning of a word. So words are encoded by themselves, and each
-Python worker remembers the latest of them, up to twice ``REMEMBERED``. Long words merge by
+merge crosses the beginning of a word. So words are encoded by themselves, those that are new to
+a Python worker many at once, and it remembers the latest, up to twice ``REMEMBERED``. Long words merge by
 a heap. Characters without a piece become byte pieces, of which the last has the span.
 
 At scale: one pass without a shuffle; texts go through in Arrow batches of
@@ -33,7 +33,7 @@ from __future__ import annotations
 import heapq
 import struct
 from functools import lru_cache
-from itertools import groupby
+from itertools import chain, groupby
 
 import numpy as np
 import pyarrow as pa
@@ -49,6 +49,8 @@ REMEMBERED, LONGEST = 200_000, 64
 #: A word of more characters is merged by a heap.
 HEAP = 48
 _NEVER = float("-inf")
+#: Words that are merged together; the rank of what doesn't merge.
+TOGETHER, _NO_PAIR = 20_000, 1 << 30
 
 
 def model_path() -> str:
@@ -139,11 +141,113 @@ class Remembered(dict):
             found = self.make(key)
             if len(key) > LONGEST:
                 return found
+        self.put(key, found)
+        return found
+
+    def put(self, key: str, found) -> None:
         if len(self) >= REMEMBERED:
             self.older = dict(self)
             self.clear()
         self[key] = found
-        return found
+
+
+class PairTable:
+    """All pairs of symbols that merge, as arrays, and the merging of many short words at once.
+
+    Symbols are pieces, and characters that stand in pieces without being one. In every round each
+    word merges its best pair, the leftmost of equals, and only the pairs beside it are looked up again.
+    """
+
+    def __init__(self, scores: dict[str, float], ids: dict[str, int], byte_ids: list[int]):
+        self.byte_ids = np.array(byte_ids, np.int32)
+        symbols = {piece: k for k, piece in enumerate(scores)}
+        for c in sorted({c for piece in scores for c in piece} - set(symbols)):
+            symbols[c] = len(symbols)
+        # Id in the model, or -1 for symbols that become bytes.
+        self.model_ids = np.array([ids.get(text, -1) for text in symbols], np.int64)
+        rank = {score: k for k, score in enumerate(sorted(set(scores.values()), reverse=True))}
+        self.n = len(symbols)
+        pairs = [(symbols[p[:k]] * self.n + symbols[p[k:]], rank[score], symbols[p]) for p, score in scores.items() for k in range(1, len(p)) if p[:k] in symbols and p[k:] in symbols]
+        self.codes, self.ranks, self.merged = (np.array(x, np.int64) for x in zip(*sorted(pairs), strict=True)) if pairs else (np.zeros(0, np.int64),) * 3
+        singles = sorted((ord(t), k) for t, k in symbols.items() if len(t) == 1)
+        self.points, self.of_points = (np.array(x, np.int64) for x in zip(*singles, strict=True))
+
+    def _looked_up(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Rank of each pair (``_NO_PAIR`` if it doesn't merge) and the symbol that it becomes."""
+        code = np.where((left >= 0) & (right >= 0), left * self.n + right, -1)
+        at = np.minimum(np.searchsorted(self.codes, code), len(self.codes) - 1)
+        hit = self.codes[at] == code
+        return np.where(hit, self.ranks[at], _NO_PAIR), self.merged[at]
+
+    def segments(self, words: list[str]) -> list[bytes]:
+        """``Pieces.segment`` of each word."""
+        if not words or not len(self.codes):
+            return [b""] * len(words)
+        sizes = np.array([len(w) for w in words])
+        points = np.frombuffer("".join(words).encode("utf-32-le", "replace"), "<u4").astype(np.int64)
+        at = np.minimum(np.searchsorted(self.points, points), len(self.points) - 1)
+        symbol = np.where(self.points[at] == points, self.of_points[at], -1)
+        word, chars, place = np.repeat(np.arange(len(words)), sizes), np.ones(len(points), np.int64), np.arange(len(points))
+        rank, becomes = np.full(len(points), _NO_PAIR), np.zeros(len(points), np.int64)
+        rank[:-1], becomes[:-1] = self._looked_up(symbol[:-1], symbol[1:])
+        rank[np.cumsum(sizes) - 1] = _NO_PAIR
+        done = []
+        while len(symbol):
+            first = np.flatnonzero(np.diff(word, prepend=-1))
+            best = np.minimum.reduceat((rank << 32) | np.arange(len(rank)), first)
+            open_words = (best >> 32) < _NO_PAIR
+            if not open_words.all():
+                # Words without a pair are done and leave the arrays.
+                stays = np.repeat(open_words, np.diff(first, append=len(word)))
+                done.append((place[~stays], symbol[~stays], chars[~stays]))
+                if not stays.any():
+                    break
+                shift = np.cumsum(stays) - 1
+                symbol, word, chars, place, rank, becomes = (x[stays] for x in (symbol, word, chars, place, rank, becomes))
+                spot = shift[best[open_words] & 0xFFFFFFFF]
+            else:
+                spot = best & 0xFFFFFFFF
+            symbol[spot] = becomes[spot]
+            chars[spot] += chars[spot + 1]
+            keep = np.ones(len(symbol), bool)
+            keep[spot + 1] = False
+            # A pair's last symbol hands the end of its word on.
+            shift = np.cumsum(keep) - 1
+            symbol, word, chars, place, rank, becomes = (x[keep] for x in (symbol, word, chars, place, rank, becomes))
+            spot = shift[spot]
+            for left in (spot - 1, spot):
+                left = left[(left >= 0) & (left + 1 < len(symbol))]
+                same = word[left] == word[left + 1]
+                found, into = self._looked_up(symbol[left], symbol[left + 1])
+                rank[left], becomes[left] = np.where(same, found, _NO_PAIR), into
+            if len(spot) and spot[-1] == len(symbol) - 1:
+                rank[-1] = _NO_PAIR
+        place, symbol, chars = (np.concatenate(x) for x in zip(*done, strict=True))
+        order = np.argsort(place)
+        place, symbol, chars = place[order], symbol[order], chars[order]
+        return self._written(points, place, symbol, chars, sizes, len(words))
+
+    def _written(self, points, place, symbol, chars, sizes, n) -> list[bytes]:
+        """(id, characters) of all symbols, characters without a piece as bytes, cut at the ends of the words."""
+        ids = np.where(symbol >= 0, self.model_ids[symbol], -1)
+        plain = ids >= 0
+        code = points[place]
+        count = np.where(plain, 1, 1 + (code > 0x7F) + (code > 0x7FF) + (code > 0xFFFF))
+        begin = np.cumsum(count) - count
+        out = np.zeros((int(count.sum()), 2), "<i4")
+        out[begin[plain], 0], out[begin[plain], 1] = ids[plain], chars[plain]
+        code, count, begun = code[~plain], count[~plain], begin[~plain]
+        for k in range(4):
+            has = count > k
+            shift = 6 * (count[has] - 1 - k)
+            lead = np.array([0, 0, 0xC0, 0xE0, 0xF0])[count[has]] if k == 0 else 0x80
+            byte = (code[has] >> shift & np.where(k == 0, 0xFF, 0x3F)) | lead
+            out[begun[has] + k, 0] = self.byte_ids[byte]
+        out[begun + count - 1, 1] = 1
+        ends = np.searchsorted(place, np.cumsum(sizes))
+        cuts = [0, *np.append(begin, len(out))[ends].tolist()]
+        data = out.tobytes()
+        return [data[8 * a : 8 * b] for a, b in zip(cuts, cuts[1:], strict=False)]
 
 
 class Pieces:
@@ -176,6 +280,7 @@ class Pieces:
         self.silent = {k for k, t in enumerate(self.kinds) if t == kinds.CONTROL}
         self.prefix, self.fold = rules.add_dummy_prefix, rules.remove_extra_whitespaces
         self.normalise = Normaliser(rules.precompiled_charsmap, self.prefix, self.fold)
+        self.table = PairTable(self.scores, self.ids, self.byte_ids)
         # Pieces by word, without the mark in front of it: pairs of 32-bit numbers (id, characters), as bytes.
         self.words = Remembered(lambda key: self.segment(MARK + key))
 
@@ -229,8 +334,9 @@ class Pieces:
                 out[-1] = 1
         return struct.pack(f"<{len(out)}i", *out)
 
-    def stretches(self, normal: str) -> bytes:
-        """``segment`` of every word of a normalised text, joined."""
+    @staticmethod
+    def parted(normal: str) -> tuple[str, list[str]]:
+        """What stands in front of the first mark of a normalised text, and its words: a key stands for a mark and itself."""
         head, *keys = normal.split(MARK)
         if "" in keys:  # Runs of marks: all of them belong to the word behind them.
             runs, keys, marks = keys, [], 0
@@ -240,16 +346,30 @@ class Pieces:
                 marks = 0 if key else marks + 1
             if marks:
                 keys.append(MARK * (marks - 1))
-        return (self.segment(head) if head else b"") + b"".join(map(self.words.__getitem__, keys))
+        return head, keys
 
     def encode(self, text: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """ids, and the bytes of the text at which each piece begins and ends."""
-        if not text:
-            return (np.zeros(0, np.int32),) * 3
-        normal, source = self.normalise(text)
-        found = np.frombuffer(self.stretches(normal), "<i4").reshape(-1, 2)
-        ends = np.cumsum(found[:, 1])
-        return found[:, 0], source[ends - found[:, 1]].astype(np.int32), source[ends].astype(np.int32)
+        return self.encode_many([text])[0]
+
+    def encode_many(self, texts: list[str | None]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """``encode`` of several texts; words that are new to the worker are merged together."""
+        normal = [self.normalise(t) if t else ("", None) for t in texts]
+        parts = [self.parted(n) for n, _ in normal]
+        new = [k for k in set(chain.from_iterable(keys for _, keys in parts)) if k not in self.words and k not in self.words.older and len(k) < HEAP]
+        for at in range(0, len(new), TOGETHER):
+            some = new[at : at + TOGETHER]
+            for key, found in zip(some, self.table.segments([MARK + k for k in some]), strict=True):
+                self.words.put(key, found)
+        out = []
+        for (n, source), (head, keys) in zip(normal, parts, strict=True):
+            if not n:
+                out.append((np.zeros(0, np.int32),) * 3)
+                continue
+            found = np.frombuffer((self.segment(head) if head else b"") + b"".join(map(self.words.__getitem__, keys)), "<i4").reshape(-1, 2)
+            ends = np.cumsum(found[:, 1])
+            out.append((found[:, 0], source[ends - found[:, 1]].astype(np.int32), source[ends].astype(np.int32)))
+        return out
 
     def decode(self, ids: list[int] | np.ndarray | None) -> str:
         ids = [] if ids is None else list(ids)
@@ -315,7 +435,7 @@ def encode(docs: DataFrame, text_col: str = "text", model: str | None = None) ->
     def run(batches):
         pieces = pieces_of(sent.value)
         for batch in batches:
-            found = [pieces.encode(t) for t in batch.column(1).to_pylist()]
+            found = pieces.encode_many(batch.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column(0), *[_lists([f[k] for f in found]) for k in range(3)]], ["row", "ids", "begins", "ends"])
 
     schema = StructType([lean.schema["row"]])

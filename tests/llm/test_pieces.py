@@ -100,6 +100,17 @@ def test_words_are_forgotten(own, library, monkeypatch):
     assert len(fresh) <= 5 and len(fresh.older) <= 5
 
 
+@pytest.mark.parametrize("seed", range(3))
+def test_many_words_at_once_are_merged_like_one(own, library, seed, monkeypatch):
+    rng = random.Random(seed)
+    words = list({"".join(rng.choices("▁ethanosr1é漢🙂\n=", [3, 9, 9, 6, 6, 6, 6, 6, 4, 1, 1, 1, 1, 1, 1], k=rng.randrange(1, 40))) for _ in range(3000)})
+    assert own.table.segments(words) == [own.segment(w) for w in words]
+    monkeypatch.setattr(m, "TOGETHER", 11)
+    fresh = m.Pieces(open(m.model_path(), "rb").read())  # noqa: SIM115
+    some = texts(seed + 20, 200)
+    assert [f[0].tolist() for f in fresh.encode_many([*some, None, ""])] == [*map(library.encode, some), [], []]
+
+
 def test_other_models_are_refused():
     proto = schema.ModelProto()
     with open(m.model_path(), "rb") as f:
