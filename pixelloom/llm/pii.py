@@ -47,6 +47,8 @@ _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _TRIGGER = re.compile(r"[0-9@]+|\[at\]|\(at\)")
+#: Dates, ISBNs and other numbers in groups that telephone numbers don't have.
+_NUMBERED = re.compile(r"(?:19|20)\d\d[-./](?:0[1-9]|1[0-2])[-./][0-3]\d|97[89][ -]?(?:\d[ -]?){9}\d$|\d{4}([ -])\d{4}\1\d{4}(?:\1\d{1,3})?$|\d{5}-\d{5}-\d{3}$|(?:\d{3}-)?\d{7}-\d{7}$")
 _ADDED_EMAIL = re.compile(r"[^\s@]+ ?(?:@|\[at\]|\(at\)) ?[^\s@]+\.[^\s@]+")
 
 
@@ -113,7 +115,7 @@ def _examples(n: int, seed: int):
 
     def phone() -> str:
         a, b, c = number(3), number(3), number(4)
-        return pick((f"+1 ({a}) {b}-{c}", f"+{number(2)} {a} {b}{c}", f"({a}) {b}-{c}", f"{a}-{b}-{c}", f"{a}.{b}.{c}", f"0{number(3)} {number(7)}", f"+{number(2)}-{a}-{b}-{c}"))
+        return pick((f"+1 ({a}) {b}-{c}", f"+{number(2)} {a} {b}{c}", f"({a}) {b}-{c}", f"{a}-{b}-{c}", f"{a}.{b}.{c}", f"{a} {b} {c}", f"0{number(3)} {number(7)}", f"0{number(2)}/{number(7)}", f"0{number(1)} {number(2)} {number(2)} {number(2)} {number(2)}", f"+{number(2)}-{a}-{b}-{c}"))
 
     def email() -> str:
         name = word().encode("ascii", "ignore").decode() or "me"
@@ -121,18 +123,26 @@ def _examples(n: int, seed: int):
 
     def other() -> str:
         hexed = "".join(pick("0123456789abcdef") for _ in range(int(rng.integers(16, 40))))
+        date = f"20{number(2)}-{pick(('01', '05', '12'))}-{pick(('03', '15', '28'))}"
+        if rng.random() < 0.5:
+            return pick((f"{date} {number(2)}.{number(2)}.{number(2)}", f"{date} {number(2)}:{number(2)}:{number(2)}", date, f"97{pick('89')}-{number(1)}-{number(4)}-{number(4)}-{number(1)}", f"97{pick('89')} {number(1)} {number(3)} {number(5)} {number(1)}", f"{number(5)}-{number(5)}-{number(3)}", f"{number(4)} {number(4)} {number(4)}", f"{number(3)}-{number(7)}-{number(7)}"))
         return pick((number(4), f"{number(1)}.{number(2)}", f"{number(2)},{number(3)}", hexed, f'"{hexed}"', f"{number(4)}-{number(2)}-{number(2)}", f"v{number(1)}.{number(1)}.{number(2)}", f"{number(2)}:{number(2)}", number(22), f"{word()}{number(2)}", f"@{word()}"))
 
     make = {"email": email, "ip": lambda: ".".join(str(int(x)) for x in rng.integers(1, 256, 4)), "card": card, "phone": phone, "": other}
     for _ in range(n):
         text, spans = " ".join(word() for _ in range(int(rng.integers(0, 9)))), []
-        for _ in range(int(rng.integers(1, 3))):
-            kind = pick(("email", "email", "ip", "card", "phone", "phone", ""))
+        for _ in range(int(rng.integers(1, 4))):
+            kind = pick(("email", "email", "ip", "card", "phone", "phone", "phone", "", ""))
             item = make[kind]()
             text += pick((" ", " ", ": ", "\n", " (")) if text else ""
             if kind:
                 spans.append((kind, len(text), len(text) + len(item)))
-            text += item + pick((" ", ". ", ", ", " ")) + " ".join(word() for _ in range(int(rng.integers(0, 6))))
+            # Every third item has the next one right behind it.
+            text += item + pick((" ", ". ", ", ", " "))
+            if rng.random() < 0.33:
+                text = text.rstrip(" ")
+            else:
+                text += " ".join(word() for _ in range(int(rng.integers(0, 6))))
         yield text, spans
 
 
@@ -258,7 +268,19 @@ def _plausible(text: str, span: Span) -> bool:
         return False
     if kind == "card":
         return 14 <= len(digits) <= 19 and luhn(digits)
-    return 10 <= len(digits) <= 15 and any(c in " ().-" for c in said) and not re.search(r"\d{9}", said)
+    return 9 < len(digits) <= 15 and any(c in " ().-/" for c in said) and not re.search(r"\d{9}", said) and not _NUMBERED.match(said)
+
+
+def _parted(text: str, span: Span) -> list[Span]:
+    """A phone span of more digits than a number has, which is two or more beside each other, as those: each the shortest that can be one."""
+    kind, start, end = span
+    if kind != "phone" or len(_digits(text[start:end])) <= 15:
+        return [span]
+    for m in re.finditer(r"[\s,;]+", text[start:end]):
+        left = kind, start, start + m.start()
+        if len(_digits(text[start : left[2]])) >= 10 and _plausible(text, left):
+            return [left, *_parted(text, _trimmed(text, (kind, start + m.end(), end)))]
+    return [span]
 
 
 def all_spans(text: str | None, base: list[Span], tagged: list[Span]) -> list[Span]:
@@ -268,8 +290,8 @@ def all_spans(text: str | None, base: list[Span], tagged: list[Span]) -> list[Sp
     out, taken = list(base), bytearray(len(text))
     for _, start, end in base:
         taken[start:end] = b"\1" * (end - start)
-    for span in sorted(tagged, key=lambda s: (s[1], -s[2])):
-        span = _, start, end = _trimmed(text, span)
+    for span in sorted((p for s in tagged for p in _parted(text, _trimmed(text, s))), key=lambda s: (s[1], -s[2])):
+        _, start, end = span
         if start < end and taken.find(1, start, end) < 0 and _plausible(text, span):
             out.append(span)
             taken[start:end] = b"\1" * (end - start)

@@ -128,3 +128,57 @@ def test_regions_hold_whole_words():
         (start, end), *more = pii.regions(text)
         assert not more and text[start:end].split()[0] in text.split() and "x" * 30 in text[start:end] and "y" * 30 in text[start:end]
         assert (start == 0 or text[start - 1] == " ") and (end == len(text) or text[end] == " " or text[end - 1] == " ")
+
+
+def _placed(make, n, seed, between=None):
+    """Texts of invented words around what ``make`` gives, with its spans."""
+    rng = np.random.default_rng(seed)
+    words = lambda k: " ".join("".join(rng.choice(["an", "the", "er", "ou", "ti", "é", "schen", "ion"], rng.integers(1, 4))) for _ in range(k))
+    for _ in range(n):
+        text, spans = words(rng.integers(1, 12)) + " ", []
+        for _ in range(2 if between else 1):
+            item = make(lambda k: "".join(map(str, rng.integers(0, 10, k))))
+            spans.append(("phone", len(text), len(text) + len(item)))
+            text += item + (between or "")
+        yield text.rstrip(", ") + " " + words(rng.integers(1, 12)), spans
+
+
+FORMS = {
+    "brackets": lambda d: f"({d(3)}) {d(3)}-{d(4)}", "dashes": lambda d: f"{d(3)}-{d(3)}-{d(4)}", "dots": lambda d: f"{d(3)}.{d(3)}.{d(4)}",
+    "slash": lambda d: f"0{d(2)}/{d(7)}", "area": lambda d: f"0{d(3)} {d(7)}", "pairs": lambda d: f"0{d(1)} {d(2)} {d(2)} {d(2)} {d(2)}",
+}
+OTHERS = {
+    "date and time": lambda d: f"20{d(2)}-01-15 {d(2)}.{d(2)}.{d(2)}", "isbn": lambda d: f"978-{d(1)}-{d(4)}-{d(4)}-{d(1)}", "isbn with spaces": lambda d: f"979 {d(1)} {d(3)} {d(5)} {d(1)}",
+    "order": lambda d: f"{d(5)}-{d(5)}-{d(3)}", "long order": lambda d: f"{d(3)}-{d(7)}-{d(7)}", "fours": lambda d: f"{d(4)} {d(4)} {d(4)}",
+}
+
+
+def test_recall_by_form():
+    for name, make in FORMS.items():
+        for between in (None, " ", ", "):
+            cases = list(_placed(make, 100, 5, between))
+            found = pii.tag(pii.trained(), [t for t, _ in cases])
+            hits = [s in pii.all_spans(t, pii.base_spans(t), f) for (t, spans), f in zip(cases, found, strict=True) for s in spans]
+            assert sum(hits) >= 0.9 * len(hits), (name, between, sum(hits) / len(hits))
+
+
+def test_other_numbers_are_no_phones():
+    for name, make in OTHERS.items():
+        cases = [t for t, _ in _placed(make, 200, 6)]
+        wrong = [t for t, f in zip(cases, pii.tag(pii.trained(), cases), strict=True) if pii.all_spans(t, pii.base_spans(t), f) != pii.base_spans(t)]
+        assert len(wrong) <= 4, (name, wrong[:3])
+
+
+def test_added_spans_keep_to_their_rules():
+    """Whatever is tagged: base spans stay, added ones are plausible, whole and touch nothing."""
+    rng = np.random.default_rng(9)
+    for _ in range(400):
+        text = "".join(rng.choice(list("0123456789 -.+()/@ab,"), 70))
+        cuts = np.sort(rng.integers(0, 71, 8)).reshape(4, 2)
+        tagged = [(pii.KINDS[int(rng.integers(4))], int(a), int(b)) for a, b in cuts]
+        base = pii.base_spans(text)
+        spans = pii.all_spans(text, base, tagged)
+        more = [s for s in spans if s not in base]
+        assert set(base) <= set(spans) and spans == pii.in_order(spans) and all(pii._plausible(text, s) for s in more)
+        covered = sorted((a, b) for _, a, b in more)
+        assert all(b <= c for (_, b), (c, _) in zip(covered, covered[1:], strict=False)) and all(b <= c or d <= a for a, b in covered for _, c, d in base)
