@@ -122,7 +122,9 @@ class _Pages(DataSourceReader):
     def read(self, partition) -> Iterator[tuple]:
         cursor = None
         while True:
-            _, body = get(self.url + ("" if cursor is None else f"?cursor={cursor}"))
+            status, body = patiently(self.url + ("" if cursor is None else f"?cursor={cursor}"))
+            if status != 200:
+                raise OSError(f"{self.url} answers {status}")
             page = json.loads(body)
             yield from ((item["id"],) for item in page["items"])
             cursor = page.get("nextCursor")
