@@ -86,11 +86,16 @@ def clean_tags(tags: Column) -> Column:
     return F.array_join(kept, ", ")
 
 
+def _rewriting(what: str):
+    """A rule of ``_AGAIN``: its pattern can only match where its shortest form stands, which is cheap to look for."""
+    return lambda c: F.when(c.contains(what), F.regexp_replace(c, *_AGAIN[what])).otherwise(c)
+
+
 def clean_caption(caption: Column) -> Column:
     """The caption after all rewrites."""
     for what, by in CAPTION_RULES:
         if what in _AGAIN:
-            caption = F.regexp_replace(caption, *_AGAIN[what])
+            caption = _let(caption, _rewriting(what))
         else:
             caption = F.replace(caption, F.lit(what), F.lit(by))
             if not by:

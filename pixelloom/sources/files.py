@@ -9,6 +9,7 @@ from pathlib import Path
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -46,22 +47,32 @@ def sharded_latents(spark: SparkSession, root: str) -> DataFrame:
 def read_npz(files: DataFrame) -> DataFrame:
     """The arrays of latent files (path, content); a file that can't be read gives a row with its error."""
 
-    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    whole = ("crop_ltrb", "original_size", "train_resolution")
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for path, content in zip(batch["path"], batch["content"], strict=True):
-                row = dict.fromkeys(("latents", "shape", "crop_ltrb", "original_size", "train_resolution", "error")) | {"path": path}
+            found, rest = [], {c: [] for c in ("shape", *whole, "error")}
+            for content in batch.column(1):
+                row, flat = dict.fromkeys(rest), None
                 try:
-                    with np.load(io.BytesIO(content), allow_pickle=False) as arrays:
+                    with np.load(io.BytesIO(content.as_py()), allow_pickle=False) as arrays:
                         latents = arrays["latents"].astype(np.float32)
-                        row |= {"latents": latents.ravel().tolist(), "shape": list(latents.shape)}
-                        row |= {c: [int(x) for x in arrays[c]] for c in ("crop_ltrb", "original_size", "train_resolution")}
+                        row |= {"shape": list(latents.shape)} | {c: [int(x) for x in arrays[c]] for c in whole}
+                        flat = latents.ravel()
                 except Exception as e:  # noqa: BLE001  (a damaged file is a result here)
-                    row["error"] = f"{type(e).__name__}: {e}"
-                rows.append(row)
-            yield pd.DataFrame(rows, columns=[c.split()[0] for c in LATENTS.split(", ")])
-
-    return files.select("path", "content").mapInPandas(read, LATENTS)
+                    row = dict.fromkeys(rest) | {"error": f"{type(e).__name__}: {e}"}
+                found.append(flat)
+                for c, values in rest.items():
+                    values.append(row[c])
+            # Latents go from numpy to Arrow as they are, not number by number.
+            ends = np.cumsum([0, *[0 if f is None else len(f) for f in found]]).astype(np.int32)
+            values = pa.array(np.concatenate([np.zeros(0, np.float32), *[f for f in found if f is not None]]))
+            lists = pa.ListArray.from_arrays(pa.array(ends), values, mask=pa.array([f is None for f in found], pa.bool_()))
+            types = {"shape": pa.list_(pa.int32()), "error": pa.string()}
+            others = {c: pa.array(v, types.get(c, pa.list_(pa.int64()))) for c, v in rest.items()}
+            yield pa.RecordBatch.from_arrays([batch.column(0), lists, *others.values()], ["path", "latents", *others])
+
+    return files.select("path", "content").mapInArrow(read, LATENTS)
 
 
 def npz_bytes(latents: np.ndarray, crop_ltrb, original_size, train_resolution) -> bytes:

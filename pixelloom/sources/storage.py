@@ -18,6 +18,19 @@ def exists(system: fs.FileSystem, path: str) -> bool:
     return system.get_file_info(path).type != fs.FileType.NotFound
 
 
+def removed(system: fs.FileSystem, path: str, tries: int = 5) -> None:
+    """Delete a file or a folder that others may be deleting, too."""
+    for k in range(tries):
+        kind = system.get_file_info(path).type
+        if kind == fs.FileType.NotFound:
+            return
+        try:
+            system.delete_dir(path) if kind == fs.FileType.Directory else system.delete_file(path)
+        except OSError:
+            if k == tries - 1 and exists(system, path):
+                raise
+
+
 class Counted:
     """A seekable file that counts the bytes that are read from it."""
 

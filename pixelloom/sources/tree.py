@@ -16,7 +16,7 @@ Writing. Rows (key, content) become one file each at ``ab/cd/abcd....suffix`` (o
 with ``sharded`` false). A task writes all its files under temporary names in a hidden folder of the
 job and renames them at its end; so a task that fails leaves no file, whether its error is
 handled or its executor lost, and one that runs again gives the same files.
-An aborted job takes back the files that weren't there before. Rows with one key overwrite each other; a
+An aborted job takes back the files that weren't there before, those of tasks that end after it, too. Rows with one key overwrite each other; a
 key that is null or empty is an error, as is one with a slash in sharded trees, or a dot in front.
 """
 
@@ -31,7 +31,7 @@ from pyarrow import fs
 from pyspark.sql import SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 
-from .storage import exists, opened
+from .storage import exists, opened, removed
 
 
 FOLDERS = 32
@@ -48,7 +48,6 @@ class _Folders(InputPartition):
 class _Done(WriterCommitMessage):
     files: int
     bytes: int
-    listing: str
 
 
 def _yes(options: dict, name: str, default: bool) -> bool:
@@ -122,6 +121,10 @@ class _TreeWriter(DataSourceArrowWriter):
         self.job = f".tree-{uuid.uuid4().hex}"
         if not {"key", "content"} <= set(names):
             raise ValueError("a tree is written from the columns key and content")
+        system, root = opened(self.root)
+        system.create_dir(f"{root}/{self.job}")
+        with system.open_output_stream(f"{root}/{self.job}/open") as out:
+            out.write(b"")
 
     def _place(self, key: str | None) -> str:
         parts = (key or "").split("/")
@@ -129,8 +132,13 @@ class _TreeWriter(DataSourceArrowWriter):
             raise ValueError(f"{key!r} can't be a file's name")
         return f"{key[:2]}/{key[2:4]}/{key}.{self.suffix}" if self.sharded else f"{key}.{self.suffix}"
 
+    def _is_open(self, system: fs.FileSystem, root: str) -> None:
+        if not exists(system, f"{root}/{self.job}/open"):
+            raise RuntimeError("the job is over")
+
     def write(self, iterator: Iterator[pa.RecordBatch]) -> _Done:
         system, root = opened(self.root)
+        self._is_open(system, root)
         task = f"{root}/{self.job}/{uuid.uuid4().hex}"
         system.create_dir(task)
         places, size, new = [], 0, []
@@ -144,40 +152,47 @@ class _TreeWriter(DataSourceArrowWriter):
                         out.write(data)
                     places.append(place)
                     size += len(data)
+            # What will be new is said before it is there, and looked for by a job that breaks off. A task that goes on
+            # after its job has ended finds that out at its end, and takes its files back itself.
+            self._is_open(system, root)
+            new = [f"{root}/{place}" for place in dict.fromkeys(places) if not exists(system, f"{root}/{place}")]
+            with system.open_output_stream(f"{task}/new") as out:
+                out.write("\n".join(new).encode())
+            self._is_open(system, root)
             for folder in {place.rpartition("/")[0] for place in places}:
                 system.create_dir(f"{root}/{folder}")
             for k, place in enumerate(places):
-                target = f"{root}/{place}"
-                if not exists(system, target):
-                    new.append(target)
-                system.move(f"{task}/{k}", target)
+                system.move(f"{task}/{k}", f"{root}/{place}")
+            self._is_open(system, root)
         except BaseException:
-            for path in new:
-                if exists(system, path):
-                    system.delete_file(path)
-            system.delete_dir(task)
+            self._taken_back(system, new)
+            over = not exists(system, f"{root}/{self.job}/open")
+            removed(system, f"{root}/{self.job}" if over else task)
             raise
-        with system.open_output_stream(f"{task}/new") as out:
-            out.write("\n".join(new).encode())
-        return _Done(len(places), size, f"{task}/new")
+        return _Done(len(places), size)
+
+    @staticmethod
+    def _taken_back(system: fs.FileSystem, paths: list[str]) -> None:
+        for path in paths:
+            removed(system, path)
 
     def commit(self, messages: list[_Done | None]) -> None:
-        self._end()
+        system, root = opened(self.root)
+        removed(system, f"{root}/{self.job}")
 
     def abort(self, messages: list[_Done | None]) -> None:
-        system, _ = opened(self.root)
-        for message in messages:
-            if message is not None:
-                with system.open_input_stream(message.listing) as f:
-                    for path in f.read().decode().split("\n"):
-                        if path and exists(system, path):
-                            system.delete_file(path)
-        self._end()
-
-    def _end(self) -> None:
         system, root = opened(self.root)
-        if exists(system, f"{root}/{self.job}"):
-            system.delete_dir(f"{root}/{self.job}")
+        job = f"{root}/{self.job}"
+        removed(system, f"{job}/open")
+        for x in system.get_file_info(fs.FileSelector(job, recursive=True, allow_not_found=True)):
+            if x.base_name == "new":
+                try:
+                    with system.open_input_stream(x.path) as f:
+                        listed = f.read().decode().split("\n")
+                except FileNotFoundError:
+                    continue  # Its task has seen that the job is over, and takes its files back.
+                self._taken_back(system, [path for path in listed if path])
+        removed(system, job)
 
 
 def register(spark: SparkSession) -> None:

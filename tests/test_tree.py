@@ -100,6 +100,18 @@ def test_a_job_that_breaks_off_takes_back_what_finished_tasks_wrote(tmp_path):
     assert left(tmp_path)[-2:] == ["ab/cd/abcd1.npz", "ab/cd/abcd2.npz"] and done.files == 2 and done.bytes == 2
     second.abort([done, None])
     assert left(tmp_path) == ["ab/cd/abcd1.npz"]
+    # A task whose job ends while it writes, and one that begins later.
+    third = Tree({"path": str(tmp_path)}).writer(schema, False)
+
+    def slow():
+        yield batch
+        third.abort([None])
+
+    with pytest.raises(RuntimeError, match="over"):
+        third.write(slow())
+    with pytest.raises(RuntimeError, match="over"):
+        third.write(iter([batch]))
+    assert left(tmp_path) == ["ab/cd/abcd1.npz"] and not list(tmp_path.glob(".tree*"))
 
 
 def key(k):
