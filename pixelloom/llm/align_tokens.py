@@ -43,7 +43,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructType
 
 from .common import beside, for_python, row_of, table, written
-from .pieces import LONGEST, model_path, pieces_of
+from .pieces import model_path, pieces_of
 
 #: Tasks of the cogroup, at least, and the share of a task's even load above which a B id is salted.
 TASKS, SHARE = 64, 4
@@ -51,6 +51,8 @@ TASKS, SHARE = 64, 4
 _UNEVEN = re.compile(r"\s\s|^\s|\s$")
 #: Words that a worker keeps, besides those of the batch it is at, and words that are aligned together.
 REMEMBERED, PIECE = 400_000, 20_000
+#: Longer words aren't kept.
+LONGEST = 64
 _NONE = np.zeros(0, np.int64)
 _TOKENS = ["n_a", "n_b", "n_groups", "groups_sha256", "pairs", "times"]
 

@@ -12,7 +12,7 @@ Encoding. Merging goes from the best-scored pair of neighbours on, the leftmost
 equals first. Where no piece of the model holds a word mark behind another
 character - the tables say so when they are built, other models are refused - no
 merge crosses the beginning of a word. So words are encoded by themselves, those that are new to
-a Python worker many at once, and it remembers the latest, up to twice ``REMEMBERED``. Long words merge by
+a Python worker many at once, and it remembers up to ``REMEMBERED`` of them and those in use. Long words merge by
 a heap. Characters without a piece become byte pieces, of which the last has the span.
 
 At scale: one pass without a shuffle; texts go through in Arrow batches of
@@ -44,8 +44,8 @@ from pyspark.sql.types import ArrayType, IntegerType, StringType, StructType
 from .common import beside, for_python, row_of, table
 
 MARK = "▁"
-#: Words of which a worker keeps the pieces, in either of two generations, and the longest such word.
-REMEMBERED, LONGEST = 200_000, 64
+#: Words of which a worker keeps the pieces, besides those of the batch it is at; words of this module's HEAP characters or more aren't kept.
+REMEMBERED = 300_000
 #: A word of more characters is merged by a heap.
 HEAP = 48
 _NEVER = float("-inf")
@@ -129,28 +129,6 @@ class Normaliser:
         return "".join(out), np.array([*starts, at] if begun else [0], np.int64)
 
 
-class Remembered(dict):
-    """What ``make`` gives for a key. Two generations of keys are kept, so that frequent ones stay when rare ones go."""
-
-    def __init__(self, make):
-        self.make, self.older = make, {}
-
-    def __missing__(self, key: str):
-        found = self.older.get(key)
-        if found is None:
-            found = self.make(key)
-            if len(key) > LONGEST:
-                return found
-        self.put(key, found)
-        return found
-
-    def put(self, key: str, found) -> None:
-        if len(self) >= REMEMBERED:
-            self.older = dict(self)
-            self.clear()
-        self[key] = found
-
-
 class PairTable:
     """All pairs of symbols that merge, as arrays, and the merging of many short words at once.
 
@@ -169,12 +147,13 @@ class PairTable:
         self.n = len(symbols)
         pairs = [(symbols[p[:k]] * self.n + symbols[p[k:]], rank[score], symbols[p]) for p, score in scores.items() for k in range(1, len(p)) if p[:k] in symbols and p[k:] in symbols]
         self.codes, self.ranks, self.merged = (np.array(x, np.int64) for x in zip(*sorted(pairs), strict=True)) if pairs else (np.zeros(0, np.int64),) * 3
+        self.ranks, self.merged = self.ranks.astype(np.int32), self.merged.astype(np.int32)
         singles = sorted((ord(t), k) for t, k in symbols.items() if len(t) == 1)
         self.points, self.of_points = (np.array(x, np.int64) for x in zip(*singles, strict=True))
 
     def _looked_up(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Rank of each pair (``_NO_PAIR`` if it doesn't merge) and the symbol that it becomes."""
-        code = np.where((left >= 0) & (right >= 0), left * self.n + right, -1)
+        code = np.where((left >= 0) & (right >= 0), left.astype(np.int64) * self.n + right, -1)
         at = np.minimum(np.searchsorted(self.codes, code), len(self.codes) - 1)
         hit = self.codes[at] == code
         return np.where(hit, self.ranks[at], _NO_PAIR), self.merged[at]
@@ -186,48 +165,39 @@ class PairTable:
         sizes = np.array([len(w) for w in words])
         points = np.frombuffer("".join(words).encode("utf-32-le", "replace"), "<u4").astype(np.int64)
         at = np.minimum(np.searchsorted(self.points, points), len(self.points) - 1)
-        symbol = np.where(self.points[at] == points, self.of_points[at], -1)
-        word, chars, place = np.repeat(np.arange(len(words)), sizes), np.ones(len(points), np.int64), np.arange(len(points))
-        rank, becomes = np.full(len(points), _NO_PAIR), np.zeros(len(points), np.int64)
+        symbol = np.where(self.points[at] == points, self.of_points[at], -1).astype(np.int32)
+        word, place = np.repeat(np.arange(len(words), dtype=np.int32), sizes), np.arange(len(points), dtype=np.int32)
+        rank, becomes = np.full(len(points), _NO_PAIR, np.int32), np.zeros(len(points), np.int32)
         rank[:-1], becomes[:-1] = self._looked_up(symbol[:-1], symbol[1:])
         rank[np.cumsum(sizes) - 1] = _NO_PAIR
         done = []
         while len(symbol):
             first = np.flatnonzero(np.diff(word, prepend=-1))
-            best = np.minimum.reduceat((rank << 32) | np.arange(len(rank)), first)
+            best = np.minimum.reduceat((rank.astype(np.int64) << 32) | np.arange(len(rank)), first)
             open_words = (best >> 32) < _NO_PAIR
+            spot = best[open_words] & 0xFFFFFFFF
+            keep = np.ones(len(symbol), bool)
             if not open_words.all():
                 # Words without a pair are done and leave the arrays.
-                stays = np.repeat(open_words, np.diff(first, append=len(word)))
-                done.append((place[~stays], symbol[~stays], chars[~stays]))
-                if not stays.any():
-                    break
-                shift = np.cumsum(stays) - 1
-                symbol, word, chars, place, rank, becomes = (x[stays] for x in (symbol, word, chars, place, rank, becomes))
-                spot = shift[best[open_words] & 0xFFFFFFFF]
-            else:
-                spot = best & 0xFFFFFFFF
+                keep = np.repeat(open_words, np.diff(first, append=len(word)))
+                done.append((place[~keep], symbol[~keep]))
+            # The right one of each pair goes, the left one becomes the pair and takes the right one's place in the word.
             symbol[spot] = becomes[spot]
-            chars[spot] += chars[spot + 1]
-            keep = np.ones(len(symbol), bool)
             keep[spot + 1] = False
-            # A pair's last symbol hands the end of its word on.
-            shift = np.cumsum(keep) - 1
-            symbol, word, chars, place, rank, becomes = (x[keep] for x in (symbol, word, chars, place, rank, becomes))
-            spot = shift[spot]
+            symbol, word, place, rank, becomes = (x[keep] for x in (symbol, word, place, rank, becomes))
+            spot = (np.cumsum(keep) - 1)[spot]
             for left in (spot - 1, spot):
                 left = left[(left >= 0) & (left + 1 < len(symbol))]
-                same = word[left] == word[left + 1]
                 found, into = self._looked_up(symbol[left], symbol[left + 1])
-                rank[left], becomes[left] = np.where(same, found, _NO_PAIR), into
+                rank[left], becomes[left] = np.where(word[left] == word[left + 1], found, _NO_PAIR), into
             if len(spot) and spot[-1] == len(symbol) - 1:
                 rank[-1] = _NO_PAIR
-        place, symbol, chars = (np.concatenate(x) for x in zip(*done, strict=True))
+        place, symbol = (np.concatenate(x) for x in zip(*done, strict=True))
         order = np.argsort(place)
-        place, symbol, chars = place[order], symbol[order], chars[order]
-        return self._written(points, place, symbol, chars, sizes, len(words))
+        place, symbol = place[order].astype(np.int64), symbol[order]
+        return self._written(points, place, symbol, np.diff(place, append=len(points)), sizes)
 
-    def _written(self, points, place, symbol, chars, sizes, n) -> list[bytes]:
+    def _written(self, points, place, symbol, chars, sizes) -> list[bytes]:
         """(id, characters) of all symbols, characters without a piece as bytes, cut at the ends of the words."""
         ids = np.where(symbol >= 0, self.model_ids[symbol], -1)
         plain = ids >= 0
@@ -282,7 +252,7 @@ class Pieces:
         self.normalise = Normaliser(rules.precompiled_charsmap, self.prefix, self.fold)
         self.table = PairTable(self.scores, self.ids, self.byte_ids)
         # Pieces by word, without the mark in front of it: pairs of 32-bit numbers (id, characters), as bytes.
-        self.words = Remembered(lambda key: self.segment(MARK + key))
+        self.words: dict[str, bytes] = {}
 
     def merged(self, word: str) -> list[str]:
         """A word's characters, merged from the best-scored pair on."""
@@ -356,11 +326,15 @@ class Pieces:
         """``encode`` of several texts; words that are new to the worker are merged together."""
         normal = [self.normalise(t) if t else ("", None) for t in texts]
         parts = [self.parted(n) for n, _ in normal]
-        new = [k for k in set(chain.from_iterable(keys for _, keys in parts)) if k not in self.words and k not in self.words.older and len(k) < HEAP]
-        for at in range(0, len(new), TOGETHER):
-            some = new[at : at + TOGETHER]
-            for key, found in zip(some, self.table.segments([MARK + k for k in some]), strict=True):
-                self.words.put(key, found)
+        used = set(chain.from_iterable(keys for _, keys in parts))
+        new = [k for k in used if k not in self.words]
+        if len(self.words) + len(new) > REMEMBERED:
+            self.words = {k: self.words[k] for k in used if k in self.words}
+        short, long = [k for k in new if len(k) < HEAP], [k for k in new if len(k) >= HEAP]
+        for at in range(0, len(short), TOGETHER):
+            some = short[at : at + TOGETHER]
+            self.words.update(zip(some, self.table.segments([MARK + k for k in some]), strict=True))
+        self.words.update((k, self.segment(MARK + k)) for k in long)
         out = []
         for (n, source), (head, keys) in zip(normal, parts, strict=True):
             if not n:
@@ -369,6 +343,8 @@ class Pieces:
             found = np.frombuffer((self.segment(head) if head else b"") + b"".join(map(self.words.__getitem__, keys)), "<i4").reshape(-1, 2)
             ends = np.cumsum(found[:, 1])
             out.append((found[:, 0], source[ends - found[:, 1]].astype(np.int32), source[ends].astype(np.int32)))
+        for k in long:
+            del self.words[k]
         return out
 
     def decode(self, ids: list[int] | np.ndarray | None) -> str:
@@ -467,13 +443,12 @@ def decode(encoded: DataFrame, ids_col: str = "ids", model: str | None = None) -
 
 
 def op13_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pieces of all documents: their digests, the digest of the decoded text, and the bytes that the spans cover."""
-    covered = F.aggregate(F.zip_with("begins", "ends", lambda b, e: e - b), F.lit(0).cast("long"), lambda s, x: s + x)
+    """Pieces of all documents: their digests, the digest of the decoded text, and the byte at which the last span ends."""
     found = encode(table(spark, sf_dir, "documents").select("doc_id", "text")).select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join(F.transform("ids", lambda x: x.cast("string")), ","), 256).alias("ids_sha256"),
-        covered.alias("n_span_bytes"),
+        F.coalesce(F.array_max("ends"), F.lit(0)).cast("long").alias("n_span_bytes"),
         "ids",
     )
     return decode(found).select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"), "n_span_bytes")
