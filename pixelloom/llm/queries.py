@@ -30,6 +30,5 @@ ORACLE_SQL: dict[str, str] = {
     "op4_line_dedup": line_dedup.oracle_sql(),
     "op7_quality_rules": quality_rules.oracle_sql(),
     "op9_mix_sources": mixing.oracle_sql(),
-    "op11_align_tokens": align_tokens.op11_align_tokens,
     "op12_hard_negatives": hard_negatives.oracle_sql(),
 }

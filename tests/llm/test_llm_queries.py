@@ -22,3 +22,7 @@ def test_all_are_registered():
 
     names = set(entry.queries())
     assert {n.split("_")[0] for n in names if re.match(r"op\d+_", n)} == {f"op{k}" for k in range(1, 14)} and "pipeline" in names
+
+
+def test_sql_is_text():
+    assert all(isinstance(sql, str) for sql in queries.ORACLE_SQL.values()) and set(queries.ORACLE_SQL) <= set(queries.QUERIES)
