@@ -10,10 +10,11 @@ no key below the cut ``CUT``, which is the share of real keys that this loses.
 
 False discoveries. What passes the battery is reported only if it isn't likely
 as text. Text is modelled as a chain of letters, digits and signs with the letter
-pairs of natural words, words in a row as in names and slugs, and digits that stay together. The
-chance that text is as far from this chain towards the token's random encoding is a
-p-value of the hypothesis "text" (1 for tokens that fail the battery), with a
-spread ``LOOSE`` times the chain's own, as real names vary more. Short
+pairs of natural words, words in a row as in names and slugs, in small letters, capitals or
+with a capital in front, and digits that stay together. How much likelier this chain makes a
+token than its random encoding does is a p-value of the hypothesis "text" (1 for tokens
+that fail the battery): in text the inverse of this ratio has a mean of one, so by Markov's
+inequality it is as large as x with a chance of 1 / x at most, however short the token. Short
 tokens say less than long ones, so Benjamini and Hochberg's rule is applied in
 each class of lengths over all tokens of the table: of the tokens reported in
 a class a share of ``RATE`` is text at most, in expectation, as far as text is like the chain.
@@ -45,7 +46,7 @@ from .common import beside, count_of, for_python, joined, row_of, table, written
 KINDS = ("assign", "access", "hex")
 ADDED = "random"
 SHORTEST = 20
-CUT, RATE, LOOSE = 0.005, 0.05, 1.5
+CUT, RATE = 0.005, 0.05
 #: Length classes: from so many characters on. P-values are counted in BINS steps of a tenth of a power of ten.
 CLASSES = (20, 24, 32, 48, 64)
 BINS = 400
@@ -117,64 +118,63 @@ software license permission copyright notice warranty distribution documentation
 der die und das nicht von sie ist des sich mit dem dass er es ein ich auf so eine auch als an nach wie im aber wenn nur werden noch gesellschaft donau dampf schiff fahrt haben wird einer zeit zum sind schule durch kinder
 le la les et des en un une du que est pour qui dans ce il pas sur plus par avec tout faire son mais comme nous vous bien sans peut cette entre aussi leur deux temps monde toujours encore
 el los las que por con para una su al lo como mas pero sus este entre cuando muy sin sobre ser tiene tambien hasta hay donde quien desde todo nos durante todos uno contra otros ese eso ante ellos cada tiempo nuevo"""
-_DIGIT, _SIGN, _SYMBOLS = 26, 27, 28
+# Small letters are symbols 0 to 25, capitals 26 to 51.
+_DIGIT, _SIGN, _SYMBOLS = 52, 53, 54
+#: Ways to write a word, each with its share.
+_STYLES = ((0.5, str.lower), (0.35, str.capitalize), (0.15, str.upper))
 
 
 def _symbol(c: str) -> int:
-    c = c.lower()
-    return ord(c) - 97 if "a" <= c <= "z" else _DIGIT if "0" <= c <= "9" else _SIGN
+    return ord(c) - 97 if "a" <= c <= "z" else ord(c) - 39 if "A" <= c <= "Z" else _DIGIT if "0" <= c <= "9" else _SIGN
 
 
-def _text_chain() -> np.ndarray:
+def _text_chain(styles: tuple) -> np.ndarray:
     """Probabilities of the next symbol in text: letter pairs of words, words joined to names, digits that stay together."""
-    counts, first, last = np.full((_SYMBOLS, _SYMBOLS), 0.3), np.zeros(_SYMBOLS), np.zeros(_SYMBOLS)
-    words = _WORDS.split()
-    for word in words:
-        at = [_symbol(c) for c in word]
-        np.add.at(counts, (at[:-1], at[1:]), 1)
-        first[at[0]] += 1
-        last[at[-1]] += 1
-    starts = first / len(words)
-    # After a word: another one, a sign, or digits.
-    counts += np.outer(last, 0.5 * starts)
-    counts[:, _SIGN] += 0.4 * last
-    counts[:, _DIGIT] += 0.1 * last
+    counts = np.full((_SYMBOLS, _SYMBOLS), 0.3)
+    counts[:_DIGIT, :_DIGIT] = 0.08
+    words, starts = _WORDS.split(), np.zeros(_SYMBOLS)
+    for share, written_so in styles:
+        first, last = np.zeros(_SYMBOLS), np.zeros(_SYMBOLS)
+        for word in words:
+            at = [_symbol(c) for c in written_so(word)]
+            np.add.at(counts, (at[:-1], at[1:]), share)
+            first[at[0]] += share
+            last[at[-1]] += share
+        starts += first / len(words)
+        # After a word: another one in the same style, a sign, or digits.
+        counts += np.outer(last, 0.5 * first / first.sum())
+        counts[:, _SIGN] += 0.4 * last
+        counts[:, _DIGIT] += 0.1 * last
     counts[_DIGIT] += 0.3 * len(words) * (0.15 * starts + 0.75 * (np.arange(_SYMBOLS) == _DIGIT) + 0.1 * (np.arange(_SYMBOLS) == _SIGN))
     counts[_SIGN] += 0.4 * len(words) * (0.8 * starts + 0.18 * (np.arange(_SYMBOLS) == _DIGIT) + 0.02 * (np.arange(_SYMBOLS) == _SIGN))
     return counts / counts.sum(axis=1, keepdims=True)
 
 
-def _against_text(chars: str) -> tuple[np.ndarray, float, float]:
-    """For an alphabet: log odds of each pair as random against text, and their mean and variance in text."""
+def _against_text(chars: str) -> np.ndarray:
+    """For an alphabet: log odds of each pair as random against text, which is written in the only case there is."""
+    one_case = [style for style in (str.lower, str.upper) if style(chars) == chars]
+    styles = tuple((1.0, style) for style in one_case) or _STYLES
     shares = np.bincount([_symbol(c) for c in chars], minlength=_SYMBOLS) / len(chars)
     there = shares > 0
-    chain = _text_chain() * there
+    chain = _text_chain(styles) * there
     chain = np.where(there[:, None], chain, 0) / np.maximum(chain.sum(axis=1, keepdims=True), 1e-12)
-    state = there / there.sum()
-    for _ in range(200):
-        state = state @ chain
     odds = np.zeros((_SYMBOLS, _SYMBOLS))
     at = np.ix_(there, there)
     odds[at] = np.log(shares[there][None, :] / chain[at])
-    weight = state[:, None] * chain
-    mean = float((weight * odds).sum())
-    return odds, mean, float((weight * odds * odds).sum()) - mean * mean
+    return odds
 
 
 _AGAINST = {name: _against_text(chars) for name, chars in _ALPHABETS.items()}
 
 
 def evidence(token: str) -> float:
-    """The chance that text looks as random as ``token``; 1 for what fails the battery of tests."""
+    """A bound of the chance that text looks as random as ``token``; 1 for what fails the battery of tests."""
     token = token.rstrip("=")
     p = randomness(token)
     if p is None or p < CUT:
         return 1.0
-    odds, mean, variance = _AGAINST[encoding(token)]
     at = np.array([_symbol(c) for c in token])
-    n = len(at) - 1
-    z = (float(odds[at[:-1], at[1:]].sum()) - n * mean) / (LOOSE * math.sqrt(n * variance))
-    return 0.5 * math.erfc(z / math.sqrt(2))
+    return math.exp(min(0.0, -float(_AGAINST[encoding(token)][at[:-1], at[1:]].sum())))
 
 
 def uniformity(places: np.ndarray, size: int) -> float:

@@ -1,6 +1,9 @@
 import random
 import re
 import string
+import sysconfig
+import tokenize
+from pathlib import Path
 
 import numpy as np
 from helpers import clashing, docs, empty, odd
@@ -101,3 +104,28 @@ def test_keys_of_one_case_and_without_digits_are_found():
         for size in (20, 32):
             ps = [s.evidence("".join(rng.choice(alphabet) for _ in range(size))) for _ in range(2000)]
             assert sum(p < 0.005 for p in ps) >= 0.95 * len(ps), (alphabet, size, sum(p < 0.005 for p in ps))
+
+
+def share_reported(keys, rarity):
+    """Of keys that are one in ``rarity`` tested tokens: the share that the rule reports if text's p-values are uniform."""
+    ps = np.array([s.evidence(k) for k in keys])
+    every = np.sort(np.concatenate([ps, np.random.default_rng(0).random(len(ps) * (rarity - 1))]))
+    good = np.flatnonzero(every * len(every) <= s.RATE * np.arange(1, len(every) + 1))
+    return (ps <= every[good[-1]]).mean() if len(good) else 0.0
+
+
+def test_rare_keys_are_found():
+    rng = random.Random(11)
+    made = lambda chars, size: ["".join(rng.choice(chars) for _ in range(size)) for _ in range(500)]
+    base62, base36 = string.ascii_letters + string.digits, string.ascii_lowercase + string.digits
+    for chars, size, rarity, least in ((base62, 20, 200, 0.85), (base62, 24, 2000, 0.87), (base62, 32, 2000, 0.94), (base36, 20, 2000, 0.87), (base62 + "+/", 32, 2000, 0.93)):
+        assert share_reported(made(chars, size), rarity) >= least, (size, rarity)
+
+
+def test_names_in_programs_are_text():
+    """Long names of Python's own library, which no constant here was fitted to."""
+    names = set()
+    for path in sorted(Path(sysconfig.get_paths()["stdlib"]).glob("*.py")):
+        names |= {k.string for k in tokenize.generate_tokens(path.open(encoding="utf-8").readline) if k.type == tokenize.NAME and k.string.isascii()}
+    ps = [s.evidence(name) for name in names if len(name) >= s.SHORTEST]
+    assert len(ps) > 500 and sum(p < 0.05 for p in ps) == 0
