@@ -9,7 +9,8 @@ Defined results
 * null or empty text: no words; ``min_words`` fails, every ratio is 0.
 * very long text: measured whole (arrays of its words live in one row).
 * repeated rows: judged alike. Empty table: empty result.
-* extra columns, also with names used here: the query selects its own columns; ``apply`` keeps the input's.
+* extra columns, also with names used here: the query selects its own columns; ``measure`` keeps the input's
+  (but one that is called like ``into``, which the measurements replace), ``keep_good`` all.
 """
 
 from __future__ import annotations
@@ -93,6 +94,14 @@ def _repeat_words(words: Column) -> Column:
     return F.when(F.size(words) <= WINDOW, F.lit(0).cast("long")).otherwise(many)
 
 
+def _free(name: str, docs: DataFrame) -> str:
+    """``name``, with underscores behind it if ``docs`` has such a column."""
+    taken = {c.lower() for c in docs.columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
 #: Ratios and the counts that they divide; ``letter_ratio`` is what is left of one.
 RATIOS = {
     "mean_word_chars": ("word_chars", "n_words"),
@@ -110,8 +119,9 @@ def measure(docs: DataFrame, text: str = "text", into: str = "q", metrics: tuple
     """``docs`` with a struct column ``into`` of measurements of ``text``: all, or the named ones and the counts behind them."""
     body = F.coalesce(F.col(text), F.lit(""))
     lines = F.filter(F.split(body, "\n"), lambda x: x.rlike(HAS_WORD))
-    named = docs.withColumn("__words", words_of(F.col(text))).withColumn("__lines", lines)
-    words, full = F.col("__words"), F.col("__lines")
+    held_words, held_lines, held = (_free(name, docs) for name in ("__words", "__lines", "__m"))
+    named = docs.withColumn(held_words, words_of(F.col(text))).withColumn(held_lines, lines)
+    words, full = F.col(held_words), F.col(held_lines)
     n_words, n_lines = F.size(words).cast("long"), F.size(full).cast("long")
     counts = {
         "n_words": n_words,
@@ -128,8 +138,8 @@ def measure(docs: DataFrame, text: str = "text", into: str = "q", metrics: tuple
     }
     asked = [*counts, *RATIOS] if metrics is None else list(metrics)
     needed = {c for m in asked for c in RATIOS.get(m, (m,))}
-    counted = named.withColumn("__m", F.struct(*[c.alias(name) for name, c in counts.items() if name in needed]))
-    m = F.col("__m")
+    counted = named.withColumn(held, F.struct(*[c.alias(name) for name, c in counts.items() if name in needed]))
+    m = F.col(held)
 
     def ratio(name: str) -> Column:
         a, b = RATIOS[name]
@@ -137,7 +147,7 @@ def measure(docs: DataFrame, text: str = "text", into: str = "q", metrics: tuple
         return F.when(m[b] > 0, 1.0 - out).otherwise(0.0) if name == "letter_ratio" else out
 
     measured = F.struct(*[m[name].alias(name) for name in counts if name in needed], *[ratio(name).alias(name) for name in RATIOS if name in asked])
-    return counted.withColumn(into, measured).drop("__words", "__lines", "__m")
+    return counted.withColumn(into, measured).drop(held_words, held_lines, held)
 
 
 def failed_rules(measured: Column, rules: tuple[Rule, ...] = RULES) -> Column:

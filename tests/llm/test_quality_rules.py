@@ -44,3 +44,12 @@ def test_rows(spark):
     assert q.keep_good(odd(spark)).count() == 0
     assert q.measure(odd(spark)).count() == 8
     assert q.measure(empty(spark)).count() == 0
+
+
+def test_columns_called_like_the_operators_own_stay(spark):
+    mine = docs(spark, [PROSE, None]).selectExpr("*", "'w' AS __words", "'l' AS __LINES", "'m' AS __m", "'r' AS __row", "'t' AS __text")
+    measured = q.measure(mine)
+    assert measured.columns == [*mine.columns, "q"]
+    rows = measured.orderBy("doc_id").collect()
+    assert [(r["__words"], r["__LINES"], r["__m"], r["q"]["n_words"]) for r in rows] == [("w", "l", "m", len(PROSE.split())), ("w", "l", "m", 0)]
+    assert q.keep_good(mine).columns == mine.columns and [r["__text"] for r in q.keep_good(mine).collect()] == ["t"]
