@@ -52,11 +52,13 @@ def cached_name(url: Column) -> Column:
 
 
 def human_size(n: Column) -> Column:
-    """1.2B, 3.4M, 5.6K, or the number itself below a thousand; the digit is rounded half up, in whole numbers."""
+    """1.2B, 3.4M, 5.6K, or the number itself below a thousand; the digit is rounded half up, in whole numbers of up to 26 digits."""
+
+    over = lambda x, by: F.call_function("div", x, F.lit(by))
 
     def short(by: int, unit: str) -> Column:
-        tenths = F.floor((n + by // 20) / (by // 10))
-        return F.concat(F.floor(tenths / 10).cast("string"), F.lit("."), (tenths % 10).cast("string"), F.lit(unit))
+        tenths = over(n, by // 10) + (n % (by // 10) >= by // 20).cast("int")
+        return F.concat(over(tenths, 10).cast("string"), F.lit("."), (tenths % 10).cast("string"), F.lit(unit))
 
     return F.when(n >= 1_000_000_000, short(10**9, "B")).when(n >= 1_000_000, short(10**6, "M")).when(n >= 1_000, short(10**3, "K")).otherwise(n.cast("string"))
 

@@ -396,8 +396,11 @@ SELECT p_partkey, n, CASE WHEN n >= 1000000000 THEN ((n + 50000000) // 100000000
   WHEN n >= 1000 THEN ((n + 50) // 1000) || '.' || ((n + 50) // 100 % 10) || 'K' ELSE n::VARCHAR END AS size FROM x""",
 )
 def human_size(spark, sf_dir):
-    key = F.col("p_partkey")
-    return docs(spark, sf_dir, "part").select("p_partkey", (key * key * key * 7 + key).alias("n")).withColumn("size", naming.human_size(F.col("n")))
+    """Sizes of numbers that grow with the cube of a key; from keys of 1,096,303 on they need more than 64 bits, and ``n`` is a decimal if the table has such keys."""
+    part, key = docs(spark, sf_dir, "part"), F.col("p_partkey").cast("decimal(12,0)")
+    most = part.agg(F.max("p_partkey").alias("k")).first().k or 0
+    n = (key * key * key * 7 + key).cast("long" if 7 * most**3 + most < 1 << 63 else "decimal(38,0)")
+    return part.select("p_partkey", n.alias("n")).withColumn("size", naming.human_size(F.col("n")))
 
 
 _NAMES = [n for names in naming.DTYPES.values() for n in names]

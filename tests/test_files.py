@@ -149,3 +149,22 @@ def test_names(spark):
         spark.createDataFrame([("int9",)], "n string").select(naming.dtype_name(F.col("n")).alias("d")).collect()
     # What a rule has put in is not rewritten by a later one.
     assert one(naming.text_encoder_key(F.lit("text_model.encoder.layers.0.self_attn.x"))) == "transformer.resblocks.0.attn.x"
+
+
+def test_sizes_of_numbers_beyond_64_bits(spark, tmp_path):
+    """The query's numbers grow with the cube of a key; the SQL has no result for these keys."""
+    from pixelloom import catalogue
+
+    keys = [0, 19_999, 1_096_000, 1_200_000, 5_000_000]
+    spark.createDataFrame([(k,) for k in keys], "p_partkey long").write.parquet(f"{tmp_path}/part.parquet")
+    found = {r.p_partkey: (int(r.n), r.size) for r in catalogue.QUERIES["human_size"](spark, str(tmp_path)).collect()}
+    large = {k: 7 * k**3 + k for k in keys[1:]}
+    tenths = {k: (n + 50_000_000) // 100_000_000 for k, n in large.items()}
+    assert found == {0: (0, "0")} | {k: (n, f"{tenths[k] // 10}.{tenths[k] % 10}B") for k, n in large.items()}
+
+
+def test_sizes_round_whole_numbers(spark):
+    """Numbers at which a quotient of doubles, or adding half a digit, would be off."""
+    numbers = [9_000_000_049_999_999, 9_000_000_050_000_000, 9_223_372_000_049_999_999, (1 << 63) - 1, 999_950, 1_049, 1_050]
+    found = spark.createDataFrame([(n,) for n in numbers], "n long").select(naming.human_size(F.col("n")).alias("s")).collect()
+    assert [r.s for r in found] == ["9000000.0B", "9000000.1B", "9223372000.0B", "9223372036.9B", "1000.0K", "1.0K", "1.1K"]
