@@ -24,7 +24,7 @@ def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The first document of each class of near duplicates: a similarity of 0.8 or more in five-word shingles."""
+    """The first document of each class of near duplicates: found by SimHash, verified and completed at a similarity of 0.8 or more in five-word shingles."""
     return similar.keep_one(docs)
 
 

@@ -1,9 +1,14 @@
-"""Near duplicates by the similarity of word shingles, for the pipeline's near-dedup stage.
+"""SimHash near-duplicates, verified and completed by the similarity of word shingles, for the pipeline's near-dedup stage.
 
 A text is the set of its 64-bit shingle hashes; sets with a Jaccard similarity
 of at least ``LIKE`` (a fraction) are linked, and a class is what links connect.
 
-Search. Equal sets are one set first. A set's sketch is its ``SKETCH`` smallest
+Search. Equal sets are one set first. Each set has a SimHash fingerprint of 64 bits, and those that differ
+in at most ``RADIUS`` bits are found by the index of ``simhash``. What it
+finds is verified over whole sets, and its links stand.
+
+Links that the fingerprints miss. Sets at a similarity of 0.8 differ in some 10 of 64 bits, a distance at which
+no index of fingerprints is selective. So sets that aren't connected yet are searched by sketches. A set's sketch is its ``SKETCH`` smallest
 hashes. Of the smallest hashes of two sets' union, each is in both sets with the
 probability of their similarity, so similar sets have ``OVERLAP`` or more hashes
 of their sketches in common: at a similarity of exactly 0.8 all but 8 pairs in
@@ -45,11 +50,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType, _parse_datatype_string
 
 from .bloom import bloom, holds
+from . import simhash
 from .common import for_python, null_last, row_keys, row_of, tidy, written
 from .components import components
 from .wordhash import Words, mixed, place_factors
 
 SHINGLE, LIKE = 5, (4, 5)
+RADIUS = 3
 SKETCH, OVERLAP = 48, 24
 HOT = 8
 #: One row in SAMPLE is read for common hashes: those in OFTEN sampled rows or more, the MOST common at most.
@@ -75,6 +82,24 @@ def shingles(texts: pa.Array, shingle: int = SHINGLE) -> list[np.ndarray]:
     return out
 
 
+def fingerprint(hashes: np.ndarray) -> int:
+    """The SimHash of a set as a signed number: a bit is set if over half of the hashes set it."""
+    ones = np.zeros(64, np.int64)
+    for at in range(0, len(hashes), 1 << 16):
+        ones += np.unpackbits(hashes[at : at + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits((2 * ones > len(hashes)).astype(np.uint8), bitorder="little").view("<i8")[0])
+
+
+def print_pairs(sets: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """Pairs (a < b) of ``sets`` (sid, fp) that connect all whose fingerprints links of at most ``radius`` bits connect: each set with the first of its fingerprint, and those along links."""
+    prints = written(sets.groupBy("fp").agg(F.min("sid").alias("lead")), "similar-prints")
+    equal = sets.join(prints, "fp").select(F.col("lead").alias("a"), F.col("sid").alias("b"))
+    lead = lambda end: prints.select(F.col("fp").alias(end), F.col("lead").alias(f"lead_{end}"))
+    found = simhash.links(prints.select("fp"), radius).join(lead("a"), "a").join(lead("b"), "b")
+    near = found.select(F.least("lead_a", "lead_b").alias("a"), F.greatest("lead_a", "lead_b").alias("b"))
+    return written(equal.unionByName(near).where("a <> b").distinct(), "similar-prints-near")
+
+
 def prefix(hashes: np.ndarray, common: np.ndarray, like: tuple[int, int] = LIKE) -> np.ndarray:
     """The first hashes of a set's sketch, one of which every similar set has among its own first ones."""
     n = len(hashes)
@@ -187,19 +212,24 @@ def whole_places(held: DataFrame, like: tuple[int, int] = LIKE) -> DataFrame:
     return held.mapInArrow(run, "sid long, n int, h long")
 
 
-def links(keyed: DataFrame, rows: DataFrame, shingle: int = SHINGLE, like: tuple[int, int] = LIKE, hot: int = HOT) -> DataFrame:
+def links(keyed: DataFrame, rows: DataFrame, shingle: int = SHINGLE, like: tuple[int, int] = LIKE, hot: int = HOT, radius: int = RADIUS) -> DataFrame:
     """Links (a, b) of sets whose components are those of all pairs that are similar enough."""
     p, q = like
     linked = F.col("both") * q >= F.col("either") * p
-    sets = rows.groupBy("sid").agg(F.min(F.struct(*KEY, "n", "prefix")).alias("s")).select("sid", "s.*")
+    sets = rows.groupBy("sid").agg(F.min(F.struct(*KEY, "n", "fp", "prefix")).alias("s")).select("sid", "s.*")
     sets = written(sets, "similar-distinct")
+
+    # First what the fingerprints find.
+    near = print_pairs(sets.select("sid", "fp"), radius)
+    known = similarities(whole_sets(keyed, sets, _ends(near), shingle), near)
     every = met_at(sets.select("sid", "n", F.explode("prefix").alias("h")), like, hot)
 
-    # First each set with one other, then only pairs that the links found so far don't connect.
-    nearest = every.groupBy("b").agg(F.min("a").alias("a"))
-    first = every.join(nearest, ["a", "b"]).select("a", "b")
-    known = similarities(whole_sets(keyed, sets, _ends(first), shingle), first)
-    apart = _apart(every.join(nearest, ["a", "b"], "left_anti"), components(known.where(linked).select("a", "b")))
+    # Then each other set with one that its sketch meets, and then only pairs that the links found so far don't connect.
+    open_pairs = _apart(every, components(known.where(linked).select("a", "b")))
+    nearest = open_pairs.groupBy("b").agg(F.min("a").alias("a"))
+    first = written(nearest.select("a", "b").join(known, ["a", "b"], "left_anti"), "similar-first-pairs")
+    known = known.unionByName(similarities(whole_sets(keyed, sets, _ends(first), shingle), first))
+    apart = _apart(every.join(known, ["a", "b"], "left_anti"), components(known.where(linked).select("a", "b")))
     apart = written(apart.select("a", "b"), "similar-apart")
     known = known.unionByName(similarities(whole_sets(keyed, sets, _ends(apart), shingle), apart))
     roots = written(components(known.where(linked).select("a", "b")), "similar-roots")
@@ -236,7 +266,7 @@ def links(keyed: DataFrame, rows: DataFrame, shingle: int = SHINGLE, like: tuple
     return known.unionByName(similarities(held, rest)).where(linked).select("a", "b")
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, like: tuple[int, int] = LIKE, hot: int = HOT) -> DataFrame:
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, like: tuple[int, int] = LIKE, hot: int = HOT, radius: int = RADIUS) -> DataFrame:
     """``docs`` without all but one row of each class: the first by id, then by content."""
     spark = docs.sparkSession
     for_python(spark)
@@ -249,13 +279,13 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sh
         for batch in batches:
             found = shingles(batch.column(3), shingle)
             ids = np.array([xxhash.xxh64_intdigest(h.tobytes()) for h in found], np.uint64)
-            arrays = [pa.array(ids.view(np.int64), pa.int64()), pa.array([len(h) for h in found], pa.int32()), pa.array([prefix(h, shared.value, like) for h in found], pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], *arrays], [*batch.schema.names[:3], "sid", "n", "prefix"])
+            arrays = [pa.array(ids.view(np.int64), pa.int64()), pa.array([len(h) for h in found], pa.int32()), pa.array(list(map(fingerprint, found)), pa.int64()), pa.array([prefix(h, shared.value, like) for h in found], pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], *arrays], [*batch.schema.names[:3], "sid", "n", "fp", "prefix"])
 
     lean = keyed.select("id", *KEY, "text")
-    schema = StructType([*lean.schema.fields[:3], *_parse_datatype_string("sid long, n int, prefix array<long>").fields])
+    schema = StructType([*lean.schema.fields[:3], *_parse_datatype_string("sid long, n int, fp long, prefix array<long>").fields])
     rows = written(lean.mapInArrow(run, schema), "similar-rows")
-    roots = components(links(keyed, rows, shingle, like, hot)).withColumnRenamed("node", "sid")
+    roots = components(links(keyed, rows, shingle, like, hot, radius)).withColumnRenamed("node", "sid")
     classes = rows.select("id", *KEY, "sid").join(roots, "sid", "left").withColumn("root", F.coalesce("root", "sid"))
     first = classes.groupBy("root").agg(F.min(F.struct(*null_last("id"), *KEY)).alias("f")).select(*[F.col(f"f.{k}").alias(k) for k in KEY])
     kept = keyed.join(written(first, "similar-first"), list(KEY), "left_semi")

@@ -78,3 +78,42 @@ def test_hot_groups_against_brute_force(spark):
             texts.append(" ".join(copy))
     rng.shuffle(texts)
     assert sorted(r.doc_id for r in s.keep_one(docs(spark, texts), hot=2).collect()) == brute(texts)
+
+
+def test_fingerprints_find_what_lies_within_the_radius(spark):
+    """The pairs that SimHash gives connect what all pairs of fingerprints within the radius connect, and the stage goes through them."""
+    import numpy as np
+    import pyarrow as pa
+
+    rng = random.Random(7)
+    words, texts = [f"w{rng.randrange(5000)}" for _ in range(600)], []
+    for _ in range(40):
+        copy = list(words)
+        for _ in range(rng.randint(0, 5)):
+            copy[rng.randrange(len(copy))] = "other"
+        texts.append(" ".join(copy))
+    texts += said(8, 20)
+    found = s.shingles(pa.array(texts))
+    prints = [s.fingerprint(h) for h in found]
+    hashes = found[0].view(np.uint64)
+    assert prints[0] & (1 << 64) - 1 == sum(1 << k for k in range(64) if 2 * sum(int(h) >> k & 1 for h in hashes) > len(hashes))
+
+    root = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if ((prints[i] ^ prints[j]) & (1 << 64) - 1).bit_count() <= s.RADIUS and root[i] != root[j]:
+                old, new = max(root[i], root[j]), min(root[i], root[j])
+                root = [new if r == old else r for r in root]
+    pairs = [tuple(r) for r in s.print_pairs(spark.createDataFrame(list(enumerate(prints)), "sid long, fp long")).collect()]
+    mine = list(range(len(texts)))
+    for a, b in pairs:
+        old, new = max(mine[a], mine[b]), min(mine[a], mine[b])
+        mine = [new if r == old else r for r in mine]
+    assert mine == root and len(set(root)) < len(set(found[k].tobytes() for k in range(len(texts))))
+
+
+def test_stage_goes_through_fingerprints(spark, monkeypatch):
+    asked = []
+    monkeypatch.setattr(s.simhash, "links", lambda *a, f=s.simhash.links, **b: asked.append(a) or f(*a, **b))
+    text = " ".join(f"w{k}" for k in range(300))
+    assert [r.doc_id for r in p.near_dedup_stage(spark, docs(spark, [text, text + " more", "another text"]), "").collect()] == [0, 2] and asked
