@@ -84,8 +84,11 @@ def metadata_object(spark, sf_dir):
     record = F.to_json(F.struct(F.col("text").alias("tags"), F.col("caption"), F.col("whole")))
     rows = tag_texts(spark, sf_dir).withColumn("caption", caption()).join(docs(spark, sf_dir).select("doc_id", F.col("text").alias("whole")), "doc_id")
     json_object.write_object(rows.select(F.col("doc_id").cast("string").alias("key"), record.alias("value"), "doc_id"), path, "doc_id")
-    back = json_object.read_object(spark, path, 64 << 10).withColumn("m", F.from_json("value", "tags string, caption string, whole string"))
-    ordered = numbered_in_order(back.select("key", "m.*", "place"), [], ["place"], "rank")
+    back = json_object.read_object(spark, path, 64 << 10).withColumn("m", F.from_json("value", "tags string, caption string, whole string")).select("key", "m.*", "place")
+    # Numbering looks at its rows three times; the object is read once.
+    kept = _scratch(spark)
+    back.write.parquet(kept)
+    ordered = numbered_in_order(spark.read.schema(back.schema).parquet(kept), [], ["place"], "rank")
     return ordered.select("key", "tags", "caption", F.col("whole").alias("text"), (F.col("rank") - 1).alias("place"))
 
 

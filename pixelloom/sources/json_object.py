@@ -24,17 +24,25 @@ from pyspark.sql import functions as F
 
 from .storage import exists, opened
 
-#: Bytes of a range, and bytes that are looked at together.
-SPLIT, PIECE = 64 << 20, 1 << 20
+#: Bytes of a range, bytes that are looked at together, and bytes of ranges beside each other that make a task at most.
+SPLIT, PIECE, TASK = 64 << 20, 1 << 20, 16 << 20
 _QUOTE, _BACKSLASH, _COMMA = b'"'[0], b"\\"[0], b","[0]
 
 
-def _pieces(file, at: int, end: int) -> Iterator[tuple[int, np.ndarray]]:
-    """(position, bytes) from ``at`` to ``end`` in pieces of which none ends with a backslash, but for the last."""
+def _pieces(file, at: int, end: int, own: int | None = None) -> Iterator[tuple[int, np.ndarray]]:
+    """(position, bytes) from ``at`` to ``end`` in pieces of which none ends with a backslash, but for the last.
+
+    Up to ``own`` they are as large as they may be; behind it, where little may be needed, they begin with 4 KB and double.
+    """
     file.seek(at)
-    held = b""
+    held, behind = b"", 2 << 10
     while at + len(held) < end:
-        more = file.read(min(PIECE, end - at - len(held)))
+        here = at + len(held)
+        if own is None or here < own:
+            size = (end if own is None else min(own, end)) - here
+        else:
+            size = behind = behind * 2
+        more = file.read(min(PIECE, size, end - here))
         if not more:
             break
         held += more
@@ -88,7 +96,7 @@ def summary(file, at: int, end: int) -> tuple[bool, int, int]:
 def entries_of(file, at: int, end: int, size: int, inside: bool, depth: int) -> Iterator[tuple[int, bytes]]:
     """(position, bytes) of the entries whose preceding brace or comma lies from ``at`` to ``end``."""
     start, held = None, []
-    for place, data in _pieces(file, at, size):
+    for place, data in _pieces(file, at, size, end):
         if start is None and place >= end:
             return
         outside, inside = _outside(data, inside)
@@ -126,7 +134,9 @@ def read_object(spark: SparkSession, path: str, split: int = SPLIT) -> DataFrame
     if size is None:
         raise FileNotFoundError(path)
     n = max(1, -(-size // split))
-    ranges = spark.range(n, numPartitions=min(n, 10_000)).select("id")
+    # Tasks have several small ranges; there are some for each core, as long as there are ranges.
+    tasks = min(n, 10_000, max(4 * spark.sparkContext.defaultParallelism, -(-size // TASK)))
+    ranges = spark.range(n, numPartitions=tasks).select("id")
 
     def bounds(file, k: int) -> tuple[int, int]:
         return begin_of(file, k * split, size), begin_of(file, min(size, (k + 1) * split), size)
@@ -164,7 +174,7 @@ def read_object(spark: SparkSession, path: str, split: int = SPLIT) -> DataFrame
                     yield _batch(rows)
 
     known = spark.createDataFrame(begins, "id long, inside boolean, depth long")
-    return known.repartitionByRange(min(n, 10_000), "id").mapInArrow(read, "key string, value string, place long")
+    return known.repartitionByRange(tasks, "id").mapInArrow(read, "key string, value string, place long")
 
 
 def _batch(rows: list[tuple[str, str, int]]) -> pa.RecordBatch:

@@ -218,3 +218,20 @@ def test_objects_are_written_in_order(spark, tmp_path):
     (tmp_path / "e.json").write_text('{"a": "b')
     with pytest.raises(ValueError, match="one whole"):
         json_object.read_object(spark, str(tmp_path / "e.json"))
+
+
+def test_small_ranges_read_little_and_share_tasks(spark, tmp_path):
+    """A range of 4 KB doesn't look at a piece of a megabyte, and ranges beside each other are one task's."""
+    from pixelloom.sources.storage import Counted
+
+    given = {f"k{k}": {"text": "x" * 50, "n": [k]} for k in range(20_000)}
+    path = tmp_path / "m.json"
+    path.write_text(json.dumps(given))
+    size = path.stat().st_size
+    with path.open("rb") as f:
+        counted = Counted(f)
+        assert len(list(json_object.entries_of(counted, 0, 4096, size, False, 0))) > 10
+        assert counted.bytes <= 3 * 4096
+    back = json_object.read_object(spark, str(path), 4096)
+    assert back.rdd.getNumPartitions() <= 4 * spark.sparkContext.defaultParallelism < size // 4096
+    assert {r.key: json.loads(r.value) for r in back.collect()} == given
