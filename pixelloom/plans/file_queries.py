@@ -151,8 +151,6 @@ def write_counts(spark, sf_dir):
 def retry_outcomes(spark, sf_dir):
     """Three batches that list every document; work on it fails in the first doc_id % 4 of them."""
     root = _scratch(spark)
-    for k in range(3):
-        docs(spark, sf_dir).select(F.col("doc_id").cast("string").alias("key"), (F.lit(k) < F.col("doc_id") % 4).alias("fails")).coalesce(1).write.mode("append").parquet(f"{root}/in")
 
     def work(row):
         if row["fails"]:
@@ -160,9 +158,11 @@ def retry_outcomes(spark, sf_dir):
         return "ok"
 
     def run():
-        stream = spark.readStream.schema("key string, fails boolean").option("maxFilesPerTrigger", 1).parquet(f"{root}/in")
+        stream = spark.readStream.schema("key string, fails boolean").parquet(f"{root}/in")
         keep = lambda batch, n: batch.write.mode("overwrite").parquet(f"{root}/out/batch={n}")
         retries.attempts(stream, work).writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", f"{root}/state").trigger(availableNow=True).start().awaitTermination()
 
-    run()
+    for k in range(3):
+        docs(spark, sf_dir).select(F.col("doc_id").cast("string").alias("key"), (F.lit(k) < F.col("doc_id") % 4).alias("fails")).write.mode("append").parquet(f"{root}/in")
+        run()
     return spark.read.parquet(f"{root}/out").select("key", "status", "tries")

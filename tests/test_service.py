@@ -119,6 +119,34 @@ def test_failed_keys_are_tried_again_after_a_restart(spark, tmp_path):
     assert run(3, [("a", False), ("c", False)]) == {"a": ("skipped", 3, None), "c": ("given up", 3, None)}
 
 
+def test_a_call_takes_many_keys(spark, tmp_path):
+    """Outcomes by bucket are those by key, whatever the number of buckets, and Spark's state has a row a bucket."""
+    rows = [(f"k{k}", k % 4) for k in range(200)] + [(None, 1), ("k7", 3)]
+
+    def work(row):
+        if row["fails"] > row["round"]:
+            raise ValueError(row["key"])
+        return f"{row['key']} in {row['round']}"
+
+    for buckets in (1, 7):
+        folder, states = f"{tmp_path}/{buckets}", []
+        for n in range(4):
+            spark.createDataFrame([(*r, n) for r in rows], "key string, fails int, round int").write.mode("append").parquet(f"{folder}/in")
+            stream = spark.readStream.schema("key string, fails int, round int").parquet(f"{folder}/in")
+            out = retries.attempts(stream, work, buckets=buckets).writeStream.outputMode("update")
+            asked = out.foreachBatch(lambda b, _, n=n: b.write.parquet(f"{folder}/out/{n}")).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
+            asked.awaitTermination()
+            states.append(asked.lastProgress["stateOperators"][0]["numRowsTotal"])
+            found = {r.key: (r.status, r.tries, r.result) for r in spark.read.parquet(f"{folder}/out/{n}").collect()}
+            expected = {}
+            for key, fails in dict(reversed(rows)).items():
+                done = fails < n
+                status = "skipped" if done else "given up" if n == 3 else "done" if fails == n else "failed"
+                expected[key] = (status, min(n, fails, 2) + 1, {"done": f"{key} in {n}", "failed": f"ValueError: {key}"}.get(status))
+            assert found == expected
+        assert states == [buckets] * 4
+
+
 def test_counts_come_with_the_write(spark, tmp_path):
     rows, seen = counters.counted(spark.range(100), odd=F.col("id") % 2 == 1, none=F.col("id") > 200)
     rows.write.parquet(f"{tmp_path}/out")
