@@ -9,29 +9,51 @@ doesn't show there; ``files.read_npz`` finds it.
 
 from __future__ import annotations
 
+import errno
 import io
+import math
 import zipfile
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .storage import Counted, opened
+from .storage import Counted, exists, opened
 from .tree import register
 
+#: Bytes of files that go on together.
+HELD = 16 << 20
 SMALL = ("crop_ltrb", "original_size", "train_resolution")
 HEADERS = "path string, names array<string>, shape array<int>, dtype string, crop_ltrb array<bigint>, original_size array<bigint>, train_resolution array<bigint>, bytes_read bigint, error string"
 
 
+@lru_cache(1024)
+def _declared(version: tuple[int, int], said: bytes) -> tuple[tuple[int, ...], bool, np.dtype]:
+    """What an array's header says; most files of a data set say the same."""
+    read = np.lib.format.read_array_header_1_0 if version == (1, 0) else np.lib.format.read_array_header_2_0
+    return read(io.BytesIO(said))
+
+
 def _shape(member) -> tuple[tuple[int, ...], np.dtype]:
     version = np.lib.format.read_magic(member)
-    read = np.lib.format.read_array_header_1_0 if version == (1, 0) else np.lib.format.read_array_header_2_0
-    shape, _, dtype = read(member)
+    length = member.read(2 if version == (1, 0) else 4)
+    shape, _, dtype = _declared(version, length + member.read(int.from_bytes(length, "little")))
     return shape, dtype
 
 
+def _small(data: bytes) -> list[int]:
+    """The whole numbers of a small array of one dimension."""
+    member = io.BytesIO(data)
+    shape, dtype = _shape(member)
+    if dtype.hasobject or len(shape) != 1:
+        raise ValueError("not an array of numbers in one dimension")
+    return [int(x) for x in np.frombuffer(data, dtype, math.prod(shape), member.tell())]
+
+
 def header(path: str) -> dict:
     """What the directory, the latents' first bytes and the small arrays of a file say; its error if it can't be used."""
     out = dict.fromkeys([c.split()[0] for c in HEADERS.split(", ")]) | {"path": path, "bytes_read": 0}
@@ -48,7 +70,7 @@ def header(path: str) -> dict:
                         out |= {"shape": list(shape), "dtype": dtype.name}
                     for name in SMALL:
                         with archive.open(f"{name}.npy") as member:
-                            out[name] = [int(x) for x in np.lib.format.read_array(io.BytesIO(member.read()), allow_pickle=False)]
+                            out[name] = _small(member.read())
             finally:
                 out["bytes_read"] = counted.bytes
     except Exception as e:  # noqa: BLE001  (a damaged file is a result here)
@@ -131,8 +153,6 @@ def training_items(spark: SparkSession, root: str) -> DataFrame:
     none = spark.createDataFrame([], "key string, text string")
 
     def beside(folder: str) -> DataFrame:
-        from .storage import exists, opened
-
         return texts(spark, f"{root}/{folder}") if exists(*opened(f"{root}/{folder}")) else none
 
     met = seen.join(beside("tags").withColumnRenamed("text", "t"), "key", "left").join(beside("caption").withColumnRenamed("text", "c"), "key", "left")
@@ -147,6 +167,50 @@ def to_process(items: DataFrame, root: str) -> DataFrame:
     return items.join(done, "key", "left_anti")
 
 
+def _plain(key: str | None) -> bool:
+    """Whether a key is the path of a file below a folder, as a listing would give it."""
+    return key is not None and "\0" not in key and not {"", ".", ".."} & set(key.split("/"))
+
+
+def by_key(keys: DataFrame, root: str, content: bool) -> DataFrame:
+    """key, path and content (or null) of the files ``root``/key.npz that exist.
+
+    Each key of ``keys`` is looked for at its place, so the work is dealt out by keys, however many files a folder has, and nothing is listed.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, base = opened(root)
+
+        def there(key: str) -> bool:
+            try:
+                return system.get_file_info(f"{base}/{key}.npz").type == fs.FileType.File
+            except OSError as e:
+                if e.errno == errno.ENAMETOOLONG:
+                    return False
+                raise
+
+        def batch_of(rows: list[tuple]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], t) for c, t in enumerate((pa.string(), pa.string(), pa.binary()))], ["key", "path", "content"])
+
+        for batch in batches:
+            rows, held = [], 0
+            for key in filter(_plain, batch.column(0).to_pylist()):
+                if not there(key):
+                    continue
+                data = None
+                if content:
+                    with system.open_input_stream(f"{base}/{key}.npz") as f:
+                        data = f.read()
+                    held += len(data)
+                rows.append((key, f"{root}/{key}.npz", data))
+                if held >= HELD:
+                    yield batch_of(rows)
+                    rows, held = [], 0
+            yield batch_of(rows)
+
+    return keys.select("key").mapInArrow(run, "key string, path string, content binary")
+
+
 def convert_legacy(spark: SparkSession, metadata: DataFrame, latents_root: str, target: str) -> DataFrame:
     """Copy the latent files of ``metadata`` (key, tags, caption) that exist, byte by byte, to ``target``/latents, and give their manifest.
 
@@ -154,11 +218,13 @@ def convert_legacy(spark: SparkSession, metadata: DataFrame, latents_root: str,
     """
     from ..functions.text import listed_tags
 
-    files = _tree(spark, latents_root, "npz", exact=True, hidden=True)
-    kept = files.withColumn("key", F.regexp_replace("rel", r"\.npz$", "")).join(metadata, "key")
+    if not exists(*opened(latents_root)):
+        raise FileNotFoundError(latents_root)
+    target = f"{target.rstrip('/')}/latents"
+    # Keys are short and their files take long: they are dealt out by number and not by size.
+    keys = metadata.select("key").repartition(4 * spark.sparkContext.defaultParallelism, "key").dropDuplicates(["key"])
     register(spark)
-    kept.select("key", "content").write.format("tree").mode("append").options(path=f"{target.rstrip('/')}/latents", suffix="npz", sharded="false").save()
-    copied = _tree(spark, f"{target.rstrip('/')}/latents", "npz", content=False, hidden=True)
-    below = F.substring("path", len(target.rstrip("/")) + len("/latents/") + 1, 1 << 20)
-    seen = headers(copied).where("error IS NULL").withColumn("key", F.regexp_replace(below, r"\.npz$", ""))
+    by_key(keys, latents_root.rstrip("/"), True).select("key", "content").write.format("tree").mode("append").options(path=target, suffix="npz", sharded="false").save()
+    below = F.substring("path", len(target) + 2, 1 << 20)
+    seen = headers(by_key(keys, target, False)).where("error IS NULL").withColumn("key", F.regexp_replace(below, r"\.npz$", ""))
     return seen.join(metadata, "key").select("key", listed_tags(F.col("tags")).alias("tags"), F.coalesce("caption", F.lit("")).alias("caption"), "train_resolution", "original_size", "crop_ltrb")

@@ -168,6 +168,28 @@ def test_legacy_latents_are_copied(spark, tmp_path):
     assert all((tmp_path / "new" / "latents" / f"{k}.npz").read_bytes() == good for k in rows)
 
 
+def test_flat_folder_is_dealt_out_by_keys(spark, tmp_path, monkeypatch):
+    """Files of one folder are read by several tasks; keys that no listing would give find nothing."""
+    good = npz_bytes(np.ones((4, 2, 2), np.float16), [0, 1, 2, 3], [640, 480], [1152, 896])
+    (tmp_path / "old" / "sub").mkdir(parents=True)
+    (tmp_path / "old" / "folder.npz").mkdir()
+    (tmp_path / "out.npz").write_bytes(good)
+    for name in (*range(60), "sub/a", "UP", "x.npz"):
+        (tmp_path / "old" / f"{name}.npz").write_bytes(good)
+    (tmp_path / "old" / "5.npz").write_bytes(good[:40])
+    kept = {*map(str, range(60)), "sub/a", "UP", "x.npz"} - {"5"}
+    odd = ["../out", "./1", "sub/../1", "sub//a", "folder", "up", "", None, "/1", "a\0b", "n" * 300, "5"]
+    metadata = spark.createDataFrame([(k, "a, b", None) for k in [*sorted(kept), *odd, "1"]], "key string, tags string, caption string")
+    found = npz.by_key(metadata.select("key").repartition(8), f"{tmp_path}/old", True)
+    assert {r.key for r in found.select("key").collect()} == kept | {"5"}
+    assert found.select(F.spark_partition_id().alias("p")).distinct().count() > 1
+    # No listing: the reader of trees isn't asked.
+    monkeypatch.setattr(npz, "_tree", None)
+    rows = npz.convert_legacy(spark, metadata, f"{tmp_path}/old/", f"{tmp_path}/new/").collect()
+    assert sorted(r.key for r in rows) == sorted([*kept, "1"])
+    assert (tmp_path / "new" / "latents" / "5.npz").read_bytes() == good[:40]
+
+
 WORDS = ['"', "\\", "{", "}", "[", "]", ",", ":", "a", "é", "\n", '\\"', "\\\\", "😀", "key", " "]
 
 
