@@ -111,19 +111,26 @@ def packed(latents: DataFrame, dtype: str = "float16") -> DataFrame:
 
 def _tree(spark: SparkSession, root: str, suffixes: str, **options) -> DataFrame:
     register(spark)
+    # Trees of up to 65,536 folders are dealt out in as many tasks as keep the cores busy, not one for each few folders.
+    options = {"tasks": 16 * spark.sparkContext.defaultParallelism} | options
     return spark.read.format("tree").options(path=root, suffixes=suffixes, **{k: str(v).lower() for k, v in options.items()}).load()
 
 
+def _by_folder(items: DataFrame) -> DataFrame:
+    """``items`` dealt out by the folders that their keys go to, so that a folder is one task's, and by number, as files take long and their rows are short."""
+    return items.repartition(4 * items.sparkSession.sparkContext.defaultParallelism, F.substring("key", 1, 4))
+
+
 def write_latents(latents: DataFrame, root: str, dtype: str = "float16") -> None:
     """One file per row at ``root``/ab/cd/key.npz."""
     register(latents.sparkSession)
-    packed(latents, dtype).write.format("tree").mode("append").options(path=root, suffix="npz").save()
+    packed(_by_folder(latents), dtype).write.format("tree").mode("append").options(path=root, suffix="npz").save()
 
 
 def write_texts(items: DataFrame, root: str, text: str = "text") -> None:
     """One text per row (key, text) at ``root``/ab/cd/key.txt; a null text is an empty file."""
     register(items.sparkSession)
-    items.select("key", F.col(text).cast("binary").alias("content")).write.format("tree").mode("append").options(path=root, suffix="txt").save()
+    _by_folder(items.select("key", F.col(text).cast("binary").alias("content"))).write.format("tree").mode("append").options(path=root, suffix="txt").save()
 
 
 def write_tags(items: DataFrame, root: str) -> None:

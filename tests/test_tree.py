@@ -168,6 +168,22 @@ def test_legacy_latents_are_copied(spark, tmp_path):
     assert all((tmp_path / "new" / "latents" / f"{k}.npz").read_bytes() == good for k in rows)
 
 
+def test_a_folder_is_written_by_one_task(spark, tmp_path, monkeypatch):
+    """However rows come, each folder is made by a single task, and there are several tasks."""
+    import hashlib
+
+    keys = [hashlib.sha256(str(k % 20).encode()).hexdigest()[:4] + f"{k:060d}" for k in range(200)]
+    items = spark.createDataFrame([(k, f"text {k}") for k in keys], "key string, text string").repartition(16)
+    dealt = npz._by_folder(items).select(F.substring("key", 1, 4).alias("f"), F.spark_partition_id().alias("p")).distinct().collect()
+    assert len(dealt) == len({r.f for r in dealt}) == 20 and len({r.p for r in dealt}) > 4
+    npz.write_texts(items, str(tmp_path / "t"))
+    for k in range(3000):
+        (tmp_path / "t" / f"{k % 60:02d}" / f"{k // 60:02d}").mkdir(parents=True, exist_ok=True)
+    found = npz.texts(spark, str(tmp_path / "t"))
+    assert found.rdd.getNumPartitions() <= 16 * spark.sparkContext.defaultParallelism < 3000 // 32
+    assert {r.key: r.text for r in found.collect()} == {k: f"text {k}" for k in keys}
+
+
 def test_flat_folder_is_dealt_out_by_keys(spark, tmp_path, monkeypatch):
     """Files of one folder are read by several tasks; keys that no listing would give find nothing."""
     good = npz_bytes(np.ones((4, 2, 2), np.float16), [0, 1, 2, 3], [640, 480], [1152, 896])
